@@ -187,3 +187,88 @@ SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS category, p_b
        concat('/images/', CAST(p_partkey AS VARCHAR), '.png') AS image_url,
        p_partkey AS catalog_pos
 FROM part"""
+
+
+ALL_POOL_SQL = "chr(1) || 'all'"
+
+
+def seeded_int_sql(salt_sql: str, key_sql: str, seed: int = K.SEED) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {salt_sql}, {key_sql})), 1, 8)) AS BIGINT)"
+
+
+def catalog_ctes() -> list[tuple[str, str]]:
+    """Catalog, its category list, and the ranked pools."""
+    return [
+        ("cat", catalog_cte()),
+        ("cat_list", "SELECT list(category ORDER BY category) AS cats FROM (SELECT DISTINCT category FROM cat)"),
+        ("ranked", f"""
+SELECT category AS pool,
+       CAST(row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', '{K.SEED}', id)), id) - 1 AS BIGINT) AS pos,
+       count(*) OVER (PARTITION BY category) AS m, id FROM cat
+UNION ALL
+SELECT {ALL_POOL_SQL} AS pool,
+       CAST(row_number() OVER (ORDER BY md5(concat_ws('|', '{K.SEED}', id)), id) - 1 AS BIGINT) AS pos,
+       count(*) OVER () AS m, id FROM cat"""),
+        ("pool_m", "SELECT pool, max(m) AS m FROM ranked GROUP BY pool"),
+    ]
+
+
+def target_sql(src: str, key: str = "request_id") -> str:
+    """W2 (base 2) + W4 over ``src`` (needs recent_display_categories, recent_categories)."""
+    h_t = seeded_int_sql("'target'", key)
+    h_s = seeded_int_sql("'secondary'", key)
+    return f"""
+SELECT *,
+       CASE WHEN k = 0 THEN target_category
+            WHEN ti IS NULL THEN cats[CAST({h_s} % k AS INTEGER) + 1]
+            WHEN k = 1 THEN target_category
+            ELSE cats[CAST((ti + 1 + {h_s} % (k - 1)) % k AS INTEGER) + 1] END AS secondary_category
+FROM (
+  SELECT *, list_position(cats, target_category) - 1 AS ti
+  FROM (
+    SELECT *, coalesce(
+        list_filter(CASE WHEN len(recent_display_categories) > 0 THEN recent_display_categories
+                         ELSE recent_categories END,
+                    lambda x: x IS NOT NULL AND x <> '' AND list_contains(cats, x))[-1],
+        CASE WHEN k > 0 THEN cats[CAST({h_t} % k AS INTEGER) + 1] ELSE '{K.UNKNOWN_CATEGORY}' END) AS target_category
+    FROM (SELECT s.*, cl.cats, len(cl.cats) AS k FROM {src} s, cat_list cl)))"""
+
+
+def modules_sql(src: str, key: str = "request_id", n: int = K.PRODUCTS_PER_MODULE) -> list[tuple[str, str]]:
+    """W6 over ``src`` (needs target_category, secondary_category)."""
+    def st(salt, m):
+        return f"CASE WHEN {m} > 0 THEN {seeded_int_sql(repr(salt), key)} % {m} ELSE 0 END"
+
+    return [
+        ("mp_b", f"""
+SELECT s.{key},
+       coalesce(pt.pool, {ALL_POOL_SQL}) AS t_pool, coalesce(pt.m, pa.m) AS t_m,
+       coalesce(ps.pool, {ALL_POOL_SQL}) AS s_pool, coalesce(ps.m, pa.m) AS s_m
+FROM {src} s
+LEFT JOIN pool_m pt ON pt.pool = s.target_category
+LEFT JOIN pool_m ps ON ps.pool = s.secondary_category
+CROSS JOIN (SELECT m FROM pool_m WHERE pool = {ALL_POOL_SQL}) pa"""),
+        ("mp_pos", f"""
+SELECT {key}, t_pool, s_pool,
+       list_transform(range(0, least(t_m, {n})), lambda i: ({st('hero', 't_m')} + i) % t_m) AS hero,
+       list_transform(range(0, least(t_m, {n})), lambda i: ({st('primary', 't_m')} + i) % t_m) AS prim,
+       list_transform(range(0, least(s_m, {2 * n})), lambda i: ({st('secondary', 's_m')} + i) % s_m) AS sec_all
+FROM mp_b"""),
+        ("mp_pos2", f"""
+SELECT {key}, t_pool, s_pool, hero, prim,
+       CASE WHEN t_pool = s_pool THEN list_filter(sec_all, lambda p: NOT list_contains(prim, p)) ELSE sec_all END[1:{n}] AS sec
+FROM mp_pos"""),
+        ("mp_probe", f"""
+SELECT {key}, 'hero' AS module, i, t_pool AS pool, hero[i + 1] AS pos FROM mp_pos2, range(0, len(hero)) t(i)
+UNION ALL
+SELECT {key}, 'primary', i, t_pool, prim[i + 1] FROM mp_pos2, range(0, len(prim)) t(i)
+UNION ALL
+SELECT {key}, 'secondary', i, s_pool, sec[i + 1] FROM mp_pos2, range(0, len(sec)) t(i)"""),
+        ("mp_out", f"""
+SELECT p.{key},
+       coalesce(list(r.id ORDER BY p.i) FILTER (WHERE p.module = 'hero'), []) AS hero_products,
+       coalesce(list(r.id ORDER BY p.i) FILTER (WHERE p.module = 'primary'), []) AS primary_products,
+       coalesce(list(r.id ORDER BY p.i) FILTER (WHERE p.module = 'secondary'), []) AS secondary_products
+FROM mp_probe p JOIN ranked r ON r.pool = p.pool AND r.pos = p.pos
+GROUP BY p.{key}"""),
+    ]

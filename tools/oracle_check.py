@@ -12,6 +12,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
@@ -27,7 +28,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
