@@ -54,9 +54,21 @@ def lookup_items(refs: DataFrame, catalog: DataFrame, ref_col: str) -> DataFrame
         *refs.columns, "_hit.item_id", "_hit.item_category", "_hit.item_display_category")
 
 
-def category_dim(catalog: DataFrame) -> DataFrame:
-    """One row per category: cat_index (0-based, by name), m (items), k (categories)."""
-    cats = dedupe_catalog(catalog).groupBy("category").agg(F.count(F.lit(1)).alias("m"))
+def category_counts(catalog: DataFrame) -> DataFrame:
+    """One row per category with its item count ``m``."""
+    return dedupe_catalog(catalog).groupBy("category").agg(F.count(F.lit(1)).alias("m"))
+
+
+def category_dim(catalog_or_counts: DataFrame) -> DataFrame:
+    """Categories with cat_index (0-based, by name), m (items), k (categories).
+
+    Only needed when the category dimension is too large to travel as one
+    array; the index is computed without a single-partition window.
+    """
+    cats = catalog_or_counts if "m" in catalog_or_counts.columns and "id" not in catalog_or_counts.columns \
+        else category_counts(catalog_or_counts)
+    if "cat_index" in cats.columns:
+        return cats
     cats = dense_index(cats, ["category"], index_col="cat_index")
     k = cats.agg(F.count(F.lit(1)).alias("k"))
     return cats.crossJoin(F.broadcast(k))
@@ -77,7 +89,12 @@ def rank_catalog(catalog: DataFrame, seed: int = K.SEED) -> DataFrame:
     return per_cat.unionByName(whole)
 
 
-def pool_sizes(ranked: DataFrame) -> DataFrame:
+def pool_sizes(ranked: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(pool, m) for every category pool and the whole-catalog pool."""
+    if counts is not None:
+        total = counts.agg(F.lit(ALL_POOL).alias("pool"), F.sum("m").alias("m"))
+        return counts.select(F.col("category").alias("pool"), F.col("m").cast("long")).unionByName(
+            total.select("pool", F.col("m").cast("long")))
     return ranked.groupBy("pool").agg(F.max("m").alias("m"))
 
 
@@ -105,7 +122,8 @@ def attach_pool(df: DataFrame, cat_col: str, sizes: DataFrame, prefix: str, smal
 
 def product_picks(df: DataFrame, ranked: DataFrame, cat_col: str, n: int = K.PRODUCTS_PER_MODULE,
                   salt: str = "picks", exclude_col: str | None = None, key: str = "request_id",
-                  out_col: str = "products", seed: int = K.SEED, small: bool = True) -> DataFrame:
+                  out_col: str = "products", seed: int = K.SEED, small: bool = True,
+                  counts: DataFrame | None = None) -> DataFrame:
     """W3 (+ J8): up to ``n`` seeded distinct ids from the category, minus
     excludes; a category absent from the catalog draws from the whole catalog.
 
@@ -114,7 +132,7 @@ def product_picks(df: DataFrame, ranked: DataFrame, cat_col: str, n: int = K.PRO
     The pool-size table has one row per category (checked by the caller's
     category dimension) and is broadcast.
     """
-    sizes = pool_sizes(ranked)
+    sizes = pool_sizes(ranked, counts)
     base = attach_pool(df.select(key, cat_col, *([exclude_col] if exclude_col else [])), cat_col, sizes, "_q", small)
     excl = F.coalesce(F.col(exclude_col), F.array().cast("array<string>")) if exclude_col else \
         F.array().cast("array<string>")
@@ -166,6 +184,7 @@ def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_d
     w = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_v"))
     w = w.select(key, recency_category(F.transform("_v", lambda s: s["_c"]), None, window, base).alias("_best"))
     out = df.join(w, key, "left")
+    cats = category_dim(cats)
     kk = cats.agg(F.count(F.lit(1)).alias("_k"))
     out = out.crossJoin(F.broadcast(kk)).withColumn("_ri", F.when(F.col("_k") > 0, rnd % F.col("_k")))
     out = out.join(cats.select(F.col("cat_index").alias("_ri"), F.col("category").alias("_rc")), "_ri", "left")
@@ -175,30 +194,42 @@ def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_d
 
 def secondary_category(df: DataFrame, cats: DataFrame, target_col: str = "target_category",
                        key: str = "request_id", out_col: str = "secondary_category",
-                       seed: int = K.SEED) -> DataFrame:
+                       seed: int = K.SEED, small: bool | None = None) -> DataFrame:
     """A seeded different category; the target itself when it is the only one.
 
     With categories sorted by name, target index i and k categories the pick
     is (i + 1 + h mod (k-1)) mod k; a target outside the catalog picks h mod k.
     """
+    if small is None:
+        small = small_categories(cats)
     h = seeded_int(F.lit("secondary"), F.col(key), seed=seed)
+
+    def pick(k, i):
+        return (F.when(k == 0, F.lit(None))
+                .when(i.isNull(), h % k)
+                .when(k == 1, F.lit(None))
+                .otherwise((i + 1 + h % (k - 1)) % k)).cast("long")
+
+    if small:
+        out = df.crossJoin(F.broadcast(category_array(cats)))
+        k = F.size("_cats")
+        pos = F.array_position("_cats", F.col(target_col))
+        i = F.when(pos > 0, pos - 1)
+        chosen = F.element_at("_cats", (pick(k, i) + 1).cast("int"))
+        return out.withColumn(out_col, F.coalesce(chosen, F.col(target_col))).drop("_cats")
+    cats = category_dim(cats)
     kk = cats.agg(F.count(F.lit(1)).alias("_k"))
     out = df.crossJoin(F.broadcast(kk))
     ti = cats.select(F.col("category").alias("_tc"), F.col("cat_index").alias("_ti"))
     out = out.join(ti, out[target_col] == ti["_tc"], "left").drop("_tc")
-    k, i = F.col("_k"), F.col("_ti")
-    pick = (F.when(k == 0, F.lit(None))
-            .when(i.isNull(), h % k)
-            .when(k == 1, F.lit(None))
-            .otherwise((i + 1 + h % (k - 1)) % k))
-    out = out.withColumn("_si", pick.cast("long"))
+    out = out.withColumn("_si", pick(F.col("_k"), F.col("_ti")))
     si = cats.select(F.col("cat_index").alias("_si"), F.col("category").alias("_sc"))
     out = out.join(si, "_si", "left")
     return out.withColumn(out_col, F.coalesce("_sc", F.col(target_col))).drop("_k", "_ti", "_si", "_sc")
 
 
 def module_picks(df: DataFrame, ranked: DataFrame, key: str = "request_id", n: int = K.PRODUCTS_PER_MODULE,
-                 seed: int = K.SEED, small: bool = True) -> DataFrame:
+                 seed: int = K.SEED, small: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Hero, primary and secondary picks with one join and one regroup.
 
     Hero and primary are independent draws of ``n`` from the target pool; the
@@ -207,7 +238,7 @@ def module_picks(df: DataFrame, ranked: DataFrame, key: str = "request_id", n: i
     applies when both pools are the same, and then it is done on positions
     (a position is one item within a pool) before the join.
     """
-    sizes = pool_sizes(ranked)
+    sizes = pool_sizes(ranked, counts)
     b = attach_pool(df.select(key, "target_category", "secondary_category"), "target_category", sizes, "_t", small)
     b = attach_pool(b, "secondary_category", sizes, "_s", small)
     mt = F.coalesce(F.col("_t_m"), F.lit(0)).cast("long")

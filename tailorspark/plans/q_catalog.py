@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tailorspark import constants as K
 from tailorspark.functions.columns import array_text, categories_for_target, recency_category
 from tailorspark.operators.catalog import (
-    category_dim, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
+    category_counts, category_dim, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
     products_by_category, rank_catalog, secondary_category, small_categories, target_category)
 from tailorspark.plans.oracle import (
     catalog_ctes, modules_sql, request_defaults_cte, requests_ctes, seeded_int_sql, target_sql, with_ctes)
@@ -23,12 +23,12 @@ def _req_sql_ctes():
 def with_targets(spark, sf_dir):
     """Requests with defaults + target and secondary category; also returns the catalog parts."""
     cat = catalog(spark, sf_dir)
-    cats = category_dim(cat)
+    cats = category_counts(cat)
     small = small_categories(cats)
     req = default_requests(spark, sf_dir)
     req = req.withColumn("_for_target", categories_for_target("recent_display_categories", "recent_categories"))
     req = target_category(req, cats, "_for_target", small=small).drop("_for_target")
-    req = secondary_category(req, cats)
+    req = secondary_category(req, cats, small=small)
     return req, cat, cats, small
 
 
@@ -132,7 +132,7 @@ def _recency_sql():
 def q_recency_scores(spark, sf_dir):
     """W2 with a general base (1.5): scores are summed, ties go to the first seen."""
     req = default_requests(spark, sf_dir)
-    cats = category_dim(catalog(spark, sf_dir))
+    cats = category_counts(catalog(spark, sf_dir))
     arr = cats.agg(F.array_sort(F.collect_list("category")).alias("_cats"))
     if not small_categories(cats):
         raise RuntimeError("recency_scores expects a checked-small category dimension")
@@ -174,7 +174,7 @@ def q_product_picks(spark, sf_dir):
     req, cat, cats, small = with_targets(spark, sf_dir)
     ranked = rank_catalog(cat)
     out = product_picks(req, ranked, "target_category", K.PRODUCTS_PER_MODULE, "picks", "recent_items",
-                        small=small)
+                        small=small, counts=cats)
     return out.select("request_id", "target_category", array_text("recent_items").alias("excluded"),
                       array_text("products").alias("products"))
 
@@ -191,7 +191,7 @@ MODULES_OUT = ("SELECT t.request_id, t.target_category, t.secondary_category, "
     _req_sql_ctes() + [("tgt", target_sql("req"))] + modules_sql("tgt"), MODULES_OUT))
 def q_product_modules(spark, sf_dir):
     req, cat, cats, small = with_targets(spark, sf_dir)
-    out = module_picks(req, rank_catalog(cat), small=small)
+    out = module_picks(req, rank_catalog(cat), small=small, counts=cats)
     return out.select("request_id", "target_category", "secondary_category",
                       *[array_text(c).alias(c) for c in ("hero_products", "primary_products", "secondary_products")])
 

@@ -18,10 +18,23 @@ CS_COLS = ["level", "level_order", "region", "category", "source", "medium", "su
            "cluster", "avg_revenue"]
 
 
-def coldstart_parts(spark, sf_dir, min_support=None):
+def coldstart_parts(spark, sf_dir, min_support=None, materialize=False):
+    """Activity, training users, cold-start table and global defaults.
+
+    ``materialize`` writes the fitted artefacts (users frame and the small
+    lookup table) with a reliable checkpoint to the shared folder, cutting
+    their lineage for the request-side plans that join them many times.
+    """
     act = activity(spark, sf_dir, "visit")
     users = training_frame(act, AS_OF)
-    return act, users, coldstart_table(users, act, min_support), global_defaults(act, users)
+    if materialize:
+        users = users.checkpoint()
+    table = coldstart_table(users, act, min_support)
+    defaults = global_defaults(act, users)
+    if materialize:
+        table = table.checkpoint()
+        defaults = defaults.checkpoint()
+    return act, users, table, defaults
 
 
 def default_requests(spark, sf_dir):
@@ -167,14 +180,14 @@ def _resolve_out(df):
 
 @register("coldstart_resolve", lambda: with_ctes(resolve_ctes(), RESOLVE_OUT))
 def q_coldstart_resolve(spark, sf_dir):
-    _, _, table, defaults = coldstart_parts(spark, sf_dir)
+    _, _, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
     return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults, bounded=True))
 
 
 @register("coldstart_resolve_support3", lambda: with_ctes(resolve_ctes(3), RESOLVE_OUT))
 def q_coldstart_resolve_support3(spark, sf_dir):
     """J4 through the shuffle (level, key) join used when the levels are unbounded."""
-    _, _, table, defaults = coldstart_parts(spark, sf_dir, 3)
+    _, _, table, defaults = coldstart_parts(spark, sf_dir, 3, materialize=True)
     return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults, bounded=False))
 
 
@@ -188,7 +201,7 @@ FROM (SELECT *, CASE WHEN list_contains(string_split(t1, ','), '{K.TAG_NEW_USER}
 
 @register("coldstart_tags", lambda: with_ctes(resolve_ctes(), COLD_TAGS_SQL))
 def q_coldstart_tags(spark, sf_dir):
-    _, _, table, defaults = coldstart_parts(spark, sf_dir)
+    _, _, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
     res = resolve_cold_start(default_requests(spark, sf_dir), table, defaults)
     tags = business_tags("total_revenue", "days_since_first_visit", "total_events")
     return res.select("request_id", array_text(coldstart_tags(tags, F.col("resolved")["avg_revenue"])).alias("tags"))

@@ -33,20 +33,21 @@ def apply_request_defaults(df: DataFrame, user_agent_col: str | None = "user_age
     """Typed defaults (1, 1, 0.0, 0, []), empty context -> 'unknown', device
     from the user agent unless the request names one."""
     empty = F.array().cast("array<string>")
-    out = df
+    cols = {}
     for c, v in (("total_events", K.REQUEST_DEFAULT_EVENTS), ("unique_pages", K.REQUEST_DEFAULT_PAGES),
                  ("days_since_first_visit", K.REQUEST_DEFAULT_DAYS)):
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("int"), F.lit(v)))
-    out = out.withColumn("total_revenue", F.coalesce(F.col("total_revenue").cast("double"),
-                                                     F.lit(K.REQUEST_DEFAULT_REVENUE)))
+        cols[c] = F.coalesce(F.col(c).cast("int"), F.lit(v)) if c in df.columns else F.lit(v)
+    cols["total_revenue"] = (F.coalesce(F.col("total_revenue").cast("double"), F.lit(K.REQUEST_DEFAULT_REVENUE))
+                             if "total_revenue" in df.columns else F.lit(K.REQUEST_DEFAULT_REVENUE))
     for a in ARRAY_FIELDS:
-        out = out.withColumn(a, F.coalesce(F.col(a), empty) if a in df.columns else empty)
+        cols[a] = F.coalesce(F.col(a), empty) if a in df.columns else empty
     for c in CONTEXT_FIELDS[:-1]:
         src = F.col(c) if c in df.columns else F.lit(None).cast("string")
-        out = out.withColumn(c, F.coalesce(F.nullif(src, F.lit("")), F.lit(K.UNKNOWN)))
+        cols[c] = F.coalesce(F.nullif(src, F.lit("")), F.lit(K.UNKNOWN))
     ua = F.col(user_agent_col) if user_agent_col and user_agent_col in df.columns else F.lit(None).cast("string")
     explicit = F.col("category") if "category" in df.columns else F.lit(None).cast("string")
-    return out.withColumn("category", device_category(ua, explicit))
+    cols["category"] = device_category(ua, explicit)
+    return df.withColumns(cols)
 
 
 def requests_as_json(df: DataFrame) -> DataFrame:
