@@ -272,3 +272,46 @@ SELECT p.{key},
 FROM mp_probe p JOIN ranked r ON r.pool = p.pool AND r.pos = p.pos
 GROUP BY p.{key}"""),
     ]
+
+
+def client_events_ctes() -> list[tuple[str, str]]:
+    """Clicks with the catalog lookup (user grain), as ``client_events``."""
+    return [("cat", catalog_cte()), ("ce", """
+SELECT CAST(e.user_id AS VARCHAR) AS user_pseudo_id, e.ts AS event_ts, e.event_id, 'view_item' AS event_name,
+       e.item_ref AS item_name,
+       coalesce(coalesce(i.category, n.category), 'UNKNOWN_CATEGORY') AS category,
+       CASE WHEN e.k % 5 = 1 THEN '' ELSE coalesce(coalesce(coalesce(nullif(i.display_category, ''), i.category),
+                coalesce(nullif(n.display_category, ''), n.category)), 'Unknown') END AS display_category
+FROM (SELECT ev.event_id, ev.ts, ev.user_id, ev.k,
+             CASE WHEN ev.k % 4 = 0 THEN p.p_name WHEN ev.k % 4 = 3 THEN concat('missing-', CAST(ev.k AS VARCHAR))
+                  ELSE CAST(ev.k AS VARCHAR) END AS item_ref
+      FROM (SELECT *, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events
+            WHERE event_type IN ('view', 'click', 'purchase')) ev
+      LEFT JOIN part p ON p.p_partkey = ev.k) e
+LEFT JOIN cat i ON i.id = e.item_ref
+LEFT JOIN (SELECT name, arg_min(id, catalog_pos) AS id, arg_min(category, catalog_pos) AS category,
+                  arg_min(display_category, catalog_pos) AS display_category FROM cat GROUP BY name) n
+  ON n.name = e.item_ref""")]
+
+
+def recent_signals_ctes(n: int = 20) -> list[tuple[str, str]]:
+    return client_events_ctes() + [("ce_last", f"""
+SELECT *, row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_ts DESC, event_id DESC) AS rn
+FROM ce"""), ("ce_disp", """
+SELECT l.*, CASE WHEN coalesce(l.display_category, '') = '' THEN
+         coalesce(coalesce(coalesce(nullif(i.display_category, ''), i.category),
+                           coalesce(nullif(n.display_category, ''), n.category)), 'Unknown')
+       ELSE l.display_category END AS disp
+FROM ce_last l
+LEFT JOIN cat i ON i.id = l.item_name
+LEFT JOIN (SELECT name, arg_min(id, catalog_pos) AS id, arg_min(category, catalog_pos) AS category,
+                  arg_min(display_category, catalog_pos) AS display_category FROM cat GROUP BY name) n
+  ON n.name = l.item_name
+WHERE l.rn <= """ + str(n)), ("signals", """
+SELECT user_pseudo_id, CAST(greatest(1, count(*)) AS INTEGER) AS total_events,
+       CAST(greatest(1, count(item_name)) AS INTEGER) AS unique_pages,
+       array_to_string(list(event_name ORDER BY event_ts, event_id), ',') AS recent_sequence,
+       array_to_string(list(item_name ORDER BY event_ts, event_id), ',') AS recent_items,
+       array_to_string(list(category ORDER BY event_ts, event_id), ',') AS recent_categories,
+       array_to_string(list(disp ORDER BY event_ts, event_id), ',') AS recent_display_categories
+FROM ce_disp GROUP BY user_pseudo_id""")]

@@ -198,16 +198,18 @@ def requests(spark: SparkSession, sf_dir: str, recent_max: int = 20) -> DataFram
     )
 
 
-def client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product clicks as the browser records them (user grain).
-
-    The product reference is an id for most clicks, a product name for every
-    fourth ``k`` and an unknown reference for ``k % 4 == 3``; the catalog
-    lookup (J2) resolves it.
+def client_events_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events (batch or stream) -> product clicks as the browser records them.
+
+    The product reference is an id for most clicks, a product name when
+    ``k % 4 == 0`` and an unknown reference when ``k % 4 == 3``; the catalog
+    lookup (J2, stream-static when ``ev`` is a stream) resolves it.  The
+    display category is left empty when ``k % 5 == 1`` so that readers must
+    look it up again (X20).
     """
     from tailorspark.operators.catalog import lookup_items
 
-    ev = _events_with_k(spark, sf_dir).where(F.col("event_type").isin("view", "click", "purchase"))
+    ev = ev.where(F.col("event_type").isin("view", "click", "purchase")).withColumn("k", _prop_k())
     names = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     ev = ev.join(names, names.p_partkey == ev.k.cast("long"), "left")
     ref = (
@@ -218,7 +220,7 @@ def client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = ev.select(
         F.col("user_id").cast("string").alias("user_pseudo_id"),
         F.col("ts").cast("timestamp").alias("event_ts"),
-        "event_id",
+        "event_id", "k",
         ref.alias("item_ref"),
     )
     return lookup_items(clicks, catalog(spark, sf_dir), "item_ref").select(
@@ -228,11 +230,18 @@ def client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("view_item").alias("event_name"),
         F.col("item_ref").alias("item_name"),
         F.coalesce(F.col("item_category"), F.lit("UNKNOWN_CATEGORY")).alias("category"),
-        F.coalesce(F.col("item_display_category"), F.lit("Unknown")).alias("display_category"),
+        F.when(F.col("k") % 5 == 1, F.lit("")).otherwise(
+            F.coalesce(F.col("item_display_category"), F.lit("Unknown"))).alias("display_category"),
         F.concat(F.lit("/products/"), F.col("item_ref"), F.lit("/")).alias("page_path"),
     )
 
 
+def client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product clicks as the browser records them (user grain)."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return client_events_from(ev, spark, sf_dir)
+
+
 def client_logs(spark: SparkSession, sf_dir: str, recent_max: int = 20) -> DataFrame:
     """Per-user raw JSON log of the browser ring buffer (user grain).
 
