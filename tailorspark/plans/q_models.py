@@ -1 +1,409 @@
-"""Registered queries."""
+"""Registered model, metric and composite queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.ml.functions import vector_to_array
+
+from tailorspark import constants as K
+from tailorspark.functions.columns import log_feature
+from tailorspark.operators import evaluate as E
+from tailorspark.operators import models as M
+from tailorspark.operators.features import event_sequences
+from tailorspark.operators.pages import flatten_document, page_document, personalize, route
+from tailorspark.operators.segments import segment_names, training_frame
+from tailorspark.plans.oracle import training_ctes, with_ctes
+from tailorspark.plans.q_coldstart import coldstart_parts, default_requests
+from tailorspark.plans.q_pages import PAGE_FLAT, PAGE_SQL_COLS, page_ctes
+from tailorspark.plans.registry import register
+from tailorspark.session import scratch_dir
+from tailorspark.sources.requests import requests_as_json
+from tailorspark.sources.tables import AS_OF, activity, catalog, requests
+
+_CACHE: dict = {}
+
+
+def _training(spark, sf_dir):
+    act = activity(spark, sf_dir, "visit")
+    users = E.stratified_split(training_frame(act, AS_OF))
+    return act, users
+
+
+def model_inputs(spark, sf_dir):
+    """Users with split, and the first 25 events per user as tokens (materialised)."""
+    key = ("inputs", spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        act, users = _training(spark, sf_dir)
+        users = users.checkpoint()
+        seqs = event_sequences(act).select("user_pseudo_id", F.col("first_names").alias("seq_tokens"),
+                                           F.col("last_names").alias("eval_tokens")).checkpoint()
+        _CACHE[key] = (users, seqs)
+    return _CACHE[key]
+
+
+def trained_stack(spark, sf_dir):
+    """The fitted stack, trained once per application and input directory."""
+    key = ("stack", spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        users, seqs = model_inputs(spark, sf_dir)
+        _CACHE[key] = M.train_stack(users, seqs.select("user_pseudo_id", "seq_tokens"))
+    return _CACHE[key]
+
+
+def _seed_frac_sql(salt: str, key: str) -> str:
+    return (f"CAST(('0x' || substr(md5(concat_ws('|', '{K.SEED}', '{salt}', {key})), 1, 8)) AS BIGINT) "
+            "/ 4294967296.0")
+
+
+def SPLIT_CTES():
+    return training_ctes() + [("split", f"""
+SELECT *, {_seed_frac_sql('split', 'user_pseudo_id')} < {K.VALIDATION_FRACTION} AS is_validation FROM training""")]
+
+
+# -- W7 -----------------------------------------------------------------------
+@register("stratified_split", lambda: with_ctes(SPLIT_CTES(), """
+SELECT user_pseudo_id, target_cluster, is_validation FROM split"""))
+def q_stratified_split(spark, sf_dir):
+    return _training(spark, sf_dir)[1].select("user_pseudo_id", "target_cluster", "is_validation")
+
+
+# -- W8 -----------------------------------------------------------------------
+@register("eval_sample", lambda: with_ctes(SPLIT_CTES(), f"""
+SELECT user_pseudo_id, target_cluster FROM split WHERE is_validation
+ORDER BY md5(concat_ws('|', '{K.SEED}', 'sample', user_pseudo_id)), user_pseudo_id LIMIT {K.EVAL_SAMPLE_SIZE}"""))
+def q_eval_sample(spark, sf_dir):
+    users = _training(spark, sf_dir)[1]
+    return E.eval_sample(users.where("is_validation")).select("user_pseudo_id", "target_cluster")
+
+
+# -- A11 ----------------------------------------------------------------------
+@register("majority_baseline", lambda: with_ctes(SPLIT_CTES(), """
+SELECT m.majority_class, round(avg(CAST(s.target_cluster = m.majority_class AS DOUBLE)), 6) AS accuracy,
+       count(*) AS n_validation
+FROM split s, (SELECT target_cluster AS majority_class FROM split WHERE NOT is_validation
+               GROUP BY target_cluster ORDER BY count(*) DESC, target_cluster LIMIT 1) m
+WHERE s.is_validation GROUP BY m.majority_class"""))
+def q_majority_baseline(spark, sf_dir):
+    users = _training(spark, sf_dir)[1]
+    mb = E.majority_baseline(users, "target_cluster")
+    return mb.select("majority_class", F.round("accuracy", 6).alias("accuracy"), "n_validation")
+
+
+# -- A12 / A13 on a rule-based prediction ---------------------------------------
+RULE_PRED_SQL = "CASE WHEN total_events >= 3 THEN target_cluster ELSE (target_cluster + 1) % 5 END"
+
+
+def _rule_predictions(spark, sf_dir):
+    users = _training(spark, sf_dir)[1]
+    pred = F.when(F.col("total_events") >= 3, F.col("target_cluster")).otherwise((F.col("target_cluster") + 1) % 5)
+    return users.select("user_pseudo_id", F.col("target_cluster").alias("label"), pred.alias("prediction"))
+
+
+def CONF_CTE():
+    return training_ctes() + [("conf", f"""
+SELECT target_cluster AS label, {RULE_PRED_SQL} AS prediction, count(*) AS n FROM training GROUP BY 1, 2"""), ("pc", """
+SELECT cls, coalesce(tp, 0) AS tp, coalesce(sup, 0) AS support, coalesce(pr, 0) AS predicted FROM
+  (SELECT label AS cls FROM conf UNION SELECT prediction FROM conf) c
+  LEFT JOIN (SELECT label, sum(n) AS sup FROM conf GROUP BY label) s ON s.label = c.cls
+  LEFT JOIN (SELECT prediction, sum(n) AS pr FROM conf GROUP BY prediction) p ON p.prediction = c.cls
+  LEFT JOIN (SELECT label, n AS tp FROM conf WHERE label = prediction) t ON t.label = c.cls"""), ("pcm", """
+SELECT cls, support,
+       CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+       CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM pc"""), ("pcf", """
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+FROM pcm""")]
+
+
+@register("classification_metrics", lambda: with_ctes(CONF_CTE(), """
+SELECT round((SELECT sum(n) FILTER (WHERE label = prediction) FROM conf) / (SELECT sum(n) FROM conf), 6) AS accuracy,
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted,
+       CAST((SELECT sum(n) FROM conf) AS BIGINT) AS n FROM pcf"""))
+def q_classification_metrics(spark, sf_dir):
+    m = E.metrics(E.confusion(_rule_predictions(spark, sf_dir)))
+    return m.select(F.round("accuracy", 6).alias("accuracy"), F.round("f1_weighted", 6).alias("f1_weighted"),
+                    F.col("n").cast("long").alias("n"))
+
+
+@register("classification_report", lambda: with_ctes(CONF_CTE(), """
+SELECT CAST(cls AS INTEGER) AS label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pcf"""))
+def q_classification_report(spark, sf_dir):
+    r = E.per_class(E.confusion(_rule_predictions(spark, sf_dir)))
+    return r.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+# -- M10 / A14 on deterministic probability columns ---------------------------------
+def _weights(center, scale, n=5):
+    w = [1.0 / (1.0 + F.abs(F.lit(c) - center) * scale) for c in range(n)]
+    total = w[0] + w[1] + w[2] + w[3] + w[4]
+    return F.array(*[x / total for x in w])
+
+
+def _prob_frame(spark, sf_dir):
+    users = training_frame(activity(spark, sf_dir, "visit"), AS_OF)
+    t = F.col("target_cluster")
+    mlp = _weights(t, 1 + F.col("total_events") % 4)
+    rf = _weights((t + 1) % 5, F.lit(2))
+    seq = F.when(F.col("unique_pages") >= 2, _weights((t + F.col("num_cart_adds")) % 5,
+                                                       1 + F.col("days_since_first_visit") % 7))
+    return users.select("user_pseudo_id", mlp.alias("mlp_prob"), rf.alias("rf_prob"), seq.alias("seq_prob"))
+
+
+def _weights_sql(center, scale):
+    w = [f"(1.0 / (1.0 + abs({c} - ({center})) * ({scale})))" for c in range(5)]
+    total = " + ".join(w)
+    return [f"({x} / ({total}))" for x in w]
+
+
+def _cascade_sql():
+    mlp = _weights_sql("target_cluster", "1 + total_events % 4")
+    rf = _weights_sql("(target_cluster + 1) % 5", "2")
+    sq = _weights_sql("(target_cluster + num_cart_adds) % 5", "1 + days_since_first_visit % 7")
+    return training_ctes() + [("pr", f"""
+SELECT user_pseudo_id, [{', '.join(mlp)}] AS mlp, [{', '.join(rf)}] AS rf,
+       CASE WHEN unique_pages >= 2 THEN [{', '.join(sq)}] END AS sq FROM training"""), ("pr2", """
+SELECT *, list_max(mlp) AS mc, list_position(mlp, list_max(mlp)) - 1 AS ma,
+       list_max(rf) AS rc, list_position(rf, list_max(rf)) - 1 AS ra,
+       list_max(sq) AS sc, list_position(sq, list_max(sq)) - 1 AS sa FROM pr"""), ("casc", f"""
+SELECT user_pseudo_id,
+       CAST(CASE WHEN sq IS NOT NULL AND sc > {K.SEQUENCE_THRESHOLD} THEN sa WHEN mc < {K.RF_THRESHOLD} THEN ra
+                 ELSE ma END AS INTEGER) AS cascade_cluster,
+       round(CASE WHEN sq IS NOT NULL AND sc > {K.SEQUENCE_THRESHOLD} THEN sc WHEN mc < {K.RF_THRESHOLD} THEN rc
+                  ELSE mc END, 6) AS cascade_confidence,
+       CASE WHEN sq IS NOT NULL AND sc > {K.SEQUENCE_THRESHOLD} THEN '{K.SOURCE_SEQUENCE}'
+            WHEN mc < {K.RF_THRESHOLD} THEN '{K.SOURCE_FOREST}' ELSE '{K.SOURCE_DEEP}' END AS cascade_source
+FROM pr2""")]
+
+
+@register("prediction_cascade", lambda: with_ctes(_cascade_sql(), "SELECT * FROM casc"))
+def q_prediction_cascade(spark, sf_dir):
+    c = M.cascade(_prob_frame(spark, sf_dir))
+    return c.select("user_pseudo_id", "cascade_cluster", F.round("cascade_confidence", 6).alias("cascade_confidence"),
+                    "cascade_source")
+
+
+@register("source_breakdown", lambda: with_ctes(_cascade_sql(), """
+SELECT cascade_source AS source, count(*) AS n FROM casc GROUP BY 1"""))
+def q_source_breakdown(spark, sf_dir):
+    return E.source_breakdown(M.cascade(_prob_frame(spark, sf_dir)), "cascade_source")
+
+
+# -- M11 ----------------------------------------------------------------------
+def _gate_sql():
+    parts = []
+    for grain in ("visit", "user"):
+        parts.append(with_ctes(training_ctes(grain), f"""
+SELECT '{grain}' AS grain, count(*) AS n_users, count(DISTINCT target_cluster) AS n_classes,
+       count(*) >= {K.TRAIN_MIN_USERS} AND count(DISTINCT target_cluster) >= 2 AS trains FROM training"""))
+    return "SELECT * FROM (" + parts[0] + ") UNION ALL SELECT * FROM (" + parts[1] + ")"
+
+
+@register("training_gate", _gate_sql)
+def q_training_gate(spark, sf_dir):
+    out = None
+    for grain in ("visit", "user"):
+        u = training_frame(activity(spark, sf_dir, grain), AS_OF)
+        g = u.agg(F.lit(grain).alias("grain"), F.count(F.lit(1)).alias("n_users"),
+                  F.count_distinct("target_cluster").alias("n_classes"))
+        g = g.withColumn("trains", (F.col("n_users") >= K.TRAIN_MIN_USERS) & (F.col("n_classes") >= 2))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+# -- M1 -----------------------------------------------------------------------
+def _onehot_sql():
+    parts = []
+    offset = []
+    for c in K.CONTEXT_COLS:
+        off = " + ".join(offset) if offset else "0"
+        parts.append(f"""SELECT user_pseudo_id, '{c}' AS feature, {c} AS value,
+       CAST({off} + dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS slot FROM training""")
+        offset.append(f"(SELECT count(DISTINCT {c}) FROM training)")
+    return with_ctes(training_ctes(), "\nUNION ALL\n".join(parts))
+
+
+@register("context_onehot", _onehot_sql)
+def q_context_onehot(spark, sf_dir):
+    users = training_frame(activity(spark, sf_dir, "visit"), AS_OF)
+    enc = M.fit_context_encoder(users)
+    sizes = [len(s.labels) for s in enc.stages[:-1]]
+    out = enc.transform(M.context_frame(users))
+    parts = []
+    off = 0
+    for c, n in zip(K.CONTEXT_COLS, sizes):
+        parts.append(out.select("user_pseudo_id", F.lit(c).alias("feature"), F.col(c).alias("value"),
+                                (F.col(f"_idx_{c}") + off).cast("int").alias("slot")))
+        off += n
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+# -- M2 -----------------------------------------------------------------------
+def _scale_sql():
+    cols = []
+    for c in K.NUMERIC_FEATURE_COLS:
+        x = f"ln(1 + greatest(CAST({c} AS DOUBLE), 0.0))" if c in K.LOG_TRANSFORM_COLS else f"CAST({c} AS DOUBLE)"
+        cols.append(f"round(({x} - avg({x}) OVER ()) / coalesce(nullif(stddev_pop({x}) OVER (), 0), 1.0), 6) AS s_{c}")
+    return with_ctes(training_ctes(), "SELECT user_pseudo_id, " + ", ".join(cols) + " FROM training")
+
+
+@register("selective_scale", _scale_sql)
+def q_selective_scale(spark, sf_dir):
+    users = M.with_numeric(training_frame(activity(spark, sf_dir, "visit"), AS_OF))
+    stats = M.fit_scaler(users, [f"_n_{c}" for c in K.NUMERIC_FEATURE_COLS])
+    out = M.apply_scaler(users, stats, "_s")
+    return out.select("user_pseudo_id", *[F.round(f"_n_{c}_s", 6).alias(f"s_{c}") for c in K.NUMERIC_FEATURE_COLS])
+
+
+# -- M5 -----------------------------------------------------------------------
+@register("merge_small_clusters", lambda: with_ctes(training_ctes() + [("mf", """
+SELECT user_pseudo_id, ln(1 + greatest(CAST(total_events AS DOUBLE), 0.0)) AS x0,
+       ln(1 + greatest(total_revenue, 0.0)) AS x1, CAST(least(total_events, 12) AS BIGINT) AS cluster FROM training"""),
+    ("ms", f"""SELECT cluster, count(*) AS size, avg(x0) AS c0, avg(x1) AS c1,
+       count(*) < greatest({K.SMALL_CLUSTER_ABS}, floor((SELECT count(*) FROM mf) * {K.SMALL_CLUSTER_FRACTION}))
+         AS small FROM mf GROUP BY cluster"""),
+    ("near", """SELECT m.user_pseudo_id, arg_min(l.cluster, (sqrt((m.x0 - l.c0) ** 2 + (m.x1 - l.c1) ** 2), l.cluster))
+         AS nc FROM mf m JOIN ms s ON s.cluster = m.cluster AND s.small, ms l WHERE NOT l.small
+       GROUP BY m.user_pseudo_id""")], """
+SELECT m.user_pseudo_id, m.cluster, coalesce(n.nc, m.cluster) AS merged
+FROM mf m LEFT JOIN near n ON n.user_pseudo_id = m.user_pseudo_id"""))
+def q_merge_small_clusters(spark, sf_dir):
+    users = training_frame(activity(spark, sf_dir, "visit"), AS_OF)
+    f = users.select("user_pseudo_id", log_feature("total_events").alias("x0"), log_feature("total_revenue").alias("x1"),
+                     F.least(F.col("total_events"), F.lit(12)).cast("long").alias("cluster"))
+    return M.merge_small_clusters(f, ["x0", "x1"], "cluster").select("user_pseudo_id", "cluster", "merged")
+
+
+# -- M3 / M4 / M6-M9 (model output: rows-only check) ---------------------------
+def _scored_validation(spark, sf_dir):
+    stack = trained_stack(spark, sf_dir)
+    users, seqs = model_inputs(spark, sf_dir)
+    val = users.where("is_validation").join(seqs, "user_pseudo_id", "left")
+    return stack, M.score(val, stack, "seq_tokens")
+
+
+@register("feature_vectors")
+def q_feature_vectors(spark, sf_dir):
+    stack = trained_stack(spark, sf_dir)
+    users, _ = model_inputs(spark, sf_dir)
+    return M.prepare_features(users, stack).select("user_pseudo_id", vector_to_array("features").alias("features"))
+
+
+@register("behavior_clusters")
+def q_behavior_clusters(spark, sf_dir):
+    stack = trained_stack(spark, sf_dir)
+    users, _ = model_inputs(spark, sf_dir)
+    out = M.prepare_features(users, stack)
+    return out.select("user_pseudo_id", F.col("_k_pred").alias("behavior_cluster"), F.lit(stack.k).alias("k"))
+
+
+def _pred_cols(df, prob):
+    return df.select("user_pseudo_id", F.col("target_cluster").alias("label"),
+                     M._argmax(F.col(prob)).alias("prediction"), F.array_max(prob).alias("confidence"))
+
+
+@register("forest_predictions")
+def q_forest_predictions(spark, sf_dir):
+    """M6: forest scores without calibration (the mean over fold forests when
+    the stack is calibrated, as only fold forests are fitted then)."""
+    stack = trained_stack(spark, sf_dir)
+    users, _ = model_inputs(spark, sf_dir)
+    out = M.forest_probability(M.prepare_features(users.where("is_validation"), stack), stack)
+    return _pred_cols(out, "forest_prob")
+
+
+@register("calibrated_forest")
+def q_calibrated_forest(spark, sf_dir):
+    _, scored = _scored_validation(spark, sf_dir)
+    return _pred_cols(scored, "rf_prob")
+
+
+@register("mlp_predictions")
+def q_mlp_predictions(spark, sf_dir):
+    _, scored = _scored_validation(spark, sf_dir)
+    return _pred_cols(scored, "mlp_prob")
+
+
+@register("sequence_predictions")
+def q_sequence_predictions(spark, sf_dir):
+    _, scored = _scored_validation(spark, sf_dir)
+    return _pred_cols(scored.where(F.col("seq_prob").isNotNull()), "seq_prob")
+
+
+# -- M12 ----------------------------------------------------------------------
+@register("cascade_evaluation")
+def q_cascade_evaluation(spark, sf_dir):
+    """Per-model and end-to-end cascade metrics on the validation split.
+
+    The cascade runs on the 500-user evaluation sample with each user's last
+    25 events as the sequence, as at serving time.
+    """
+    stack = trained_stack(spark, sf_dir)
+    users, seqs = model_inputs(spark, sf_dir)
+    val = users.where("is_validation").join(seqs, "user_pseudo_id", "left")
+    scored = M.score(val, stack, "seq_tokens")
+    rows = []
+    for name, prob in (("random_forest", "rf_prob"), ("deep_model", "mlp_prob"), ("lstm", "seq_prob")):
+        p = _pred_cols(scored.where(F.col(prob).isNotNull()), prob)
+        rows.append(E.metrics(E.confusion(p)).select(F.lit(name).alias("model"), "accuracy", "f1_weighted", "n"))
+    sample = E.eval_sample(val)
+    casc = M.cascade(M.score(sample, stack, "eval_tokens"))
+    cp = casc.select(F.col("target_cluster").alias("label"), F.col("cascade_cluster").alias("prediction"))
+    rows.append(E.metrics(E.confusion(cp)).select(F.lit("deployed_pipeline").alias("model"), "accuracy",
+                                                   "f1_weighted", "n"))
+    mb = E.majority_baseline(users, "target_cluster").select(
+        F.lit("majority_baseline").alias("model"), "accuracy", F.lit(None).cast("double").alias("f1_weighted"),
+        F.col("n_validation").alias("n"))
+    out = mb
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
+# -- S7 -----------------------------------------------------------------------
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save the fitted stack to the shared folder, load it, and score the
+    validation users with both; the predictions must agree."""
+    stack = trained_stack(spark, sf_dir)
+    users, seqs = model_inputs(spark, sf_dir)
+    path = scratch_dir(spark, "models")
+    M.save_stack(stack, path)
+    loaded = M.load_stack(spark, path)
+    val = users.where("is_validation").join(seqs, "user_pseudo_id", "left")
+    a = M.cascade(M.score(val, stack, "seq_tokens")).select("user_pseudo_id", F.col("cascade_cluster").alias("before"))
+    b = M.cascade(M.score(val, loaded, "seq_tokens")).select("user_pseudo_id", F.col("cascade_cluster").alias("after"))
+    return a.join(b, "user_pseudo_id").withColumn("equal", F.col("before") == F.col("after"))
+
+
+# -- C3 -----------------------------------------------------------------------
+@register("personalize_all")
+def q_personalize_all(spark, sf_dir):
+    """Every request through routing, the model cascade (live path) or the
+    cold-start resolver (cold path), and page assembly."""
+    stack = trained_stack(spark, sf_dir)
+    _, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    req = default_requests(spark, sf_dir)
+    routed = route(req, True).where(F.col("path") != "cold")
+    preds = M.cascade(M.score(routed, stack, "recent_sequence")).select(
+        "request_id", F.col("cascade_cluster").alias("m_cluster"), F.col("cascade_confidence").alias("m_confidence"),
+        F.col("cascade_source").alias("m_source"))
+    pages = personalize(req, table, defaults, catalog(spark, sf_dir), names=segment_names(users),
+                        predictions=preds)
+    return flatten_document(page_document(pages)).select(*PAGE_FLAT)
+
+
+# -- T2 -----------------------------------------------------------------------
+@register("stream_personalize", lambda: with_ctes(page_ctes(), f"SELECT {PAGE_SQL_COLS} FROM pages"))
+def q_stream_personalize(spark, sf_dir):
+    """Request payloads land as JSON files; a stream scores them per batch."""
+    from tailorspark.streaming.personalize_stream import run_personalize_stream
+
+    _, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    base = scratch_dir(spark, "t2")
+    requests_as_json(requests(spark, sf_dir)).repartition(4).write.json(f"{base}/in")
+    out = run_personalize_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", table, defaults,
+                                 catalog(spark, sf_dir), names=segment_names(users))
+    return out.select(*PAGE_FLAT)
