@@ -138,15 +138,20 @@ def hero_copy(target_category: Column | str) -> Column:
 
 
 # -- X13 ---------------------------------------------------------------------
+STEM_PATTERN = r"^(\.*[^.].*)\.[^.]*$"
+EXT_PATTERN = r"^\.*[^.].*(\.[^.]*)$"
+
+
 def file_stem(path: Column | str) -> Column:
-    """Basename without its last extension (a leading dot is not one)."""
+    """Basename without its last extension; leading dots do not start one."""
     base = F.regexp_extract(_c(path), r"([^/]*)$", 1)
-    return F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
+    stem = F.regexp_extract(base, STEM_PATTERN, 1)
+    return F.when(base.rlike(STEM_PATTERN), stem).otherwise(base)
 
 
 def file_extension(path: Column | str) -> Column:
     base = F.regexp_extract(_c(path), r"([^/]*)$", 1)
-    return F.lower(F.regexp_extract(base, r".(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(base, EXT_PATTERN, 1))
 
 
 def slug_id(path: Column | str) -> Column:

@@ -31,7 +31,7 @@ def register(name: str, sql: Callable[[], str] | None = None):
 def _load_all() -> None:
     # importing the modules fills the registry
     from tailorspark.plans import (  # noqa: F401
-        q_catalog, q_clickstream, q_coldstart, q_models, q_pages, q_users)
+        q_bootstrap, q_catalog, q_clickstream, q_coldstart, q_models, q_pages, q_users)
 
 
 def all_queries() -> dict[str, QueryFn]:
