@@ -146,3 +146,26 @@ def q_log_features(spark, sf_dir):
     return u.select("user_pseudo_id", F.round(log_feature("total_events"), 6).alias("log_events"),
                     F.round(log_feature("unique_pages"), 6).alias("log_pages"),
                     F.round(log_feature("total_revenue"), 6).alias("log_revenue"), "days_since_first_visit")
+
+
+# -- S1 -----------------------------------------------------------------------
+ACT_COLS = ["event_id", "user_pseudo_id", "event_name", "page_type", "purchase_revenue", "event_time", "category",
+            "region", "country", "source", "medium", "Age", "ItemCategory"]
+
+
+@register("activity_load", lambda: with_ctes([("activity", activity_cte("visit"))], "SELECT " + ", ".join(
+    "strftime(event_ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time" if c == "event_time" else c for c in ACT_COLS)
+    + " FROM activity"))
+def q_activity_load(spark, sf_dir):
+    """Activity and transactions written as CSV to the shared folder, then
+    loaded back through the file loader."""
+    from tailorspark.session import scratch_dir
+    from tailorspark.sources.activity import load_activity, split_for_export
+
+    a, t = split_for_export(activity(spark, sf_dir, "visit"))
+    base = scratch_dir(spark, "activity")
+    a.write.option("header", "true").csv(f"{base}/activity")
+    t.write.option("header", "true").csv(f"{base}/transactions")
+    loaded = load_activity(spark, f"{base}/activity", f"{base}/transactions")
+    return loaded.select(*[F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time")
+                           if c == "event_time" else c for c in ACT_COLS])
