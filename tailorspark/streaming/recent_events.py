@@ -44,21 +44,30 @@ OUTPUT_SCHEMA = T.StructType([
 ])
 
 
+DTYPES = {"ts_us": "int64", "event_id": "int64", "event_name": object, "item_name": object, "category": object,
+          "display_category": object}
+
+
+def _frame(columns: dict) -> pd.DataFrame:
+    return pd.DataFrame({f: pd.Series(columns[f], dtype=DTYPES[f]) for f in EVENT_FIELDS})
+
+
 def _buffer_step(n: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             s = state.get
-            buf = pd.DataFrame({f: list(s[i]) for i, f in enumerate(EVENT_FIELDS)})
+            buf = _frame({f: list(s[i]) for i, f in enumerate(EVENT_FIELDS)})
             seen = int(s[len(EVENT_FIELDS)])
         else:
-            buf = pd.DataFrame({f: [] for f in EVENT_FIELDS})
+            buf = _frame({f: [] for f in EVENT_FIELDS})
             seen = 0
         for chunk in chunks:
             seen += len(chunk)
-            buf = pd.concat([buf, chunk[EVENT_FIELDS]], ignore_index=True)
-            buf = buf.sort_values(["ts_us", "event_id"], kind="mergesort").tail(n)
+            buf = pd.concat([buf, _frame({f: chunk[f] for f in EVENT_FIELDS})], ignore_index=True)
+            buf = buf.sort_values(["ts_us", "event_id"]).tail(n)
         buf = buf.reset_index(drop=True)
-        state.update(tuple([buf[f].tolist() for f in EVENT_FIELDS] + [seen]))
+        state.update(tuple([[int(x) for x in buf["ts_us"]], [int(x) for x in buf["event_id"]]]
+                           + [buf[f].tolist() for f in EVENT_FIELDS[2:]] + [seen]))
         k = len(buf)
         yield pd.DataFrame({
             "user_pseudo_id": [key[0]], "n_seen": [seen],
