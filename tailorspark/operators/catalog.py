@@ -70,8 +70,7 @@ def category_dim(catalog_or_counts: DataFrame) -> DataFrame:
     if "cat_index" in cats.columns:
         return cats
     cats = dense_index(cats, ["category"], index_col="cat_index")
-    k = cats.agg(F.count(F.lit(1)).alias("k"))
-    return cats.crossJoin(F.broadcast(k))
+    return cats.withColumn("k", cats.agg(F.count(F.lit(1))).scalar())
 
 
 def rank_catalog(catalog: DataFrame, seed: int = K.SEED) -> DataFrame:
@@ -113,8 +112,7 @@ def attach_pool(df: DataFrame, cat_col: str, sizes: DataFrame, prefix: str, smal
     s = sizes.select(F.col("pool").alias(f"{prefix}_p"), F.col("m").alias(f"{prefix}_pm"))
     s = F.broadcast(s) if small else s
     out = df.join(s, df[cat_col] == F.col(f"{prefix}_p"), "left")
-    all_m = sizes.where(F.col("pool") == ALL_POOL).select(F.col("m").alias(f"{prefix}_am"))
-    out = out.crossJoin(F.broadcast(all_m))
+    out = out.withColumn(f"{prefix}_am", sizes.where(F.col("pool") == ALL_POOL).select("m").scalar())
     return out.withColumn(f"{prefix}_pool", F.coalesce(F.col(f"{prefix}_p"), F.lit(ALL_POOL))).withColumn(
         f"{prefix}_m", F.coalesce(F.col(f"{prefix}_pm"), F.col(f"{prefix}_am"))).drop(
         f"{prefix}_p", f"{prefix}_pm", f"{prefix}_am")
@@ -148,9 +146,9 @@ def product_picks(df: DataFrame, ranked: DataFrame, cat_col: str, n: int = K.PRO
         out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>")))
 
 
-def category_array(cats: DataFrame) -> DataFrame:
-    """One row: the sorted category names (only for a checked-small dimension)."""
-    return cats.agg(F.array_sort(F.collect_list("category")).alias("_cats"))
+def category_array(cats: DataFrame):
+    """Scalar: the sorted category names (only for a checked-small dimension)."""
+    return cats.agg(F.array_sort(F.collect_list("category"))).scalar()
 
 
 def small_categories(cats: DataFrame) -> bool:
@@ -172,7 +170,7 @@ def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_d
         small = small_categories(cats)
     rnd = seeded_int(F.lit("target"), F.col(key), seed=seed)
     if small:
-        out = df.crossJoin(F.broadcast(category_array(cats)))
+        out = df.withColumn("_cats", category_array(cats))
         k = F.size("_cats")
         random_cat = F.when(k > 0, F.element_at("_cats", (rnd % k + 1).cast("int"))).otherwise(
             F.lit(K.UNKNOWN_CATEGORY))
@@ -185,8 +183,8 @@ def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_d
     w = w.select(key, recency_category(F.transform("_v", lambda s: s["_c"]), None, window, base).alias("_best"))
     out = df.join(w, key, "left")
     cats = category_dim(cats)
-    kk = cats.agg(F.count(F.lit(1)).alias("_k"))
-    out = out.crossJoin(F.broadcast(kk)).withColumn("_ri", F.when(F.col("_k") > 0, rnd % F.col("_k")))
+    out = out.withColumn("_k", cats.agg(F.count(F.lit(1))).scalar())
+    out = out.withColumn("_ri", F.when(F.col("_k") > 0, rnd % F.col("_k")))
     out = out.join(cats.select(F.col("cat_index").alias("_ri"), F.col("category").alias("_rc")), "_ri", "left")
     return out.withColumn(out_col, F.coalesce("_best", "_rc", F.lit(K.UNKNOWN_CATEGORY))).drop(
         "_best", "_k", "_ri", "_rc")
@@ -211,15 +209,14 @@ def secondary_category(df: DataFrame, cats: DataFrame, target_col: str = "target
                 .otherwise((i + 1 + h % (k - 1)) % k)).cast("long")
 
     if small:
-        out = df.crossJoin(F.broadcast(category_array(cats)))
+        out = df.withColumn("_cats", category_array(cats))
         k = F.size("_cats")
         pos = F.array_position("_cats", F.col(target_col))
         i = F.when(pos > 0, pos - 1)
         chosen = F.element_at("_cats", (pick(k, i) + 1).cast("int"))
         return out.withColumn(out_col, F.coalesce(chosen, F.col(target_col))).drop("_cats")
     cats = category_dim(cats)
-    kk = cats.agg(F.count(F.lit(1)).alias("_k"))
-    out = df.crossJoin(F.broadcast(kk))
+    out = df.withColumn("_k", cats.agg(F.count(F.lit(1))).scalar())
     ti = cats.select(F.col("category").alias("_tc"), F.col("cat_index").alias("_ti"))
     out = out.join(ti, out[target_col] == ti["_tc"], "left").drop("_tc")
     out = out.withColumn("_si", pick(F.col("_k"), F.col("_ti")))

@@ -37,24 +37,24 @@ def global_defaults(activity: DataFrame, users: DataFrame) -> DataFrame:
         top = (activity.where(F.col("ItemCategory").isNotNull()).groupBy("ItemCategory")
                .agg(F.count(F.lit(1)).alias("n"))
                .agg(F.min_by("ItemCategory", F.struct((-F.col("n")).alias("a"), F.col("ItemCategory").alias("b")))
-                    .alias("t")))
-        top = top.select(F.coalesce("t", F.lit(K.GLOBAL_TOP_CATEGORY)).alias("global_top_category"))
+                    ).scalar())
+        top = F.coalesce(top, F.lit(K.GLOBAL_TOP_CATEGORY))
     else:
-        top = users.sparkSession.range(1).select(F.lit(K.GLOBAL_TOP_CATEGORY).alias("global_top_category"))
-    cl = users.agg(F.coalesce(F.mode("target_cluster", True), F.lit(K.GLOBAL_CLUSTER)).cast("int")
-                   .alias("global_cluster"))
-    return top.crossJoin(cl)
+        top = F.lit(K.GLOBAL_TOP_CATEGORY)
+    cl = users.agg(F.coalesce(F.mode("target_cluster", True), F.lit(K.GLOBAL_CLUSTER)).cast("int")).scalar()
+    return users.sparkSession.range(1).select(top.alias("global_top_category"), cl.alias("global_cluster"))
 
 
-def min_support_col(users: DataFrame, override: int | None = None) -> DataFrame:
-    """One row: override, else max(10, floor(n_users * 0.0005)); 0 counts as unset."""
+def min_support_col(users: DataFrame, override: int | None = None):
+    """Override, else max(10, floor(n_users * 0.0005)) as a scalar; 0 counts as unset."""
     if override:
-        return users.sparkSession.range(1).select(F.lit(int(override)).cast("long").alias("min_support"))
+        return F.lit(int(override)).cast("long")
     return users.agg(F.greatest(F.lit(K.MIN_SUPPORT_FLOOR).cast("long"),
-                                F.floor(F.count(F.lit(1)) * K.MIN_SUPPORT_FRACTION).cast("long")).alias("min_support"))
+                                F.floor(F.count(F.lit(1)) * K.MIN_SUPPORT_FRACTION).cast("long"))).scalar()
 
 
-def coldstart_table(users: DataFrame, activity: DataFrame, min_support: int | None = None) -> DataFrame:
+def coldstart_table(users: DataFrame, activity: DataFrame, min_support: int | None = None,
+                    defaults: DataFrame | None = None) -> DataFrame:
     """A5: one row per supported group of every backoff level.
 
     ``users`` needs the context keys, ``target_cluster``, ``total_revenue``
@@ -91,8 +91,9 @@ def coldstart_table(users: DataFrame, activity: DataFrame, min_support: int | No
                  F.when(is_t, F.struct((-F.col("n")).alias("a"), F.col("top_category").alias("b")))).alias("_top"),
     )
     ms = min_support_col(users, min_support)
-    gd = global_defaults(activity, users).select("global_top_category")
-    agg = agg.crossJoin(F.broadcast(ms)).crossJoin(F.broadcast(gd))
+    gd = (defaults if defaults is not None else global_defaults(activity, users)).select(
+        "global_top_category").scalar()
+    agg = agg.withColumns({"min_support": ms, "global_top_category": gd})
     names = F.lit(None).cast("string")
     for o, lvl in reversed(levels):
         names = F.when(F.col("level_order") == o, F.lit(level_name(lvl))).otherwise(names)
@@ -121,15 +122,15 @@ def _payload(order: int, lvl: tuple[str, ...], prefix: str = ""):
     )
 
 
-def _global_row(table: DataFrame, defaults: DataFrame) -> DataFrame:
-    """One row holding the global payload; constants when the table has none."""
+def _global_payload(table: DataFrame, defaults: DataFrame):
+    """Scalar: the global payload; the defaults' constants when the table has none."""
     g_order = len(K.BACKOFF_LEVELS)
-    g = table.where(F.col("level_order") == g_order).select(_payload(g_order, ()).alias("_g"))
-    fallback = F.struct(
+    g = table.where(F.col("level_order") == g_order).select(_payload(g_order, ())).scalar()
+    fallback = defaults.select(F.struct(
         F.col("global_cluster").alias("cluster"), F.col("global_top_category").alias("top_category"),
         F.lit(0.0).alias("avg_revenue"), F.lit(K.SOURCE_GLOBAL).alias("source"),
-        F.lit("global").alias("match_level"), F.lit(g_order).alias("level_order"))
-    return defaults.join(g, how="left").select(F.coalesce("_g", fallback).alias("_global"))
+        F.lit("global").alias("match_level"), F.lit(g_order).alias("level_order"))).scalar()
+    return F.coalesce(g, fallback)
 
 
 def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFrame,
@@ -148,7 +149,7 @@ def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFram
     req = requests
     for c in keys:
         req = req.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN)))
-    glob = F.broadcast(_global_row(table, defaults))
+    glob = _global_payload(table, defaults)
     if bounded:
         names = []
         for o, lvl in levels:
@@ -160,9 +161,7 @@ def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFram
                 cond = e if cond is None else cond & e
             req = req.join(F.broadcast(t), cond, "left").drop(*[f"_k{o}_{c}" for c in lvl])
             names.append(f"_m{o}")
-        req = req.crossJoin(glob)
-        return req.withColumn("resolved", F.coalesce(*[F.col(n) for n in names], F.col("_global"))).drop(
-            *names, "_global")
+        return req.withColumn("resolved", F.coalesce(*[F.col(n) for n in names], glob)).drop(*names)
     # unbounded: (level, key array) equi-join
     probes = F.array(*[F.struct(F.lit(o).alias("lo"), F.array(*[F.col(c) for c in lvl]).alias("kv"))
                        for o, lvl in levels])
@@ -176,5 +175,5 @@ def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFram
     for b in branches[1:]:
         tkeys = tkeys.unionByName(b)
     best = exploded.join(tkeys, ["lo", "kv"]).groupBy(key).agg(F.min_by("_m", "lo").alias("_best"))
-    out = req.join(best, key, "left").crossJoin(glob)
-    return out.withColumn("resolved", F.coalesce("_best", "_global")).drop("_best", "_global")
+    out = req.join(best, key, "left")
+    return out.withColumn("resolved", F.coalesce(F.col("_best"), glob)).drop("_best")

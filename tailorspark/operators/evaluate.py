@@ -61,14 +61,14 @@ def metrics(conf: DataFrame) -> DataFrame:
     pc = per_class(conf)
     acc = conf.agg((F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
                     / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
-    wf1 = pc.agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
-    return acc.crossJoin(wf1)
+    wf1 = pc.agg(F.sum(F.col("f1") * F.col("support")) / F.sum("support")).scalar()
+    return acc.withColumn("f1_weighted", wf1)
 
 
 def majority_baseline(df: DataFrame, label: str = "label", split: str = "is_validation") -> DataFrame:
     """Most frequent training label (ties: smallest) and its validation accuracy."""
-    maj = df.where(~F.col(split)).agg(F.mode(F.col(label), True).alias("majority_class"))
-    val = df.where(F.col(split)).crossJoin(F.broadcast(maj))
+    maj = df.where(~F.col(split)).agg(F.mode(F.col(label), True)).scalar()
+    val = df.where(F.col(split)).withColumn("majority_class", maj)
     return val.groupBy("majority_class").agg(
         F.avg((F.col(label) == F.col("majority_class")).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n_validation"))

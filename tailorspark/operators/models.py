@@ -97,14 +97,13 @@ def merge_small_clusters(df: DataFrame, feature_cols: list[str], label: str = "c
     n_clusters = sizes.limit(max_clusters + 1).count()
     if n_clusters > max_clusters:
         raise ValueError(f"more than {max_clusters} clusters")
-    total = sizes.agg(F.sum("_size").alias("_n"))
-    sizes = sizes.crossJoin(F.broadcast(total)).withColumn(
-        "_small", F.col("_size") < F.greatest(F.lit(min_abs), F.floor(F.col("_n") * min_frac)))
-    summary = sizes.agg(
+    total = sizes.agg(F.sum("_size")).scalar()
+    sizes = sizes.withColumn("_small", F.col("_size") < F.greatest(F.lit(min_abs), F.floor(total * min_frac)))
+    summary = sizes.agg(F.struct(
         F.collect_list(F.when(~F.col("_small"), F.struct(F.col(label).alias("c"), *[
-            F.col(f"_c_{c}").alias(f"x{i}") for i, c in enumerate(feature_cols)]))).alias("_large"),
-        F.collect_list(F.when(F.col("_small"), F.col(label))).alias("_small_ids"))
-    out = df.crossJoin(F.broadcast(summary))
+            F.col(f"_c_{c}").alias(f"x{i}") for i, c in enumerate(feature_cols)]))).alias("large"),
+        F.collect_list(F.when(F.col("_small"), F.col(label))).alias("small_ids"))).scalar()
+    out = df.withColumns({"_large": summary["large"], "_small_ids": summary["small_ids"]})
 
     def dist(cen):
         return F.sqrt(sum((F.col(c) - cen[f"x{i}"]) ** 2 for i, c in enumerate(feature_cols)))

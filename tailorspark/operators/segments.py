@@ -14,13 +14,10 @@ from tailorspark.operators.features import user_rollup
 
 
 def assign_personas(users: DataFrame) -> DataFrame:
-    """X2 with A6: persona by first matching rule; the median is a one-row
-    aggregate joined by broadcast (exact, interpolated like pandas)."""
-    med = users.agg(F.median(F.col("total_events").cast("double")).alias("_median_events"))
-    out = users.crossJoin(F.broadcast(med))
-    return out.withColumn(
-        "persona", persona("num_purchases", "num_cart_adds", "total_events", "_median_events")
-    ).drop("_median_events")
+    """X2 with A6: persona by first matching rule; the median (exact,
+    interpolated like pandas) is a scalar subquery computed once."""
+    med = users.agg(F.median(F.col("total_events").cast("double"))).scalar()
+    return users.withColumn("persona", persona("num_purchases", "num_cart_adds", "total_events", med))
 
 
 def _persona_index():
@@ -30,14 +27,12 @@ def _persona_index():
 def dense_segments(users_with_persona: DataFrame) -> DataFrame:
     """``target_cluster`` = rank of the persona among the personas present.
 
-    The set of present personas (at most five) is a one-row aggregate that
-    partial-aggregates map-side; no window or dimension join is needed.
+    The set of present personas (at most five) is a scalar subquery whose
+    aggregate is partial map-side; no window or dimension join is needed.
     """
-    present = users_with_persona.agg(
-        F.array_sort(F.collect_set(_persona_index())).alias("_present"))
-    out = users_with_persona.crossJoin(F.broadcast(present))
-    return out.withColumn(
-        "target_cluster", (F.array_position("_present", _persona_index()) - 1).cast("int")).drop("_present")
+    present = users_with_persona.agg(F.array_sort(F.collect_set(_persona_index()))).scalar()
+    return users_with_persona.withColumn(
+        "target_cluster", (F.array_position(present, _persona_index()) - 1).cast("int"))
 
 
 def segment_names(users_with_persona: DataFrame) -> DataFrame:

@@ -133,10 +133,9 @@ def q_recency_scores(spark, sf_dir):
     """W2 with a general base (1.5): scores are summed, ties go to the first seen."""
     req = default_requests(spark, sf_dir)
     cats = category_counts(catalog(spark, sf_dir))
-    arr = cats.agg(F.array_sort(F.collect_list("category")).alias("_cats"))
     if not small_categories(cats):
         raise RuntimeError("recency_scores expects a checked-small category dimension")
-    out = req.crossJoin(F.broadcast(arr))
+    out = req.withColumn("_cats", cats.agg(F.array_sort(F.collect_list("category"))).scalar())
     best = recency_category("recent_display_categories", "_cats", K.RECENCY_WINDOW, RECENCY_BASE_GENERAL)
     valid = F.filter("recent_display_categories",
                      lambda x: x.isNotNull() & (x != "") & F.array_contains(F.col("_cats"), x))

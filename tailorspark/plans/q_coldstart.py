@@ -29,11 +29,12 @@ def coldstart_parts(spark, sf_dir, min_support=None, materialize=False):
     users = training_frame(act, AS_OF)
     if materialize:
         users = users.checkpoint()
-    table = coldstart_table(users, act, min_support)
     defaults = global_defaults(act, users)
     if materialize:
-        table = table.checkpoint()
         defaults = defaults.checkpoint()
+    table = coldstart_table(users, act, min_support, defaults=defaults)
+    if materialize:
+        table = table.checkpoint()
     return act, users, table, defaults
 
 

@@ -67,8 +67,8 @@ def q_days_since(spark, sf_dir):
     training_ctes(), "SELECT user_pseudo_id, persona, median_events FROM training"))
 def q_personas(spark, sf_dir):
     users = _users(spark, sf_dir)
-    med = users.agg(F.median(F.col("total_events").cast("double")).alias("median_events"))
-    return assign_personas(users).crossJoin(F.broadcast(med)).select("user_pseudo_id", "persona", "median_events")
+    med = users.agg(F.median(F.col("total_events").cast("double"))).scalar()
+    return assign_personas(users).select("user_pseudo_id", "persona", med.alias("median_events"))
 
 
 # -- X3 -----------------------------------------------------------------------

@@ -25,6 +25,11 @@ DEFAULT_CONF = {
     "spark.sql.shuffle.partitions": "8",
 }
 
+# Merging scalar subqueries can leave a reference that code generation cannot
+# compile when scalar subqueries nest (one-row statistics computed over frames
+# that already use one); correctness needs the rule off.
+EXCLUDED_RULES = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
+
 
 def get_session(master: str | None = None, app_name: str = "tailorspark", **conf) -> SparkSession:
     """Return the active session, or build a local one with sane defaults."""
@@ -42,8 +47,16 @@ def get_session(master: str | None = None, app_name: str = "tailorspark", **conf
     return spark
 
 
+def ensure_sql_rules(spark: SparkSession) -> None:
+    current = spark.conf.get("spark.sql.optimizer.excludedRules", "") or ""
+    if EXCLUDED_RULES not in current:
+        rules = ",".join(r for r in (current, EXCLUDED_RULES) if r)
+        spark.conf.set("spark.sql.optimizer.excludedRules", rules)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset."""
+    ensure_sql_rules(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="tailorspark-ckpt-")
