@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tailorspark import constants as K
 from tailorspark.functions.columns import numeric_transform
+from tailorspark.session import materialize
 
 NUM = K.NUMERIC_FEATURE_COLS
 
@@ -309,7 +310,7 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     cluster_stats = fit_scaler(with_numeric(train), [f"_n_{c}" for c in NUM])
     cluster_stats = {c[3:]: v for c, v in cluster_stats.items()}
     t0 = time.perf_counter()
-    kin = _cluster_input(train, encoder, cluster_stats).select("_kvec").checkpoint()
+    kin = materialize(_cluster_input(train, encoder, cluster_stats).select("_kvec"))
     kmeans, k, sil = choose_kmeans(kin, "_kvec", n_train, seed)
     kmeans_time = time.perf_counter() - t0
     # feature scaler on the training split with the cluster id appended
@@ -321,7 +322,7 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     stack = Stack(encoder, cluster_stats, kmeans, k, feature_stats, None, num_classes=num_classes, silhouette=sil)
     stack.timings["kmeans"] = kmeans_time
     feats = prepare_features(data, stack).select("user_pseudo_id", "label", "is_validation", "features")
-    feats = feats.checkpoint()
+    feats = materialize(feats)
     tr = feats.where(~F.col("is_validation"))
     t0 = time.perf_counter()
     if calibrate:

@@ -13,6 +13,7 @@ from tailorspark.plans.oracle import (
 from tailorspark.plans.registry import register
 from tailorspark.sources.requests import apply_request_defaults, parse_requests, requests_as_json
 from tailorspark.sources.tables import AS_OF, activity, requests
+from tailorspark.session import materialize as reliable_copy
 
 CS_COLS = ["level", "level_order", "region", "category", "source", "medium", "support", "top_category",
            "cluster", "avg_revenue"]
@@ -28,13 +29,13 @@ def coldstart_parts(spark, sf_dir, min_support=None, materialize=False):
     act = activity(spark, sf_dir, "visit")
     users = training_frame(act, AS_OF)
     if materialize:
-        users = users.checkpoint()
+        users = reliable_copy(users)
     defaults = global_defaults(act, users)
     if materialize:
-        defaults = defaults.checkpoint()
+        defaults = reliable_copy(defaults)
     table = coldstart_table(users, act, min_support, defaults=defaults)
     if materialize:
-        table = table.checkpoint()
+        table = reliable_copy(table)
     return act, users, table, defaults
 
 

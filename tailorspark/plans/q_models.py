@@ -19,6 +19,7 @@ from tailorspark.plans.registry import register
 from tailorspark.session import scratch_dir
 from tailorspark.sources.requests import requests_as_json
 from tailorspark.sources.tables import AS_OF, activity, catalog, requests
+from tailorspark.session import materialize
 
 _CACHE: dict = {}
 
@@ -34,9 +35,9 @@ def model_inputs(spark, sf_dir):
     key = ("inputs", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         act, users = _training(spark, sf_dir)
-        users = users.checkpoint()
-        seqs = event_sequences(act).select("user_pseudo_id", F.col("first_names").alias("seq_tokens"),
-                                           F.col("last_names").alias("eval_tokens")).checkpoint()
+        users = materialize(users)
+        seqs = materialize(event_sequences(act).select(
+            "user_pseudo_id", F.col("first_names").alias("seq_tokens"), F.col("last_names").alias("eval_tokens")))
         _CACHE[key] = (users, seqs)
     return _CACHE[key]
 

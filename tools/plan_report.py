@@ -19,9 +19,25 @@ KEYS = ["Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "
         "BatchEvalPython", "ReusedExchange", "FileScan"]
 
 
+def final_only(plan: str) -> str:
+    """Drop every '== Initial Plan ==' section of an adaptive plan string."""
+    out, skip, depth = [], False, 0
+    for line in plan.splitlines():
+        if "== Initial Plan ==" in line:
+            skip, depth = True, len(line) - len(line.lstrip(" :|+-"))
+            continue
+        if skip:
+            d = len(line) - len(line.lstrip(" :|+-"))
+            if d >= depth:
+                continue
+            skip = False
+        out.append(line)
+    return "\n".join(out)
+
+
 def summarize(plan: str) -> dict:
     counts = collections.Counter()
-    for line in plan.splitlines():
+    for line in final_only(plan).splitlines():
         m = re.match(r"^[\s:+\-*()\d]*([A-Za-z]+)", line)
         if m and m.group(1) in KEYS:
             counts[m.group(1)] += 1
@@ -42,7 +58,7 @@ def main():
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         print(f"== {n}: {summarize(plan)}")
-        for line in plan.splitlines():
+        for line in final_only(plan).splitlines():
             if "FileScan" in line or "Scan parquet" in line:
                 rs = re.search(r"ReadSchema: (struct<[^>]*>)", line)
                 pf = re.search(r"PushedFilters: (\[[^\]]*\])", line)
