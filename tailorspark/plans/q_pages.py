@@ -58,7 +58,7 @@ FROM (SELECT *, CASE WHEN list_contains(string_split(t1, ','), '{K.TAG_NEW_USER}
     ctes.append(("pages", f"""
 SELECT p.request_id, 'cold' AS path, CAST(p.cs_cluster AS INTEGER) AS predicted_segment,
        coalesce(n.persona, concat('segment_', CAST(p.cs_cluster AS VARCHAR))) AS segment_name,
-       p.cs_source AS prediction_source, {K.COLD_CONFIDENCE} AS confidence,
+       p.cs_source AS prediction_source, CAST({K.COLD_CONFIDENCE} AS DOUBLE) AS confidence,
        starts_with(p.cs_source, 'cold_start') AS is_cold_start,
        p.target_category, p.secondary_category, p.page_tags AS assigned_business_tags,
        concat('Explore Our ', p.target_category, ' Collection') AS hero_title,
