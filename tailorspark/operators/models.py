@@ -181,7 +181,7 @@ def fit_sequence_model(seqs: DataFrame, label: str = "label", seed: int = K.SEED
         return None
     return Pipeline(stages=[
         NGram(n=2, inputCol="seq_tokens", outputCol="_bigrams"),
-        _ConcatTokens(),
+        _concat_tokens(),
         CountVectorizer(inputCol="_grams", outputCol="_seq_vec", minDF=1.0),
         LogisticRegression(featuresCol="_seq_vec", labelCol=label, probabilityCol="seq_probability",
                            predictionCol="seq_prediction", rawPredictionCol="_seq_raw", maxIter=100,
@@ -189,13 +189,11 @@ def fit_sequence_model(seqs: DataFrame, label: str = "label", seed: int = K.SEED
     ]).fit(seqs)
 
 
-class _ConcatTokens:
-    """Pipeline stage stand-in built from SQLTransformer (unigrams ++ bigrams)."""
+def _concat_tokens():
+    """Pipeline stage: unigrams ++ bigrams."""
+    from pyspark.ml.feature import SQLTransformer
 
-    def __new__(cls):
-        from pyspark.ml.feature import SQLTransformer
-
-        return SQLTransformer(statement="SELECT *, concat(seq_tokens, _bigrams) AS _grams FROM __THIS__")
+    return SQLTransformer(statement="SELECT *, concat(seq_tokens, _bigrams) AS _grams FROM __THIS__")
 
 
 def fit_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, label: str = "label"):
