@@ -221,12 +221,14 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
     folds = int(min(3, smallest))
     from tailorspark.operators.evaluate import hash_fraction
 
-    tf = train.withColumn("_fold", F.floor(hash_fraction("user_pseudo_id", "fold", seed) * folds).cast("int"))
+    tf = materialize(train.withColumn(
+        "_fold", F.floor(hash_fraction("user_pseudo_id", "fold", seed) * folds).cast("int")))
     out = []
     for f in range(folds):
         forest = fit_forest(tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label)
-        held = forest.transform(tf.where(F.col("_fold") == f)).withColumn(
-            "_p", vector_to_array("rf_probability"))
+        # score the held-out fold once; the per-class regressions iterate over the stored scores
+        held = materialize(forest.transform(tf.where(F.col("_fold") == f)).select(
+            label, vector_to_array("rf_probability").alias("_p")))
         lrs = []
         for c in range(num_classes):
             d = held.select(F.array(F.col("_p")[c]).alias("_x"), (F.col(label) == c).cast("double").alias("_y"))
