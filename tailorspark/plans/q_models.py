@@ -344,7 +344,9 @@ def q_cascade_evaluation(spark, sf_dir):
     stack = trained_stack(spark, sf_dir)
     users, seqs = model_inputs(spark, sf_dir)
     val = users.where("is_validation").join(seqs, "user_pseudo_id", "left")
-    scored = M.score(val, stack, "seq_tokens")
+    # scored once, read by every metric below
+    scored = materialize(M.score(val, stack, "seq_tokens").select(
+        "user_pseudo_id", "target_cluster", "rf_prob", "mlp_prob", "seq_prob"))
     rows = []
     for name, prob in (("random_forest", "rf_prob"), ("deep_model", "mlp_prob"), ("lstm", "seq_prob")):
         p = _pred_cols(scored.where(F.col(prob).isNotNull()), prob)
