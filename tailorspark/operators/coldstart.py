@@ -177,3 +177,39 @@ def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFram
     best = exploded.join(tkeys, ["lo", "kv"]).groupBy(key).agg(F.min_by("_m", "lo").alias("_best"))
     out = req.join(best, key, "left")
     return out.withColumn("resolved", F.coalesce(F.col("_best"), glob)).drop("_best")
+
+
+# -- S7: lookup tables -----------------------------------------------------------
+def save_lookup_tables(path: str, table: DataFrame, defaults: DataFrame, names: DataFrame | None = None) -> None:
+    """Persist the cold-start table, global defaults and segment names as parquet."""
+    table.write.mode("overwrite").parquet(f"{path}/cold_start")
+    defaults.write.mode("overwrite").parquet(f"{path}/defaults")
+    if names is not None:
+        names.write.mode("overwrite").parquet(f"{path}/segment_names")
+
+
+def load_lookup_tables(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reload (table, defaults, names); absent parts fall back like a fresh service:
+    no table -> every request resolves to the global default; no names -> the
+    fixed persona order."""
+    from pyspark.sql.utils import AnalysisException
+
+    def read(sub):
+        try:
+            return spark.read.parquet(f"{path}/{sub}")
+        except AnalysisException:
+            return None
+
+    table = read("cold_start")
+    if table is None:
+        table = spark.createDataFrame([], "level string, level_order int, region string, category string, "
+                                          "source string, medium string, support long, top_category string, "
+                                          "cluster int, avg_revenue double")
+    defaults = read("defaults")
+    if defaults is None:
+        defaults = spark.createDataFrame([(K.GLOBAL_TOP_CATEGORY, K.GLOBAL_CLUSTER)],
+                                         "global_top_category string, global_cluster int")
+    names = read("segment_names")
+    if names is None:
+        names = spark.createDataFrame(list(enumerate(K.PERSONA_ORDER)), "target_cluster int, segment_name string")
+    return table, defaults, names

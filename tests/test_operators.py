@@ -185,3 +185,21 @@ def test_merge_small_clusters(spark):
     out = merge_small_clusters(spark.createDataFrame(rows, "id long, x double, y double, cluster int"), ["x", "y"],
                                "cluster")
     assert out.where("merged != cluster").count() == 0
+
+
+def test_lookup_tables_roundtrip_and_absent(spark, tmp_path):
+    from tailorspark.operators.coldstart import load_lookup_tables, save_lookup_tables
+
+    users = _users(spark)
+    act = spark.createDataFrame([("X",)], "ItemCategory string")
+    table = coldstart_table(users, act, min_support=10)
+    defaults = spark.createDataFrame([("X", 1)], "global_top_category string, global_cluster int")
+    save_lookup_tables(str(tmp_path / "lk"), table, defaults)
+    t2, d2, n2 = load_lookup_tables(spark, str(tmp_path / "lk"))
+    assert t2.count() == table.count() and d2.first().global_cluster == 1
+    assert [r.segment_name for r in n2.orderBy("target_cluster").collect()][0] == "repeat_purchaser"
+    t3, d3, _ = load_lookup_tables(spark, str(tmp_path / "missing"))
+    req = spark.createDataFrame([("r1", "EU", "mobile", "google", "cpc")],
+                                "request_id string, region string, category string, source string, medium string")
+    r = resolve_cold_start(req, t3, d3).first().resolved
+    assert r.source == K.SOURCE_GLOBAL and r.cluster == 0 and r.top_category == K.GLOBAL_TOP_CATEGORY

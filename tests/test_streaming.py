@@ -30,3 +30,4 @@ def test_stream_buffer_equals_batch(spark):
     # more than one trigger really happened
     raw = spark.read.parquet(f"{base}/out")
     assert raw.groupBy("user_pseudo_id").count().agg(F.max("count")).first()[0] > 1
+
