@@ -81,11 +81,10 @@ def rank_catalog(catalog: DataFrame, seed: int = K.SEED) -> DataFrame:
     many tasks.  Output: pool, pos, m, id.
     """
     items = dedupe_catalog(catalog).select("id", "category", seed_col("id", seed=seed).alias("_h"))
-    per_cat = dense_index(items, ["_h", "id"], ["category"], index_col="pos", size_col="m").select(
-        F.col("category").alias("pool"), "pos", "m", "id")
-    whole = dense_index(items, ["_h", "id"], index_col="pos", size_col="m").select(
-        F.lit(ALL_POOL).alias("pool"), "pos", "m", "id")
-    return per_cat.unionByName(whole)
+    # every item once in its category pool and once in the whole-catalog pool,
+    # numbered in one pass
+    both = items.select(F.explode(F.array(F.col("category"), F.lit(ALL_POOL))).alias("pool"), "_h", "id")
+    return dense_index(both, ["_h", "id"], ["pool"], index_col="pos", size_col="m").select("pool", "pos", "m", "id")
 
 
 def pool_sizes(ranked: DataFrame, counts: DataFrame | None = None) -> DataFrame:
