@@ -154,39 +154,64 @@ def small_categories(cats: DataFrame) -> bool:
     return cats.limit(SMALL_CATEGORY_COUNT + 1).count() <= SMALL_CATEGORY_COUNT
 
 
+def _score_of(recent, best, base: float):
+    return F.aggregate(F.transform(recent, lambda x, j: F.when(x == best, F.pow(F.lit(float(base)), j))
+                                   .otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+
+
+def recency_winner(df: DataFrame, cats: DataFrame, display_col: str = "recent_display_categories",
+                   key: str = "request_id", window: int = K.RECENCY_WINDOW, base: float = K.RECENCY_BASE,
+                   small: bool | None = None, out_col: str = "recency") -> DataFrame:
+    """W2 core: struct(category, score) of the recency-weighted winner among
+    the catalog's categories, or null when no entry is valid.
+
+    Small category dimension (checked): one broadcast array, per-row
+    expressions.  Larger: the request arrays are exploded, semi-joined to the
+    categories and regrouped per request (bounded by the array length).
+    """
+    if small is None:
+        small = small_categories(cats)
+    if small:
+        out = df.withColumn("_cats", category_array(cats))
+        arr = F.coalesce(F.col(display_col), F.array().cast("array<string>"))
+        valid = F.filter(arr, lambda x: x.isNotNull() & (x != "") & F.array_contains(F.col("_cats"), x))
+        out = out.withColumn("_rv", F.slice(valid, F.greatest(F.size(valid) - window + 1, F.lit(1)), window))
+    else:
+        ex = df.select(key, F.posexplode(F.coalesce(F.col(display_col), F.array().cast("array<string>")))
+                       .alias("_p", "_c")).where(F.col("_c").isNotNull() & (F.col("_c") != ""))
+        ex = ex.join(cats.select(F.col("category").alias("_c")), "_c", "left_semi")
+        w = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_v"))
+        w = w.select(key, F.transform("_v", lambda s: s["_c"]).alias("_valid"))
+        w = w.select(key, F.slice("_valid", F.greatest(F.size("_valid") - window + 1, F.lit(1)), window).alias("_rv"))
+        out = df.join(w, key, "left")
+    best = recency_category("_rv", None, window, base)
+    out = out.withColumn(out_col, F.when(best.isNotNull(), F.struct(
+        best.alias("category"), _score_of(F.col("_rv"), best, base).alias("score"))))
+    return out.drop("_rv", *(["_cats"] if small else []))
+
+
 def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_display_categories",
                     key: str = "request_id", out_col: str = "target_category",
                     window: int = K.RECENCY_WINDOW, base: float = K.RECENCY_BASE, seed: int = K.SEED,
                     small: bool | None = None) -> DataFrame:
     """Recency-weighted catalog category, else a seeded random category,
-    else 'Unknown' for an empty catalog.
-
-    A small category dimension (checked, <= 1000 names) travels as one
-    broadcast array and everything is a per-row expression.  A larger one is
-    joined: the request arrays are exploded and semi-joined to the categories.
-    """
+    else 'Unknown' for an empty catalog."""
     if small is None:
         small = small_categories(cats)
+    out = recency_winner(df, cats, display_col, key, window, base, small, "_win")
     rnd = seeded_int(F.lit("target"), F.col(key), seed=seed)
     if small:
-        out = df.withColumn("_cats", category_array(cats))
+        out = out.withColumn("_cats", category_array(cats))
         k = F.size("_cats")
         random_cat = F.when(k > 0, F.element_at("_cats", (rnd % k + 1).cast("int"))).otherwise(
             F.lit(K.UNKNOWN_CATEGORY))
-        return out.withColumn(out_col, F.coalesce(recency_category(display_col, "_cats", window, base),
-                                                  random_cat)).drop("_cats")
-    ex = df.select(key, F.posexplode(F.coalesce(F.col(display_col), F.array().cast("array<string>")))
-                   .alias("_p", "_c")).where(F.col("_c").isNotNull() & (F.col("_c") != ""))
-    ex = ex.join(cats.select(F.col("category").alias("_c")), "_c", "left_semi")
-    w = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_v"))
-    w = w.select(key, recency_category(F.transform("_v", lambda s: s["_c"]), None, window, base).alias("_best"))
-    out = df.join(w, key, "left")
-    cats = category_dim(cats)
-    out = out.withColumn("_k", cats.agg(F.count(F.lit(1))).scalar())
+        return out.withColumn(out_col, F.coalesce(F.col("_win")["category"], random_cat)).drop("_cats", "_win")
+    dim = category_dim(cats)
+    out = out.withColumn("_k", dim.agg(F.count(F.lit(1))).scalar())
     out = out.withColumn("_ri", F.when(F.col("_k") > 0, rnd % F.col("_k")))
-    out = out.join(cats.select(F.col("cat_index").alias("_ri"), F.col("category").alias("_rc")), "_ri", "left")
-    return out.withColumn(out_col, F.coalesce("_best", "_rc", F.lit(K.UNKNOWN_CATEGORY))).drop(
-        "_best", "_k", "_ri", "_rc")
+    out = out.join(dim.select(F.col("cat_index").alias("_ri"), F.col("category").alias("_rc")), "_ri", "left")
+    return out.withColumn(out_col, F.coalesce(F.col("_win")["category"], F.col("_rc"),
+                                              F.lit(K.UNKNOWN_CATEGORY))).drop("_win", "_k", "_ri", "_rc")
 
 
 def secondary_category(df: DataFrame, cats: DataFrame, target_col: str = "target_category",

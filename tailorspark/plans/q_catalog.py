@@ -8,7 +8,8 @@ from tailorspark import constants as K
 from tailorspark.functions.columns import array_text, categories_for_target, recency_category
 from tailorspark.operators.catalog import (
     category_counts, category_dim, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
-    products_by_category, rank_catalog, secondary_category, small_categories, target_category)
+    products_by_category, rank_catalog, recency_winner, secondary_category, small_categories,
+    target_category)
 from tailorspark.plans.oracle import (
     catalog_ctes, modules_sql, request_defaults_cte, requests_ctes, seeded_int_sql, target_sql, with_ctes)
 from tailorspark.plans.q_coldstart import default_requests
@@ -133,18 +134,10 @@ def q_recency_scores(spark, sf_dir):
     """W2 with a general base (1.5): scores are summed, ties go to the first seen."""
     req = default_requests(spark, sf_dir)
     cats = category_counts(catalog(spark, sf_dir))
-    if not small_categories(cats):
-        raise RuntimeError("recency_scores expects a checked-small category dimension")
-    out = req.withColumn("_cats", cats.agg(F.array_sort(F.collect_list("category"))).scalar())
-    best = recency_category("recent_display_categories", "_cats", K.RECENCY_WINDOW, RECENCY_BASE_GENERAL)
-    valid = F.filter("recent_display_categories",
-                     lambda x: x.isNotNull() & (x != "") & F.array_contains(F.col("_cats"), x))
-    n = F.size(valid)
-    recent = F.slice(valid, F.greatest(n - K.RECENCY_WINDOW + 1, F.lit(1)), K.RECENCY_WINDOW)
-    score = F.aggregate(F.transform(recent, lambda x, j: F.when(x == best, F.pow(F.lit(RECENCY_BASE_GENERAL), j))
-                                    .otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
-    return out.select("request_id", best.alias("recency_category"),
-                      F.when(best.isNotNull(), F.round(score, 6)).alias("best_score"))
+    out = recency_winner(req, cats, "recent_display_categories", base=RECENCY_BASE_GENERAL,
+                         small=small_categories(cats))
+    return out.select("request_id", F.col("recency.category").alias("recency_category"),
+                      F.round("recency.score", 6).alias("best_score"))
 
 
 # -- W3 + J8 ------------------------------------------------------------------

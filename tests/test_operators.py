@@ -203,3 +203,21 @@ def test_lookup_tables_roundtrip_and_absent(spark, tmp_path):
                                 "request_id string, region string, category string, source string, medium string")
     r = resolve_cold_start(req, t3, d3).first().resolved
     assert r.source == K.SOURCE_GLOBAL and r.cluster == 0 and r.top_category == K.GLOBAL_TOP_CATEGORY
+
+
+def test_recency_winner_paths_agree(spark):
+    from tailorspark.operators.catalog import recency_winner
+
+    cat = _catalog(spark)
+    req = spark.createDataFrame([
+        ("r1", ["Shoes", "Furniture", "Shoes", "Mars", None, ""]),
+        ("r2", ["Furniture"] + ["Shoes"] * 9),
+        ("r3", []), ("r4", None)], "request_id string, c array<string>")
+    for base in (2.0, 1.5, 1.0):
+        a = {r.request_id: r.recency for r in recency_winner(req, category_counts(cat), "c", base=base,
+                                                             small=True).collect()}
+        b = {r.request_id: r.recency for r in recency_winner(req, category_counts(cat), "c", base=base,
+                                                             small=False).collect()}
+        assert a == b
+        assert a["r3"] is None and a["r4"] is None
+    assert a["r1"].category == "Shoes" and a["r1"].score == 2.0
