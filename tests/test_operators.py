@@ -221,3 +221,16 @@ def test_recency_winner_paths_agree(spark):
         assert a == b
         assert a["r3"] is None and a["r4"] is None
     assert a["r1"].category == "Shoes" and a["r1"].score == 2.0
+
+
+def test_metrics_match_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from tailorspark.operators import evaluate as E
+
+    rows = [(i % 5, (i * 7) % 5 if i % 3 else i % 5) for i in range(500)] + [(0, 4)] * 20
+    df = spark.createDataFrame(rows, "label int, prediction int")
+    m = E.metrics(E.confusion(df)).first()
+    d = df.select(F.col("label").cast("double"), F.col("prediction").cast("double"))
+    acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(d)
+    f1 = MulticlassClassificationEvaluator(metricName="weightedFMeasure").evaluate(d)
+    assert abs(m.accuracy - acc) < 1e-12 and abs(m.f1_weighted - f1) < 1e-12
