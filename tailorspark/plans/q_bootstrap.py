@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tailorspark import constants as K
 from tailorspark.functions.columns import file_extension, slug_id
 from tailorspark.operators.bootstrap import bootstrap_catalog, image_listing, unique_ids

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tailorspark import constants as K
-from tailorspark.functions.columns import array_text, categories_for_target, recency_category
+from tailorspark.functions.columns import array_text, categories_for_target
 from tailorspark.operators.catalog import (
-    category_counts, category_dim, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
+    category_counts, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
     products_by_category, rank_catalog, recency_winner, secondary_category, small_categories,
     target_category)
 from tailorspark.plans.oracle import (
