@@ -77,3 +77,25 @@ def test_golden_live_pages(spark, parts):
     rp = pages["repeat_purchaser"]
     assert rp.tags == ["high_value", "frequent_shopper"] and rp.cta.type == "loyalty"
     assert pages["one_time_buyer"].avg_revenue == 65.0
+
+
+def test_stored_mode_page(spark, parts):
+    """A known visitor with >= 3 stored events takes the stored path; its
+    numerics come from the user table and the CTA average from its segment."""
+    table, defaults, catalog = parts
+    users = spark.createDataFrame([
+        ("repeat_purchaser", 12, 5, 150.0, 40, "mobile", "EU", "DE", "google", "cpc", "25-44", 0),
+        ("other", 3, 2, 250.0, 10, "mobile", "EU", "DE", "google", "cpc", "25-44", 0),
+        ("browser", 2, 1, 0.0, 1, "mobile", "EU", "DE", "google", "cpc", "25-44", 3),
+    ], "user_pseudo_id string, total_events long, unique_pages long, total_revenue double, "
+       "days_since_first_visit int, category string, region string, country string, source string, "
+       "medium string, Age string, target_cluster int")
+    req = _requests(spark)
+    preds = req.select("request_id", F.lit(0).alias("m_cluster"), F.lit(0.9).alias("m_confidence"),
+                       F.lit("deep_model").alias("m_source"))
+    pages = {r.request_id: r for r in personalize(req, table, defaults, catalog, users=users,
+                                                  predictions=preds).collect()}
+    rp = pages["repeat_purchaser"]
+    assert rp.path == "stored" and rp.total_events == 12 and rp.tags == ["standard"]
+    assert rp.avg_revenue == 200.0 and rp.cta.type == "standard"   # mean of segment 0 revenues
+    assert pages["browser"].path == "live"                          # stored row has < 3 events
