@@ -43,9 +43,25 @@ def segment_names(users_with_persona: DataFrame) -> DataFrame:
         F.col("target_cluster").cast("int"), F.element_at(names, F.col("_idx") + 1).alias("segment_name"))
 
 
-def training_frame(activity: DataFrame, as_of: str) -> DataFrame:
-    """Rollup + personas + dense ids + high-intent flag + business tags."""
+def rollup_for_segments(activity: DataFrame, as_of: str, materialize_rollup: bool = True) -> DataFrame:
+    """The user rollup, materialised once for the statistics computed over it.
+
+    The median and the set of present personas are scalar subqueries over the
+    rollup; column pruning gives each a different plan, so without a stored
+    copy every one of them would repeat the event shuffle.  The stored copy
+    holds one row per user (far smaller than the events) in the shared folder.
+    """
     users = user_rollup(activity, as_of)
+    if materialize_rollup:
+        from tailorspark.session import materialize
+
+        users = materialize(users)
+    return users
+
+
+def training_frame(activity: DataFrame, as_of: str, materialize_rollup: bool = True) -> DataFrame:
+    """Rollup + personas + dense ids + high-intent flag + business tags."""
+    users = rollup_for_segments(activity, as_of, materialize_rollup)
     users = dense_segments(assign_personas(users))
     return users.withColumn("is_high_intent", high_intent("total_revenue", "total_events")).withColumn(
         "tags", business_tags("total_revenue", "days_since_first_visit", "total_events"))

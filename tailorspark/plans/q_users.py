@@ -8,7 +8,7 @@ from tailorspark import constants as K
 from tailorspark.functions.columns import array_text, days_since, log_feature
 from tailorspark.operators.features import top_category, user_rollup
 from tailorspark.operators.segments import (
-    assign_personas, dense_segments, persona_distribution, segment_profile, training_frame)
+    assign_personas, dense_segments, persona_distribution, rollup_for_segments, segment_profile, training_frame)
 from tailorspark.plans.oracle import activity_cte, training_ctes, users_ctes, with_ctes
 from tailorspark.plans.registry import register
 from tailorspark.sources.tables import AS_OF, activity
@@ -66,7 +66,7 @@ def q_days_since(spark, sf_dir):
 @register("personas", lambda: with_ctes(
     training_ctes(), "SELECT user_pseudo_id, persona, median_events FROM training"))
 def q_personas(spark, sf_dir):
-    users = _users(spark, sf_dir)
+    users = rollup_for_segments(activity(spark, sf_dir, "visit"), AS_OF)
     med = users.agg(F.median(F.col("total_events").cast("double"))).scalar()
     return assign_personas(users).select("user_pseudo_id", "persona", med.alias("median_events"))
 
@@ -99,15 +99,15 @@ def q_business_tags_user(spark, sf_dir):
 @register("persona_distribution", lambda: with_ctes(
     training_ctes(), "SELECT persona, count(*) AS n_users FROM training GROUP BY persona"))
 def q_persona_distribution(spark, sf_dir):
-    return persona_distribution(assign_personas(_users(spark, sf_dir)))
+    return persona_distribution(assign_personas(rollup_for_segments(activity(spark, sf_dir, "visit"), AS_OF)))
 
 
 # -- A15 ----------------------------------------------------------------------
 @register("dense_segments", lambda: with_ctes(
     training_ctes(), "SELECT user_pseudo_id, persona, target_cluster FROM training"))
 def q_dense_segments(spark, sf_dir):
-    return dense_segments(assign_personas(_users(spark, sf_dir))).select(
-        "user_pseudo_id", "persona", "target_cluster")
+    users = rollup_for_segments(activity(spark, sf_dir, "visit"), AS_OF)
+    return dense_segments(assign_personas(users)).select("user_pseudo_id", "persona", "target_cluster")
 
 
 # -- A8 -----------------------------------------------------------------------
