@@ -93,8 +93,9 @@ def merge_small_clusters(df: DataFrame, feature_cols: list[str], label: str = "c
     travel as one array (checked to hold at most ``max_clusters`` entries)
     and each row takes the minimum over it; no row pairs are formed.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"),
-                                  *[F.avg(c).alias(f"_c_{c}") for c in feature_cols])
+    # one row per cluster, stored once: the checks and statistics below reuse it
+    sizes = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"),
+                                              *[F.avg(c).alias(f"_c_{c}") for c in feature_cols]))
     n_clusters = sizes.limit(max_clusters + 1).count()
     if n_clusters > max_clusters:
         raise ValueError(f"more than {max_clusters} clusters")
