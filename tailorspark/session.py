@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.shuffle.partitions": "8",
+    # local runs only: the driver is the executor; a cluster sets its own sizes
+    "spark.driver.memory": "8g",
 }
 
 # Merging scalar subqueries can leave a reference that code generation cannot
