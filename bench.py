@@ -15,11 +15,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
+    "user_features",
     "training_frame",
     "coldstart_table",
     "coldstart_resolve",
     "personalize_cold",
     "recent_signals",
+    "stream_recent_events",
+    "catalog_lookup",
     "event_sequences",
     "product_picks",
     "catalog_bootstrap",
