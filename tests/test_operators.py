@@ -234,3 +234,29 @@ def test_metrics_match_mllib_evaluator(spark):
     acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(d)
     f1 = MulticlassClassificationEvaluator(metricName="weightedFMeasure").evaluate(d)
     assert abs(m.accuracy - acc) < 1e-12 and abs(m.f1_weighted - f1) < 1e-12
+
+
+def test_hot_user_holding_a_third_of_events(spark):
+    from tailorspark.operators.features import event_sequences
+
+    n_hot, n_cold = 3000, 6000
+    ev = spark.range(n_hot + n_cold).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") < n_hot, F.lit("HOT")).otherwise(F.concat(F.lit("u"), F.col("id").cast("string")))
+        .alias("user_pseudo_id"),
+        F.when(F.col("id") % 3 == 0, "purchase").otherwise("view_item").alias("event_name"),
+        F.concat(F.lit("page_"), (F.col("id") % 10).cast("string")).alias("page_type"),
+        F.when(F.col("id") % 3 == 0, F.lit(1.0)).alias("purchase_revenue"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("event_ts"),
+    )
+    roll = {r.user_pseudo_id: r for r in user_rollup(ev, "2024-02-15 00:00:00").where(
+        "user_pseudo_id IN ('HOT', 'u3000')").collect()}
+    assert roll["HOT"].total_events == n_hot and roll["HOT"].unique_pages == 10
+    assert roll["HOT"].num_purchases == n_hot // 3 and roll["HOT"].total_revenue == float(n_hot // 3)
+    seqs = {r.user_pseudo_id: r for r in event_sequences(ev).where("user_pseudo_id = 'HOT'").collect()}
+    hot = seqs["HOT"]
+    assert hot.n_events == n_hot and len(hot.first_names) == 25 and len(hot.last_names) == 25
+    assert hot.first_names[0] == "purchase" and hot.last_names[-1] == ("purchase" if (n_hot - 1) % 3 == 0
+                                                                        else "view_item")
+    last = recent_events(ev.where("user_pseudo_id = 'HOT'")).orderBy("position").collect()
+    assert [r.event_id for r in last] == list(range(n_hot - 20, n_hot))
