@@ -260,3 +260,40 @@ def test_hot_user_holding_a_third_of_events(spark):
                                                                         else "view_item")
     last = recent_events(ev.where("user_pseudo_id = 'HOT'")).orderBy("position").collect()
     assert [r.event_id for r in last] == list(range(n_hot - 20, n_hot))
+
+
+def test_activity_loader_time_fallback(spark, tmp_path):
+    from tailorspark.sources.activity import load_activity
+
+    a = tmp_path / "act.csv"
+    a.write_text("event_id,user_pseudo_id,event_name,page_type,eventTimestamp,timestamp,category,region,country,"
+                 "source,medium,Age,ItemCategory,transaction_id\n"
+                 "1,u1,purchase,p,2024-02-10 00:00:00,,mobile,EU,DE,google,cpc,18-24,X,T1\n"
+                 "2,u2,view_item,p,,2024-02-01 12:00:00,desktop,EU,DE,,,18-24,,\n"
+                 "3,u3,view_item,p,not a time,,desktop,EU,DE,,,18-24,,\n")
+    t = tmp_path / "tr.csv"
+    t.write_text("transaction_id,purchase_revenue\nT1,12.5\n")
+    df = load_activity(spark, str(a), str(t))
+    users = {r.user_pseudo_id: r for r in user_rollup(df, "2024-02-15 00:00:00").collect()}
+    assert users["u1"].days_since_first_visit == 5 and users["u1"].total_revenue == 12.5
+    assert users["u2"].days_since_first_visit == 13
+    assert users["u3"].days_since_first_visit == 365 and users["u3"].source == "unknown"
+
+
+def test_normalize_malformed_responses(spark):
+    from tailorspark.operators.pages import normalize_responses
+
+    logs = spark.createDataFrame([
+        ("a", '{"product_modules": "nope"}'),
+        ("b", 'not json'),
+        ("c", '{"hero_section": {"hero_section": {"title": "T", "subtitle": "S", "cta": "C"}, '
+              '"product_modules": [{"title": "M", "products": ["1"]}], '
+              '"personalization_details": {"predicted_segment": 2, "assigned_business_tags": ["x"]}}}'),
+    ], "request_id string, response string")
+    out = {r.request_id: r for r in normalize_responses(logs).collect()}
+    for k in ("a", "b"):
+        assert out[k].hero_section.title == "Welcome to UltraPersonal." and out[k].product_modules == []
+        assert out[k].personalization_details.predicted_segment == 0
+        assert out[k].personalization_details.assigned_business_tags == ["fallback_mode"]
+    assert out["c"].hero_section.title == "T" and out["c"].product_modules[0].title == "M"
+    assert out["c"].personalization_details.predicted_segment == 2
