@@ -22,14 +22,14 @@ CS_COLS = ["level", "level_order", "region", "category", "source", "medium", "su
 def coldstart_parts(spark, sf_dir, min_support=None, materialize=False):
     """Activity, training users, cold-start table and global defaults.
 
-    ``materialize`` writes the fitted artefacts (users frame and the small
+    ``materialize`` writes the fitted artefacts (global defaults and the small
     lookup table) with a reliable checkpoint to the shared folder, cutting
     their lineage for the request-side plans that join them many times.
     """
     act = activity(spark, sf_dir, "visit")
+    # the rollup under ``users`` is already stored by training_frame; users
+    # itself is a cheap projection over it
     users = training_frame(act, AS_OF)
-    if materialize:
-        users = reliable_copy(users)
     defaults = global_defaults(act, users)
     if materialize:
         defaults = reliable_copy(defaults)
