@@ -56,11 +56,19 @@ def ensure_sql_rules(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.optimizer.excludedRules", rules)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One JVM does all the work, so a folder of this machine is shared by all of it."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset."""
     ensure_sql_rules(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tailorspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:
