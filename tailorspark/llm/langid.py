@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 #: Bound of the fitted sample: labelled rows per language, and letters taken from each.
@@ -134,7 +135,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             yield b
 
     src = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = src.schema
-    for name, kind in zip(added, ("string", "double", "double", "boolean")):
-        schema = schema.add(name, kind)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*src.schema.fields, *map(T.StructField, added, kinds)])
     return src.mapInPandas(run, schema)
