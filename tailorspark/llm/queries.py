@@ -5,14 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailorspark.llm import decontaminate, jaccard_join, langid
+from tailorspark.llm import bpe, decontaminate, jaccard_join, langid, secret_scan, token_files
 from tailorspark.llm.store import id_bucket
+from tailorspark.session import scratch_dir
+
+#: Id that ends a document in the token files.
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizers():
+    import public_tokenizers
+    return public_tokenizers
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizers().path("byte_bpe_50k.json"), END_ID)
+    place = token_files.read_metadata(spark, path).select("part", "row", "doc_id", "start")
+    sums = token_files.checksums(token_files.read_tokens(spark, path))
+    return place.join(sums, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def bpe_digests(coded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tokenizers()
+    return bpe_digests(bpe.round_trip(_table(spark, sf_dir, "documents"), t.path("byte_bpe_50k.tiktoken"), t.PATTERN))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 3) == 1
@@ -24,6 +53,22 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = of(*secret_scan.BASE)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
@@ -31,8 +76,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
