@@ -66,9 +66,12 @@ def fit_dictionaries(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -
     h = F.xxhash64(F.col("doc_id").cast("string"))
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # choose ids first: this pass reads two narrow columns, the texts of the chosen few come after
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = labelled.select("doc_id", "lang", h.alias("h")).withColumn("n", F.row_number().over(first)) \
-        .where(F.col("n") <= rows).select("doc_id", "h").distinct().toPandas()
+    chosen = labelled.select("doc_id", "lang", h.alias("h"))
+    # first within slices of a language, so that one language of all rows has many tasks, then over the slices
+    for slices in (64, 1):
+        order = Window.partitionBy("lang", F.pmod("h", F.lit(slices))).orderBy("h", "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    chosen = chosen.select("doc_id", "h").distinct().toPandas()
     if chosen.empty:
         return {}
     ids = spark.createDataFrame([(int(i), int(x)) for i, x in zip(chosen["doc_id"], chosen["h"]) if not pd.isna(i)],
