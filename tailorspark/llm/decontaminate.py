@@ -119,14 +119,19 @@ def _windows(df: DataFrame, keep: list[str], widths: list[int]) -> DataFrame:
     return out
 
 
+def text_key(text: Column) -> Column:
+    """Identifies a text (null as empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items, contaminated)`` for every row of ``docs``.
+    """``(doc_id, text_md5, n_words, n_hit, n_items, items, contaminated)`` for every row of ``docs``.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text.  ``items``: sorted item
     ids as strings.  Contaminated: any hit, and hits at least a twentieth of the words.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.unhex(F.md5("text")))
+    docs = docs.withColumn("key", text_key(F.col("text")))
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
     lengths = items.select(F.size(_split(_lowered(F.coalesce("text", F.lit(""))), _SEPARATORS)).alias("n"))
     # at most window - 1 distinct values
@@ -162,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     out = counted.join(found, "key", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"),
+    return out.select("doc_id", F.col("key").alias("text_md5"), "n_words", hit.alias("n_hit"),
                       F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
                       F.coalesce("items", none).alias("items"),
                       ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailorspark.llm import bpe, decontaminate, jaccard_join, langid, secret_scan, token_files
+from tailorspark.llm import (
+    bpe, decontaminate, jaccard_join, langid, quality_rank, quality_rules, secret_scan, token_files)
 from tailorspark.llm.store import id_bucket
 from tailorspark.session import scratch_dir
 
@@ -53,6 +54,21 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       quality_rules.rejects(F.col("failed"), "v1").alias("base_failed"),
+                       (~quality_rules.rejects(F.col("failed"), quality_rules.CURRENT)).alias("kept"), "failed")
+
+
+def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = id_bucket(F.col("doc_id"), 4) == 2
+    found = quality_rank.score(docs, quality_rank.fit(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score",
+                        (F.col("score") >= quality_rank.CUT).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,6 +96,8 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_rank": op8_quality_rank,
     "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
