@@ -9,12 +9,12 @@
 A stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns of
 ``documents``; columns beyond those pass through.  Rows that repeat a kept
 document (same doc_id) are one document and stay once; rows with a null doc_id
-are documents of their own, and of those with equal n-gram sets one stays.
+are documents of their own, and of those with equal texts one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailorspark.llm import bpe, decontaminate, jaccard_join, langid, secret_scan
@@ -39,9 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(docs, benchmark)
-    # by (doc_id, null-safe): an unnamed document goes with its own verdict only if all unnamed ones share it
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select("text_md5").distinct()
+    return docs.join(bad, decontaminate.text_key(docs["text"]) == bad["text_md5"], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
