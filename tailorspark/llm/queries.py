@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailorspark.llm import (
-    bpe, decontaminate, jaccard_join, langid, quality_rank, quality_rules, secret_scan, token_files)
+    bpe, decontaminate, jaccard_join, langid, license_scan, quality_rank, quality_rules, secret_scan, token_files)
+from tailorspark.llm.sql import ORACLES  # noqa: F401  (read by the entry module)
 from tailorspark.llm.store import id_bucket
 from tailorspark.session import scratch_dir
 
@@ -61,6 +62,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (~quality_rules.rejects(F.col("failed"), quality_rules.CURRENT)).alias("kept"), "failed")
 
 
+def files_view(docs: DataFrame) -> DataFrame:
+    """Documents as files of repositories: a source is a repository, its directories are
+    ``<lang>/<hundreds of doc_id>``, and a document that begins with a licence cue in its
+    first line stands for a licence file of its directory.
+    """
+    name = F.when(F.split("text", "\n")[0].rlike(license_scan.CUE), F.concat(F.lit("LICENSE-"), F.col("doc_id"))) \
+        .otherwise(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("any")), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return docs.select("doc_id", F.col("source").alias("repo"), path.alias("path"), "text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(files_view(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "path", "own_license", "own_cosine", "inherited_license", "inherited_from", "license")
+
+
 def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = id_bucket(F.col("doc_id"), 4) == 2
@@ -97,10 +114,9 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rank": op8_quality_rank,
     "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-#: DuckDB statements of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
