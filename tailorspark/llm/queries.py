@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailorspark.llm import (
-    bpe, decontaminate, jaccard_join, langid, license_scan, quality_rank, quality_rules, secret_scan, token_files)
+    bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, quality_rank, quality_rules, secret_scan,
+    token_files)
 from tailorspark.llm.sql import ORACLES  # noqa: F401  (read by the entry module)
 from tailorspark.llm.store import id_bucket
 from tailorspark.session import scratch_dir
@@ -24,6 +25,10 @@ def _tokenizers():
     return public_tokenizers
 
 
+def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizers().path("byte_bpe_50k.json"), END_ID)
@@ -109,6 +114,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op1_html_wrappers": op1_html_wrappers,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
