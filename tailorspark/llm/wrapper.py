@@ -195,30 +195,30 @@ def _like(nodes: list, group: list) -> list | None:
     return None
 
 
-def _resolve(a: list, b: list) -> tuple[list, list] | None:
-    """Make a mismatch match by repetition: a group on one side, its repetition on the other."""
-    for x, y, swap in ((a, b, False), (b, a, True)):
-        for node in x:
-            if node[0][0] == "r" and len(node[2]) > 1:
-                found = _like(y, node[2])
-                if found:
-                    return (found, x) if swap else (x, found)
-    return None
+def _alike(a: list, b: list) -> tuple[list, list]:
+    """Both, with a group that stands once on one side made a repetition if the other side repeats it."""
+    for _ in range(2):
+        known = {n[0] for n in b}
+        for node in a:
+            if node[0][0] == "r" and len(node[2]) > 1 and node[0] not in known:
+                b = _like(b, node[2]) or b
+        a, b = b, a
+    return a, b
 
 
 def merge(a: list, b: list, pages: bool = True) -> list:
     """The wrapper that covers both."""
-    ka, kb = [n[0] for n in a], [n[0] for n in b]
-    if ka == kb:
+    if [n[0] for n in a] == [n[0] for n in b]:
         return [_joined(x, y, pages) for x, y in zip(a, b)]
+    a, b = _alike(a, b)
     out = []
-    for kind, i1, i2, j1, j2 in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
+    for kind, i1, i2, j1, j2 in difflib.SequenceMatcher(
+            None, [n[0] for n in a], [n[0] for n in b], autojunk=False).get_opcodes():
         if kind == "equal":
             out += [_joined(x, y, pages) for x, y in zip(a[i1:i2], b[j1:j2])]
         else:
-            made = _resolve(a[i1:i2], b[j1:j2]) if kind == "replace" else None
             # what only one of them has is optional from now on: its count lags behind
-            out += merge(*made, pages) if made else a[i1:i2] + b[j1:j2]
+            out += a[i1:i2] + b[j1:j2]
     return out
 
 
@@ -276,7 +276,7 @@ def label(nodes: list) -> dict[int, bool]:
     pages = max((n[1] for n in nodes), default=0)
 
     def varies(node):
-        return pages < 3 or not node[2][2] or node[1] < 3
+        return pages < 3 or not node[2][2] or 10 * node[1] < 9 * pages
 
     rich = [t for t in usable if 2 * t[0][2][1] <= t[0][2][0]]
     eligible = [t for t in rich if varies(t[0])] or rich
@@ -308,9 +308,12 @@ def _choose(wrapper: list, page: list, labels: dict[int, bool], own, chosen: lis
             elif n[0][0] == "r":
                 alone(n[2])
 
-    ka, kb = [n[0] for n in wrapper], [n[0] for n in page]
-    same = [("equal", 0, len(ka), 0, len(kb))] if ka == kb else None
-    for kind, i1, i2, j1, j2 in same or difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
+    if [n[0] for n in wrapper] == [n[0] for n in page]:
+        codes = [("equal", 0, len(page), 0, len(page))]
+    else:
+        wrapper, page = _alike(wrapper, page)
+        codes = difflib.SequenceMatcher(None, [n[0] for n in wrapper], [n[0] for n in page], autojunk=False).get_opcodes()
+    for kind, i1, i2, j1, j2 in codes:
         if kind == "equal":
             for w, p in zip(wrapper[i1:i2], page[j1:j2]):
                 if w[0][0] == "x" and labels[id(w)]:
@@ -318,11 +321,7 @@ def _choose(wrapper: list, page: list, labels: dict[int, bool], own, chosen: lis
                 elif w[0][0] == "r":
                     _choose(w[2], p[2], labels, own, chosen)
         else:
-            made = _resolve(wrapper[i1:i2], page[j1:j2]) if kind == "replace" else None
-            if made and any(x is not y for x, y in zip(made[1], page[j1:j2])) and len(made[0]) == i2 - i1:
-                _choose(made[0], made[1], labels, own, chosen)
-            else:
-                alone(page[j1:j2])  # the wrapper does not know it: judge it by the page itself
+            alone(page[j1:j2])  # the wrapper does not know it: judge it by the page itself
 
 
 def article(parsed: list[tuple[str, str, int]], wrapper: list, labels: dict[int, bool]) -> str:
