@@ -1,15 +1,19 @@
 """Catalog rows from an image listing.
 
-Unique ids follow the sequential rule "take the slug; if taken, the first
-free slug-2, slug-3, ... in filename order".  Collisions can only happen
-inside a *family*: slugs equal after stripping trailing ``-<digits>`` groups.
-
-* a family whose slugs are all distinct keeps them unchanged;
-* a family that is one slug repeated gets slug, slug-2, slug-3, ... by its
-  dense position (``dense_index``, so a huge family is spread over tasks);
-* only a family that mixes a repeated slug with other slugs (e.g. b.jpg,
-  b.png, b_2.png -> B, B-2, B-2-2) is resolved sequentially, one family per
-  ``applyInPandas`` group.
+Ids follow the rule "the slug; if taken, the first free slug-2, slug-3, ...",
+in filename order.  Only two kinds of names meet:
+
+* items of one slug, which after the first take suffixes in turn;
+* a literal slug ``X-j`` and the j-th suffix of a slug ``X`` that gives out suffixes.
+
+Suffixes of X are given out in ascending order, so its m-th suffixed item gets
+``m + 1`` plus the number of literals passed on the way.  A literal j is passed
+(keeps its name) if it comes before the item that would take j, else it is
+displaced and takes suffixes of its own name.  So only literals that X's
+suffixes reach are looked at, together with the few items that could take their
+number; they are settled from short names to long ones (a literal may be
+displaced before it gives out suffixes itself).  All other ids are arithmetic on
+an item's position among its slug's items.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from tailorspark import constants as K
 from tailorspark.functions.columns import file_extension, slug_id
 from tailorspark.operators.partitioning import dense_index
+from tailorspark.session import stored
 
 
 def image_listing(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -28,38 +33,75 @@ def image_listing(files: DataFrame, path_col: str = "path") -> DataFrame:
     name = F.regexp_extract(F.col(path_col), r"([^/]*)$", 1)
     out = files.select(name.alias("filename"))
     out = out.where(file_extension("filename").isin(*K.IMAGE_EXTENSIONS))
-    return out.withColumn("base_id", slug_id("filename")).withColumn(
-        "family", F.regexp_replace("base_id", r"(-[0-9]+)+$", ""))
+    return out.withColumn("base_id", slug_id("filename"))
+
+
+#: A slug that could be the j-th suffix of another: its stem and j (2 or more, as generated, at most 18 digits).
+_SUFFIXED = r"^(.*)-([2-9]|[1-9][0-9]{1,17})$"
+
 
+def _passed_literals(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which of a stem's literal numbers keep their names.
 
-def _sequential_ids(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("filename", kind="mergesort")
-    used: set[str] = set()
-    ids = []
-    for base in pdf["base_id"]:
-        item = base
-        suffix = 2
-        while item in used:
-            item = f"{base}-{suffix}"
-            suffix += 1
-        used.add(item)
-        ids.append(item)
-    return pd.DataFrame({"filename": pdf["filename"].to_numpy(), "id": ids})
+    ``rows``: literals (j, name of their first item) and, for every m that may be
+    asked for, the name of the stem's m-th suffixed item (null j).
+    """
+    taker = dict(zip(rows.loc[rows["j"].isna(), "m"], rows.loc[rows["j"].isna(), "name"]))
+    literals = rows[rows["j"].notna()].sort_values("j")
+    passed = 0
+    out = []
+    for j, name, slug in zip(literals["j"], literals["name"], literals["slug"]):
+        rival = taker.get(j - 1 - passed)  # the item that comes to number j; none if there are too few
+        keeps = rival is None or name < rival
+        out.append((slug, int(j), keeps))
+        passed += keeps
+    return pd.DataFrame(out, columns=["slug", "j", "keeps"])
 
 
 def unique_ids(listing: DataFrame) -> DataFrame:
     """Filename -> unique id (see module docstring)."""
-    stats = listing.groupBy("family").agg(F.count(F.lit(1)).alias("_n"),
-                                          F.count_distinct("base_id").alias("_d"))
-    tagged = listing.join(stats, "family")
-    simple = tagged.where(F.col("_n") == F.col("_d")).select("filename", F.col("base_id").alias("id"))
-    single = tagged.where((F.col("_d") == 1) & (F.col("_n") > 1)).select("filename", "base_id", "family")
-    single = dense_index(single, ["filename"], ["family"], index_col="_i").select(
-        "filename", F.when(F.col("_i") == 0, F.col("base_id")).otherwise(
-            F.concat(F.col("base_id"), F.lit("-"), (F.col("_i") + 1).cast("string"))).alias("id"))
-    mixed = tagged.where((F.col("_d") > 1) & (F.col("_n") > F.col("_d"))).select("family", "filename", "base_id")
-    mixed = mixed.groupBy("family").applyInPandas(_sequential_ids, "filename string, id string")
-    return simple.unionByName(single).unionByName(mixed)
+    spark = listing.sparkSession
+    items = stored(dense_index(listing.select("filename", "base_id"), ["filename"], ["base_id"]), "items")
+    slugs = items.groupBy("base_id").agg(F.count(F.lit(1)).alias("n"), F.min("filename").alias("first"))
+    slugs = slugs.withColumns({"stem": F.regexp_extract("base_id", _SUFFIXED, 1),
+                               "j": F.nullif(F.regexp_extract("base_id", _SUFFIXED, 2), F.lit("")).cast("long")})
+    slugs = stored(slugs, "slugs")
+    stems = slugs.select(F.col("base_id").alias("stem"), F.col("n").alias("stem_n"))
+    # literals in the order of their stems' lengths: a stem is settled before what hangs on it
+    literals = stored(slugs.where("j is not null").join(stems, "stem").withColumn(
+        "depth", F.size(F.split("stem", "-"))).select("stem", "j", F.col("base_id").alias("slug"), "first", "stem_n",
+                                                      "depth"), "literals")
+    settled = spark.createDataFrame([], "slug string, j long, keeps boolean, stem string")
+    for depth in sorted(r["depth"] for r in literals.select("depth").distinct().collect()):
+        displaced = settled.where("not keeps").select(F.col("slug").alias("stem"), F.lit(1).alias("d"))
+        here = literals.where(F.col("depth") == depth).join(displaced, "stem", "left")
+        # items before the first suffixed one: the owner of the plain name, unless it is displaced
+        here = here.withColumn("plain", F.when(F.col("d").isNull(), 1).otherwise(0))
+        here = here.withColumn("suffixed", F.col("stem_n") - F.col("plain")).where("suffixed > 0")
+        here = dense_index(here, ["j"], ["stem"], index_col="below").where("j - 1 - below <= suffixed")
+        here = stored(here, "reached")
+        asked = here.select("stem", "plain", F.explode(F.sequence(
+            F.greatest(F.lit(1), F.col("j") - 1 - F.col("below")), F.greatest(F.lit(1), F.col("j") - 1))).alias("m"))
+        asked = asked.distinct().withColumn("pos", F.col("m") - 1 + F.col("plain"))
+        named = items.select(F.col("base_id").alias("stem"), "pos", F.col("filename").alias("name"))
+        takers = asked.join(named, ["stem", "pos"]).select("stem", "m", "name")
+        none = F.lit(None)
+        both = here.select("stem", "j", none.cast("long").alias("m"), F.col("first").alias("name"), "slug").union(
+            takers.select("stem", none.cast("long"), "m", "name", none.cast("string")))
+        found = both.groupBy("stem").applyInPandas(
+            lambda rows: _passed_literals(rows).assign(stem=rows["stem"].iloc[0])[["slug", "j", "keeps", "stem"]],
+            "slug string, j long, keeps boolean, stem string")
+        settled = settled.union(stored(found, "settled"))
+    displaced = settled.where("not keeps").select(F.col("slug").alias("base_id"), F.lit(0).alias("p"))
+    # the i-th passed literal is behind every suffixed item from number j - i on
+    passed = settled.where("keeps").groupBy(F.col("stem").alias("base_id")).agg(F.array_sort(F.collect_list("j")).alias("js"))
+    passed = passed.select("base_id", F.transform("js", lambda j, i: j - 1 - i).alias("behind"))
+    out = items.join(displaced, "base_id", "left").join(passed, "base_id", "left")
+    m = F.col("pos") + 1 - F.coalesce("p", F.lit(1))
+    skipped = F.coalesce(F.size(F.filter("behind", lambda x: x <= F.col("m"))), F.lit(0))
+    out = out.withColumn("m", m)
+    return out.select("filename", F.when(F.col("m") < 1, F.col("base_id")).otherwise(F.concat(
+        "base_id", F.lit("-"), (F.col("m") + 1 + skipped).cast("string"))).alias("id"))
 
 
 def bootstrap_catalog(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -4,10 +4,12 @@
   row bound; above the bound the plain DataFrame is returned and Spark (AQE)
   plans a shuffle join instead.
 * ``dense_index``: ``row_number() - 1`` within groups, computed without
-  putting a group into one task.  A global range partitioning (sampled, so a
-  group holding a third of the rows is spread over many tasks) is followed by
-  per-partition counts and a prefix sum over partitions, which is small
-  (one row per partition and group).
+  putting a group into one task.  Rows get a bucket from their own values: the
+  number of boundary keys that do not exceed theirs, the boundaries being the
+  keys with the smallest hashes (a sample that depends on the data alone).
+  Counts per bucket and a prefix sum over buckets complete the numbers inside
+  each bucket.  Whatever the planner shares or computes twice, both sides see
+  the same buckets.
 """
 
 from __future__ import annotations
@@ -25,38 +27,35 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def dense_index(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
-                index_col: str = "pos", size_col: str | None = None,
-                num_partitions: int | None = None) -> DataFrame:
+                index_col: str = "pos", size_col: str | None = None, buckets: int = 64) -> DataFrame:
     """Add a 0-based dense ``index_col`` (and optionally the group size).
 
-    Rows are numbered within ``group_cols`` in ascending ``order_cols``, which
-    must make the order total (end with a unique column).  Equivalent to
-    ``row_number() over (partition by group order by order) - 1``.
+    Rows are numbered within ``group_cols`` in ascending ``order_cols`` (nulls
+    first), which must make the order total (end with a unique column; equal
+    rows are interchangeable).  Equivalent to
+    ``row_number() over (partition by group order by order) - 1``; a null group
+    is a group too.
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # an explicit partition count is never coalesced by AQE, so every reader
-    # of this exchange sees the same partition ids
-    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in keys]) \
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys])
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_loc", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    stats = ranged.groupBy("_pid", *group_cols).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid")
-    stats = stats.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    key = F.struct(*[F.col(c) for c in keys])
+    # a fixed number of keys, whatever the size of the input
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(buckets - 1)
+    bounds = sample.agg(F.array_sort(F.collect_list("k")).alias("b")).scalar()
+    placed = df.withColumn("_bounds", bounds)
+    placed = placed.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    inside = Window.partitionBy(*group_cols, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    rows = placed.withColumn("_inside", F.row_number().over(inside) - 1)
+    upto = Window.partitionBy(*group_cols).orderBy("_bucket")
+    counts = placed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     if size_col:
-        stats = stats.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*group_cols)))
-    # null-safe on the group keys: a null group is a group too
+        counts = counts.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*group_cols)))
     renamed = {c: f"_g{i}" for i, c in enumerate(group_cols)}
-    stats = stats.select("_pid", "_n", "_first", "_off", *([size_col] if size_col else []),
-                         *[F.col(c).alias(a) for c, a in renamed.items()])
-    cond = ranged["_pid"] == stats["_pid"]
+    counts = counts.select(F.col("_bucket").alias("_b"), "_before", *([size_col] if size_col else []),
+                           *[F.col(c).alias(a) for c, a in renamed.items()])
+    cond = F.col("_bucket") == F.col("_b")
     for c, a in renamed.items():
-        cond = cond & ranged[c].eqNullSafe(stats[a])
-    out = ranged.join(stats, cond, "inner").drop(stats["_pid"])
-    out = out.withColumn(index_col, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("long"))
-    return out.drop("_pid", "_loc", "_n", "_first", "_off", *renamed.values())
+        cond = cond & rows[c].eqNullSafe(F.col(a))
+    out = rows.join(counts, cond).withColumn(index_col, (F.col("_before") + F.col("_inside")).cast("long"))
+    return out.drop("_bucket", "_inside", "_b", "_before", *renamed.values())

@@ -100,3 +100,10 @@ def materialize(df):
     finally:
         df.unpersist()
     return out
+
+
+def stored(df, name: str):
+    """Write ``df`` once as Parquet in the shared folder and read it back (lineage is cut)."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
