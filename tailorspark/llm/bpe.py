@@ -11,7 +11,8 @@ pre-tokens ("words") once each:
 2. The words are shuffled by hash into buckets whose number follows the corpus
    size; a bucket encodes each of its distinct words once and answers every
    block that asked.
-3. Back at the blocks, ids are put together by position.
+3. Back at the blocks, ids are put together by position.  Blocks are stored
+   bucketed by block, so only the words and their ids are ever shuffled.
 
 Decoding joins the ids in use with the vocabulary's token-byte table and puts
 the bytes together by position in the same way.
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailorspark.llm.pretoken import Vocabulary
-from tailorspark.llm.store import stored
+from tailorspark.llm.store import stored, stored_by_key
 
 BLOCK_CHARS = 8_000_000
 #: Characters of corpus per word bucket.
 BUCKET_CHARS = 32_000_000
 
 _BLOCK = ("block long, ids binary, missing binary, counts binary, codes binary, bucket_of binary, "
-          "asked array<struct<bucket:int,words:array<string>>>")
+          "asked array<struct<bucket:int,words:binary>>")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,6 +71,29 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1).astype(np.int64)
 
 
+def _pack_words(words: list[str]) -> bytes:
+    raw = [w.encode() for w in words]
+    return zlib.compress(np.array([len(words), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+
+
+def _unpack_words(packed: bytes) -> list[bytes]:
+    data = zlib.decompress(packed)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4).astype(np.int64)) + 4 * (n + 1)
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes as the largest needs, compressed."""
+    top = int(numbers.max(initial=0))
+    narrow = numbers.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
+    return bytes([narrow.itemsize]) + zlib.compress(narrow.tobytes(), 1)
+
+
+def _unpack_numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[0]}").astype(np.int64)
+
+
 def take_runs(values: np.ndarray, begin: np.ndarray, lens: np.ndarray, which: np.ndarray) -> np.ndarray:
     """``values[begin[k]:begin[k] + lens[k]]`` for every k in ``which``, one after the other."""
     size = lens[which]
@@ -82,7 +106,7 @@ def _make_block(block: int, ids: list, texts: list[str], buckets: int) -> pd.Dat
     bucket = np.array([zlib.crc32(w.encode()) % buckets for w in v.words], np.int64)
     order = np.argsort(bucket, kind="stable")
     used, begin = np.unique(bucket[order], return_index=True)
-    asked = [{"bucket": int(b), "words": [v.words[i] for i in part]}
+    asked = [{"bucket": int(b), "words": _pack_words([v.words[i] for i in part])}
              for b, part in zip(used, np.split(order, begin[1:]))] if len(order) else []
     missing = np.array([pd.isna(i) for i in ids], np.uint8)
     numbers = np.array([0 if m else int(i) for i, m in zip(ids, missing)], "<i8")
@@ -114,17 +138,17 @@ def _encode_bucket(ranks, pattern: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
         coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        known: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         lens, ids = [], []
-        for words in rows["words"]:
+        for packed in rows["words"]:
             got = []
-            for w in words:
+            for w in _unpack_words(packed):
                 e = known.get(w)
                 if e is None:
-                    e = known[w] = coder.encode_ordinary(w)
+                    e = known[w] = coder.encode_ordinary(w.decode())
                 got.append(e)
-            lens.append(np.array([len(e) for e in got], "<u4").tobytes())
-            ids.append(np.fromiter((i for e in got for i in e), "<u4").tobytes())
+            lens.append(_pack_numbers(np.array([len(e) for e in got], np.int64)))
+            ids.append(_pack_numbers(np.fromiter((i for e in got for i in e), np.int64)))
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lens": lens, "tokens": ids})
     return run
 
@@ -138,56 +162,51 @@ class Encoded:
         self._ranks = ranks
         chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
         buckets = max(1, -(-chars // BUCKET_CHARS))
-        self.blocks = stored(docs.mapInPandas(_blocks(buckets), _BLOCK), "blocks")
+        self.blocks = stored_by_key(docs.mapInPandas(_blocks(buckets), _BLOCK), "blocks", "block",
+                                    max(1, -(-chars // BLOCK_CHARS)))
         asked = self.blocks.select("block", F.explode("asked").alias("a")).select("block", "a.bucket", "a.words")
         shared = spark.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
         self.words = stored(asked.groupBy("bucket").applyInPandas(
             _encode_bucket(shared, pattern), "block long, bucket int, lens binary, tokens binary"), "words")
 
-    def _rows(self) -> tuple[DataFrame, DataFrame]:
-        nothing = F.lit(None)
-        positions = self.blocks.select(
-            "block", F.lit(None).cast("int").alias("bucket"), "ids", "missing", "counts", "codes", "bucket_of",
-            *[nothing.cast("binary").alias(c) for c in ("lens", "tokens")])
-        words = self.words.select("block", "bucket", *[nothing.cast("binary").alias(c) for c in (
-            "ids", "missing", "counts", "codes", "bucket_of")], "lens", "tokens")
-        return positions, words
+    def _assembled(self, answers: DataFrame, decode: bool) -> DataFrame:
+        schema = "doc_id long, ids array<int>" + ", data binary" * decode
+        positions = self.blocks.select("block", "ids", "missing", "counts", "codes", "bucket_of")
+        return positions.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_assemble(decode), schema)
 
     def token_ids(self) -> DataFrame:
         """``(doc_id, ids)`` for every document."""
-        positions, words = self._rows()
-        return positions.union(words).groupBy("block").applyInPandas(_assemble(False), "doc_id long, ids array<int>")
+        return self._assembled(self.words, False)
 
     def decoded(self) -> DataFrame:
         """``(doc_id, ids, data)``: the ids, and the bytes that they decode to."""
-        spark = self.blocks.sparkSession
-        table = token_table(spark, self._ranks)
+        table = token_table(self.blocks.sparkSession, self._ranks)
         used = self.words.mapInPandas(_used_ids, "block long, id int").distinct()
         pieces = used.join(table, "id").groupBy("block").agg(F.collect_list(F.struct("id", "token")).alias("pieces"))
-        none = F.lit(None).cast("array<struct<id:int,token:binary>>").alias("pieces")
-        positions, words = self._rows()
-        tokens = pieces.select("block", *[F.lit(None).cast(k).alias(c) for c, k in positions.dtypes[1:]], "pieces")
-        rows = positions.select("*", none).union(words.select("*", none)).union(tokens)
-        return rows.groupBy("block").applyInPandas(_assemble(True), "doc_id long, ids array<int>, data binary")
+        none = [F.lit(None).cast(k).alias(c) for c, k in self.words.dtypes[1:]]
+        answers = self.words.select("*", F.lit(None).cast("array<struct<id:int,token:binary>>").alias("pieces")) \
+            .union(pieces.select("block", *none, "pieces"))
+        return self._assembled(answers, True)
 
 
 def _used_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for block, tokens in b.groupby("block")["tokens"]:
-            ids = np.unique(np.concatenate([np.frombuffer(t, "<u4") for t in tokens]))
+            ids = np.unique(np.concatenate([_unpack_numbers(t) for t in tokens]))
             yield pd.DataFrame({"block": block, "id": ids.astype(np.int32)})
 
 
 def _assemble(decode: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows[rows["codes"].notna()].iloc[0]
+    def run(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        head = block.iloc[0]
         parts = rows[rows["lens"].notna()].sort_values("bucket")
         codes, bucket_of = _unpack(head["codes"]), _unpack(head["bucket_of"])
         counts = np.frombuffer(head["counts"], "<i8")
         place = np.empty(len(bucket_of), np.int64)  # of a word among the buckets' answers
         place[np.argsort(bucket_of, kind="stable")] = np.arange(len(bucket_of))
-        lens = np.concatenate([np.frombuffer(x, "<u4") for x in parts["lens"]] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        tokens = np.concatenate([np.frombuffer(x, "<u4") for x in parts["tokens"]] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        none = [np.zeros(0, np.int64)]
+        lens = np.concatenate([_unpack_numbers(x) for x in parts["lens"]] or none)
+        tokens = np.concatenate([_unpack_numbers(x) for x in parts["tokens"]] or none).astype(np.int32)
         answer = place[codes] if len(codes) else codes
         doc_ids = pd.array(np.frombuffer(head["ids"], "<i8").copy(), "Int64")
         doc_ids[np.frombuffer(head["missing"], np.uint8).astype(bool)] = pd.NA

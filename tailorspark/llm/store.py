@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,23 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by_key(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``stored``, bucketed by ``key``: what groups or joins by the key later does not shuffle these rows.
+
+    Bucketing is a property of catalog tables, so there is a table while the
+    frame is being resolved; the frame keeps the bucketing, the catalog nothing.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    table = f"stored_{uuid.uuid4().hex}"
+    df.write.bucketBy(min(buckets, 100_000), key).option("path", path).option("compression", "zstd") \
+        .format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  (resolves the relation)
+    spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    return out
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``: the fold of a document."""
     return F.crc32(doc_id.cast("string")) % modulus
