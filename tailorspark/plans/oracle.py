@@ -17,7 +17,8 @@ def q(s: str) -> str:
 
 
 def with_ctes(ctes: list[tuple[str, str]], select: str) -> str:
-    body = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in ctes)
+    # stored once: an engine that inlines them evaluates shared ones again for every use
+    body = ",\n".join(f"{name} AS MATERIALIZED (\n{sql}\n)" for name, sql in ctes)
     return f"WITH {body}\n{select}"
 
 
