@@ -125,7 +125,6 @@ FOREST_TREES = 200
 FOREST_DEPTH = 12
 MLP_HIDDEN = [128, 64]
 KMEANS_MAX_K = 6
-SILHOUETTE_SAMPLE = 10000
 SMALL_CLUSTER_FRACTION = 0.01
 SMALL_CLUSTER_ABS = 20
 VALIDATION_FRACTION = 0.2

@@ -19,7 +19,6 @@ from tailorspark.operators.partitioning import dense_index
 from tailorspark.sources.tables import seed_col
 
 ALL_POOL = "\u0001all"
-SMALL_CATEGORY_COUNT = 1000
 
 
 def seeded_int(*parts, seed: int = K.SEED) -> Column:
@@ -62,8 +61,7 @@ def category_counts(catalog: DataFrame) -> DataFrame:
 def category_dim(catalog_or_counts: DataFrame) -> DataFrame:
     """Categories with cat_index (0-based, by name), m (items), k (categories).
 
-    Only needed when the category dimension is too large to travel as one
-    array; the index is computed without a single-partition window.
+    The index is computed without a single-partition window.
     """
     cats = catalog_or_counts if "m" in catalog_or_counts.columns and "id" not in catalog_or_counts.columns \
         else category_counts(catalog_or_counts)
@@ -102,14 +100,9 @@ def _positions(start: Column, m: Column, count: Column) -> Column:
         F.transform(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")), lambda i: (start + i) % m))
 
 
-def attach_pool(df: DataFrame, cat_col: str, sizes: DataFrame, prefix: str, small: bool = True) -> DataFrame:
-    """Pool (the category if the catalog has it, else the whole catalog) and its size.
-
-    ``small`` (the category count was checked) broadcasts the pool sizes;
-    otherwise the join is left to AQE.
-    """
+def attach_pool(df: DataFrame, cat_col: str, sizes: DataFrame, prefix: str) -> DataFrame:
+    """Pool (the category if the catalog has it, else the whole catalog) and its size."""
     s = sizes.select(F.col("pool").alias(f"{prefix}_p"), F.col("m").alias(f"{prefix}_pm"))
-    s = F.broadcast(s) if small else s
     out = df.join(s, df[cat_col] == F.col(f"{prefix}_p"), "left")
     out = out.withColumn(f"{prefix}_am", sizes.where(F.col("pool") == ALL_POOL).select("m").scalar())
     return out.withColumn(f"{prefix}_pool", F.coalesce(F.col(f"{prefix}_p"), F.lit(ALL_POOL))).withColumn(
@@ -119,18 +112,16 @@ def attach_pool(df: DataFrame, cat_col: str, sizes: DataFrame, prefix: str, smal
 
 def product_picks(df: DataFrame, ranked: DataFrame, cat_col: str, n: int = K.PRODUCTS_PER_MODULE,
                   salt: str = "picks", exclude_col: str | None = None, key: str = "request_id",
-                  out_col: str = "products", seed: int = K.SEED, small: bool = True,
+                  out_col: str = "products", seed: int = K.SEED,
                   counts: DataFrame | None = None) -> DataFrame:
     """W3 (+ J8): up to ``n`` seeded distinct ids from the category, minus
     excludes; a category absent from the catalog draws from the whole catalog.
 
     Each request expands only min(m, n + |excludes|) positions, joins them on
     (pool, pos), drops excluded ids and keeps the first ``n`` in draw order.
-    The pool-size table has one row per category (checked by the caller's
-    category dimension) and is broadcast.
     """
     sizes = pool_sizes(ranked, counts)
-    base = attach_pool(df.select(key, cat_col, *([exclude_col] if exclude_col else [])), cat_col, sizes, "_q", small)
+    base = attach_pool(df.select(key, cat_col, *([exclude_col] if exclude_col else [])), cat_col, sizes, "_q")
     excl = F.coalesce(F.col(exclude_col), F.array().cast("array<string>")) if exclude_col else \
         F.array().cast("array<string>")
     m = F.coalesce(F.col("_q_m"), F.lit(0)).cast("long")
@@ -145,15 +136,6 @@ def product_picks(df: DataFrame, ranked: DataFrame, cat_col: str, n: int = K.PRO
         out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>")))
 
 
-def category_array(cats: DataFrame):
-    """Scalar: the sorted category names (only for a checked-small dimension)."""
-    return cats.agg(F.array_sort(F.collect_list("category"))).scalar()
-
-
-def small_categories(cats: DataFrame) -> bool:
-    return cats.limit(SMALL_CATEGORY_COUNT + 1).count() <= SMALL_CATEGORY_COUNT
-
-
 def _score_of(recent, best, base: float):
     return F.aggregate(F.transform(recent, lambda x, j: F.when(x == best, F.pow(F.lit(float(base)), j))
                                    .otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
@@ -161,51 +143,32 @@ def _score_of(recent, best, base: float):
 
 def recency_winner(df: DataFrame, cats: DataFrame, display_col: str = "recent_display_categories",
                    key: str = "request_id", window: int = K.RECENCY_WINDOW, base: float = K.RECENCY_BASE,
-                   small: bool | None = None, out_col: str = "recency") -> DataFrame:
+                   out_col: str = "recency") -> DataFrame:
     """W2 core: struct(category, score) of the recency-weighted winner among
     the catalog's categories, or null when no entry is valid.
 
-    Small category dimension (checked): one broadcast array, per-row
-    expressions.  Larger: the request arrays are exploded, semi-joined to the
-    categories and regrouped per request (bounded by the array length).
+    The request arrays are exploded, semi-joined to the categories and
+    regrouped per request (bounded by the array length).
     """
-    if small is None:
-        small = small_categories(cats)
-    if small:
-        out = df.withColumn("_cats", category_array(cats))
-        arr = F.coalesce(F.col(display_col), F.array().cast("array<string>"))
-        valid = F.filter(arr, lambda x: x.isNotNull() & (x != "") & F.array_contains(F.col("_cats"), x))
-        out = out.withColumn("_rv", F.slice(valid, F.greatest(F.size(valid) - window + 1, F.lit(1)), window))
-    else:
-        ex = df.select(key, F.posexplode(F.coalesce(F.col(display_col), F.array().cast("array<string>")))
-                       .alias("_p", "_c")).where(F.col("_c").isNotNull() & (F.col("_c") != ""))
-        ex = ex.join(cats.select(F.col("category").alias("_c")), "_c", "left_semi")
-        w = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_v"))
-        w = w.select(key, F.transform("_v", lambda s: s["_c"]).alias("_valid"))
-        w = w.select(key, F.slice("_valid", F.greatest(F.size("_valid") - window + 1, F.lit(1)), window).alias("_rv"))
-        out = df.join(w, key, "left")
+    ex = df.select(key, F.posexplode(F.coalesce(F.col(display_col), F.array().cast("array<string>")))
+                   .alias("_p", "_c")).where(F.col("_c").isNotNull() & (F.col("_c") != ""))
+    ex = ex.join(cats.select(F.col("category").alias("_c")), "_c", "left_semi")
+    w = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_v"))
+    w = w.select(key, F.transform("_v", lambda s: s["_c"]).alias("_valid"))
+    w = w.select(key, F.slice("_valid", F.greatest(F.size("_valid") - window + 1, F.lit(1)), window).alias("_rv"))
+    out = df.join(w, key, "left")
     best = recency_category("_rv", None, window, base)
-    out = out.withColumn(out_col, F.when(best.isNotNull(), F.struct(
-        best.alias("category"), _score_of(F.col("_rv"), best, base).alias("score"))))
-    return out.drop("_rv", *(["_cats"] if small else []))
+    return out.withColumn(out_col, F.when(best.isNotNull(), F.struct(
+        best.alias("category"), _score_of(F.col("_rv"), best, base).alias("score")))).drop("_rv")
 
 
 def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_display_categories",
                     key: str = "request_id", out_col: str = "target_category",
-                    window: int = K.RECENCY_WINDOW, base: float = K.RECENCY_BASE, seed: int = K.SEED,
-                    small: bool | None = None) -> DataFrame:
+                    window: int = K.RECENCY_WINDOW, base: float = K.RECENCY_BASE, seed: int = K.SEED) -> DataFrame:
     """Recency-weighted catalog category, else a seeded random category,
     else 'Unknown' for an empty catalog."""
-    if small is None:
-        small = small_categories(cats)
-    out = recency_winner(df, cats, display_col, key, window, base, small, "_win")
+    out = recency_winner(df, cats, display_col, key, window, base, "_win")
     rnd = seeded_int(F.lit("target"), F.col(key), seed=seed)
-    if small:
-        out = out.withColumn("_cats", category_array(cats))
-        k = F.size("_cats")
-        random_cat = F.when(k > 0, F.element_at("_cats", (rnd % k + 1).cast("int"))).otherwise(
-            F.lit(K.UNKNOWN_CATEGORY))
-        return out.withColumn(out_col, F.coalesce(F.col("_win")["category"], random_cat)).drop("_cats", "_win")
     dim = category_dim(cats)
     out = out.withColumn("_k", dim.agg(F.count(F.lit(1))).scalar())
     out = out.withColumn("_ri", F.when(F.col("_k") > 0, rnd % F.col("_k")))
@@ -216,14 +179,12 @@ def target_category(df: DataFrame, cats: DataFrame, display_col: str = "recent_d
 
 def secondary_category(df: DataFrame, cats: DataFrame, target_col: str = "target_category",
                        key: str = "request_id", out_col: str = "secondary_category",
-                       seed: int = K.SEED, small: bool | None = None) -> DataFrame:
+                       seed: int = K.SEED) -> DataFrame:
     """A seeded different category; the target itself when it is the only one.
 
     With categories sorted by name, target index i and k categories the pick
     is (i + 1 + h mod (k-1)) mod k; a target outside the catalog picks h mod k.
     """
-    if small is None:
-        small = small_categories(cats)
     h = seeded_int(F.lit("secondary"), F.col(key), seed=seed)
 
     def pick(k, i):
@@ -232,13 +193,6 @@ def secondary_category(df: DataFrame, cats: DataFrame, target_col: str = "target
                 .when(k == 1, F.lit(None))
                 .otherwise((i + 1 + h % (k - 1)) % k)).cast("long")
 
-    if small:
-        out = df.withColumn("_cats", category_array(cats))
-        k = F.size("_cats")
-        pos = F.array_position("_cats", F.col(target_col))
-        i = F.when(pos > 0, pos - 1)
-        chosen = F.element_at("_cats", (pick(k, i) + 1).cast("int"))
-        return out.withColumn(out_col, F.coalesce(chosen, F.col(target_col))).drop("_cats")
     cats = category_dim(cats)
     out = df.withColumn("_k", cats.agg(F.count(F.lit(1))).scalar())
     ti = cats.select(F.col("category").alias("_tc"), F.col("cat_index").alias("_ti"))
@@ -250,7 +204,7 @@ def secondary_category(df: DataFrame, cats: DataFrame, target_col: str = "target
 
 
 def module_picks(df: DataFrame, ranked: DataFrame, key: str = "request_id", n: int = K.PRODUCTS_PER_MODULE,
-                 seed: int = K.SEED, small: bool = True, counts: DataFrame | None = None) -> DataFrame:
+                 seed: int = K.SEED, counts: DataFrame | None = None) -> DataFrame:
     """Hero, primary and secondary picks with one join and one regroup.
 
     Hero and primary are independent draws of ``n`` from the target pool; the
@@ -260,8 +214,8 @@ def module_picks(df: DataFrame, ranked: DataFrame, key: str = "request_id", n: i
     (a position is one item within a pool) before the join.
     """
     sizes = pool_sizes(ranked, counts)
-    b = attach_pool(df.select(key, "target_category", "secondary_category"), "target_category", sizes, "_t", small)
-    b = attach_pool(b, "secondary_category", sizes, "_s", small)
+    b = attach_pool(df.select(key, "target_category", "secondary_category"), "target_category", sizes, "_t")
+    b = attach_pool(b, "secondary_category", sizes, "_s")
     mt = F.coalesce(F.col("_t_m"), F.lit(0)).cast("long")
     ms = F.coalesce(F.col("_s_m"), F.lit(0)).cast("long")
 
@@ -313,6 +267,7 @@ def hydrate_products(df: DataFrame, catalog: DataFrame, ids_col: str, key: str =
 
 
 def products_by_category(catalog: DataFrame, categories: DataFrame, cat_col: str = "category") -> DataFrame:
-    """Catalog items whose category is one of ``categories``."""
+    """Catalog items whose category is one of ``categories``: every listed row, repeated ids included."""
     wanted = categories.select(F.col(cat_col).alias("category")).distinct()
-    return dedupe_catalog(catalog).join(wanted, "category", "left_semi")
+    listed = catalog.withColumn("category", F.coalesce("category", F.lit(K.UNKNOWN_CATEGORY)))
+    return listed.join(wanted, "category", "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailorspark import constants as K
+from tailorspark.operators.partitioning import dense_index
 from tailorspark.sources.tables import seed_col
 
 
@@ -20,14 +21,16 @@ def hash_fraction(key: str, salt: str, seed: int = K.SEED):
 
 
 def stratified_split(df: DataFrame, key: str = "user_pseudo_id", fraction: float = K.VALIDATION_FRACTION,
-                     seed: int = K.SEED) -> DataFrame:
-    """``is_validation`` by a seeded hash bucket.
+                     seed: int = K.SEED, label: str = "target_cluster") -> DataFrame:
+    """``is_validation`` for exactly ``round(fraction * n)`` rows of every class.
 
-    Every row decides on its own (no sort, no shuffle); within each class the
-    validation share is ``fraction`` in expectation, so the split is
-    stratified without grouping a class into one task.
+    A class's rows are numbered in the order of a seeded hash (``dense_index``
+    spreads a large class over many tasks) and the first ones are for validation.
     """
-    return df.withColumn("is_validation", hash_fraction(key, "split", seed) < fraction)
+    h = seed_col(F.lit("split"), F.col(key), seed=seed)
+    placed = dense_index(df.withColumn("_h", h), ["_h", key], [label], index_col="_pos", size_col="_size")
+    first = F.floor(F.lit(fraction) * F.col("_size") + 0.5)
+    return placed.withColumn("is_validation", F.col("_pos") < first).drop("_h", "_pos", "_size")
 
 
 def eval_sample(df: DataFrame, n: int = K.EVAL_SAMPLE_SIZE, key: str = "user_pseudo_id",

@@ -69,13 +69,10 @@ def event_vocab(activity: DataFrame) -> DataFrame:
 def with_event_ids(activity: DataFrame, vocab: DataFrame) -> DataFrame:
     """Event name -> id through the vocabulary; unknown -> 0.
 
-    The vocabulary holds one row per distinct event name; it is broadcast
-    after a size check and joined shuffle-free to the events.
+    The vocabulary holds one row per distinct event name; adaptive execution
+    broadcasts it when it is small.
     """
-    from tailorspark.operators.partitioning import checked_broadcast
-
-    v = checked_broadcast(vocab.where("event_index > 0"), 100_000)
-    return activity.join(v, "event_name", "left").withColumn(
+    return activity.join(vocab.where("event_index > 0"), "event_name", "left").withColumn(
         "event_index", F.coalesce(F.col("event_index"), F.lit(0)))
 
 
@@ -96,13 +93,13 @@ def event_sequences(activity: DataFrame, vocab: DataFrame | None = None, max_len
                     users: DataFrame | None = None) -> DataFrame:
     """A9 + X22 + J7: per user the first and last ``max_len`` events in time order.
 
-    Ties on time are broken by ``event_id``.  Consumers only ever read the
+    Ties on time are broken by ``event_id``; an event without a name has id 0.  Consumers only ever read the
     first or the last ``max_len`` entries (fit/predict vs. evaluation), so the
     arrays are bounded; ``n_events`` carries the full length.  With ``users``
     given, only users present there are kept (inner join).
     """
     ts = time_column(activity)
-    ev = activity.where(F.col("user_pseudo_id").isNotNull() & F.col("event_name").isNotNull())
+    ev = activity.where(F.col("user_pseudo_id").isNotNull())
     if vocab is None:
         vocab = event_vocab(activity)
     ev = with_event_ids(ev, vocab).select("user_pseudo_id", ts, "event_id", "event_name", "event_index")
@@ -120,3 +117,17 @@ def event_sequences(activity: DataFrame, vocab: DataFrame | None = None, max_len
     if users is not None:
         out = out.join(users.select("user_pseudo_id"), "user_pseudo_id", "inner")
     return out
+
+
+def event_positions(activity: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """A9 in long form: every event of every user with its position in time order.
+
+    ``(user_pseudo_id, position, n_events, event_id, event_name, event_index)``,
+    position from 0, ties by ``event_id``, id 0 for unnamed events.  No arrays
+    and no user's history in one task (``dense_index`` spreads a hot user).
+    """
+    ts = time_column(activity)
+    ev = activity.where(F.col("user_pseudo_id").isNotNull())
+    ev = with_event_ids(ev, event_vocab(activity) if vocab is None else vocab)
+    ev = ev.select("user_pseudo_id", ts, "event_id", "event_name", "event_index")
+    return dense_index(ev, [ts, "event_id"], ["user_pseudo_id"], index_col="position", size_col="n_events").drop(ts)

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tailorspark import constants as K
 from tailorspark.functions.columns import numeric_transform
+from tailorspark.operators.partitioning import dense_index
 from tailorspark.session import materialize
+from tailorspark.sources.tables import seed_col
 
 NUM = K.NUMERIC_FEATURE_COLS
 
@@ -84,21 +86,18 @@ def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float]], suffix: s
 # -- M5 ------------------------------------------------------------------------
 def merge_small_clusters(df: DataFrame, feature_cols: list[str], label: str = "cluster",
                          min_frac: float = K.SMALL_CLUSTER_FRACTION, min_abs: int = K.SMALL_CLUSTER_ABS,
-                         out_col: str = "merged", max_clusters: int = 10_000) -> DataFrame:
+                         out_col: str = "merged") -> DataFrame:
     """Members of clusters smaller than max(min_abs, floor(n*min_frac)) move to
     the nearest large-cluster centroid (Euclidean; ties: smaller id);
     unchanged when there are no small or no large clusters.
 
     Per-cluster statistics are one row per cluster.  The large centroids
-    travel as one array (checked to hold at most ``max_clusters`` entries)
-    and each row takes the minimum over it; no row pairs are formed.
+    travel as one array (at most 1/min_frac clusters are large) and each row
+    takes the minimum over it; no row pairs are formed.
     """
-    # one row per cluster, stored once: the checks and statistics below reuse it
+    # one row per cluster, stored once: the statistics below reuse it
     sizes = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"),
                                               *[F.avg(c).alias(f"_c_{c}") for c in feature_cols]))
-    n_clusters = sizes.limit(max_clusters + 1).count()
-    if n_clusters > max_clusters:
-        raise ValueError(f"more than {max_clusters} clusters")
     total = sizes.agg(F.sum("_size")).scalar()
     sizes = sizes.withColumn("_small", F.col("_size") < F.greatest(F.lit(min_abs), F.floor(total * min_frac)))
     summary = sizes.agg(F.struct(
@@ -118,19 +117,16 @@ def merge_small_clusters(df: DataFrame, feature_cols: list[str], label: str = "c
 # -- M4 ------------------------------------------------------------------------
 def choose_kmeans(train: DataFrame, features: str, n_rows: int, seed: int = K.SEED,
                   max_k: int = K.KMEANS_MAX_K):
-    """k in 2..upper-1 (upper = min(max_k, max(3, n-1))) by silhouette on a
-    sample of at most 10,000 rows; then the final model on all training rows."""
+    """k in 2..upper-1 (upper = min(max_k, max(3, n-1))) by silhouette over all
+    training rows (linear in rows); then the final model."""
     upper = min(max_k, max(3, n_rows - 1))
-    frac = min(1.0, K.SILHOUETTE_SAMPLE / max(n_rows, 1))
-    sample = train.sample(fraction=frac, seed=seed).limit(K.SILHOUETTE_SAMPLE) if frac < 1.0 else train
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="_k_pred", metricName="silhouette")
     best_k, best = 2, -1.0
     for k in range(2, upper):
         model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_k_pred").fit(train)
-        try:
-            score = ev.evaluate(model.transform(sample))
-        except Exception:  # a degenerate clustering has no silhouette
-            continue
+        if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+            continue  # one cluster has no silhouette
+        score = ev.evaluate(model.transform(train))
         if score > best:
             best_k, best = k, score
     final = KMeans(k=best_k, seed=seed, featuresCol=features, predictionCol="_k_pred", maxIter=40).fit(train)
@@ -183,7 +179,8 @@ def fit_sequence_model(seqs: DataFrame, label: str = "label", seed: int = K.SEED
     return Pipeline(stages=[
         NGram(n=2, inputCol="seq_tokens", outputCol="_bigrams"),
         _concat_tokens(),
-        CountVectorizer(inputCol="_grams", outputCol="_seq_vec", minDF=1.0),
+        CountVectorizer(inputCol="_grams", outputCol="_seq_vec", minDF=1.0,
+                        vocabSize=(1 << 31) - 1),
         LogisticRegression(featuresCol="_seq_vec", labelCol=label, probabilityCol="seq_probability",
                            predictionCol="seq_prediction", rawPredictionCol="_seq_raw", maxIter=100,
                            family="multinomial"),
@@ -220,10 +217,11 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
     if smallest is None or smallest < 2:
         return []
     folds = int(min(3, smallest))
-    from tailorspark.operators.evaluate import hash_fraction
-
-    tf = materialize(train.withColumn(
-        "_fold", F.floor(hash_fraction("user_pseudo_id", "fold", seed) * folds).cast("int")))
+    # every class is dealt out to the folds in turn, so each fold has all classes
+    dealt = dense_index(train.withColumn("_h", seed_col(F.lit("fold"), F.col("user_pseudo_id"), seed=seed)),
+                        ["_h", "user_pseudo_id"], [label], index_col="_pos")
+    tf = materialize(dealt.withColumn("_fold", (F.col("_pos") % folds).cast("int")).drop("_h", "_pos"))
+    present = {int(r[label]) for r in tf.select(label).distinct().collect()}  # at most num_classes
     out = []
     for f in range(folds):
         forest = fit_forest(tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label)
@@ -235,12 +233,11 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
             d = held.select(F.array(F.col("_p")[c]).alias("_x"), (F.col(label) == c).cast("double").alias("_y"))
             d = VectorAssembler(inputCols=["_xs"], outputCol="_xv").transform(
                 d.select(F.col("_x")[0].alias("_xs"), "_y"))
-            lr = LogisticRegression(featuresCol="_xv", labelCol="_y", maxIter=100, regParam=0.0)
-            try:
-                m = lr.fit(d)
-                lrs.append((float(m.coefficients[0]), float(m.intercept)))
-            except Exception:  # a fold without positives: identity-like map
-                lrs.append((1.0, 0.0))
+            if c not in present:  # a class without rows: probability 0
+                lrs.append((0.0, -30.0))
+                continue
+            m = LogisticRegression(featuresCol="_xv", labelCol="_y", maxIter=100, regParam=0.0).fit(d)
+            lrs.append((float(m.coefficients[0]), float(m.intercept)))
         out.append((forest, lrs))
     return out
 

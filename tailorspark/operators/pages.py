@@ -16,7 +16,7 @@ from tailorspark.functions.columns import (
     avg_revenue_fallback, business_tags, categories_for_target, coldstart_tags, confidence_round, cta_module,
     hero_copy, segment_name, signal_strength)
 from tailorspark.operators.catalog import (
-    category_counts, module_picks, rank_catalog, secondary_category, small_categories, target_category)
+    category_counts, module_picks, rank_catalog, secondary_category, target_category)
 from tailorspark.operators.coldstart import resolve_cold_start
 
 
@@ -58,29 +58,26 @@ def segment_profiles(users: DataFrame | None, spark) -> DataFrame:
 def personalize(requests: DataFrame, cold_table: DataFrame, defaults: DataFrame, catalog: DataFrame,
                 names: DataFrame | None = None, users: DataFrame | None = None,
                 predictions: DataFrame | None = None, key: str = "request_id",
-                bounded: bool = True, seed: int = K.SEED, ranked: DataFrame | None = None,
-                small: bool | None = None) -> DataFrame:
+                bounded: bool = True, seed: int = K.SEED, ranked: DataFrame | None = None) -> DataFrame:
     """One page per request (flat columns; see ``page_document``).
 
     ``requests`` must already carry typed defaults.  ``predictions`` (optional)
     holds the cascade output per request (``key``, ``m_cluster``,
     ``m_confidence``, ``m_source``); without it no model is ready and every
     request takes the cold path.  ``names`` maps cluster -> segment name.
-    ``ranked`` (the catalog numbered by ``rank_catalog``) and ``small`` (the
-    category-count check) can be computed once and passed in, e.g. by a stream.
+    ``ranked`` (the catalog numbered by ``rank_catalog``) can be computed once
+    and passed in, e.g. by a stream.
     """
     spark = requests.sparkSession
     models_ready = predictions is not None
     # catalog side first, on the request plan alone (shallow lineage)
     cats = category_counts(catalog)
-    if small is None:
-        small = small_categories(cats)
     if ranked is None:
         ranked = rank_catalog(catalog, seed)
     df = requests.withColumn("_ft", categories_for_target("recent_display_categories", "recent_categories"))
-    df = target_category(df, cats, "_ft", key=key, small=small, seed=seed).drop("_ft")
-    df = secondary_category(df, cats, key=key, seed=seed, small=small)
-    df = module_picks(df, ranked, key=key, seed=seed, small=small, counts=cats)
+    df = target_category(df, cats, "_ft", key=key, seed=seed).drop("_ft")
+    df = secondary_category(df, cats, key=key, seed=seed)
+    df = module_picks(df, ranked, key=key, seed=seed, counts=cats)
     # segment side: routing, cold-start resolution, model output
     df = route(df, models_ready, users)
     df = resolve_cold_start(df, cold_table, defaults, bounded=bounded, key=key)

@@ -8,12 +8,13 @@ from tailorspark import constants as K
 from tailorspark.functions.columns import array_text, categories_for_target
 from tailorspark.operators.catalog import (
     category_counts, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
-    products_by_category, rank_catalog, recency_winner, secondary_category, small_categories,
-    target_category)
+    products_by_category, rank_catalog, recency_winner, secondary_category, target_category)
 from tailorspark.plans.oracle import (
     catalog_ctes, modules_sql, request_defaults_cte, requests_ctes, seeded_int_sql, target_sql, with_ctes)
 from tailorspark.plans.q_coldstart import default_requests
 from tailorspark.plans.registry import register
+from tailorspark.session import scratch_dir
+from tailorspark.sources.catalog import load_catalog
 from tailorspark.sources.tables import catalog, read_table
 
 
@@ -25,12 +26,11 @@ def with_targets(spark, sf_dir):
     """Requests with defaults + target and secondary category; also returns the catalog parts."""
     cat = catalog(spark, sf_dir)
     cats = category_counts(cat)
-    small = small_categories(cats)
     req = default_requests(spark, sf_dir)
     req = req.withColumn("_for_target", categories_for_target("recent_display_categories", "recent_categories"))
-    req = target_category(req, cats, "_for_target", small=small).drop("_for_target")
-    req = secondary_category(req, cats, small=small)
-    return req, cat, cats, small
+    req = target_category(req, cats, "_for_target").drop("_for_target")
+    req = secondary_category(req, cats)
+    return req, cat, cats
 
 
 # -- S2 -----------------------------------------------------------------------
@@ -43,6 +43,16 @@ def q_catalog_load(spark, sf_dir):
                                          F.max("price").alias("max_price"))
 
 
+@register("catalog_file", lambda: with_ctes(catalog_ctes()[:1], """
+SELECT id, name, CASE WHEN catalog_pos % 5 = 0 THEN 'Unknown' ELSE category END AS category, price FROM cat"""))
+def q_catalog_file(spark, sf_dir):
+    """The catalog written as JSON, every fifth item without a category, and loaded again."""
+    cat = catalog(spark, sf_dir)
+    path = f"{scratch_dir(spark, 'catalog')}/json"
+    cat.withColumn("category", F.when(F.col("catalog_pos") % 5 != 0, F.col("category"))).drop("catalog_pos").write.json(path)
+    return load_catalog(spark, path).select("id", "name", "category", "price")
+
+
 # -- J2 + X17 -----------------------------------------------------------------
 LOOKUP_SQL = """
 SELECT e.event_id, e.item_ref, coalesce(i.id, n.id) AS item_id,
@@ -96,7 +106,7 @@ TARGET_OUT = ("SELECT request_id, array_to_string(recent_display_categories, ','
 
 @register("target_category", lambda: with_ctes(_req_sql_ctes() + [("tgt", target_sql("req"))], TARGET_OUT))
 def q_target_category(spark, sf_dir):
-    req, _, _, _ = with_targets(spark, sf_dir)
+    req, _, _ = with_targets(spark, sf_dir)
     return req.select("request_id", array_text("recent_display_categories").alias("recent_display_categories"),
                       "target_category", "secondary_category")
 
@@ -106,7 +116,7 @@ def q_target_category(spark, sf_dir):
     "SELECT request_id, target_category, secondary_category, "
     "CAST(target_category <> secondary_category AS BOOLEAN) AS differs FROM tgt"))
 def q_secondary_category(spark, sf_dir):
-    req, _, _, _ = with_targets(spark, sf_dir)
+    req, _, _ = with_targets(spark, sf_dir)
     return req.select("request_id", "target_category", "secondary_category",
                       (F.col("target_category") != F.col("secondary_category")).alias("differs"))
 
@@ -134,8 +144,7 @@ def q_recency_scores(spark, sf_dir):
     """W2 with a general base (1.5): scores are summed, ties go to the first seen."""
     req = default_requests(spark, sf_dir)
     cats = category_counts(catalog(spark, sf_dir))
-    out = recency_winner(req, cats, "recent_display_categories", base=RECENCY_BASE_GENERAL,
-                         small=small_categories(cats))
+    out = recency_winner(req, cats, "recent_display_categories", base=RECENCY_BASE_GENERAL)
     return out.select("request_id", F.col("recency.category").alias("recency_category"),
                       F.round("recency.score", 6).alias("best_score"))
 
@@ -163,10 +172,10 @@ SELECT request_id, list(id ORDER BY i)[1:{n}] AS products FROM pk_hit GROUP BY r
 
 @register("product_picks", _picks_sql)
 def q_product_picks(spark, sf_dir):
-    req, cat, cats, small = with_targets(spark, sf_dir)
+    req, cat, cats = with_targets(spark, sf_dir)
     ranked = rank_catalog(cat)
     out = product_picks(req, ranked, "target_category", K.PRODUCTS_PER_MODULE, "picks", "recent_items",
-                        small=small, counts=cats)
+                        counts=cats)
     return out.select("request_id", "target_category", array_text("recent_items").alias("excluded"),
                       array_text("products").alias("products"))
 
@@ -182,8 +191,8 @@ MODULES_OUT = ("SELECT t.request_id, t.target_category, t.secondary_category, "
 @register("product_modules", lambda: with_ctes(
     _req_sql_ctes() + [("tgt", target_sql("req"))] + modules_sql("tgt"), MODULES_OUT))
 def q_product_modules(spark, sf_dir):
-    req, cat, cats, small = with_targets(spark, sf_dir)
-    out = module_picks(req, rank_catalog(cat), small=small, counts=cats)
+    req, cat, cats = with_targets(spark, sf_dir)
+    out = module_picks(req, rank_catalog(cat), counts=cats)
     return out.select("request_id", "target_category", "secondary_category",
                       *[array_text(c).alias(c) for c in ("hero_products", "primary_products", "secondary_products")])
 

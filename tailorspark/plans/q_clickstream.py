@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tailorspark.functions.columns import array_text
 from tailorspark.operators.clickstream import recent_events, recent_signals, valid_events
-from tailorspark.operators.features import event_sequences, event_vocab, with_event_ids
+from tailorspark.operators.features import event_positions, event_sequences, event_vocab, with_event_ids
 from tailorspark.plans.oracle import activity_cte, client_events_ctes, recent_signals_ctes, with_ctes
 from tailorspark.plans.registry import register
 from tailorspark.session import scratch_dir
@@ -129,3 +129,15 @@ def q_event_sequences(spark, sf_dir):
 def q_sequence_slices(spark, sf_dir):
     """User grain: users have up to ~100 events, so first-25 and last-25 differ."""
     return _seq_query(spark, sf_dir, "user")
+
+
+# -- A9, long form ------------------------------------------------------------
+@register("event_positions", lambda: with_ctes([("activity", activity_cte("user")), ("voc", """
+SELECT event_name, CAST(row_number() OVER (ORDER BY event_name) AS INTEGER) AS event_index
+FROM (SELECT DISTINCT event_name FROM activity WHERE event_name IS NOT NULL)""")], """
+SELECT user_pseudo_id, row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_ts, event_id) - 1 AS position,
+       count(*) OVER (PARTITION BY user_pseudo_id) AS n_events, event_id, event_name,
+       coalesce(event_index, 0) AS event_index
+FROM activity LEFT JOIN voc USING (event_name) WHERE user_pseudo_id IS NOT NULL"""))
+def q_event_positions(spark, sf_dir):
+    return event_positions(activity(spark, sf_dir, "user"))

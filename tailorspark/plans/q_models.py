@@ -30,6 +30,11 @@ def _training(spark, sf_dir):
     return act, users
 
 
+def _tokens(names: str):
+    """Event names as tokens; an event without a name is the padding token."""
+    return F.transform(names, lambda x: F.coalesce(x, F.lit("<PAD>")))
+
+
 def model_inputs(spark, sf_dir):
     """Users with split, and the first 25 events per user as tokens (materialised)."""
     key = ("inputs", spark.sparkContext.applicationId, sf_dir)
@@ -37,7 +42,7 @@ def model_inputs(spark, sf_dir):
         act, users = _training(spark, sf_dir)
         users = materialize(users)
         seqs = materialize(event_sequences(act).select(
-            "user_pseudo_id", F.col("first_names").alias("seq_tokens"), F.col("last_names").alias("eval_tokens")))
+            "user_pseudo_id", _tokens("first_names").alias("seq_tokens"), _tokens("last_names").alias("eval_tokens")))
         _CACHE[key] = (users, seqs)
     return _CACHE[key]
 
@@ -51,14 +56,12 @@ def trained_stack(spark, sf_dir):
     return _CACHE[key]
 
 
-def _seed_frac_sql(salt: str, key: str) -> str:
-    return (f"CAST(('0x' || substr(md5(concat_ws('|', '{K.SEED}', '{salt}', {key})), 1, 8)) AS BIGINT) "
-            "/ 4294967296.0")
-
-
 def SPLIT_CTES():
+    order = f"md5(concat_ws('|', '{K.SEED}', 'split', user_pseudo_id)), user_pseudo_id"
     return training_ctes() + [("split", f"""
-SELECT *, {_seed_frac_sql('split', 'user_pseudo_id')} < {K.VALIDATION_FRACTION} AS is_validation FROM training""")]
+SELECT *, row_number() OVER (PARTITION BY target_cluster ORDER BY {order})
+          <= floor({K.VALIDATION_FRACTION} * count(*) OVER (PARTITION BY target_cluster) + 0.5) AS is_validation
+FROM training""")]
 
 
 # -- W7 -----------------------------------------------------------------------
@@ -336,10 +339,10 @@ def q_sequence_predictions(spark, sf_dir):
 # -- M12 ----------------------------------------------------------------------
 @register("cascade_evaluation")
 def q_cascade_evaluation(spark, sf_dir):
-    """Per-model and end-to-end cascade metrics on the validation split.
+    """Per-model and end-to-end cascade metrics on the whole validation split.
 
-    The cascade runs on the 500-user evaluation sample with each user's last
-    25 events as the sequence, as at serving time.
+    The cascade reads each user's last 25 events as the sequence, as at
+    serving time.
     """
     stack = trained_stack(spark, sf_dir)
     users, seqs = model_inputs(spark, sf_dir)
@@ -351,8 +354,7 @@ def q_cascade_evaluation(spark, sf_dir):
     for name, prob in (("random_forest", "rf_prob"), ("deep_model", "mlp_prob"), ("lstm", "seq_prob")):
         p = _pred_cols(scored.where(F.col(prob).isNotNull()), prob)
         rows.append(E.metrics(E.confusion(p)).select(F.lit(name).alias("model"), "accuracy", "f1_weighted", "n"))
-    sample = E.eval_sample(val)
-    casc = M.cascade(M.score(sample, stack, "eval_tokens"))
+    casc = M.cascade(M.score(val, stack, "eval_tokens"))
     cp = casc.select(F.col("target_cluster").alias("label"), F.col("cascade_cluster").alias("prediction"))
     rows.append(E.metrics(E.confusion(cp)).select(F.lit("deployed_pipeline").alias("model"), "accuracy",
                                                    "f1_weighted", "n"))
@@ -389,10 +391,12 @@ def q_personalize_all(spark, sf_dir):
     stack = trained_stack(spark, sf_dir)
     _, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
     req = default_requests(spark, sf_dir)
-    routed = route(req, True).where(F.col("path") != "cold")
-    preds = M.cascade(M.score(routed, stack, "recent_sequence")).select(
-        "request_id", F.col("cascade_cluster").alias("m_cluster"), F.col("cascade_confidence").alias("m_confidence"),
-        F.col("cascade_source").alias("m_source"))
+    preds = None  # too little data for a model: every request is cold
+    if stack is not None:
+        routed = route(req, True).where(F.col("path") != "cold")
+        preds = M.cascade(M.score(routed, stack, "recent_sequence")).select(
+            "request_id", F.col("cascade_cluster").alias("m_cluster"),
+            F.col("cascade_confidence").alias("m_confidence"), F.col("cascade_source").alias("m_source"))
     pages = personalize(req, table, defaults, catalog(spark, sf_dir), names=segment_names(users),
                         predictions=preds)
     return flatten_document(page_document(pages)).select(*PAGE_FLAT)

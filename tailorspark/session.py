@@ -22,10 +22,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
-    # local runs only: the driver is the executor; a cluster sets its own sizes
-    "spark.driver.memory": "8g",
 }
+#: Local runs only: the driver is the executor.  A cluster sets its own sizes.
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
 
 # Merging scalar subqueries can leave a reference that code generation cannot
 # compile when scalar subqueries nest (one-row statistics computed over frames
@@ -40,8 +39,9 @@ def get_session(master: str | None = None, app_name: str = "tailorspark", **conf
         ensure_checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or os.environ.get("TAILORSPARK_MASTER", "local[*]"))
-    for k, v in {**DEFAULT_CONF, **conf}.items():
+    master = master or os.environ.get("TAILORSPARK_MASTER", "local[*]")
+    builder = builder.master(master)
+    for k, v in {**DEFAULT_CONF, **(LOCAL_CONF if master.startswith("local") else {}), **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -65,16 +65,14 @@ def is_local(spark: SparkSession) -> bool:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset."""
     ensure_sql_rules(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    set_ = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or set_
     if not path:
         if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tailorspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    try:
+    if not set_:
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # sessions without a SparkContext handle use the conf alone
-        pass
     return path
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tailorspark.operators.catalog import category_counts, rank_catalog, small_categories
+from tailorspark.operators.catalog import rank_catalog
 from tailorspark.operators.pages import flatten_document, page_document, personalize
 from tailorspark.session import materialize
 from tailorspark.sources.requests import REQUEST_SCHEMA, apply_request_defaults
@@ -25,17 +25,15 @@ PAYLOAD_SCHEMA = T.StructType([T.StructField("request_id", T.StringType()),
 
 def run_personalize_stream(spark: SparkSession, in_dir: str, out_dir: str, ckpt: str, cold_table: DataFrame,
                            defaults: DataFrame, catalog: DataFrame, names: DataFrame | None = None,
-                           max_files: int = 4, timeout_s: int = 900) -> DataFrame:
+                           max_files: int = 4, timeout_s: int | None = None) -> DataFrame:
     src = (spark.readStream.schema(PAYLOAD_SCHEMA).option("maxFilesPerTrigger", max_files).json(in_dir))
-    # static sides prepared once: the ranked catalog is materialised and the
-    # category-size decision is taken before the first batch
+    # the static side is prepared once, before the first batch
     ranked = materialize(rank_catalog(catalog))
-    small = small_categories(category_counts(catalog))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         req = batch.select("request_id", "user_agent", F.from_json("payload", REQUEST_SCHEMA).alias("_r"))
         req = apply_request_defaults(req.select("request_id", "user_agent", "_r.*"))
-        pages = personalize(req, cold_table, defaults, catalog, names=names, ranked=ranked, small=small)
+        pages = personalize(req, cold_table, defaults, catalog, names=names, ranked=ranked)
         doc = page_document(pages)
         doc.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 

@@ -99,8 +99,11 @@ def latest_per_user(out: DataFrame) -> DataFrame:
 
 
 def run_to_completion(spark: SparkSession, stream: DataFrame, out_path: str, ckpt_path: str,
-                      timeout_s: int = 600) -> DataFrame:
-    """Run an append-mode stream with availableNow into parquet; return the output."""
+                      timeout_s: int | None = None) -> DataFrame:
+    """Run an append-mode stream with availableNow into parquet; return the output.
+
+    ``timeout_s``: give up after so long (none by default: a backlog may take its time).
+    """
     q = (stream.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", ckpt_path).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)

@@ -128,16 +128,11 @@ def test_modules_exclude_primary_when_single_category(spark):
 
 def test_target_category_seeded_when_none_valid(spark):
     cat = _catalog(spark)
-    req = spark.createDataFrame([("r1", []), ("r1b", ["Mars"]), ("r2", ["Shoes", "Furniture", None])],
+    req = spark.createDataFrame([("r1", ["Shoes", None, "ZZZ"]), ("r2", []), ("r3", ["ZZZ"])],
                                 "request_id string, c array<string>")
-    for small in (True, False):
-        got = {r.request_id: r.target_category for r in target_category(req, category_counts(cat), "c",
-                                                                         small=small).collect()}
-        assert got["r2"] == "Furniture"
-        assert got["r1"] in {"Shoes", "Accessories", "Furniture"}
-    a = target_category(req, category_counts(cat), "c", small=True).where("request_id = 'r1'").first()
-    b = target_category(req, category_counts(cat), "c", small=False).where("request_id = 'r1'").first()
-    assert a.target_category == b.target_category
+    out = {r.request_id: r.target_category for r in target_category(req, category_counts(cat), "c").collect()}
+    names = {r.category for r in category_counts(cat).collect()}
+    assert out["r1"] == "Shoes" and out["r2"] in names and out["r3"] in names
 
 
 def test_recent_buffer_keeps_last_twenty(spark):
@@ -205,7 +200,7 @@ def test_lookup_tables_roundtrip_and_absent(spark, tmp_path):
     assert r.source == K.SOURCE_GLOBAL and r.cluster == 0 and r.top_category == K.GLOBAL_TOP_CATEGORY
 
 
-def test_recency_winner_paths_agree(spark):
+def test_recency_winner(spark):
     from tailorspark.operators.catalog import recency_winner
 
     cat = _catalog(spark)
@@ -213,14 +208,78 @@ def test_recency_winner_paths_agree(spark):
         ("r1", ["Shoes", "Furniture", "Shoes", "Mars", None, ""]),
         ("r2", ["Furniture"] + ["Shoes"] * 9),
         ("r3", []), ("r4", None)], "request_id string, c array<string>")
-    for base in (2.0, 1.5, 1.0):
-        a = {r.request_id: r.recency for r in recency_winner(req, category_counts(cat), "c", base=base,
-                                                             small=True).collect()}
-        b = {r.request_id: r.recency for r in recency_winner(req, category_counts(cat), "c", base=base,
-                                                             small=False).collect()}
-        assert a == b
-        assert a["r3"] is None and a["r4"] is None
-    assert a["r1"].category == "Shoes" and a["r1"].score == 2.0
+    got = {r.request_id: r.recency for r in recency_winner(req, category_counts(cat), "c", base=1.0).collect()}
+    assert got["r3"] is None and got["r4"] is None
+    assert got["r1"].category == "Shoes" and got["r1"].score == 2.0 and got["r2"].category == "Shoes"
+
+
+def test_many_categories(spark):
+    """5,000 categories: the target and the second category follow from plain positions."""
+    from tailorspark.operators.catalog import secondary_category, seeded_int, target_category
+
+    cats = spark.range(5000).select(F.format_string("c%05d", "id").alias("category"), F.lit(1).alias("m"))
+    req = spark.range(300).select(F.concat(F.lit("r"), "id").alias("request_id"), F.when(
+        F.col("id") % 2 == 0, F.array(F.format_string("c%05d", F.col("id") * 7))).alias("c"))
+    out = secondary_category(target_category(req, cats, "c"), cats)
+    out = out.withColumns({"t": seeded_int(F.lit("target"), F.col("request_id")),
+                           "s": seeded_int(F.lit("secondary"), F.col("request_id"))}).collect()
+    for r in out:
+        i = int(r.c[0][1:]) if r.c else r.t % 5000
+        assert (r.target_category, r.secondary_category) == (f"c{i:05d}", f"c{(i + 1 + r.s % 4999) % 5000:05d}")
+
+
+def test_listed_rows_with_repeated_ids(spark):
+    from tailorspark.operators.catalog import products_by_category
+
+    cat = spark.createDataFrame([("1", "a", "Shoes"), ("1", "b", "Shoes"), ("2", "c", None)], "id string, name string, category string")
+    want = spark.createDataFrame([("Shoes",), ("Unknown",)], "category string")
+    got = products_by_category(cat, want).select("id", "name", "category")
+    assert sorted(map(tuple, got.collect())) == [("1", "a", "Shoes"), ("1", "b", "Shoes"), ("2", "c", "Unknown")]
+
+
+def test_unnamed_events_keep_their_place(spark):
+    from tailorspark.operators.features import event_positions, event_sequences
+
+    act = spark.createDataFrame([("u", 1, "view", 10), ("u", 2, None, 20), ("u", 3, "purchase", 30), (None, 4, "view", 40)],
+                                "user_pseudo_id string, event_id long, event_name string, s long")
+    act = act.withColumn("event_ts", F.timestamp_seconds("s")).drop("s")
+    r = event_sequences(act).first()
+    assert (r.n_events, r.first_ids, r.last_ids) == (3, [2, 0, 1], [2, 0, 1])
+    got = sorted((x.position, x.event_id, x.event_index, x.n_events) for x in event_positions(act).collect())
+    assert got == [(0, 1, 2, 3), (1, 2, 0, 3), (2, 3, 1, 3)]
+
+
+def test_split_is_exact_in_every_class(spark):
+    from tailorspark.operators.evaluate import stratified_split
+
+    rows = [(f"u{c}-{k}", c) for c in range(30) for k in range(10)] + [(f"big{k}", 99) for k in range(1003)] + [("one", 50)]
+    out = stratified_split(spark.createDataFrame(rows, "user_pseudo_id string, target_cluster int"))
+    got = {r.target_cluster: (r.v, r.n) for r in out.groupBy("target_cluster").agg(
+        F.count_if("is_validation").alias("v"), F.count("*").alias("n")).collect()}
+    assert got == {**{c: (2, 10) for c in range(30)}, 99: (201, 1003), 50: (0, 1)}
+
+
+def test_catalog_from_json(spark, tmp_path):
+    import json
+
+    from tailorspark.sources.catalog import load_catalog
+
+    items = [{"id": "1", "name": "a", "category": "Shoes", "price": 1.5}, {"id": "2", "name": "b"}]
+    (tmp_path / "c.json").write_text(json.dumps(items, indent=1))
+    got = load_catalog(spark, str(tmp_path / "c.json"), array=True).orderBy("catalog_pos").collect()
+    assert [(r.id, r.category, r.price) for r in got] == [("1", "Shoes", 1.5), ("2", "Unknown", None)]
+
+
+def test_no_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tailorspark import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "yarn" if k == "spark.master" else
+                                                   "" if "Rules" in k else d, set=lambda k, v: None),
+                              sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(cluster)
 
 
 def test_metrics_match_mllib_evaluator(spark):
