@@ -91,21 +91,24 @@ def template_vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> D
 
 
 def classify(notices: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = MIN_COSINE) -> DataFrame:
-    """``(notice, license, cosine)`` of the distinct notices that resemble a template."""
+    """``(id, license, cosine)`` of the notices ``(id, notice)`` that resemble a template, a row per id.
+
+    Terms carry the notice's id, not its text: a whole licence text has many.
+    """
     vectors = stored(template_vectors(notices.sparkSession, templates), "templates")
     idf = vectors.select("term", "idf").distinct()
     unseen = F.lit(1.0 + len(templates))
-    tf = notices.select("notice").distinct().select("notice", F.explode(_terms(F.col("notice"))).alias("term")) \
-        .groupBy("notice", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, "term", "left").select("notice", "term", (F.col("tf") * F.coalesce("idf", F.log(unseen) + 1)).alias("w"))
-    norm = w.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = w.join(vectors, "term").groupBy("notice", "template", "license").agg(
+    tf = notices.select("id", F.explode(_terms(F.col("notice"))).alias("term")) \
+        .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(idf, "term", "left").select("id", "term", (F.col("tf") * F.coalesce("idf", F.log(unseen) + 1)).alias("w"))
+    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = w.join(vectors, "term").groupBy("id", "template", "license").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, "notice").select("notice", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    cosine = dot.join(norm, "id").select("id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     # the largest cosine, and of equal ones the first licence
-    best = cosine.groupBy("notice", "license").agg(F.max("cosine").alias("cosine")).groupBy("notice").agg(
+    best = cosine.groupBy("id", "license").agg(F.max("cosine").alias("cosine")).groupBy("id").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select("notice", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")) \
+    return best.select("id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")) \
         .where(F.col("cosine") >= least)
 
 
@@ -127,9 +130,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
     units = files.where(text.rlike(CUE) | whole).select(
         key.alias("_key"), F.explode(F.array_distinct(F.concat(
-            lines, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))).alias("notice")).distinct()
-    units = stored(units, "notices")
-    found = units.join(stored(classify(units, templates, least), "licenses"), "notice")
+            lines, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))).alias("notice"))
+    units = stored(units.select("_key", F.unhex(F.md5("notice")).alias("id"), "notice").distinct(), "notices")
+    notices = units.groupBy("id").agg(F.min("notice").alias("notice"))
+    found = units.select("_key", "id").join(stored(classify(notices, templates, least), "licenses"), "id")
     own = found.groupBy("_key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")) \
         .select("_key", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"))
     own = stored(own, "own")
