@@ -51,10 +51,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: Ids per row of the token-byte table.
+PAGE = 256
+
+
 def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """``(id, token)``: as many rows as the vocabulary has entries."""
-    return spark.createDataFrame(pd.DataFrame({"id": list(ranks.values()), "token": list(ranks)}),
-                                 "id int, token binary")
+    """``(page, tokens)``: the vocabulary's tokens by id, ``PAGE`` ids a row (null where an id has none)."""
+    pages: dict[int, list] = {}
+    for token, i in ranks.items():
+        pages.setdefault(i // PAGE, [None] * PAGE)[i % PAGE] = token
+    return spark.createDataFrame(sorted(pages.items()), "page int, tokens array<binary>")
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -181,19 +187,19 @@ class Encoded:
     def decoded(self) -> DataFrame:
         """``(doc_id, ids, data)``: the ids, and the bytes that they decode to."""
         table = token_table(self.blocks.sparkSession, self._ranks)
-        used = self.words.mapInPandas(_used_ids, "block long, id int").distinct()
-        pieces = used.join(table, "id").groupBy("block").agg(F.collect_list(F.struct("id", "token")).alias("pieces"))
+        used = self.words.mapInPandas(_used_pages, "block long, page int").distinct()
+        pieces = used.join(table, "page").groupBy("block").agg(F.collect_list(F.struct("page", "tokens")).alias("pieces"))
         none = [F.lit(None).cast(k).alias(c) for c, k in self.words.dtypes[1:]]
-        answers = self.words.select("*", F.lit(None).cast("array<struct<id:int,token:binary>>").alias("pieces")) \
+        answers = self.words.select("*", F.lit(None).cast("array<struct<page:int,tokens:array<binary>>>").alias("pieces")) \
             .union(pieces.select("block", *none, "pieces"))
         return self._assembled(answers, True)
 
 
-def _used_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _used_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for block, tokens in b.groupby("block")["tokens"]:
-            ids = np.unique(np.concatenate([_unpack_numbers(t) for t in tokens]))
-            yield pd.DataFrame({"block": block, "id": ids.astype(np.int32)})
+            pages = np.unique(np.concatenate([_unpack_numbers(t) for t in tokens]) // PAGE)
+            yield pd.DataFrame({"block": block, "page": pages.astype(np.int32)})
 
 
 def _assemble(decode: bool):
@@ -217,7 +223,7 @@ def _assemble(decode: bool):
             pieces = {}
             for listed in rows["pieces"]:
                 if listed is not None:
-                    pieces |= {p["id"]: bytes(p["token"]) for p in listed}
+                    pieces |= {p["page"] * PAGE + k: bytes(t) for p in listed for k, t in enumerate(p["tokens"]) if t is not None}
             ids = tokens.tolist()
             table = [b"".join([pieces[i] for i in ids[a:a + n]]) for a, n in zip(begin.tolist(), lens.tolist())]
         out, data, at = [], [], 0
