@@ -28,6 +28,10 @@ HEADLINE = [
     "catalog_bootstrap",
     "classification_metrics",
     "prediction_cascade",
+    # model queries: the first one to run includes the fit of the stack
+    "calibrated_forest",
+    "cascade_evaluation",
+    "personalize_all",
 ]
 
 
