@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailorspark.llm.components import connected_components
-from tailorspark.llm.store import stored
+from tailorspark.llm.store import discard, stored
 from tailorspark.llm.textvec import Words, mix64, pieces
 
 _U = np.uint64
@@ -316,7 +316,9 @@ def _group_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> D
         member = stored(member.join(taken, "rep", "left_anti"), "bands")
     pairs = stored(pairs.distinct(), "pairs")
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
-    return _links(pairs, sets, percent)
+    links = stored(_links(pairs, sets, percent), "group_links")
+    discard(sets)  # the largest table so far, and the links do not need it
+    return links
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -327,7 +329,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(
         F.min("doc_id").alias("rep"), F.first("mins").alias("mins")).where("rep is not null"), "classes")
 
-    group_links = stored(_group_links(classes, docs, n, percent), "group_links")
+    group_links = _group_links(classes, docs, n, percent)
     grouped = connected_components(group_links)
     member = stored(classes.select("rep").distinct().join(grouped, F.col("rep") == F.col("node"), "left")
                     .select("rep", F.coalesce("component", "rep").alias("grp")), "groups")

@@ -19,7 +19,17 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more (results built on them are stored)."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_by_key(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
