@@ -25,6 +25,15 @@ from pyspark.sql import types as T
 
 from tailorspark.llm.automaton import Automaton
 
+# A private key reaches to its end line, whatever its length; without one (cut off, or another block begins first)
+# to the end of its header fields and base64 lines, of which only the last may be short.  Line breaks may be
+# escaped and lines quoted or indented, as in source code and JSON.
+_KEY = r"(?:[A-Z]+ )*PRIVATE KEY-----"
+_TO_END = rf"(?:[^-]++|-(?!----BEGIN |----END {_KEY}))*+-----END {_KEY}"
+_KEY_GAP = r"(?:\\[nrt]|[\s\"'`>#*|,;+\\])*+"
+_KEY_LINES = (rf"(?:{_KEY_GAP}(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}))*+"
+              r"(?:(?<=[A-Za-z0-9+/=])(?:\\r)?(?:\\n|\r?\n)[\x20\t\"'>#*]*+[A-Za-z0-9+/]+={0,2}(?=[\x20\t\"',;]*+(?:[\r\n\\]|\Z)))?+")
+
 # Kind, trigger, rule (value in group "v" where a least length holds), least length.
 RULES = [
     ("assign",
@@ -32,7 +41,7 @@ RULES = [
      r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(?P<v>[A-Za-z0-9+/_.=-]+)", 6),
     ("access", r"AKIA[A-Z0-9]{6}", r"(?P<v>AKIA[A-Z0-9]+)", 20),
     ("hex", r"[0-9a-f]{24}", r"(?P<v>[0-9a-f]+)", 24),
-    ("private_key", r"-----BEGIN ", r"(?P<v>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1),
+    ("private_key", r"-----BEGIN ", rf"(?P<v>-----BEGIN {_KEY}(?:{_TO_END}|{_KEY_LINES}))", 1),
     ("github", r"gh[pousr]_[A-Za-z0-9]{4}", r"(?P<v>gh[pousr]_[A-Za-z0-9]{36,})", 1),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{2}", r"(?P<v>xox[abprs]-[A-Za-z0-9-]{10,})", 1),
     ("google", r"AIza[A-Za-z0-9_-]{4}", r"(?P<v>AIza[A-Za-z0-9_-]{35})", 1),

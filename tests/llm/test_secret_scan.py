@@ -55,3 +55,19 @@ def test_redaction(spark):
     table = docs(spark, [text, None, "clean é", ""])
     got = rows(S.redact(table), "doc_id", "text")
     assert got == [(0, "a [SECRET] b [SECRET] c"), (1, None), (2, "clean é"), (3, "")]
+
+
+def test_redaction_of_whole_private_keys(spark):
+    body = [("Ab+/9" * 13)[:64]] * 25 + ["Zx9Q=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines, fields = "\n".join(body), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = [f"a\n{begin}\n{lines}\n{end}\nThe end", f"a\r\n{begin}\r\n" + "\r\n".join(body) + f"\r\n{end} b",
+             f"{begin}\n{fields}{lines}\n{end}", '{"key": "' + f"{begin}\\n" + "\\n".join(body) + f"\\n{end}" + '\\n"}',
+             f"a\n{begin}\n{lines}\nThe end is missing", f"a {begin}\n{fields}{lines}", f"{begin}\n{lines}\n{begin}\n{lines}\n{end}\nc",
+             f"{begin}\n" + f"{body[0]}\n" * 5000 + f"{end} long", f"{begin} is how a key begins", f"{begin}\n\nThe text goes on",
+             f"{begin}\n{lines}\n-----BEGIN CERTIFICATE-----\nabc"]
+    mark = S.MARK
+    assert [r[1] for r in rows(S.redact(docs(spark, texts)), "doc_id", "text")] == [
+        f"a\n{mark}\nThe end", f"a\r\n{mark} b", mark, '{"key": "' + mark + '\\n"}', f"a\n{mark}\nThe end is missing", f"a {mark}",
+        f"{mark}\n{mark}\nc", f"{mark} long", f"{mark} is how a key begins", f"{mark}\n\nThe text goes on",
+        f"{mark}\n-----BEGIN CERTIFICATE-----\nabc"]
