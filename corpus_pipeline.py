@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again as Parquet.
 
 1. language ID        documents whose language margin is narrow, or without a letter, go
-2. near duplicates    of each class of the n-gram Jaccard join the smallest doc_id stays
+2. near duplicates    of each class of the n-gram Jaccard join (five words, 0.8) the smallest doc_id stays
 3. decontamination    documents contaminated by the benchmark go
 4. secrets            every secret in a text is replaced by a mark; all documents stay
 5. byte-level BPE     token ids of every document, as digests, with the decoded bytes' digest
@@ -21,6 +21,9 @@ from tailorspark.llm import bpe, decontaminate, jaccard_join, langid, secret_sca
 from tailorspark.llm.queries import bpe_digests
 from tailorspark.llm.store import id_bucket, stored
 
+#: Words of a gram and least Jaccard in percent of the near-duplicate stage; ``op5`` has values of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = id_bucket(F.col("doc_id"), 3) != 1
@@ -29,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.jaccard_classes(docs)
+    classes = jaccard_join.jaccard_classes(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])

@@ -48,3 +48,14 @@ def test_empty_corpus(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark, tmp_path):
+    words = [f"w{k}" for k in range(50)]
+    one = [*words[:25], "other", *words[26:]]  # Jaccard 41/51 by five words, 43/51 by four
+    both = [*one[:10], "more", *one[11:]]
+    table = docs(spark, [" ".join(w) for w in (words, one, both)], [1, 2, 3])
+    assert rows(corpus_pipeline.near_duplicates(spark, table.where("doc_id <> 3"), str(tmp_path)), "doc_id") == [(1,)]
+    far = docs(spark, [" ".join(words), " ".join(both)], [1, 3])
+    assert rows(corpus_pipeline.near_duplicates(spark, far, str(tmp_path)), "doc_id") == [(1,), (3,)]
+    assert rows(corpus_pipeline.jaccard_join.jaccard_classes(table), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 3)]
