@@ -31,7 +31,8 @@ def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "tokens")
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizers().path("byte_bpe_50k.json"), END_ID)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizers().path("byte_bpe_50k.json"), END_ID,
+                             added_tokens=True)
     place = token_files.read_metadata(spark, path).select("part", "row", "doc_id", "start")
     sums = token_files.checksums(token_files.read_tokens(spark, path))
     return place.join(sums, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -11,6 +11,9 @@ Documents are range-partitioned by (doc_id, hash of the text): a doc_id on a
 third of all rows spreads over several files.  Each file's task encodes the
 distinct pre-tokens of its own text, a block at a time.
 
+The definition's added tokens (``<|endoftext|>``) are ordinary text, or with
+``added_tokens`` found in the texts first, as the library does unless told otherwise.
+
 Defined results: null text -> the end id alone.  A null doc_id sorts first; rows
 with one doc_id follow each other by text hash.  An empty table gives no rows.
 Other columns are not read.
@@ -18,6 +21,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,30 +57,50 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Encoder:
-    """Texts to ids: distinct pre-tokens once each, through the tokenizers library's model."""
+    """Texts to ids: distinct pre-tokens once each, through the tokenizers library's model.
+
+    ``added_tokens``: texts are split at the definition's added tokens, which have ids of their own.
+    """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added_tokens: bool):
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_str(definition).model
+        whole = Tokenizer.from_str(definition)
+        self.model = whole.model
         self.letters = _byte_letters()
+        added = whole.get_added_tokens_decoder() if added_tokens else {}
+        for t in added.values():
+            if t.single_word or t.lstrip or t.rstrip or t.normalized:
+                raise ValueError(f"added token {t.content!r}: only tokens found as they stand are supported")
+        self.added = {t.content: np.array([i], np.int32) for i, t in added.items() if t.content}
+        # the leftmost, and of those that begin there the longest
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + ("|".join(map(re.escape, longest)) or "(?!)") + ")").split
 
     def ids(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        v = Vocabulary(texts)
+        parts = [self.split(t) for t in texts]  # text, added token, text, ...
+        v = Vocabulary([t for p in parts for t in p[::2]])
         mapped = (w.encode().decode("latin-1").translate(self.letters) for w in v.words)
         words = [[t.id for t in self.model.tokenize(w)] for w in mapped]
         lens = np.array([len(w) for w in words], np.int64)
         begin = np.cumsum(lens) - lens
         flat = np.fromiter((i for w in words for i in w), np.int32, int(lens.sum()))
-        out, at = [], 0
-        for n in v.counts.tolist():
-            out.append(np.append(take_runs(flat, begin, lens, v.codes[at:at + n]), np.int32(end_id)))
-            at += n
+        out, at, counts, end = [], 0, iter(v.counts.tolist()), np.array([end_id], np.int32)
+        for p in parts:
+            found = []
+            for k, piece in enumerate(p):
+                if k % 2:
+                    found.append(self.added[piece])
+                else:
+                    n = next(counts)
+                    found.append(take_runs(flat, begin, lens, v.codes[at:at + n]))
+                    at += n
+            out.append(np.concatenate([*found, end]))
         return out
 
 
-def _encode(definition, end_id: int):
+def _encode(definition, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, part, row = _Encoder(definition.value), TaskContext.get().partitionId(), 0
+        coder, part, row = _Encoder(definition.value, added_tokens), TaskContext.get().partitionId(), 0
         ids, texts, size = [], [], 0
 
         def block() -> pd.DataFrame:
@@ -98,7 +122,7 @@ def _encode(definition, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, added_tokens: bool = False) -> None:
     """Encode every text, append ``end_id``, and write files in ascending doc_id order to ``path``."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -108,7 +132,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     keyed = docs.withColumn("h", F.xxhash64("text"))
     # a count of its own keeps adaptive execution from merging ranges: a partition is a file
     ranged = keyed.repartitionByRange(max(1, -(-chars // FILE_CHARS)), "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    ranged.select("doc_id", "text").mapInPandas(_encode(definition, end_id), SCHEMA) \
+    ranged.select("doc_id", "text").mapInPandas(_encode(definition, end_id, added_tokens), SCHEMA) \
         .write.options(**WRITE_OPTIONS).parquet(path)
 
 

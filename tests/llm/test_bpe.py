@@ -101,3 +101,18 @@ def test_token_files_of_nothing_and_of_null_and_repeated_ids(spark, tmp_path):
     token_files.write_tokens(docs(spark, ["a", "b", "a", "c"], ids=[5, None, 5, 5]), path, P.path("byte_bpe_50k.json"), 2)
     assert rows(token_files.read_metadata(spark, path), "doc_id", "start", "n_tokens") == [
         (None, 0, 2), (5, 2, 2), (5, 4, 2), (5, 6, 2)]
+
+
+def test_token_files_query_has_the_librarys_ids_with_added_tokens(spark, tmp_path, monkeypatch):
+    from tailorspark.llm import queries
+    monkeypatch.setattr(token_files, "BLOCK_CHARS", 400)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x \n<|endoftext|><|endoftext|>\n y's", "<|endoftext|", *TEXTS]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        tokens = t.encode(text or "", add_special_tokens=False).ids + [queries.END_ID]
+        want.append((i, start, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes())))
+        start += len(tokens)
+    assert want[0][2] == 4
+    assert rows(queries.op2_token_files(spark, str(tmp_path)), "doc_id", "start", "n_tokens", "ids_crc32") == want
