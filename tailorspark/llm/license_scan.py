@@ -1,10 +1,13 @@
 """Licence scans in DataFrame functions only.
 
-A file's *notices* are its lines with a licence cue; a licence file's whole text
-is a notice too.  Notices and licence templates are sparse TF-IDF vectors
+A file's *notices* are its lines with a licence cue, its blocks of consecutive
+lines (paragraphs, runs of comment lines) with one, and a licence file's whole text.
+Notices and licence templates are sparse TF-IDF vectors
 (counts times ``ln((1 + N) / (1 + df)) + 1`` over the N templates; a word that no
 template has weighs as df = 0), and a notice has the licence of the template
-with the largest cosine, if that is at least ``MIN_COSINE``.
+with the largest cosine, if that is at least ``MIN_COSINE``.  One-sentence notices
+(``TEMPLATES``) and licence bodies and headers (``BODIES``) are two such sets of
+templates; "All rights reserved" decides only if nothing else in the file does.
 
 A file without a notice of its own inherits: of the licence files in its
 directory and the directories above, up to its repository's root, the nearest
@@ -33,6 +36,9 @@ MIN_COSINE = 0.6
 CUE = r"(?i)licen[cs]e|licensing|copyright|copyleft|spdx|public domain|all rights reserved"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 _SEPARATORS = r"[^0-9a-z.+]+"
+#: Blocks of lines: without a blank line, or comments of one kind with the empty comment lines between.
+_BLANK = r"\n[\x20\t\r]*\n"
+_COMMENTS = r"(?:(?<![^\n])[\x20\t]*+(?:#|//|/?\*|--|;|%|\"|')[^\n]*+(?:\n|\z))++"
 
 # Notices by which the licences are commonly stated.
 TEMPLATES = [
@@ -72,6 +78,85 @@ TEMPLATES = [
 ]
 
 
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: ")
+_MIT_REST = ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+             "the Software. ")
+_AS_IS = ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+          "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+          "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+          "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. ")
+_BSD_3 = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission. ")
+_BSD_REST = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+             "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+             "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+             "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+             "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+             "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING "
+             "IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. ")
+_ISC_REST = ("THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+             "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+             "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+             "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+             "USE OR PERFORMANCE OF THIS SOFTWARE.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
+           "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 ")
+_APACHE_REST = ("Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See "
+                "the License for the specific language governing permissions and limitations under the License.")
+_UNLICENSE = ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+              "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+              "purpose, commercial or non-commercial, and by any means. ")
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    """The GNU licences' header: its first paragraph, and all three."""
+    first = (f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+             f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+             f"later version. ")
+    return [first, first + "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+            "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            f"{name} for more details. You should have received a copy of the GNU {name} along with this program. If not, see "
+            "https://www.gnu.org/licenses/."]
+
+
+# Bodies, standard headers and (of the long licences) titles; vectors of their own, beside TEMPLATES.
+BODIES = [
+    *[("AGPL-3.0", t) for t in _gnu("Affero General Public License", "3")],
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", _APACHE), ("Apache-2.0", _APACHE + _APACHE_REST),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", _BSD), ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("BSD-3-Clause", _BSD + _BSD_3), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_REST),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    *[("GPL-2.0", t) for t in _gnu("General Public License", "2")],
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    *[("GPL-3.0", t) for t in _gnu("General Public License", "3")],
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", _ISC), ("ISC", _ISC + _ISC_REST),
+    *[("LGPL-3.0", t) for t in _gnu("Lesser General Public License", "3")],
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", _MIT), ("MIT", _MIT + _MIT_REST), ("MIT", _MIT + _MIT_REST + _AS_IS),
+    ("MPL-2.0", _MPL), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + _AS_IS),
+]
+
+
 def _terms(text: Column) -> Column:
     """Lower-case words; full stops only count inside one (version numbers)."""
     words = F.transform(F.split(F.lower(text), _SEPARATORS), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
@@ -116,7 +201,8 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(path, F.lit("")), r"(^|/)[^/]*$", "")
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = MIN_COSINE) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = MIN_COSINE,
+         bodies: list[tuple[str, str]] = BODIES) -> DataFrame:
     """Add to every row of ``files`` (repo, path, text, any others): ``own_license``, ``own_cosine``,
     ``inherited_license``, ``inherited_from`` (a directory, "" the root) and ``license`` (own, else
     inherited).  Columns of those names in ``files`` are replaced.
@@ -128,13 +214,17 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     key = F.md5(F.concat(F.when(whole, "1").otherwise("0"), F.coalesce("text", F.lit(""))))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
+    blocks = F.filter(F.concat(F.split(text, _BLANK), F.regexp_extract_all(text, F.lit(_COMMENTS), F.lit(0))),
+                      lambda x: x.rlike(CUE))
     units = files.where(text.rlike(CUE) | whole).select(
         key.alias("_key"), F.explode(F.array_distinct(F.concat(
-            lines, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))).alias("notice"))
+            lines, blocks, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))).alias("notice"))
     units = stored(units.select("_key", F.unhex(F.md5("notice")).alias("id"), "notice").distinct(), "notices")
     notices = units.groupBy("id").agg(F.min("notice").alias("notice"))
-    found = units.select("_key", "id").join(stored(classify(notices, templates, least), "licenses"), "id")
-    own = found.groupBy("_key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")) \
+    licenses = classify(notices, templates, least).unionByName(classify(notices, bodies, least))
+    found = units.select("_key", "id").join(stored(licenses, "licenses"), "id")
+    own = found.groupBy("_key").agg(F.min(F.struct(
+        (F.col("license") == "Proprietary").alias("last"), (-F.col("cosine")).alias("c"), "license")).alias("b")) \
         .select("_key", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"))
     own = stored(own, "own")
 

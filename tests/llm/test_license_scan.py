@@ -51,3 +51,20 @@ def test_empty_table_and_clashing_columns(spark):
 def test_long_text(spark):
     text = "word " * 100_000 + "\nReleased under the MIT License."
     assert run(spark, [("r", "a", text), ("r", "LICENSE", text)]).select("own_license").distinct().first()[0] == "MIT"
+
+
+def test_bodies_headers_and_all_rights_reserved(spark):
+    import textwrap
+    body = {name: text for name, text in license_scan.BODIES if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")}
+    files = {name: "Copyright (c) 2020, Acme Corp. All rights reserved.\n\n" + textwrap.fill(text, 72) for name, text in body.items()}
+    header = ["This program is free software: you can redistribute it and/or modify",
+              "it under the terms of the GNU General Public License as published by",
+              "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    data = [(n, "LICENSE", t) for n, t in files.items()] + [(n, "a.py", "code") for n in files] + [
+        ("x", "plain.c", "\n".join(["int a;", "", *header, "", "int b;"])),
+        ("x", "comment.py", "\n".join([*("# " + h for h in header), "import os"])),
+        ("x", "mit.py", "\n".join(["# Copyright 2020 A", "#", *("# " + h for h in textwrap.wrap(body["MIT"], 70)), "import os"])),
+        ("x", "own.py", "# Copyright. All rights reserved.\ncode")]
+    got = {(r["repo"], r["path"]): r["license"] for r in run(spark, data).collect()}
+    assert got == {(n, p): n for n in files for p in ("LICENSE", "a.py")} | {
+        ("x", "plain.c"): "GPL-3.0", ("x", "comment.py"): "GPL-3.0", ("x", "mit.py"): "MIT", ("x", "own.py"): "Proprietary"}
