@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailorspark.llm import (
-    bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, quality_rank, quality_rules, secret_scan,
-    token_files)
+    bpe, decontaminate, divergence, html_extract, jaccard_join, langid, license_scan, periodic_runs, quality_rank,
+    quality_rules, secret_scan, token_files, url_filter)
 from tailorspark.llm.sql import ORACLES  # noqa: F401  (read by the entry module)
 from tailorspark.llm.store import id_bucket
 from tailorspark.session import scratch_dir
@@ -114,6 +114,52 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+#: Host rules of ``op12``: action, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [*(url_filter.host_rule(*r) for r in URL_RULES), *url_filter.GENERAL]
+    found = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def repeating_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document (by crc32 of doc_id) the words from a place on repeat a few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all(
+        F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("words"))
+    g = F.floor(F.col("h") / 10)
+    sized = chosen.withColumn("n", F.greatest(F.size("words"), F.lit(0)).cast("long"))
+    at = sized.withColumn("a", g % F.nullif("n", F.lit(0)))
+    at = at.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    words = F.transform(place, lambda i: F.get("words", i.cast("int")))
+    return at.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeating_tails(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(
+        "", r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"),
+        F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = found.withColumn("longest", longest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), "longest.length",
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_html_wrappers": op1_html_wrappers,
     "op2_token_files": op2_token_files,
@@ -125,5 +171,8 @@ QUERIES = {
     "op8_quality_rank": op8_quality_rank,
     "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_url_filter": op12_url_filter,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tailorspark.llm import license_scan, quality_rules
+from tailorspark.llm import license_scan, quality_rules, url_filter
 
 #: [\x20\x09-\x0D] and the words between.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -96,8 +96,60 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)"""
 
 
+def _op11() -> str:
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  coalesce(text, '') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, sum(n) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p
+      FROM n JOIN v USING (lang)),
+t AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q
+      FROM t JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+y AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+      FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM x UNION ALL SELECT * FROM y) QUALIFY part = 'pair' OR rank <= 10"""
+
+
+def _op12() -> str:
+    patterns = ", ".join(f"('{r.name}', '{r.regex}')" for r in url_filter.GENERAL)
+    return rf"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id,
+                  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS rest FROM pages),
+l(action, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                           ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b AS (SELECT r, h || p AS rule, action FROM a JOIN l
+      ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+      QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) = 1),
+t(pattern, regex) AS (VALUES {patterns}),
+m AS (SELECT r, min(pattern) AS pattern FROM a JOIN t ON regexp_matches(host || path || rest, regex) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM a LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op6_quality_rules": _op6(),
     "op7_license_scan": _op7(),
     "op10_benchmark_decontamination": _op10(),
+    "op11_source_divergence": _op11(),
+    "op12_url_filter": _op12(),
 }
