@@ -125,6 +125,7 @@ FOREST_TREES = 200
 FOREST_DEPTH = 12
 MLP_HIDDEN = [128, 64]
 KMEANS_MAX_K = 6
+KMEANS_STARTS, KMEANS_FINAL_STARTS = 3, 5
 SMALL_CLUSTER_FRACTION = 0.01
 SMALL_CLUSTER_ABS = 20
 VALIDATION_FRACTION = 0.2

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailorspark import constants as K
+from tailorspark.session import stored
 
 # Revenue is summed exactly so that group means do not depend on the order in
 # which partitions are merged.
@@ -133,16 +134,33 @@ def _global_payload(table: DataFrame, defaults: DataFrame):
     return F.coalesce(g, fallback)
 
 
-def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFrame,
-                       bounded: bool = True, key: str = "request_id") -> DataFrame:
+#: Rows of a backoff level up to which it is sent to every executor (some 100 bytes a row).
+BROADCAST_ROWS = 200_000
+
+
+def lookup_index(table: DataFrame) -> DataFrame:
+    """The backoff table as one lookup: (lo, kv, _m), the level, its keys as an array, the payload.  Stored."""
+    level = {o: lvl for o, lvl in present_levels(list(K.BACKOFF_KEYS)) if lvl}
+    kv, payload = F.lit(None).cast("array<string>"), None
+    for o, lvl in level.items():
+        here = F.col("level_order") == o
+        kv = F.when(here, F.array(*[F.col(c) for c in lvl])).otherwise(kv)
+        payload = F.when(here, _payload(o, lvl)) if payload is None else payload.when(here, _payload(o, lvl))
+    return stored(table.where(F.col("level_order").isin(*level)).select(
+        F.col("level_order").alias("lo"), kv.alias("kv"), payload.alias("_m")), "backoff")
+
+
+def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFrame, key: str = "request_id",
+                       broadcast_rows: int = BROADCAST_ROWS, index: DataFrame | None = None) -> DataFrame:
     """Add ``resolved`` = first level (in backoff order) whose keys all match.
 
-    ``bounded=True`` (default support rule): each level holds at most about
-    n / max(10, n/2000) < 2,200 groups whatever n is, so every level table is
-    broadcast and joined map-side; the request stream is never shuffled.
-    ``bounded=False`` (support override): requests are exploded to one row
-    per level key and equi-joined on (level, key) with a shuffle, then the
-    lowest level order wins per request.
+    The lookup is stored and its rows are counted.  If no level has more than
+    ``broadcast_rows``, every level is broadcast and joined map-side: requests are
+    never shuffled (under the default support rule a level holds at most about
+    n / max(10, n/2000) < 2,200 groups whatever n is).  Else requests are exploded
+    to one row per level key and equi-joined on (level, key), and the lowest level
+    wins per request.  ``index``: ``lookup_index(table)``, if it is at hand (a stream
+    makes it once).
     """
     keys = [c for c in K.BACKOFF_KEYS if c in requests.columns]
     levels = [(o, lvl) for o, lvl in present_levels(keys) if lvl]
@@ -150,31 +168,19 @@ def resolve_cold_start(requests: DataFrame, table: DataFrame, defaults: DataFram
     for c in keys:
         req = req.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN)))
     glob = _global_payload(table, defaults)
-    if bounded:
+    index = lookup_index(table) if index is None else index
+    largest = max((r["n"] for r in index.groupBy("lo").agg(F.count(F.lit(1)).alias("n")).collect()), default=0)  # 9 rows
+    if largest <= broadcast_rows:
         names = []
         for o, lvl in levels:
-            t = table.where(F.col("level_order") == o).select(
-                *[F.col(c).alias(f"_k{o}_{c}") for c in lvl], _payload(o, lvl).alias(f"_m{o}"))
-            cond = None
-            for c in lvl:
-                e = req[c] == t[f"_k{o}_{c}"]
-                cond = e if cond is None else cond & e
-            req = req.join(F.broadcast(t), cond, "left").drop(*[f"_k{o}_{c}" for c in lvl])
+            t = index.where(F.col("lo") == o).select(F.col("kv").alias(f"_k{o}"), F.col("_m").alias(f"_m{o}"))
+            req = req.join(F.broadcast(t), F.array(*[F.col(c) for c in lvl]) == F.col(f"_k{o}"), "left").drop(f"_k{o}")
             names.append(f"_m{o}")
         return req.withColumn("resolved", F.coalesce(*[F.col(n) for n in names], glob)).drop(*names)
-    # unbounded: (level, key array) equi-join
     probes = F.array(*[F.struct(F.lit(o).alias("lo"), F.array(*[F.col(c) for c in lvl]).alias("kv"))
                        for o, lvl in levels])
     exploded = req.select(key, F.explode(probes).alias("_p")).select(key, "_p.lo", "_p.kv")
-    tk = table.where(F.col("level_order") < len(K.BACKOFF_LEVELS))
-    branches = []
-    for o, lvl in levels:
-        branches.append(tk.where(F.col("level_order") == o).select(
-            F.lit(o).alias("lo"), F.array(*[F.col(c) for c in lvl]).alias("kv"), _payload(o, lvl).alias("_m")))
-    tkeys = branches[0]
-    for b in branches[1:]:
-        tkeys = tkeys.unionByName(b)
-    best = exploded.join(tkeys, ["lo", "kv"]).groupBy(key).agg(F.min_by("_m", "lo").alias("_best"))
+    best = exploded.join(index, ["lo", "kv"]).groupBy(key).agg(F.min_by("_m", "lo").alias("_best"))
     out = req.join(best, key, "left")
     return out.withColumn("resolved", F.coalesce(F.col("_best"), glob)).drop("_best")
 

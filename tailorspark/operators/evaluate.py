@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tailorspark import constants as K
 from tailorspark.operators.partitioning import dense_index
+from tailorspark.session import stored
 from tailorspark.sources.tables import seed_col
 
 
@@ -75,6 +76,47 @@ def metrics(conf: DataFrame) -> DataFrame:
     return acc.withColumn("f1_weighted", wf1)
 
 
+def evaluation(predictions: DataFrame, model: str = "model", label: str = "label", prediction: str = "prediction",
+               source: str = "source") -> DataFrame:
+    """M12 (+ A12-A14): (model, scope, item, metric, value) of every model in ``predictions``.
+
+    ``predictions``: one row for each model and user; ``source`` may be null.  One aggregation by
+    grouping sets over the (model, label, prediction, source) counts, stored once; scope ``all`` has
+    accuracy, f1_weighted and n, ``class`` precision, recall, f1 and support of every label or
+    predicted class, ``source`` n and share of every source.
+    """
+    cells = predictions.groupBy(
+        F.col(model).alias("model"), F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("predicted"),
+        F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
+    m, c, p, s = (F.col(x) for x in ("model", "label", "predicted", "source"))
+    sets = stored(cells.withColumn("hit", hit).groupingSets([[m], [m, c], [m, p], [m, s]], m, c, p, s).agg(
+        F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.grouping_id().alias("by")), "evaluation")
+    # grouping_id: a bit for each rolled-up column of (model, label, predicted, source)
+    whole, by_label, by_prediction, by_source = (sets.where(F.col("by") == b) for b in (0b0111, 0b0011, 0b0101, 0b0110))
+    sides = by_label.select("model", F.col("label").alias("cls"), F.col("n").alias("support"), "hit", F.lit(0).alias("predicted")) \
+        .union(by_prediction.select("model", F.col("predicted").alias("cls"), F.lit(0), F.lit(0), F.col("n")))
+    tally = sides.groupBy("model", "cls").agg(*[F.sum(x).alias(x) for x in ("support", "hit", "predicted")])
+    precision = F.when(F.col("predicted") > 0, F.col("hit") / F.col("predicted")).otherwise(0.0)
+    recall = F.when(F.col("support") > 0, F.col("hit") / F.col("support")).otherwise(0.0)
+    # hit / mean of both counts: the harmonic mean of precision and recall
+    f1 = F.when(F.col("hit") > 0, 2 * F.col("hit") / (F.col("predicted") + F.col("support"))).otherwise(0.0)
+    classes = tally.select("model", "cls", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+    def rows(df: DataFrame, scope: str, item, **metrics) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()])
+        return df.select("model", F.lit(scope).alias("scope"), item.cast("string").alias("item"), F.inline(pairs))
+
+    weighted = classes.groupBy("model").agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
+    total = whole.select(F.col("model").alias("_m"), F.col("n").alias("total"))
+    shares = by_source.where("source is not null").join(total, F.col("model") == F.col("_m"))
+    return rows(whole, "all", F.lit(""), accuracy=F.col("hit") / F.col("n"), n=F.col("n")) \
+        .union(rows(weighted, "all", F.lit(""), f1_weighted=F.col("f1_weighted"))) \
+        .union(rows(classes, "class", F.col("cls"), precision=F.col("precision"), recall=F.col("recall"), f1=F.col("f1"),
+                    support=F.col("support"))) \
+        .union(rows(shares, "source", F.col("source"), n=F.col("n"), share=F.col("n") / F.col("total")))
+
+
 def majority_baseline(df: DataFrame, label: str = "label", split: str = "is_validation") -> DataFrame:
     """Most frequent training label (ties: smallest) and its validation accuracy."""
     maj = df.where(~F.col(split)).agg(F.mode(F.col(label), True)).scalar()

@@ -13,19 +13,20 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, NGram, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailorspark import constants as K
 from tailorspark.functions.columns import numeric_transform
+from tailorspark.operators.calibration import fit_curves
 from tailorspark.operators.partitioning import dense_index
-from tailorspark.session import materialize
+from tailorspark.operators.sequence import SequenceModel, fit_sequence_model, sequence_probability
+from tailorspark.session import materialize, stored
 from tailorspark.sources.tables import seed_col
 
 NUM = K.NUMERIC_FEATURE_COLS
@@ -115,21 +116,30 @@ def merge_small_clusters(df: DataFrame, feature_cols: list[str], label: str = "c
 
 
 # -- M4 ------------------------------------------------------------------------
+def kmeans_starts(train: DataFrame, features: str, k: int, starts: int, seed: int, max_iter: int = 20):
+    """The cheapest of ``starts`` seeded fits: (model, cost, costs by start)."""
+    fits = [KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_k_pred", maxIter=max_iter).fit(train)
+            for i in range(starts)]
+    costs = [m.summary.trainingCost for m in fits]
+    best = min(range(starts), key=lambda i: (costs[i], i))
+    return fits[best], costs[best], costs
+
+
 def choose_kmeans(train: DataFrame, features: str, n_rows: int, seed: int = K.SEED,
-                  max_k: int = K.KMEANS_MAX_K):
+                  max_k: int = K.KMEANS_MAX_K, starts: int = K.KMEANS_STARTS, final_starts: int = K.KMEANS_FINAL_STARTS):
     """k in 2..upper-1 (upper = min(max_k, max(3, n-1))) by silhouette over all
-    training rows (linear in rows); then the final model."""
+    training rows (linear in rows); then the final model, from more starts."""
     upper = min(max_k, max(3, n_rows - 1))
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="_k_pred", metricName="silhouette")
     best_k, best = 2, -1.0
     for k in range(2, upper):
-        model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_k_pred").fit(train)
+        model, _, _ = kmeans_starts(train, features, k, starts, seed)
         if sum(size > 0 for size in model.summary.clusterSizes) < 2:
             continue  # one cluster has no silhouette
-        score = ev.evaluate(model.transform(train))
+        score = ev.evaluate(materialize(model.transform(train)))
         if score > best:
             best_k, best = k, score
-    final = KMeans(k=best_k, seed=seed, featuresCol=features, predictionCol="_k_pred", maxIter=40).fit(train)
+    final, _, _ = kmeans_starts(train, features, best_k, final_starts, seed, max_iter=40)
     return final, best_k, best
 
 
@@ -144,7 +154,7 @@ class Stack:
     forest: object | None
     calibrated: list = field(default_factory=list)
     mlp: object | None = None
-    sequence: PipelineModel | None = None
+    sequence: SequenceModel | None = None
     num_classes: int = 0
     silhouette: float = -1.0
     timings: dict = field(default_factory=dict)
@@ -170,30 +180,6 @@ def prepare_features(df: DataFrame, stack: Stack) -> DataFrame:
     return asm.transform(out)
 
 
-def fit_sequence_model(seqs: DataFrame, label: str = "label", seed: int = K.SEED) -> PipelineModel | None:
-    """M9 (re-aimed): unigram + bigram counts of the first 25 events ->
-    multinomial logistic regression.  Needs >= 20 rows and > 1 class."""
-    stats = seqs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("c")).first()
-    if stats["n"] < K.SEQUENCE_MIN_ROWS or stats["c"] < 2:
-        return None
-    return Pipeline(stages=[
-        NGram(n=2, inputCol="seq_tokens", outputCol="_bigrams"),
-        _concat_tokens(),
-        CountVectorizer(inputCol="_grams", outputCol="_seq_vec", minDF=1.0,
-                        vocabSize=(1 << 31) - 1),
-        LogisticRegression(featuresCol="_seq_vec", labelCol=label, probabilityCol="seq_probability",
-                           predictionCol="seq_prediction", rawPredictionCol="_seq_raw", maxIter=100,
-                           family="multinomial"),
-    ]).fit(seqs)
-
-
-def _concat_tokens():
-    """Pipeline stage: unigrams ++ bigrams."""
-    from pyspark.ml.feature import SQLTransformer
-
-    return SQLTransformer(statement="SELECT *, concat(seq_tokens, _bigrams) AS _grams FROM __THIS__")
-
-
 def fit_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, label: str = "label"):
     """M6.  Larger node batches (maxMemoryInMB) mean fewer passes over the data
     for deep trees; node ids are cached and checkpointed every 10 levels to
@@ -208,10 +194,10 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
                           label: str = "label") -> list:
     """M7: sigmoid calibration in ``folds = min(3, smallest class)`` folds.
 
-    For each fold a forest is fitted on the other folds; on the held-out
-    fold one logistic regression per class maps that class's forest score to
-    a calibrated probability.  Prediction averages the normalised fold
-    outputs.  Returns [(forest, [lr per class])] or [] when uncalibrated.
+    For each fold a forest is fitted on the other folds and scores the held-out
+    one; then all curves from a class's score to its probability are fitted
+    together (``calibration``).  Prediction averages the normalised fold
+    outputs.  Returns [(forest, [(slope, offset) per class])] or [] when uncalibrated.
     """
     smallest = train.groupBy(label).count().agg(F.min("count")).first()[0]
     if smallest is None or smallest < 2:
@@ -221,25 +207,16 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
     dealt = dense_index(train.withColumn("_h", seed_col(F.lit("fold"), F.col("user_pseudo_id"), seed=seed)),
                         ["_h", "user_pseudo_id"], [label], index_col="_pos")
     tf = materialize(dealt.withColumn("_fold", (F.col("_pos") % folds).cast("int")).drop("_h", "_pos"))
-    present = {int(r[label]) for r in tf.select(label).distinct().collect()}  # at most num_classes
-    out = []
+    forests, held = [], []
     for f in range(folds):
-        forest = fit_forest(tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label)
-        # score the held-out fold once; the per-class regressions iterate over the stored scores
-        held = materialize(forest.transform(tf.where(F.col("_fold") == f)).select(
-            label, vector_to_array("rf_probability").alias("_p")))
-        lrs = []
-        for c in range(num_classes):
-            d = held.select(F.array(F.col("_p")[c]).alias("_x"), (F.col(label) == c).cast("double").alias("_y"))
-            d = VectorAssembler(inputCols=["_xs"], outputCol="_xv").transform(
-                d.select(F.col("_x")[0].alias("_xs"), "_y"))
-            if c not in present:  # a class without rows: probability 0
-                lrs.append((0.0, -30.0))
-                continue
-            m = LogisticRegression(featuresCol="_xv", labelCol="_y", maxIter=100, regParam=0.0).fit(d)
-            lrs.append((float(m.coefficients[0]), float(m.intercept)))
-        out.append((forest, lrs))
-    return out
+        forests.append(fit_forest(tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label))
+        held.append(forests[f].transform(tf.where(F.col("_fold") == f)).select(
+            F.col("_fold").alias("fold"), F.col(label).alias("label"), vector_to_array("rf_probability").alias("p")))
+    scores = held[0]
+    for h in held[1:]:
+        scores = scores.union(h)
+    curves = fit_curves(stored(scores, "fold-scores"), num_classes)
+    return [(forest, [curves[f, c] for c in range(num_classes)]) for f, forest in enumerate(forests)]
 
 
 def calibrated_probability(df: DataFrame, calibrated: list, num_classes: int) -> DataFrame:
@@ -271,21 +248,9 @@ def calibrated_probability(df: DataFrame, calibrated: list, num_classes: int) ->
 
 
 def forest_probability(df: DataFrame, stack) -> DataFrame:
-    """Uncalibrated forest scores: the single forest, or the mean of the fold forests."""
-    if stack.forest is not None:
-        return stack.forest.transform(df).withColumn("forest_prob", vector_to_array("rf_probability")).drop(
-            "rf_probability", "_rf_raw", "rf_prediction")
-    out = df
-    names = []
-    for i, (forest, _) in enumerate(stack.calibrated):
-        m = forest.copy({forest.probabilityCol: f"_pf{i}", forest.rawPredictionCol: f"_rf{i}",
-                         forest.predictionCol: f"_pr{i}"})
-        out = m.transform(out).withColumn(f"_u{i}", vector_to_array(f"_pf{i}")).drop(f"_pf{i}", f"_rf{i}", f"_pr{i}")
-        names.append(f"_u{i}")
-    acc = F.col(names[0])
-    for nm in names[1:]:
-        acc = F.zip_with(acc, F.col(nm), lambda x, y: x + y)
-    return out.withColumn("forest_prob", F.transform(acc, lambda x: x / len(names))).drop(*names)
+    """M6: uncalibrated scores of the forest on the whole training split."""
+    return stack.forest.transform(df).withColumn("forest_prob", vector_to_array("rf_probability")).drop(
+        "rf_probability", "_rf_raw", "rf_prediction")
 
 
 def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "target_cluster",
@@ -323,11 +288,12 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     feats = materialize(feats)
     tr = feats.where(~F.col("is_validation"))
     t0 = time.perf_counter()
+    stack.forest = fit_forest(tr, num_trees, max_depth, seed)
+    stack.timings["forest"] = time.perf_counter() - t0
+    t0 = time.perf_counter()
     if calibrate:
         stack.calibrated = fit_calibrated_forest(tr, num_trees, max_depth, seed, num_classes)
-    if not stack.calibrated:
-        stack.forest = fit_forest(tr, num_trees, max_depth, seed)
-    stack.timings["forest"] = time.perf_counter() - t0
+    stack.timings["calibration"] = time.perf_counter() - t0
     d = len(NUM) + sum(len(s.labels) for s in encoder.stages[:-1]) + 1
     layers = [d] + list(hidden or K.MLP_HIDDEN) + [num_classes]
     t0 = time.perf_counter()
@@ -338,33 +304,32 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     t0 = time.perf_counter()
     if seqs is not None:
         s = seqs.join(data.select("user_pseudo_id", "label", "is_validation"), "user_pseudo_id")
-        stack.sequence = fit_sequence_model(s.where(~F.col("is_validation")))
+        stack.sequence = fit_sequence_model(s.where(~F.col("is_validation")), num_classes)
     stack.timings["sequence"] = time.perf_counter() - t0
     return stack
 
 
-def score(df: DataFrame, stack: Stack, seq_col: str | None = None) -> DataFrame:
-    """Probability arrays ``mlp_prob``, ``rf_prob`` and ``seq_prob`` (null when
-    no sequence model or empty sequence) for every row of ``df``.
-
-    ``df`` needs the numeric and context columns.
-    """
+def score_tabular(df: DataFrame, stack: Stack) -> DataFrame:
+    """``mlp_prob`` and ``rf_prob`` for every row; ``df`` needs the numeric and context columns."""
     out = prepare_features(df, stack)
     out = stack.mlp.transform(out).withColumn("mlp_prob", vector_to_array("mlp_probability"))
     out = out.drop("mlp_probability", "_mlp_raw", "mlp_prediction")
     if stack.calibrated:
-        out = calibrated_probability(out, stack.calibrated, stack.num_classes)
-    else:
-        out = forest_probability(out, stack).withColumnRenamed("forest_prob", "rf_prob")
-    if stack.sequence is not None and seq_col is not None:
-        toks = out.withColumn("seq_tokens", F.slice(F.coalesce(F.col(seq_col), F.array().cast("array<string>")),
-                                                    1, K.SEQUENCE_MAX_LEN))
-        sc = stack.sequence.transform(toks)
-        out = sc.withColumn("seq_prob", F.when(F.size("seq_tokens") > 0, vector_to_array("seq_probability"))).drop(
-            "seq_tokens", "_bigrams", "_grams", "_seq_vec", "_seq_raw", "seq_probability", "seq_prediction")
-    else:
-        out = out.withColumn("seq_prob", F.lit(None).cast("array<double>"))
-    return out
+        return calibrated_probability(out, stack.calibrated, stack.num_classes)
+    return forest_probability(out, stack).withColumnRenamed("forest_prob", "rf_prob")
+
+
+def score_sequence(df: DataFrame, stack: Stack, seq_col: str | None, key: str = "user_pseudo_id",
+                   out_col: str = "seq_prob") -> DataFrame:
+    """``out_col``: the sequence model's probabilities, null without a model or for an empty sequence."""
+    if stack.sequence is None or seq_col is None:
+        return df.withColumn(out_col, F.lit(None).cast("array<double>"))
+    return sequence_probability(df, stack.sequence, seq_col, key, out_col)
+
+
+def score(df: DataFrame, stack: Stack, seq_col: str | None = None, key: str = "user_pseudo_id") -> DataFrame:
+    """Probability arrays ``mlp_prob``, ``rf_prob`` and ``seq_prob`` for every row of ``df`` (unique by ``key``)."""
+    return score_sequence(score_tabular(df, stack), stack, seq_col, key)
 
 
 # -- M10 -----------------------------------------------------------------------
@@ -402,17 +367,18 @@ def save_stack(stack: Stack, path: str) -> None:
 
     stack.encoder.write().overwrite().save(f"{path}/encoder")
     stack.kmeans.write().overwrite().save(f"{path}/kmeans")
-    if stack.forest is not None:
-        stack.forest.write().overwrite().save(f"{path}/forest")
+    stack.forest.write().overwrite().save(f"{path}/forest")
     stack.mlp.write().overwrite().save(f"{path}/mlp")
-    if stack.sequence is not None:
-        stack.sequence.write().overwrite().save(f"{path}/sequence")
+    seq = stack.sequence
+    if seq is not None:
+        seq.steps.write.mode("overwrite").parquet(f"{path}/sequence_steps")
+        seq.starts.write.mode("overwrite").parquet(f"{path}/sequence_starts")
     for i, (forest, lrs) in enumerate(stack.calibrated):
         forest.write().overwrite().save(f"{path}/calibrated_{i}")
     meta = {"cluster_stats": stack.cluster_stats, "feature_stats": stack.feature_stats, "k": stack.k,
             "num_classes": stack.num_classes, "calibration": [lrs for _, lrs in stack.calibrated],
-            "has_sequence": stack.sequence is not None, "silhouette": stack.silhouette,
-            "has_forest": stack.forest is not None}
+            "sequence": seq and {"shares": seq.shares, "n_steps": seq.n_steps, "smoothing": seq.smoothing},
+            "silhouette": stack.silhouette}
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -427,12 +393,13 @@ def load_stack(spark, path: str) -> Stack:
     from pyspark.ml.clustering import KMeansModel
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    seq = PipelineModel.load(f"{path}/sequence") if meta["has_sequence"] else None
+    seq = meta["sequence"] and SequenceModel(spark.read.parquet(f"{path}/sequence_steps"),
+                                             spark.read.parquet(f"{path}/sequence_starts"), **meta["sequence"])
     cal = [(RandomForestClassificationModel.load(f"{path}/calibrated_{i}"), [tuple(x) for x in lrs])
            for i, lrs in enumerate(meta["calibration"])]
     return Stack(PipelineModel.load(f"{path}/encoder"), {k: tuple(v) for k, v in meta["cluster_stats"].items()},
                  KMeansModel.load(f"{path}/kmeans"), meta["k"],
                  {k: tuple(v) for k, v in meta["feature_stats"].items()},
-                 RandomForestClassificationModel.load(f"{path}/forest") if meta["has_forest"] else None, cal,
+                 RandomForestClassificationModel.load(f"{path}/forest"), cal,
                  MultilayerPerceptronClassificationModel.load(f"{path}/mlp"), seq, meta["num_classes"],
                  meta["silhouette"])

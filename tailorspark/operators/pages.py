@@ -18,33 +18,41 @@ from tailorspark.functions.columns import (
 from tailorspark.operators.catalog import (
     category_counts, module_picks, rank_catalog, secondary_category, target_category)
 from tailorspark.operators.coldstart import resolve_cold_start
+from tailorspark.sources.visitors import asked_visitors
 
 
-def route(df: DataFrame, models_ready: bool, users: DataFrame | None = None) -> DataFrame:
+STORED = (*K.NUMERIC_FEATURE_COLS, *K.CONTEXT_COLS)
+
+
+def route(df: DataFrame, models_ready: bool, users: DataFrame | None = None, key: str = "request_id") -> DataFrame:
     """X9 (+ J5, X8): 'stored', 'live' or 'cold' per request.
 
     stored: the id is in the user table with >= 3 events and models exist;
-    live: signal strength >= 3 and models exist; otherwise cold.  With a user
-    table the stored row's numerics and context replace the request's.
+    live: signal strength >= 3 and models exist; otherwise cold.  On the stored
+    path the stored row's numerics and context replace the request's; a context
+    value that the table lacks is 'unknown'.
+
+    ``users`` (one row per visitor; bucketed, as ``load_visitors`` gives it, it is
+    not shuffled) is first reduced to the visitors asked for.  Requests without an
+    id join under a key of their own, so they do not meet in one task; many
+    requests of one visitor are split by the adaptive skew join.
     """
-    out = df
-    if users is not None:
-        stored = users.select(
-            F.col("user_pseudo_id").alias("_su"),
-            *[F.col(c).alias(f"_s_{c}") for c in (*K.NUMERIC_FEATURE_COLS, *K.CONTEXT_COLS)])
-        out = out.join(stored, out["user_pseudo_id"] == stored["_su"], "left")
-        is_stored = F.col("_su").isNotNull() & (F.col("_s_total_events") >= K.MIN_EVENTS_FOR_BEHAVIORAL) & F.lit(
-            models_ready)
-        for c in (*K.NUMERIC_FEATURE_COLS, *K.CONTEXT_COLS):
-            out = out.withColumn(c, F.when(is_stored, F.col(f"_s_{c}").cast(out.schema[c].dataType)).otherwise(
-                F.col(c)))
-        out = out.withColumn("_stored", is_stored).drop("_su", *[f"_s_{c}" for c in (*K.NUMERIC_FEATURE_COLS,
-                                                                                      *K.CONTEXT_COLS)])
-    else:
-        out = out.withColumn("_stored", F.lit(False))
     strength = signal_strength("recent_sequence", "total_events")
-    return out.withColumn("path", F.when(F.col("_stored"), "stored").when(
-        (strength >= K.MIN_EVENTS_FOR_BEHAVIORAL) & F.lit(models_ready), "live").otherwise("cold")).drop("_stored")
+    live = F.when((strength >= K.MIN_EVENTS_FOR_BEHAVIORAL) & F.lit(models_ready), "live").otherwise("cold")
+    if users is None:
+        return df.withColumn("path", live)
+    hits = asked_visitors(users, df).where(F.col("total_events") >= K.MIN_EVENTS_FOR_BEHAVIORAL).select(
+        F.col("user_pseudo_id").alias("_su"),
+        *[F.col(c).alias(f"_s_{c}") if c in users.columns else F.lit(K.UNKNOWN).alias(f"_s_{c}") for c in STORED])
+    asking = F.coalesce(F.col("user_pseudo_id"), F.concat(F.lit("\u0000"), F.col(key).cast("string")))
+    out = df.withColumn("_asking", asking).join(hits, F.col("_asking") == F.col("_su"), "left")
+    is_stored = F.col("_su").isNotNull() & F.lit(models_ready)
+    out = out.withColumn("path", F.when(is_stored, "stored").otherwise(live))
+    for c in STORED:
+        dtype = df.schema[c].dataType
+        out = out.withColumn(c, F.when(is_stored, F.coalesce(F.col(f"_s_{c}").cast(dtype), F.lit(K.UNKNOWN).cast(dtype))
+                                       if c in K.CONTEXT_COLS else F.col(f"_s_{c}").cast(dtype)).otherwise(F.col(c)))
+    return out.drop("_asking", "_su", *[f"_s_{c}" for c in STORED])
 
 
 def segment_profiles(users: DataFrame | None, spark) -> DataFrame:
@@ -58,15 +66,17 @@ def segment_profiles(users: DataFrame | None, spark) -> DataFrame:
 def personalize(requests: DataFrame, cold_table: DataFrame, defaults: DataFrame, catalog: DataFrame,
                 names: DataFrame | None = None, users: DataFrame | None = None,
                 predictions: DataFrame | None = None, key: str = "request_id",
-                bounded: bool = True, seed: int = K.SEED, ranked: DataFrame | None = None) -> DataFrame:
+                seed: int = K.SEED, ranked: DataFrame | None = None,
+                index: DataFrame | None = None) -> DataFrame:
     """One page per request (flat columns; see ``page_document``).
 
-    ``requests`` must already carry typed defaults.  ``predictions`` (optional)
+    ``requests`` must already carry typed defaults; routed ones (with ``path``) are
+    taken as they are.  ``predictions`` (optional)
     holds the cascade output per request (``key``, ``m_cluster``,
     ``m_confidence``, ``m_source``); without it no model is ready and every
     request takes the cold path.  ``names`` maps cluster -> segment name.
-    ``ranked`` (the catalog numbered by ``rank_catalog``) can be computed once
-    and passed in, e.g. by a stream.
+    ``ranked`` (the catalog numbered by ``rank_catalog``) and ``index`` (the cold-start
+    table as ``lookup_index`` stores it) can be computed once and passed in, e.g. by a stream.
     """
     spark = requests.sparkSession
     models_ready = predictions is not None
@@ -79,8 +89,9 @@ def personalize(requests: DataFrame, cold_table: DataFrame, defaults: DataFrame,
     df = secondary_category(df, cats, key=key, seed=seed)
     df = module_picks(df, ranked, key=key, seed=seed, counts=cats)
     # segment side: routing, cold-start resolution, model output
-    df = route(df, models_ready, users)
-    df = resolve_cold_start(df, cold_table, defaults, bounded=bounded, key=key)
+    if "path" not in requests.columns:
+        df = route(df, models_ready, users, key)
+    df = resolve_cold_start(df, cold_table, defaults, key=key, index=index)
     if models_ready:
         df = df.join(predictions, key, "left")
         # a failed live prediction (no row) falls back to the cold path

@@ -1,15 +1,12 @@
-"""Partition-aware building blocks shared by the operators.
-
-* ``checked_broadcast``: broadcast a side only after counting it against a
-  row bound; above the bound the plain DataFrame is returned and Spark (AQE)
-  plans a shuffle join instead.
-* ``dense_index``: ``row_number() - 1`` within groups, computed without
-  putting a group into one task.  Rows get a bucket from their own values: the
-  number of boundary keys that do not exceed theirs, the boundaries being the
-  keys with the smallest hashes (a sample that depends on the data alone).
-  Counts per bucket and a prefix sum over buckets complete the numbers inside
-  each bucket.  Whatever the planner shares or computes twice, both sides see
-  the same buckets.
+"""``dense_index``: ``row_number() - 1`` within groups without putting a group into one task.
+
+The rows are stored once (a frame made by ``stored`` is read as it is).  Up to ``ROWS_PER_BUCKET`` of them a window numbers them.  Beyond,
+Spark's range exchange deals them to as many buckets as the count asks for (it samples the
+stored rows, takes quantiles as boundaries and finds a row's bucket by binary search); every
+bucket is sorted and stored with each row's place in it.  One small row for each group and
+bucket then gives the rows of the group before the bucket, and the number is arithmetic.  What
+is numbered and what is counted are the same stored rows, so the numbers agree however often
+the planner reads them.
 """
 
 from __future__ import annotations
@@ -17,45 +14,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+from tailorspark.session import discard, stored
+
+#: Rows that one task sorts.
+ROWS_PER_BUCKET = 1_000_000
+#: ``monotonically_increasing_id`` holds the partition above these bits and the row in it below.
+_ROW_BITS = 33
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def range_buckets(df: DataFrame, keys: list, buckets: int) -> DataFrame:
+    """``df`` dealt to ``buckets`` ranges of ``keys`` (nulls first), stored in order, with ``_bucket`` and ``_inside``
+    (the row's place in its bucket, from 0)."""
+    order = [F.col(c).asc_nulls_first() for c in keys]
+    placed = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn(
+        "_place", F.monotonically_increasing_id())
+    return stored(placed, "ranges").withColumns({
+        "_bucket": F.shiftright("_place", _ROW_BITS), "_inside": F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1)}).drop("_place")
 
 
 def dense_index(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
-                index_col: str = "pos", size_col: str | None = None, buckets: int = 64) -> DataFrame:
+                index_col: str = "pos", size_col: str | None = None, buckets: int | None = None) -> DataFrame:
     """Add a 0-based dense ``index_col`` (and optionally the group size).
 
     Rows are numbered within ``group_cols`` in ascending ``order_cols`` (nulls
     first), which must make the order total (end with a unique column; equal
     rows are interchangeable).  Equivalent to
     ``row_number() over (partition by group order by order) - 1``; a null group
-    is a group too.
+    is a group too.  ``buckets``: as many ranges, whatever the number of rows.
     """
     group_cols = list(group_cols or [])
-    keys = group_cols + list(order_cols)
-    key = F.struct(*[F.col(c) for c in keys])
-    # a fixed number of keys, whatever the size of the input
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(buckets - 1)
-    bounds = sample.agg(F.array_sort(F.collect_list("k")).alias("b")).scalar()
-    placed = df.withColumn("_bounds", bounds)
-    placed = placed.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    inside = Window.partitionBy(*group_cols, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    rows = placed.withColumn("_inside", F.row_number().over(inside) - 1)
-    upto = Window.partitionBy(*group_cols).orderBy("_bucket")
-    counts = placed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-    if size_col:
-        counts = counts.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*group_cols)))
+    own = not hasattr(df, "stored_at")
+    rows = stored(df, "numbered") if own else df
+    if buckets is None:
+        buckets = -(-rows.count() // ROWS_PER_BUCKET)
+    if buckets <= 1:
+        whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+        inside = whole.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+        out = rows.withColumn(index_col, (F.row_number().over(inside) - 1).cast("long"))
+        return out.withColumn(size_col, F.count(F.lit(1)).over(whole)) if size_col else out
+    placed = range_buckets(rows, [*group_cols, *order_cols], buckets)
+    if own:
+        discard(rows)
     renamed = {c: f"_g{i}" for i, c in enumerate(group_cols)}
-    counts = counts.select(F.col("_bucket").alias("_b"), "_before", *([size_col] if size_col else []),
-                           *[F.col(c).alias(a) for c, a in renamed.items()])
-    cond = F.col("_bucket") == F.col("_b")
+    parts = placed.groupBy(F.col("_bucket").alias("_b"), *[F.col(c).alias(a) for c, a in renamed.items()]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_inside").alias("_first"))
+    whole = Window.partitionBy(*renamed.values()) if group_cols else Window.partitionBy(F.lit(0))  # a row for each bucket
+    parts = parts.withColumn("_before", F.sum("_n").over(whole.orderBy("_b")) - F.col("_n"))
+    if size_col:
+        parts = parts.withColumn(size_col, F.sum("_n").over(whole))
+    same = placed["_bucket"] == F.col("_b")
     for c, a in renamed.items():
-        cond = cond & rows[c].eqNullSafe(F.col(a))
-    out = rows.join(counts, cond).withColumn(index_col, (F.col("_before") + F.col("_inside")).cast("long"))
-    return out.drop("_bucket", "_inside", "_b", "_before", *renamed.values())
+        same &= placed[c].eqNullSafe(F.col(a))
+    out = placed.join(parts.drop("_n"), same)
+    out = out.withColumn(index_col, (F.col("_before") + F.col("_inside") - F.col("_first")).cast("long"))
+    return out.drop("_bucket", "_inside", "_b", "_first", "_before", *renamed.values())

@@ -43,6 +43,12 @@ def segment_names(users_with_persona: DataFrame) -> DataFrame:
         F.col("target_cluster").cast("int"), F.element_at(names, F.col("_idx") + 1).alias("segment_name"))
 
 
+def with_segment_ids(users_with_persona: DataFrame, names: DataFrame) -> DataFrame:
+    """``target_cluster`` by the names of another table's segments (at most five rows); null if it has none."""
+    ids = names.select(F.col("segment_name").alias("persona"), "target_cluster")
+    return users_with_persona.drop("target_cluster").join(F.broadcast(ids), "persona", "left")
+
+
 def rollup_for_segments(activity: DataFrame, as_of: str, materialize_rollup: bool = True) -> DataFrame:
     """The user rollup, materialised once for the statistics computed over it.
 

@@ -60,19 +60,20 @@ def q_recent_signals(spark, sf_dir):
 # -- T1 -----------------------------------------------------------------------
 @register("stream_recent_events", SIGNALS_SQL)
 def q_stream_recent_events(spark, sf_dir):
-    """T1 over a file stream of raw events; the final buffer equals X20."""
+    """T1 over a file stream of raw events, dealt to several files out of their order and read one a trigger; the final
+    buffer equals X20."""
     from tailorspark.operators.catalog import lookup_items
 
     raw = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
-    stream = (spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    base = scratch_dir(spark, "t1")
+    raw.repartition(4, "event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     clicks = client_events_from(stream, spark, sf_dir)
     # resolve empty display categories before buffering (stream-static lookup)
     miss = F.coalesce(F.col("display_category"), F.lit("")) == ""
     clicks = lookup_items(clicks, catalog(spark, sf_dir), "item_name").withColumn(
         "display_category", F.when(miss, F.coalesce("item_display_category", F.lit("Unknown")))
         .otherwise(F.col("display_category")))
-    base = scratch_dir(spark, "t1")
     out = run_to_completion(spark, buffer_stream(clicks), f"{base}/out", f"{base}/ckpt")
     return _signals_out(latest_per_user(out))
 
@@ -104,9 +105,9 @@ FROM (SELECT DISTINCT event_name FROM activity WHERE event_name IS NOT NULL)""")
 SELECT a.user_pseudo_id, a.event_ts, a.event_id, a.event_name, v.event_index,
        row_number() OVER (PARTITION BY a.user_pseudo_id ORDER BY a.event_ts, a.event_id) AS r_asc,
        row_number() OVER (PARTITION BY a.user_pseudo_id ORDER BY a.event_ts DESC, a.event_id DESC) AS r_desc
-FROM activity a JOIN voc v ON v.event_name = a.event_name WHERE a.user_pseudo_id IS NOT NULL""")], f"""
+FROM activity a LEFT JOIN voc v ON v.event_name = a.event_name WHERE a.user_pseudo_id IS NOT NULL""")], f"""
 SELECT user_pseudo_id, count(*) AS n_events,
-       array_to_string(list(CAST(event_index AS VARCHAR) ORDER BY event_ts, event_id) FILTER (WHERE r_asc <= {n}), ',')
+       array_to_string(list(CAST(coalesce(event_index, 0) AS VARCHAR) ORDER BY event_ts, event_id) FILTER (WHERE r_asc <= {n}), ',')
          AS fit_ids,
        array_to_string(list(event_name ORDER BY event_ts, event_id) FILTER (WHERE r_asc <= {n}), ',') AS fit_names,
        array_to_string(list(event_name ORDER BY event_ts, event_id) FILTER (WHERE r_desc <= {n}), ',') AS eval_names

@@ -183,14 +183,14 @@ def _resolve_out(df):
 @register("coldstart_resolve", lambda: with_ctes(resolve_ctes(), RESOLVE_OUT))
 def q_coldstart_resolve(spark, sf_dir):
     _, _, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
-    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults, bounded=True))
+    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults))
 
 
 @register("coldstart_resolve_support3", lambda: with_ctes(resolve_ctes(3), RESOLVE_OUT))
 def q_coldstart_resolve_support3(spark, sf_dir):
-    """J4 through the shuffle (level, key) join used when the levels are unbounded."""
+    """J4 through the shuffle (level, key) join used when a level is larger than what is broadcast."""
     _, _, table, defaults = coldstart_parts(spark, sf_dir, 3, materialize=True)
-    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults, bounded=False))
+    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults, broadcast_rows=0))
 
 
 COLD_TAGS_SQL = f"""

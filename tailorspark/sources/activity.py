@@ -3,7 +3,7 @@
 Files are read with explicit schemas (no inference).  Event time comes from
 ``eventTimestamp`` when present, else ``timestamp`` (unparseable -> null);
 revenue comes from the transactions file through a left join on
-``transaction_id``.
+``transaction_id``; rows without one pass it by.
 """
 
 from __future__ import annotations
@@ -49,7 +49,10 @@ def load_activity(spark: SparkSession, activity_path: str, transactions_path: st
     if fmt == "csv":
         tr_reader = tr_reader.option("header", "true")
     tr = tr_reader.load(transactions_path)
-    return act.join(tr, "transaction_id", "left")
+    # rows without a transaction, most of a clickstream, are not dealt to the join (their null ids would meet in one task)
+    of_one = act.where(F.col("transaction_id").isNotNull()).join(tr, "transaction_id", "left")
+    return of_one.unionByName(act.where(F.col("transaction_id").isNull()).withColumn(
+        "purchase_revenue", F.lit(None).cast("double")))
 
 
 def split_for_export(activity: DataFrame) -> tuple[DataFrame, DataFrame]:

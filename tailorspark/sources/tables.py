@@ -18,6 +18,9 @@ from tailorspark.constants import SEED
 
 AS_OF = "2024-02-15 00:00:00"
 
+#: The stored visitor table is as of this time: the customers' events before it.
+STORED_UNTIL = "2024-01-02 12:00:00"
+
 # FIXED VALUES: user-agent strings of the request fixture, chosen by k % 5.
 USER_AGENTS = [
     "Mozilla/5.0 (Linux; Android 13; SM-X700) Tablet",
@@ -198,6 +201,17 @@ def requests(spark: SparkSession, sf_dir: str, recent_max: int = 20) -> DataFram
     )
 
 
+def stored_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of the customers when the visitor table was stored (user grain)."""
+    return activity(spark, sf_dir, "user").where(F.col("event_ts") < F.to_timestamp(F.lit(STORED_UNTIL)))
+
+
+def customer_requests(requests_: DataFrame) -> DataFrame:
+    """Requests that name the customer instead of the visit; those of a single event are anonymous."""
+    return requests_.withColumn("user_pseudo_id", F.when(
+        F.col("total_events") > 1, F.substring_index("request_id", "-", 1)))
+
+
 def client_events_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events (batch or stream) -> product clicks as the browser records them.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tailorspark.operators.catalog import rank_catalog
+from tailorspark.operators.coldstart import lookup_index
 from tailorspark.operators.pages import flatten_document, page_document, personalize
 from tailorspark.session import materialize
 from tailorspark.sources.requests import REQUEST_SCHEMA, apply_request_defaults
@@ -29,11 +30,12 @@ def run_personalize_stream(spark: SparkSession, in_dir: str, out_dir: str, ckpt:
     src = (spark.readStream.schema(PAYLOAD_SCHEMA).option("maxFilesPerTrigger", max_files).json(in_dir))
     # the static side is prepared once, before the first batch
     ranked = materialize(rank_catalog(catalog))
+    index = lookup_index(cold_table)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         req = batch.select("request_id", "user_agent", F.from_json("payload", REQUEST_SCHEMA).alias("_r"))
         req = apply_request_defaults(req.select("request_id", "user_agent", "_r.*"))
-        pages = personalize(req, cold_table, defaults, catalog, names=names, ranked=ranked)
+        pages = personalize(req, cold_table, defaults, catalog, names=names, ranked=ranked, index=index)
         doc = page_document(pages)
         doc.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 

@@ -6,20 +6,30 @@ batches and are merged chunk by chunk: memory per group stays O(n + batch),
 never the user's whole history.  Every trigger emits the user's current
 request signals; the latest row per user is the final answer and equals the
 batch operator ``recent_signals``.
+
+State lives on disk (RocksDB) and ends: a user's buffer has an event-time timer
+``ttl`` after its latest event.  When the watermark (the latest event time seen,
+less ``delay``) passes it, the buffer is deleted; a user who returns later starts
+anew.  Rows older than the watermark are dropped, rows within ``delay`` are placed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tailorspark import constants as K
 
+#: How late rows may come, and how long an idle buffer is kept after its latest event.
+DELAY, TTL_DAYS = "60 days", 30
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 EVENT_FIELDS = ["ts_us", "event_id", "event_name", "item_name", "category", "display_category"]
 
 STATE_SCHEMA = T.StructType([
@@ -34,6 +44,7 @@ STATE_SCHEMA = T.StructType([
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("user_pseudo_id", T.StringType()),
+    T.StructField("last_us", T.LongType()),
     T.StructField("n_seen", T.LongType()),
     T.StructField("total_events", T.IntegerType()),
     T.StructField("unique_pages", T.IntegerType()),
@@ -52,49 +63,84 @@ def _frame(columns: dict) -> pd.DataFrame:
     return pd.DataFrame({f: pd.Series(columns[f], dtype=DTYPES[f]) for f in EVENT_FIELDS})
 
 
-def _buffer_step(n: int):
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            s = state.get
+class RecentEvents(StatefulProcessor):
+    """The latest ``n`` events of a user; deleted ``ttl_ms`` (event time) after the latest of them."""
+
+    def __init__(self, n: int, ttl_ms: int):
+        self._n, self._ttl_ms = n, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._buffer = handle.getValueState("buffer", STATE_SCHEMA)
+        self._due = handle.getValueState("due", "at_ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self._buffer.exists():
+            s = self._buffer.get()
             buf = _frame({f: list(s[i]) for i, f in enumerate(EVENT_FIELDS)})
             seen = int(s[len(EVENT_FIELDS)])
         else:
             buf = _frame({f: [] for f in EVENT_FIELDS})
             seen = 0
-        for chunk in chunks:
+        for chunk in rows:
             seen += len(chunk)
             buf = pd.concat([buf, _frame({f: chunk[f] for f in EVENT_FIELDS})], ignore_index=True)
-            buf = buf.sort_values(["ts_us", "event_id"]).tail(n)
+            buf = buf.sort_values(["ts_us", "event_id"]).tail(self._n)
         buf = buf.reset_index(drop=True)
-        state.update(tuple([[int(x) for x in buf["ts_us"]], [int(x) for x in buf["event_id"]]]
-                           + [buf[f].tolist() for f in EVENT_FIELDS[2:]] + [seen]))
+        self._buffer.update(tuple([[int(x) for x in buf["ts_us"]], [int(x) for x in buf["event_id"]]]
+                                  + [buf[f].tolist() for f in EVENT_FIELDS[2:]] + [seen]))
+        last = int(buf["ts_us"].iloc[-1])
+        self._expire_at(last // 1000 + self._ttl_ms)
         k = len(buf)
         yield pd.DataFrame({
-            "user_pseudo_id": [key[0]], "n_seen": [seen],
+            "user_pseudo_id": [key[0]], "last_us": [last], "n_seen": [seen],
             "total_events": [max(1, k)], "unique_pages": [max(1, k)],
             "recent_sequence": [buf["event_name"].tolist()], "recent_items": [buf["item_name"].tolist()],
             "recent_categories": [buf["category"].tolist()],
             "recent_display_categories": [buf["display_category"].tolist()],
         })
-    return step
+
+    def _expire_at(self, at_ms: int) -> None:
+        """One timer a user: the earlier one goes when a later event moves it."""
+        if self._due.exists():
+            before = int(self._due.get()[0])
+            if before == at_ms:
+                return
+            self._handle.deleteTimer(before)
+        self._handle.registerTimer(at_ms)
+        self._due.update((at_ms,))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self._buffer.clear()
+        self._due.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
-def buffer_stream(events: DataFrame, n: int = K.RECENT_EVENTS_MAX) -> DataFrame:
+def buffer_stream(events: DataFrame, n: int = K.RECENT_EVENTS_MAX, delay: str = DELAY,
+                  ttl_days: float = TTL_DAYS) -> DataFrame:
     """Streaming DataFrame of per-user signals (append mode, one row per user and trigger).
 
     ``events``: user_pseudo_id, event_ts, event_id, event_name, item_name,
-    category, display_category (display already resolved).
+    category, display_category (display already resolved).  Rows without a user
+    or a time are left out.
     """
-    ev = events.select("user_pseudo_id", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("ts_us"),
-                       F.col("event_id").cast("long"), "event_name", "item_name", "category", "display_category")
-    return ev.groupBy("user_pseudo_id").applyInPandasWithState(
-        _buffer_step(n), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    ts = F.col("event_ts").cast("timestamp")
+    ev = events.where(F.col("user_pseudo_id").isNotNull() & ts.isNotNull()).withColumn("event_ts", ts)
+    ev = ev.withWatermark("event_ts", delay).select(
+        "user_pseudo_id", "event_ts", F.unix_micros("event_ts").alias("ts_us"),
+        F.col("event_id").cast("long"), "event_name", "item_name", "category", "display_category")
+    return ev.groupBy("user_pseudo_id").transformWithStateInPandas(
+        RecentEvents(n, int(ttl_days * 86_400_000)), OUTPUT_SCHEMA, "append", "EventTime")
 
 
 def latest_per_user(out: DataFrame) -> DataFrame:
     """The final buffer per user from the appended trigger outputs."""
-    cols = [c for c in OUTPUT_SCHEMA.fieldNames() if c not in ("user_pseudo_id", "n_seen")]
-    return out.groupBy("user_pseudo_id").agg(F.max_by(F.struct(*cols), "n_seen").alias("_l")).select(
+    cols = [c for c in OUTPUT_SCHEMA.fieldNames() if c not in ("user_pseudo_id", "last_us", "n_seen")]
+    # a late row leaves the latest time as it is; a buffer begun anew is later than the one that expired
+    return out.groupBy("user_pseudo_id").agg(F.max_by(F.struct(*cols), F.struct("last_us", "n_seen")).alias("_l")).select(
         "user_pseudo_id", "_l.*")
 
 
@@ -103,9 +149,16 @@ def run_to_completion(spark: SparkSession, stream: DataFrame, out_path: str, ckp
     """Run an append-mode stream with availableNow into parquet; return the output.
 
     ``timeout_s``: give up after so long (none by default: a backlog may take its time).
+    The query takes its state store when it starts; the session's setting is put back.
     """
-    q = (stream.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", ckpt_path).outputMode("append").trigger(availableNow=True).start())
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_PROVIDER)
+    try:
+        q = (stream.writeStream.format("parquet").option("path", out_path)
+             .option("checkpointLocation", ckpt_path).outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(name, before)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()

@@ -75,8 +75,8 @@ def test_backoff_levels(spark):
         ("r3", "US", "tablet", "yahoo", "unknown"),   # nothing -> global
         ("r4", "EU", "desktop", "bing", "organic"),
     ], "request_id string, region string, category string, source string, medium string")
-    for bounded in (True, False):
-        res = {r.request_id: r.resolved for r in resolve_cold_start(req, table, defaults, bounded=bounded).collect()}
+    for most in (1000, 0):
+        res = {r.request_id: r.resolved for r in resolve_cold_start(req, table, defaults, broadcast_rows=most).collect()}
         assert res["r1"].match_level == "region+category+source" and res["r1"].cluster == 1
         assert res["r2"].match_level == "region+source"
         assert res["r3"].source == K.SOURCE_GLOBAL and res["r3"].cluster == 1
