@@ -66,9 +66,7 @@ def metrics(conf: DataFrame) -> DataFrame:
     The confusion table (at most k x k rows) is stored once, so the several
     aggregates over it never repeat the scoring that produced it.
     """
-    from tailorspark.session import materialize
-
-    conf = materialize(conf)
+    conf = stored(conf, "confusion")
     pc = per_class(conf)
     acc = conf.agg((F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
                     / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))

@@ -27,12 +27,13 @@ def _as_timestamp(df: DataFrame, c: str):
     return F.col(c).cast("timestamp")
 
 
-def user_rollup(activity: DataFrame, as_of: str, with_top_category: bool = True) -> DataFrame:
+def user_rollup(activity: DataFrame, as_of: str, with_top_category: bool = True, extra: tuple = ()) -> DataFrame:
     """A1 + A2 + A3 + X1 in one aggregation (one shuffle on the user key).
 
     Count/sum/min and the modes are partially aggregated map-side; the single
     distinct count is planned as a two-level aggregate keyed (user, page), so
-    a hot user is spread over its pages before the final merge.
+    a hot user is spread over its pages before the final merge.  ``extra``:
+    further aggregates of a user's events, taken in the same pass.
     """
     ts = _as_timestamp(activity, time_column(activity))
     ctx = [c for c in K.CONTEXT_COLS if c in activity.columns]
@@ -47,7 +48,7 @@ def user_rollup(activity: DataFrame, as_of: str, with_top_category: bool = True)
     aggs += [F.coalesce(F.mode(F.col(c).cast("string"), True), F.lit(K.UNKNOWN)).alias(c) for c in ctx]
     if with_top_category and "ItemCategory" in activity.columns:
         aggs.append(F.mode("ItemCategory", True).alias("top_category"))
-    out = activity.where(F.col("user_pseudo_id").isNotNull()).groupBy("user_pseudo_id").agg(*aggs)
+    out = activity.where(F.col("user_pseudo_id").isNotNull()).groupBy("user_pseudo_id").agg(*aggs, *extra)
     return out.withColumn("days_since_first_visit", days_since("_first_visit", as_of)).drop("_first_visit")
 
 

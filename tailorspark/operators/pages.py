@@ -16,8 +16,9 @@ from tailorspark.functions.columns import (
     avg_revenue_fallback, business_tags, categories_for_target, coldstart_tags, confidence_round, cta_module,
     hero_copy, segment_name, signal_strength)
 from tailorspark.operators.catalog import (
-    category_counts, module_picks, rank_catalog, secondary_category, target_category)
+    category_counts, category_dim, module_picks, rank_catalog, secondary_category, target_category)
 from tailorspark.operators.coldstart import resolve_cold_start
+from tailorspark.session import stored
 from tailorspark.sources.visitors import asked_visitors
 
 
@@ -77,17 +78,18 @@ def personalize(requests: DataFrame, cold_table: DataFrame, defaults: DataFrame,
     request takes the cold path.  ``names`` maps cluster -> segment name.
     ``ranked`` (the catalog numbered by ``rank_catalog``) and ``index`` (the cold-start
     table as ``lookup_index`` stores it) can be computed once and passed in, e.g. by a stream.
+    Give a stored table of requests, unique by ``key``: it is read twice.
     """
     spark = requests.sparkSession
     models_ready = predictions is not None
-    # catalog side first, on the request plan alone (shallow lineage)
-    cats = category_counts(catalog)
+    # catalog side first: the choices of every request, stored (each step reads them twice)
+    cats = category_dim(category_counts(catalog))
     if ranked is None:
         ranked = rank_catalog(catalog, seed)
-    df = requests.withColumn("_ft", categories_for_target("recent_display_categories", "recent_categories"))
-    df = target_category(df, cats, "_ft", key=key, seed=seed).drop("_ft")
-    df = secondary_category(df, cats, key=key, seed=seed)
-    df = module_picks(df, ranked, key=key, seed=seed, counts=cats)
+    choice = requests.select(key, categories_for_target("recent_display_categories", "recent_categories").alias("_ft"))
+    choice = target_category(choice, cats, "_ft", key=key, seed=seed).drop("_ft")
+    choice = stored(secondary_category(choice, cats, key=key, seed=seed), "choice")
+    df = requests.join(stored(module_picks(choice, ranked, key=key, seed=seed, counts=cats), "picks"), key, "left")
     # segment side: routing, cold-start resolution, model output
     if "path" not in requests.columns:
         df = route(df, models_ready, users, key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tailorspark import constants as K
 from tailorspark.functions.columns import business_tags, high_intent, persona
 from tailorspark.operators.features import user_rollup
+from tailorspark.session import stored
 
 
 def assign_personas(users: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def with_segment_ids(users_with_persona: DataFrame, names: DataFrame) -> DataFra
     return users_with_persona.drop("target_cluster").join(F.broadcast(ids), "persona", "left")
 
 
-def rollup_for_segments(activity: DataFrame, as_of: str, materialize_rollup: bool = True) -> DataFrame:
+def rollup_for_segments(activity: DataFrame, as_of: str, materialize_rollup: bool = True, extra: tuple = ()) -> DataFrame:
     """The user rollup, materialised once for the statistics computed over it.
 
     The median and the set of present personas are scalar subqueries over the
@@ -57,17 +58,15 @@ def rollup_for_segments(activity: DataFrame, as_of: str, materialize_rollup: boo
     copy every one of them would repeat the event shuffle.  The stored copy
     holds one row per user (far smaller than the events) in the shared folder.
     """
-    users = user_rollup(activity, as_of)
+    users = user_rollup(activity, as_of, extra=extra)
     if materialize_rollup:
-        from tailorspark.session import materialize
-
-        users = materialize(users)
+        users = stored(users, "rollup")
     return users
 
 
-def training_frame(activity: DataFrame, as_of: str, materialize_rollup: bool = True) -> DataFrame:
+def training_frame(activity: DataFrame, as_of: str, materialize_rollup: bool = True, extra: tuple = ()) -> DataFrame:
     """Rollup + personas + dense ids + high-intent flag + business tags."""
-    users = rollup_for_segments(activity, as_of, materialize_rollup)
+    users = rollup_for_segments(activity, as_of, materialize_rollup, extra)
     users = dense_segments(assign_personas(users))
     return users.withColumn("is_high_intent", high_intent("total_revenue", "total_events")).withColumn(
         "tags", business_tags("total_revenue", "days_since_first_visit", "total_events"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tailorspark import constants as K
 from tailorspark.functions.columns import array_text, categories_for_target
 from tailorspark.operators.catalog import (
-    category_counts, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
+    category_counts, category_dim, dedupe_catalog, hydrate_products, lookup_items, module_picks, product_picks,
     products_by_category, rank_catalog, recency_winner, secondary_category, target_category)
 from tailorspark.plans.oracle import (
     catalog_ctes, modules_sql, request_defaults_cte, requests_ctes, seeded_int_sql, target_sql, with_ctes)
 from tailorspark.plans.q_coldstart import default_requests
 from tailorspark.plans.registry import register
-from tailorspark.session import scratch_dir
+from tailorspark.session import scratch_dir, stored
 from tailorspark.sources.catalog import load_catalog
 from tailorspark.sources.tables import catalog, read_table
 
@@ -25,8 +25,8 @@ def _req_sql_ctes():
 def with_targets(spark, sf_dir):
     """Requests with defaults + target and secondary category; also returns the catalog parts."""
     cat = catalog(spark, sf_dir)
-    cats = category_counts(cat)
-    req = default_requests(spark, sf_dir)
+    cats = category_dim(category_counts(cat))
+    req = stored(default_requests(spark, sf_dir), "requests")
     req = req.withColumn("_for_target", categories_for_target("recent_display_categories", "recent_categories"))
     req = target_category(req, cats, "_for_target").drop("_for_target")
     req = secondary_category(req, cats)

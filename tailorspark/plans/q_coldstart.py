@@ -12,8 +12,8 @@ from tailorspark.plans.oracle import (
     DEVICE_SQL, TAGS_SQL, request_defaults_cte, requests_ctes, training_ctes, with_ctes)
 from tailorspark.plans.registry import register
 from tailorspark.sources.requests import apply_request_defaults, parse_requests, requests_as_json
-from tailorspark.sources.tables import AS_OF, activity, requests
-from tailorspark.session import materialize as reliable_copy
+from tailorspark.sources.tables import AS_OF, activity, request_extra, requests
+from tailorspark.session import stored
 
 CS_COLS = ["level", "level_order", "region", "category", "source", "medium", "support", "top_category",
            "cluster", "avg_revenue"]
@@ -22,26 +22,29 @@ CS_COLS = ["level", "level_order", "region", "category", "source", "medium", "su
 def coldstart_parts(spark, sf_dir, min_support=None, materialize=False):
     """Activity, training users, cold-start table and global defaults.
 
-    ``materialize`` writes the fitted artefacts (global defaults and the small
-    lookup table) with a reliable checkpoint to the shared folder, cutting
-    their lineage for the request-side plans that join them many times.
+    ``materialize`` stores the activity (for requests made of the same events, which
+    are then read once) and the fitted artefacts (global defaults and the small
+    lookup table) in the shared folder, cutting their lineage for the request-side
+    plans that join them many times.
     """
     act = activity(spark, sf_dir, "visit")
+    if materialize:
+        act = stored(act, "activity")
     # the rollup under ``users`` is already stored by training_frame; users
     # itself is a cheap projection over it
-    users = training_frame(act, AS_OF)
+    users = training_frame(act, AS_OF, extra=request_extra() if materialize else ())
     defaults = global_defaults(act, users)
     if materialize:
-        defaults = reliable_copy(defaults)
+        defaults = stored(defaults, "defaults")
     table = coldstart_table(users, act, min_support, defaults=defaults)
     if materialize:
-        table = reliable_copy(table)
+        table = stored(table, "coldstart")
     return act, users, table, defaults
 
 
-def default_requests(spark, sf_dir):
+def default_requests(spark, sf_dir, act=None, rollup=None):
     """Request fixture -> JSON payloads -> parsed with typed defaults."""
-    raw = requests_as_json(requests(spark, sf_dir))
+    raw = requests_as_json(requests(spark, sf_dir, act=act, rollup=rollup))
     return apply_request_defaults(parse_requests(raw, "payload", keep=["request_id", "user_agent"]))
 
 
@@ -182,15 +185,15 @@ def _resolve_out(df):
 
 @register("coldstart_resolve", lambda: with_ctes(resolve_ctes(), RESOLVE_OUT))
 def q_coldstart_resolve(spark, sf_dir):
-    _, _, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
-    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults))
+    act, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir, act, users), table, defaults))
 
 
 @register("coldstart_resolve_support3", lambda: with_ctes(resolve_ctes(3), RESOLVE_OUT))
 def q_coldstart_resolve_support3(spark, sf_dir):
     """J4 through the shuffle (level, key) join used when a level is larger than what is broadcast."""
-    _, _, table, defaults = coldstart_parts(spark, sf_dir, 3, materialize=True)
-    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir), table, defaults, broadcast_rows=0))
+    act, users, table, defaults = coldstart_parts(spark, sf_dir, 3, materialize=True)
+    return _resolve_out(resolve_cold_start(default_requests(spark, sf_dir, act, users), table, defaults, broadcast_rows=0))
 
 
 COLD_TAGS_SQL = f"""
@@ -203,8 +206,8 @@ FROM (SELECT *, CASE WHEN list_contains(string_split(t1, ','), '{K.TAG_NEW_USER}
 
 @register("coldstart_tags", lambda: with_ctes(resolve_ctes(), COLD_TAGS_SQL))
 def q_coldstart_tags(spark, sf_dir):
-    _, _, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
-    res = resolve_cold_start(default_requests(spark, sf_dir), table, defaults)
+    act, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    res = resolve_cold_start(default_requests(spark, sf_dir, act, users), table, defaults)
     tags = business_tags("total_revenue", "days_since_first_visit", "total_events")
     return res.select("request_id", array_text(coldstart_tags(tags, F.col("resolved")["avg_revenue"])).alias("tags"))
 

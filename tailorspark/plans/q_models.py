@@ -22,7 +22,8 @@ from tailorspark.plans.q_pages import PAGE_FLAT, PAGE_SQL_COLS, page_ctes
 from tailorspark.plans.registry import register
 from tailorspark.session import materialize, scratch_dir, stored
 from tailorspark.sources.requests import requests_as_json
-from tailorspark.sources.tables import AS_OF, STORED_UNTIL, activity, catalog, customer_requests, requests, stored_activity
+from tailorspark.sources.tables import (
+    AS_OF, STORED_UNTIL, activity, catalog, customer_requests, request_extra, requests, stored_activity)
 from tailorspark.sources.visitors import load_visitors, save_visitors
 
 #: Fitted stacks by the files they were fitted on (path, length and time of change).
@@ -538,9 +539,10 @@ SELECT request_id, user_pseudo_id, path, {out}, {TAGS_SQL} AS tags FROM routed""
 @register("stored_visitor_route", _stored_route_sql)
 def q_stored_visitor_route(spark, sf_dir):
     """Requests of customers against the stored visitor table: path, and the numerics, context and tags they are served with."""
-    users = training_frame(activity(spark, sf_dir, "visit"), AS_OF)
+    act = stored(activity(spark, sf_dir, "visit"), "activity")
+    users = training_frame(act, AS_OF, extra=request_extra())
     visitors = visitor_table(spark, sf_dir, segment_names(users))
-    req = route(customer_requests(default_requests(spark, sf_dir)), True, visitors)
+    req = route(customer_requests(default_requests(spark, sf_dir, act, users)), True, visitors)
     tags = array_text(business_tags("total_revenue", "days_since_first_visit", "total_events"))
     return req.select("request_id", "user_pseudo_id", "path", *[
         F.round(c, 4).alias(c) if c == "total_revenue" else F.col(c).cast("long").alias(c)
@@ -552,10 +554,10 @@ def q_personalize_all(spark, sf_dir):
     """Every request through routing against the stored visitors, the model cascade (stored numerics and context, or the
     request's own) or the cold-start resolver, and page assembly."""
     stack = trained_stack(spark, sf_dir)
-    _, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    act, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
     names = segment_names(users)
     visitors = visitor_table(spark, sf_dir, names)
-    req = customer_requests(default_requests(spark, sf_dir))
+    req = customer_requests(default_requests(spark, sf_dir, act, users))
     preds = None  # too little data for a model: every request is cold
     if stack is not None:
         req = stored(route(req, True, visitors), "routed")
@@ -572,9 +574,9 @@ def q_stream_personalize(spark, sf_dir):
     """Request payloads land as JSON files; a stream scores them per batch."""
     from tailorspark.streaming.personalize_stream import run_personalize_stream
 
-    _, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    act, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
     base = scratch_dir(spark, "t2")
-    requests_as_json(requests(spark, sf_dir)).repartition(4).write.json(f"{base}/in")
+    requests_as_json(requests(spark, sf_dir, act=act, rollup=users)).repartition(4).write.json(f"{base}/in")
     out = run_personalize_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", table, defaults,
                                  catalog(spark, sf_dir), names=segment_names(users))
     return out.select(*PAGE_FLAT)

@@ -8,18 +8,18 @@ from tailorspark import constants as K
 from tailorspark.functions.columns import array_text, confidence_round, percent_match
 from tailorspark.operators.pages import (
     PAGE_FLAT, flatten_document, normalize_responses, page_document, personalize, route, write_pages)
-from tailorspark.operators.segments import segment_names
+from tailorspark.operators.segments import segment_names, training_frame
 from tailorspark.plans.oracle import TAGS_SQL, catalog_ctes, modules_sql, q, target_sql, with_ctes
 from tailorspark.plans.q_coldstart import coldstart_parts, default_requests, resolve_ctes
 from tailorspark.plans.registry import register
-from tailorspark.session import scratch_dir
-from tailorspark.sources.tables import catalog
+from tailorspark.session import scratch_dir, stored
+from tailorspark.sources.tables import AS_OF, activity, catalog, request_extra
 
 
 def cold_pages(spark, sf_dir):
     """C2 plan: cold path for every request, stateless (no stored users)."""
-    _, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
-    req = default_requests(spark, sf_dir)
+    act, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
+    req = stored(default_requests(spark, sf_dir, act, users), "requests")
     return personalize(req, table, defaults, catalog(spark, sf_dir), names=segment_names(users))
 
 
@@ -141,8 +141,9 @@ SELECT r.request_id,
        'cold' AS path_no_models
 FROM req r LEFT JOIN training u ON u.user_pseudo_id = r.user_pseudo_id"""))
 def q_route_requests(spark, sf_dir):
-    _, users, _, _ = coldstart_parts(spark, sf_dir)
-    req = default_requests(spark, sf_dir).withColumn("total_events", F.col("total_events").cast("long"))
+    act = stored(activity(spark, sf_dir, "visit"), "activity")
+    users = training_frame(act, AS_OF, extra=request_extra())
+    req = stored(default_requests(spark, sf_dir, act, users).withColumn("total_events", F.col("total_events").cast("long")), "requests")
     a = route(req, True).select("request_id", F.col("path").alias("path_stateless"))
     b = route(req, True, users).select("request_id", F.col("path").alias("path_stored"),
                                         F.col("total_events").alias("routed_events"))
@@ -172,7 +173,7 @@ def q_segment_name(spark, sf_dir):
     """X14, including ids with no name (cluster + 3 may be unknown)."""
     from tailorspark.functions.columns import segment_name as seg_name
 
-    _, users, _, _ = coldstart_parts(spark, sf_dir)
+    users = training_frame(activity(spark, sf_dir, "visit"), AS_OF)
     names = F.broadcast(segment_names(users).select(F.col("target_cluster").alias("_c"), F.col("segment_name")
                                                     .alias("_n")))
     p = cold_pages(spark, sf_dir).select("request_id", "segment_name", (F.col("cluster") + 3).alias("_s"))

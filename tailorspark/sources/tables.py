@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailorspark.constants import SEED
+from tailorspark.constants import SEED, UNKNOWN
 
 AS_OF = "2024-02-15 00:00:00"
 
@@ -64,26 +64,16 @@ def _events_with_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.withColumn("k", _prop_k()).drop("props")
 
 
-def _parts_used(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
-    """Semi-join reduce ``part`` to the keys the events reference.
-
-    The event side references few part keys, so the reduced table is small
-    and AQE turns the following join into a broadcast at run time; the full
-    part table is never shuffled against the events.
-    """
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_type")
-    used = ev.select(F.col("k").cast("long").alias("p_partkey")).where("p_partkey IS NOT NULL").distinct()
-    return part.join(used, "p_partkey", "left_semi")
-
-
 def activity(spark: SparkSession, sf_dir: str, grain: str = "visit") -> DataFrame:
     """Event-level activity table (FIXTURES §2).
 
     ``grain='visit'``: a visitor is one user on one day; ``grain='user'``: the
-    customer id itself.
+    customer id itself.  Events are read once; the part table is broadcast if it is
+    small, else events without a part meet no other and a much-used part is split
+    (adaptive skew join).
     """
     ev = _events_with_k(spark, sf_dir)
-    parts = _parts_used(spark, sf_dir, ev)
+    parts = read_table(spark, sf_dir, "part", "p_partkey", "p_type")
     cust = customer_dim(spark, sf_dir)
     if grain == "visit":
         uid = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("ts").cast("date").cast("string"))
@@ -149,22 +139,30 @@ def _last_n_by_time(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
 
 
-def requests(spark: SparkSession, sf_dir: str, recent_max: int = 20) -> DataFrame:
+def request_extra() -> tuple[Column, ...]:
+    """What requests need of a visit beyond the user rollup."""
+    return F.min_by("k", "event_id").alias("first_k"), F.min("event_id").alias("first_event_id")
+
+
+def requests(spark: SparkSession, sf_dir: str, recent_max: int = 20, act: DataFrame | None = None,
+             rollup: DataFrame | None = None) -> DataFrame:
     """One personalisation request per visit (FIXTURES §2, requests).
 
     Numerics and context come from the whole visit; the recent arrays from its
     latest ``recent_max`` events, oldest first.  Every visit whose first event
-    id is divisible by 7 carries no context at all.
+    id is divisible by 7 carries no context at all.  ``act``: the visits' activity,
+    if it is stored already; ``rollup``: their user rollup with ``request_extra``.
     """
-    act = activity(spark, sf_dir, "visit")
-    rollup = act.groupBy("user_pseudo_id").agg(
-        F.count("event_name").cast("int").alias("total_events"),
-        F.count_distinct("page_type").cast("int").alias("unique_pages"),
-        F.round(F.coalesce(F.sum("purchase_revenue"), F.lit(0.0)), 2).alias("total_revenue"),
-        F.min("event_ts").alias("first_ts"),
-        F.min_by("k", "event_id").alias("first_k"),
-        F.min("event_id").alias("first_event_id"),
-        *[F.mode(c, True).alias(c) for c in ("category", "region", "country", "source", "medium", "Age")],
+    act = activity(spark, sf_dir, "visit") if act is None else act
+    if rollup is None:
+        from tailorspark.operators.features import user_rollup
+
+        rollup = user_rollup(act, AS_OF, with_top_category=False, extra=request_extra())
+    rollup = rollup.select(
+        "user_pseudo_id", F.col("total_events").cast("int"), F.col("unique_pages").cast("int"),
+        F.round("total_revenue", 2).alias("total_revenue"), F.col("days_since_first_visit").cast("int"),
+        "first_k", "first_event_id",
+        *[F.nullif(c, F.lit(UNKNOWN)).alias(c) for c in ("category", "region", "country", "source", "medium", "Age")],
     )
     recent = (
         _last_n_by_time(act, "user_pseudo_id", recent_max)
@@ -181,9 +179,6 @@ def requests(spark: SparkSession, sf_dir: str, recent_max: int = 20) -> DataFram
         )
     )
     no_ctx = (F.col("first_event_id") % 7) == 0
-    days = F.floor(
-        (F.unix_micros(F.to_timestamp(F.lit(AS_OF))) - F.unix_micros("first_ts")) / F.lit(86400 * 1_000_000)
-    ).cast("int")
     ua = F.element_at(F.array(*[F.lit(s) for s in USER_AGENTS]), (F.col("first_k") % 5 + 1).cast("int"))
     return rollup.join(recent, "user_pseudo_id").select(
         F.col("user_pseudo_id").alias("request_id"),
@@ -191,7 +186,7 @@ def requests(spark: SparkSession, sf_dir: str, recent_max: int = 20) -> DataFram
         "total_events",
         "unique_pages",
         "total_revenue",
-        days.alias("days_since_first_visit"),
+        "days_since_first_visit",
         "recent_sequence",
         "recent_items",
         "recent_categories",

@@ -10,7 +10,7 @@ batch operator ``recent_signals``.
 State lives on disk (RocksDB) and ends: a user's buffer has an event-time timer
 ``ttl`` after its latest event.  When the watermark (the latest event time seen,
 less ``delay``) passes it, the buffer is deleted; a user who returns later starts
-anew.  Rows older than the watermark are dropped, rows within ``delay`` are placed.
+anew.  Rows older than the watermark of the trigger before are dropped, others are placed.
 """
 
 from __future__ import annotations

@@ -356,3 +356,42 @@ def test_normalize_malformed_responses(spark):
         assert out[k].personalization_details.assigned_business_tags == ["fallback_mode"]
     assert out["c"].hero_section.title == "T" and out["c"].product_modules[0].title == "M"
     assert out["c"].personalization_details.predicted_segment == 2
+
+
+def test_rows_without_a_transaction_pass_the_join_by(spark, tmp_path):
+    """99 % of the rows have no transaction id: none of them is shuffled, and no task has them all."""
+    from tailorspark.sources.activity import load_activity
+
+    n = 20_000
+    rows = spark.range(0, n, 1, 8)
+    rows.select(F.col("id").alias("event_id"), F.concat(F.lit("u"), "id").alias("user_pseudo_id"),
+                F.when(F.col("id") % 100 == 0, F.concat(F.lit("T"), "id")).alias("transaction_id")).write.parquet(f"{tmp_path}/a")
+    rows.where("id % 100 = 0").select(F.concat(F.lit("T"), "id").alias("transaction_id"),
+                                      F.col("id").cast("double").alias("purchase_revenue")).write.parquet(f"{tmp_path}/t")
+    df = load_activity(spark, f"{tmp_path}/a", f"{tmp_path}/t", "parquet")
+    r = df.agg(F.count("*"), F.count("purchase_revenue"), F.sum((F.col("purchase_revenue") == F.col("event_id")).cast("int"))).first()
+    assert tuple(r) == (n, n // 100, n // 100)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sizes = sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        assert max(sizes) <= 2 * (n / 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_backoff_join_is_chosen_by_the_size_of_the_table(spark):
+    users = _users(spark)
+    act = spark.createDataFrame([("X",)], "ItemCategory string")
+    table = coldstart_table(users, act, min_support=10)
+    defaults = spark.createDataFrame([("X", 1)], "global_top_category string, global_cluster int")
+    req = spark.createDataFrame([(i, "EU", "mobile" if i % 2 else "tablet", "google", "cpc") for i in range(20)],
+                                "request_id int, region string, category string, source string, medium string")
+    plans, found = [], []
+    for most in (1000, 1):
+        got = resolve_cold_start(req, table, defaults, broadcast_rows=most)
+        found.append(sorted((r["request_id"], r["resolved"]) for r in got.collect()))
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert found[0] == found[1]
+    assert plans[0].count("BroadcastHashJoin") >= 9 and "Generate explode" not in plans[0]
+    assert "Generate explode" in plans[1]

@@ -31,3 +31,46 @@ def test_stream_buffer_equals_batch(spark):
     raw = spark.read.parquet(f"{base}/out")
     assert raw.groupBy("user_pseudo_id").count().agg(F.max("count")).first()[0] > 1
 
+
+CLICK = "user_pseudo_id string, event_ts timestamp, event_id long, event_name string, item_name string, category string, display_category string"
+
+
+def run_files(spark, files, **options):
+    """One file a trigger, in the order given; the raw output rows."""
+    import time
+    from datetime import datetime, timedelta
+
+    base = tempfile.mkdtemp(prefix="ts-t1-")
+    t0 = datetime(2024, 1, 1)
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(u, t0 + timedelta(hours=h), e, "view_item", f"i{e}", "c", "c") for u, h, e in rows],
+                              CLICK).coalesce(1).write.parquet(f"{base}/in/part{i}")
+        time.sleep(1.1)  # files are taken by their time of change
+    stream = spark.readStream.schema(CLICK).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(f"{base}/in")
+    return run_to_completion(spark, buffer_stream(stream, **options), f"{base}/out", f"{base}/ckpt")
+
+
+def test_idle_buffers_expire_and_late_rows_are_placed(spark):
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    out = run_files(spark, [
+        [("a", 0, 1), ("b", 0, 2), ("a", 1, 3)],
+        [("b", 30, 4)],                 # watermark 20 h: a (due at 1 + 10 h) has been idle too long, b moved its timer
+        [("b", 25, 5)],                 # late by 5 h: placed
+        [("a", 31, 7), ("b", 2, 6)],    # a returns and begins anew; older than the watermark: dropped
+    ], delay="10 hours", ttl_days=10 / 24)
+    got = {r["user_pseudo_id"]: r["recent_items"] for r in latest_per_user(out).collect()}
+    assert got == {"a": ["i7"], "b": ["i2", "i5", "i4"]}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
+def test_buffers_within_their_time_are_kept(spark):
+    out = run_files(spark, [[("a", 0, 1), ("b", 0, 2)], [("b", 30, 4)], [("a", 31, 7), ("a", 5, 8)]],
+                    delay="60 days", ttl_days=10 / 24)
+    got = {r["user_pseudo_id"]: r["recent_items"] for r in latest_per_user(out).collect()}
+    assert got == {"a": ["i1", "i8", "i7"], "b": ["i2", "i4"]}
+
+
+def test_a_buffer_holds_the_latest_n(spark):
+    out = run_files(spark, [[("a", h, h) for h in range(0, 40, 2)], [("a", h, h) for h in range(1, 40, 2)]], n=5)
+    assert latest_per_user(out).first()["recent_items"] == [f"i{e}" for e in range(35, 40)]
