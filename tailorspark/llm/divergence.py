@@ -41,7 +41,7 @@ SCALE = 1_000_000_000
 #: Ranks of the terms by which a group exceeds its language.
 TOP_TERMS = 10
 #: Leaves of a block's trees, groups of a chunk, distinct terms that a task holds at once.
-BLOCK, CHUNK, HELD = 4096, 256, 200_000
+BLOCK, CHUNK, HELD = 1024, 256, 200_000
 _PIECE = 1 << 20
 _TERMS = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0x20 for b in range(256))
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
@@ -180,8 +180,8 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(lang, *r) for r in out], columns=["lang", "part", "source", "item", "value"])
 
 
-def _block_rows(counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What blocks are priced from, and a stored table that it reads.
+def _block_rows(counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What blocks are priced from, and the stored tables that it reads.
 
     ``groups``: every (lang, source).  Rows: lang, block, the two chunks a and b, ``whole`` (of the language's tree,
     else a group's), source, chunk, place of the term in the block, term, n (its count; N where place is -1), v.
@@ -192,10 +192,11 @@ def _block_rows(counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
         kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total")), "lang", "left")
     langs = langs.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total"),
                          F.ceil(F.col("sources") / CHUNK).cast("int").alias("chunks"))
-    langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)).cast("int"))
-    numbered = kept.join(langs.select("lang", "blocks"), "lang").withColumn(
+    # a row for each language, stored: its size is known to the planner, and a language's rows are not dealt to one task
+    langs = stored(langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)).cast("int")), "langs")
+    numbered = kept.join(langs.drop("total"), "lang").withColumn(
         "block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
-    numbered = stored(numbered.select("lang", "term", "block", "n", (F.row_number().over(
+    numbered = stored(numbered.select("lang", "term", "block", "n", "v", "chunks", (F.row_number().over(
         Window.partitionBy("lang", "block").orderBy("term")) - 1).alias("place")), "terms")
     leaves = counts.select("lang", "source", "term", F.col("n").alias("_n")).join(
         numbered.drop("n"), ["lang", "term"]).withColumnRenamed("_n", "n")
@@ -215,7 +216,6 @@ def _block_rows(counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
 
     none = F.lit(None).cast("string")
     columns = ["lang", "block", "a", "b", "whole", "source", "chunk", "place", "term", "n", "v"]
-    ids = langs.select("lang", "v", "chunks")
     members = groups.join(langs, "lang").join(sums.withColumnRenamed("total", "n"), ["lang", "source"], "left") \
         .withColumn("n", F.coalesce("n", F.lit(0)))
     spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
@@ -224,14 +224,14 @@ def _block_rows(counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
             "*", F.lit(False).alias("whole"), F.lit(-1).alias("place"), none.alias("term")),
         each(langs.select("lang", "v", "chunks", F.col("total").alias("n"), spread)).select(
             "*", F.lit(True).alias("whole"), F.lit("").alias("source"), F.lit(-1).alias("place"), none.alias("term")),
-        both(leaves.join(ids, "lang").withColumn("chunk", chunk)).select("*", F.lit(False).alias("whole")).withColumn(
+        both(leaves.withColumn("chunk", chunk)).select("*", F.lit(False).alias("whole")).withColumn(
             "term", none),
-        each(numbered.join(ids, "lang")).select("*", F.lit(True).alias("whole"), F.lit("").alias("source")),
+        each(numbered).select("*", F.lit(True).alias("whole"), F.lit("").alias("source")),
     ]
     rows = parts[0].select(columns)
     for p in parts[1:]:
         rows = rows.union(p.select(columns))
-    return rows, numbered
+    return rows, [langs, numbered]
 
 
 def audit(docs: DataFrame) -> DataFrame:
@@ -239,11 +239,11 @@ def audit(docs: DataFrame) -> DataFrame:
     language; part ``term``, the ``TOP_TERMS`` terms by which it exceeds its language most."""
     counts = stored(term_counts(docs), "term-counts")
     groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    rows, numbered = _block_rows(counts, groups)
+    rows, read = _block_rows(counts, groups)
     priced = rows.groupBy("lang", "block", "a", "b").applyInPandas(
         _block, "lang string, part string, source string, item string, value bigint")
     priced = stored(priced.groupBy("lang", "part", "source", "item").agg(F.sum("value").alias("value")), "prices")
-    discard(counts, numbered)
+    discard(counts, *read)
     pairs = priced.where("part = 'pair'")
     back = pairs.select("lang", "part", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
