@@ -188,7 +188,8 @@ HERO_T = T.StructType([T.StructField("title", T.StringType()), T.StructField("su
                        T.StructField("targeted_products", T.ArrayType(T.StringType()))])
 
 
-def normalize_responses(logs: DataFrame, json_col: str = "response", key: str = "request_id") -> DataFrame:
+def normalize_responses(logs: DataFrame, json_col: str = "response", key: str = "request_id",
+                        default_hero: tuple[str, str, str] = K.DEFAULT_HERO) -> DataFrame:
     """Accept a response whose content may be nested one level too deep.
 
     hero = raw.hero_section.hero_section ?? raw.hero_section ?? default;
@@ -213,11 +214,11 @@ def normalize_responses(logs: DataFrame, json_col: str = "response", key: str =
     det_v = F.coalesce(obj(F.try_variant_get(v, "$.personalization_details", "variant")),
                        obj(F.try_variant_get(raw_hero, "$.personalization_details", "variant")))
     mod_t = "array<struct<title:string,products:array<string>>>"
-    default_hero = F.struct(*[F.lit(x).alias(n) for x, n in zip(K.DEFAULT_HERO, ("title", "subtitle", "cta"))],
-                            F.lit(None).cast("array<string>").alias("targeted_products"))
+    fallback = F.struct(*[F.lit(x).alias(n) for x, n in zip(default_hero, ("title", "subtitle", "cta"))],
+                        F.lit(None).cast("array<string>").alias("targeted_products"))
     return logs.select(
         key,
-        F.coalesce(F.try_variant_get(hero_v, "$", HERO_T.simpleString()), default_hero).alias("hero_section"),
+        F.coalesce(F.try_variant_get(hero_v, "$", HERO_T.simpleString()), fallback).alias("hero_section"),
         F.coalesce(F.try_variant_get(mods_v, "$", mod_t), F.array().cast(mod_t)).alias("product_modules"),
         F.when(det_v.isNull(), F.struct(F.lit(0).alias("predicted_segment"),
                                         F.array(*[F.lit(t) for t in K.DEFAULT_DETAILS_TAGS]).alias(

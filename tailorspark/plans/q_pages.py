@@ -143,12 +143,13 @@ FROM req r LEFT JOIN training u ON u.user_pseudo_id = r.user_pseudo_id"""))
 def q_route_requests(spark, sf_dir):
     act = stored(activity(spark, sf_dir, "visit"), "activity")
     users = training_frame(act, AS_OF, extra=request_extra())
-    req = stored(default_requests(spark, sf_dir, act, users).withColumn("total_events", F.col("total_events").cast("long")), "requests")
-    a = route(req, True).select("request_id", F.col("path").alias("path_stateless"))
-    b = route(req, True, users).select("request_id", F.col("path").alias("path_stored"),
-                                        F.col("total_events").alias("routed_events"))
-    c = route(req, False).select("request_id", F.col("path").alias("path_no_models"))
-    return a.join(b, "request_id").join(c, "request_id")
+    req = default_requests(spark, sf_dir, act, users).withColumn("total_events", F.col("total_events").cast("long"))
+    # one pass over the requests: the stored route comes last, it replaces their numerics
+    out = route(req, True).withColumnRenamed("path", "path_stateless")
+    out = route(out, False).withColumnRenamed("path", "path_no_models")
+    out = route(out, True, users).withColumnRenamed("path", "path_stored")
+    return out.select("request_id", "path_stateless", "path_stored", F.col("total_events").alias("routed_events"),
+                      "path_no_models")
 
 
 # -- X14 + X15 + X16 ----------------------------------------------------------
