@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tailorspark.llm import quality_rank, quality_rules
@@ -69,3 +70,29 @@ def test_rank_edge_cases(spark):
     assert quality_rank.fit(table, labels.where("quality = 1"), F.lit(True)) is None
     assert rows(quality_rank.score(table, None), "score") == [(0.5,)] * 8
     assert quality_rank.score(docs(spark, []), ranker).count() == 0
+
+
+def test_cut_follows_all_labels_not_the_sample(spark):
+    """One label in ten is 1; the sample holds as many rows of both."""
+    rng = np.random.default_rng(4)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "do"]
+
+    def text(good):
+        w = [words[k] for k in rng.integers(0, 8, int(rng.integers(60, 120)))]
+        return " ".join(w) if good else " ".join(x if k % int(rng.integers(2, 9)) else "#$%" for k, x in enumerate(w))
+
+    kinds = [i % 10 == 0 for i in range(3000)]
+    frame = docs(spark, [text(k) for k in kinds])
+    labels = spark.createDataFrame([(i, int(k), 0) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    ranker = quality_rank.fit(frame, labels, F.lit(True), rows=200)
+    share = quality_rank.score(frame, ranker).where(F.col("score") >= quality_rank.CUT).count() / 3000
+    assert 0.07 <= share <= 0.13
+
+
+def test_a_repeated_document_is_learned_from_once(spark):
+    texts = ["a b c d e f " * 12, "# $ % # $ %"] + ["a b c d e f " * 12] * 30
+    frame = docs(spark, texts, ids=[1, 2] + [1] * 30)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    ranker = quality_rank.fit(frame, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality_rank.score(frame, ranker).collect()}
+    assert got[1] > quality_rank.CUT > got[2]
