@@ -20,6 +20,7 @@ HEADLINE = [
     "coldstart_table",
     "coldstart_resolve",
     "personalize_cold",
+    "stored_visitor_route",
     "recent_signals",
     "stream_recent_events",
     "catalog_lookup",
