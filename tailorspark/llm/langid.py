@@ -13,7 +13,8 @@ the languages' differences would drown.
 
 Defined results: null text, or text without a letter -> ``und``, score 0,
 rejected.  Equal sizes -> alphabetically first language, margin 0, rejected.
-No labelled row at all -> every text is ``und``.  Rows keep their multiplicity;
+No labelled row at all -> every text is ``und``.  A null doc_id is never learned
+from.  Rows keep their multiplicity;
 columns besides those named are not read.
 """
 
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
-#: Bound of the fitted sample: labelled rows per language, and letters taken from each.
-SAMPLE_ROWS = 600
-SAMPLE_BYTES = 1000
-DICT_BYTES = 1 << 18
+#: Bound of the fitted sample: labelled documents per language, and bytes of letters taken from each.  All of them are
+#: the dictionary, 256 KB at most.
+SAMPLE_ROWS = 320
+SAMPLE_BYTES = 818
 CHUNK = 4096
 LEVEL = 3
 #: Reject when the runner-up is less than this fraction larger.
@@ -60,7 +61,8 @@ def fit_dictionaries(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -
 
     Per language the ``rows`` usable documents with the smallest id hash, at most
     ``SAMPLE_BYTES`` of letters each: what reaches the driver is bounded by
-    languages x rows x bytes whatever the corpus size.
+    languages x rows x bytes whatever the corpus size.  Of several texts under one
+    doc_id and language the smallest is taken, once.
     """
     spark = docs.sparkSession
     h = F.xxhash64(F.col("doc_id").cast("string"))
@@ -78,10 +80,11 @@ def fit_dictionaries(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -
                                 "doc_id long, h long")
     # at most languages x rows ids were collected above, so this side is small by construction
     picked = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    picked = picked.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))  # however often a document occurs
     pieces = picked.select("lang", "h", "text").mapInPandas(_sample_text, "lang string, h long, piece binary").toPandas()
     out = {}
     for lang, g in pieces.sort_values(["lang", "h", "piece"]).groupby("lang"):
-        content = b" ".join(bytes(p) for p in g["piece"] if p)[:DICT_BYTES]
+        content = b" ".join(bytes(p) for p in g["piece"] if p)
         if content:
             out[lang] = content
     return out

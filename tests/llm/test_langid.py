@@ -47,3 +47,16 @@ def test_held_out_accuracy(spark):
     found = op4_language_id(spark, sf).where("held_out").join(truth, "doc_id")
     right = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.97
+
+
+def test_a_repeated_document_is_learned_from_once(spark):
+    table = docs(spark, [EN] * 40 + [DE], ids=[7] * 40 + [None], langs=["en"] * 40 + ["de"])
+    content = langid.fit_dictionaries(table, F.lit(True))
+    assert list(content) == ["en"] and len(content["en"]) < len(EN)
+
+
+def test_every_sampled_row_is_in_the_dictionary(spark):
+    long = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(400))
+            for i in range(400)]
+    content = langid.fit_dictionaries(docs(spark, long), F.lit(True))["en"]
+    assert langid.SAMPLE_ROWS * langid.SAMPLE_BYTES <= len(content) <= 1 << 18
