@@ -2,16 +2,19 @@
 
 A page is a sequence of nodes: containers opening and closing, and texts (with
 the leaf element they stand in; inline markup belongs to the text).  Runs of
-equal groups fold into one *repeated* group.  Two sequences are aligned by their
-longest common parts; what only one has becomes *optional* (its count stays
-below the wrapper's number of pages), what is a group here and its repetition
-there becomes repeated, and texts that differ become *slots*.  The result
-covers both, so pages can be folded in any order and partial wrappers merged.
+equal groups fold into one *repeated* group.  Two sequences are aligned level by
+level, a container and its content as one item, by their longest common parts;
+what only one has becomes *optional* (its count stays below the wrapper's number
+of pages), what is a group here and its repetition there becomes repeated, an
+irregular stretch becomes a repeated group of optional parts, and texts that
+differ become *slots*.  The result covers both, so pages can be folded in any
+order and partial wrappers merged; its size follows the number of different
+containers and leaves, not the number of pages.
 
 A node is a list ``[key, pages, payload]``: key ``o tag names`` / ``c tag`` for
 containers, ``x leaf`` for texts with payload ``[characters, linked characters,
 constant text's hash or 0]``, ``r first-key`` for repeated groups with the
-group's nodes as payload.  Texts of a single page carry their positions as a
+group's nodes as payload, ``r *`` for irregular stretches.  Texts of a single page carry their positions as a
 fourth payload element, to get from wrapper to page again.
 """
 
@@ -42,6 +45,14 @@ BOILER_NAMES = set("nav ad ads menu header footer sidebar side banner bar cookie
 BOILER_STEMS = ("navi", "advert", "sponsor", "promo", "comment", "breadcrumb", "pagina", "subscri", "newsletter",
                 "recommend", "disclaim", "disqus", "gdpr", "alert", "complementary", "contentinfo", "outbrain", "taboola")
 MAIN_NAMES = set("content main article post entry story body text page".split())
+#: Fewer pages than this do not tell a constant text from the article's.
+TELLING = 8
+#: A key of one irregular stretch stands at most this often before the stretch becomes one group.
+SPREAD = 3
+#: Containers nested deeper are aligned node by node.
+DEPTH = 60
+#: The group of an irregular stretch.
+ANY = "r *"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -118,17 +129,19 @@ def parse(page: str) -> Iterator[tuple[str, str, int]]:
             yield got
 
 
-def _joined(a: list, b: list, pages: bool) -> list:
+def _joined(a: list, b: list, pages: bool, depth: int = 0) -> list:
     """One node from two with the same key; ``pages``: of different pages, so counts add up."""
     key, n = a[0], a[1] + b[1] if pages else max(a[1], b[1])
     if key[0] == "x":
         p, q = a[2], b[2]
         payload = [p[0] + q[0], p[1] + q[1], p[2] if p[2] == q[2] else 0]
-        if not pages:
+        if not pages and len(p) == len(q) == 4:
             payload.append(p[3] + q[3])
         return [key, n, payload]
+    if key == ANY:
+        return [key, n, _flat(_by_key(_items(a[2], depth) + _items(b[2], depth), pages, depth).values())]
     if key[0] == "r":
-        return [key, n, merge(a[2], b[2], pages)]
+        return [key, n, merge(a[2], b[2], pages, depth + 1)]
     return [key, n, None]
 
 
@@ -186,40 +199,134 @@ def page_wrapper(parsed: list[tuple[str, str, int]]) -> list:
     return _fold(nodes)
 
 
-def _like(nodes: list, group: list) -> list | None:
-    """``nodes`` with the part that equals a repeated ``group``'s keys made a repetition of one."""
-    keys = [n[0] for n in group]
-    for i in range(len(nodes) - len(keys) + 1):
-        if [n[0] for n in nodes[i:i + len(keys)]] == keys:
-            return nodes[:i] + [_repeated(nodes[i:i + len(keys)])] + nodes[i + len(keys):]
-    return None
+def _flat(items) -> list:
+    return [node for item in items for node in item]
 
 
-def _alike(a: list, b: list) -> tuple[list, list]:
+def _items(nodes: list, depth: int) -> list[list]:
+    """What stands side by side: a container with everything up to its end is one item."""
+    if depth > DEPTH:
+        return [[n] for n in nodes]
+    end, inside = {}, []
+    for i, node in enumerate(nodes):
+        kind, _, rest = node[0].partition(" ")
+        if kind == "o":
+            inside.append((rest.partition(" ")[0], i))
+        elif kind == "c":
+            # as in _texts: an end without its beginning ends nothing, one that skips others ends them too
+            for k in range(len(inside) - 1, -1, -1):
+                if inside[k][0] == rest:
+                    end.update({at: i for _, at in inside[k + 1:]})
+                    end[inside[k][1]] = i + 1
+                    del inside[k:]
+                    break
+    out, i = [], 0
+    while i < len(nodes):
+        to = end.get(i, len(nodes)) if nodes[i][0][0] == "o" else i + 1
+        out.append(nodes[i:to])
+        i = to
+    return out
+
+
+def _inner(item: list) -> tuple[list, list]:
+    """A container's nodes and its end, if it has one."""
+    closed = len(item) > 1 and item[-1][0] == "c " + item[0][0].split(" ")[1]
+    return (item[1:-1], item[-1:]) if closed else (item[1:], [])
+
+
+def _both(a: list, b: list, pages: bool, depth: int) -> list:
+    """One item from two with the same key."""
+    first = [_joined(a[0], b[0], pages, depth)]
+    if len(a) == len(b) == 1:
+        return first
+    (x, x_end), (y, y_end) = _inner(a), _inner(b)
+    last = [_joined(x_end[0], y_end[0], pages)] if x_end and y_end else x_end or y_end
+    return first + merge(x, y, pages, depth + 1) + last
+
+
+def _by_key(items: list[list], pages: bool, depth: int) -> dict[str, list]:
+    found: dict[str, list] = {}
+    for item in items:
+        key = item[0][0]
+        found[key] = _both(found[key], item, pages, depth) if key in found else item
+    return found
+
+
+def _parts(item: list, depth: int) -> list[list]:
+    """The items that a repeated group repeats; any other item is its own."""
+    return [p for i in _items(item[0][2], depth) for p in _parts(i, depth)] if item[0][0][0] == "r" else [item]
+
+
+def _settled(items: list[list], depth: int) -> list[list]:
+    """Resolve irregular stretches, so that a wrapper stops growing.
+
+    A key that some pages lack and that stands more than ``SPREAD`` times makes
+    everything from its first to its last place one group of optional parts in
+    any number and order: ``(a? b? c?)*``.  Optional items that such a group
+    has already become part of it.
+    """
+    places: dict[str, list[int]] = {}
+    for i, item in enumerate(items):
+        places.setdefault(item[0][0].removeprefix("r "), []).append(i)
+    groups = places.pop("*", [])
+    known = {p[0][0] for i in groups for p in _items(items[i][0][2], depth)}
+    reach = groups[:1] + groups[-1:]
+    absorbed = set()
+    for key, at in places.items():
+        if key[0] == "c" or depth > DEPTH:
+            continue
+        most = max(items[i][0][1] for i in at + groups)
+        if len(at) > SPREAD and any(items[i][0][1] < most for i in at):
+            reach += [at[0], at[-1]]
+        elif known:
+            absorbed.update(i for i in at if items[i][0][1] < most and all(p[0][0] in known for p in _parts(items[i], depth)))
+    if not reach or len(groups) == 1 and min(reach) == max(reach) and not absorbed:
+        return items
+    first, last = min(reach), max(reach)
+    absorbed.update(range(first, last + 1))
+    members = [p for i in sorted(absorbed) for p in _parts(items[i], depth)]
+    group = [[ANY, max(items[i][0][1] for i in absorbed), _flat(_by_key(members, False, depth).values())]]
+    return [*(item for i, item in enumerate(items[:first]) if i not in absorbed), group,
+            *(item for i, item in enumerate(items[last + 1:], last + 1) if i not in absorbed)]
+
+
+def _like(items: list[list], keys: list[str]) -> list[list]:
+    """``items`` with the run that a repeated group's ``keys`` name made a repetition of one."""
+    for i in range(len(items) - len(keys) + 1):
+        if [item[0][0] for item in items[i:i + len(keys)]] == keys:
+            return items[:i] + [[_repeated(_flat(items[i:i + len(keys)]))]] + items[i + len(keys):]
+    return items
+
+
+def _alike(a: list[list], b: list[list], depth: int) -> tuple[list[list], list[list]]:
     """Both, with a group that stands once on one side made a repetition if the other side repeats it."""
     for _ in range(2):
-        known = {n[0] for n in b}
-        for node in a:
-            if node[0][0] == "r" and len(node[2]) > 1 and node[0] not in known:
-                b = _like(b, node[2]) or b
+        known = {item[0][0] for item in b}
+        for item in a:
+            if item[0][0][0] == "r" and item[0][0] != ANY and item[0][0] not in known:
+                b = _like(b, [i[0][0] for i in _items(item[0][2], depth)])
         a, b = b, a
     return a, b
 
 
-def merge(a: list, b: list, pages: bool = True) -> list:
+def _codes(a: list[list], b: list[list]):
+    x, y = [i[0][0] for i in a], [i[0][0] for i in b]
+    if x == y:
+        return [("equal", 0, len(x), 0, len(y))]
+    return difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
+
+def merge(a: list, b: list, pages: bool = True, depth: int = 0) -> list:
     """The wrapper that covers both."""
-    if [n[0] for n in a] == [n[0] for n in b]:
-        return [_joined(x, y, pages) for x, y in zip(a, b)]
-    a, b = _alike(a, b)
+    x, y = _alike(_items(a, depth), _items(b, depth), depth)
     out = []
-    for kind, i1, i2, j1, j2 in difflib.SequenceMatcher(
-            None, [n[0] for n in a], [n[0] for n in b], autojunk=False).get_opcodes():
+    for kind, i1, i2, j1, j2 in _codes(x, y):
         if kind == "equal":
-            out += [_joined(x, y, pages) for x, y in zip(a[i1:i2], b[j1:j2])]
+            out += [_both(p, q, pages, depth) for p, q in zip(x[i1:i2], y[j1:j2])]
         else:
             # what only one of them has is optional from now on: its count lags behind
-            out += a[i1:i2] + b[j1:j2]
-    return out
+            out += x[i1:i2] + y[j1:j2]
+    return _flat(_settled(out, depth))
 
 
 def without_positions(nodes: list) -> list:
@@ -276,7 +383,7 @@ def label(nodes: list) -> dict[int, bool]:
     pages = max((n[1] for n in nodes), default=0)
 
     def varies(node):
-        return pages < 3 or not node[2][2] or 10 * node[1] < 9 * pages
+        return pages < TELLING or not node[2][2] or 10 * node[1] < 9 * pages
 
     rich = [t for t in usable if 2 * t[0][2][1] <= t[0][2][0]]
     eligible = [t for t in rich if varies(t[0])] or rich
@@ -296,7 +403,7 @@ def label(nodes: list) -> dict[int, bool]:
     return out
 
 
-def _choose(wrapper: list, page: list, labels: dict[int, bool], own, chosen: list) -> None:
+def _choose(wrapper: list, page: list, labels: dict[int, bool], own, chosen: list, depth: int = 0) -> None:
     """Collect the numbers of the page's texts whose wrapper node belongs to the article.
 
     ``own``: gives the page's own labels, for what the wrapper does not know.
@@ -308,25 +415,38 @@ def _choose(wrapper: list, page: list, labels: dict[int, bool], own, chosen: lis
             elif n[0][0] == "r":
                 alone(n[2])
 
-    if [n[0] for n in wrapper] == [n[0] for n in page]:
-        codes = [("equal", 0, len(page), 0, len(page))]
-    else:
-        wrapper, page = _alike(wrapper, page)
-        codes = difflib.SequenceMatcher(None, [n[0] for n in wrapper], [n[0] for n in page], autojunk=False).get_opcodes()
-    for kind, i1, i2, j1, j2 in codes:
+    def take(w, p):
+        if p[0][0][0] == "x":
+            if labels[id(w[0])]:
+                chosen.extend(p[0][2][3])
+        elif p[0][0][0] == "r":
+            _choose(w[0][2], p[0][2], labels, own, chosen, depth + 1)
+        elif len(p) > 1:
+            _choose(_inner(w)[0], _inner(p)[0], labels, own, chosen, depth + 1)
+
+    x, y = _alike(_items(wrapper, depth), _items(page, depth), depth)
+    known = {p[0][0]: p for item in x if item[0][0] == ANY for p in _items(item[0][2], depth)}
+    for kind, i1, i2, j1, j2 in _codes(x, y):
         if kind == "equal":
-            for w, p in zip(wrapper[i1:i2], page[j1:j2]):
-                if w[0][0] == "x" and labels[id(w)]:
-                    chosen.extend(p[2][3])
-                elif w[0][0] == "r":
-                    _choose(w[2], p[2], labels, own, chosen)
+            for w, p in zip(x[i1:i2], y[j1:j2]):
+                take(w, p)
         else:
-            alone(page[j1:j2])  # the wrapper does not know it: judge it by the page itself
+            for part in (p for item in y[j1:j2] for p in _parts(item, depth)):
+                if part[0][0] in known:
+                    take(known[part[0][0]], part)  # one more round of the irregular group
+                else:
+                    alone(part)  # the wrapper does not know it: judge it by the page itself
 
 
 def article(parsed: list[tuple[str, str, int]], wrapper: list, labels: dict[int, bool]) -> str:
-    """The article's blocks of a page, joined by line feeds."""
+    """The article's blocks of a page, joined by line feeds.
+
+    A page of which the wrapper takes nothing is judged by itself.
+    """
     page = page_wrapper(parsed)
     chosen: list[int] = []
-    _choose(wrapper, page, labels, functools.cache(lambda: label(page)), chosen)
+    own = functools.cache(lambda: label(page))
+    _choose(wrapper, page, labels, own, chosen)
+    if not chosen:
+        _choose([], page, {}, own, chosen)
     return "\n".join(parsed[i][1] for i in sorted(chosen))

@@ -1,3 +1,7 @@
+import json
+import random
+import re
+
 import pytest
 
 from tailorspark.llm import html_extract, wrapper as W
@@ -68,3 +72,48 @@ def test_partial_wrappers_meet_in_levels(spark, monkeypatch):
                                   "page_id long, url string, html string").repartition(9)
     assert html_extract.infer_wrappers(pages).count() == 1
     assert rows(html_extract.extract(pages), "text") == sorted((f"t{i}",) for i in range(40))
+
+
+def test_host_with_several_templates_keeps_all_text(spark):
+    shapes = ["<nav><a href=/>Home</a></nav><article><h1>A{0}</h1><p>{1}</p></article><footer>f</footer>",
+              "<div class=content><ul><li>L{0}</li><li>{1}</li></ul></div><footer>f</footer>",
+              "<div class=content><h1>M{0}</h1><p>{1}</p><ul><li>x{0}</li></ul><p>after {0}</p><h3>H{0}</h3><p>end {0}</p></div>"
+              "<div class=qwzx>All rights reserved</div>"]
+    want = ["A{0}\n{1}", "L{0}\n{1}", "M{0}\n{1}\nx{0}\nafter {0}\nH{0}\nend {0}"]
+    data = [(i, "http://h.org/", shapes[i % 3].format(i, words(i, 30))) for i in range(60)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    assert rows(html_extract.infer_wrappers(pages), "host") == [("h.org",)] * 3
+    assert rows(html_extract.extract(pages), "page_id", "text") == [(i, want[i % 3].format(i, words(i, 30))) for i in range(60)]
+
+
+def test_page_that_its_wrapper_gives_nothing_is_judged_alone():
+    nodes = W.without_positions(W.page_wrapper(list(W.parse("<div><p>a</p></div>"))))
+    labels = dict.fromkeys(W.label(nodes), False)
+    assert W.article(list(W.parse("<div><p>b</p></div>")), nodes, labels) == "b"
+
+
+BLOCKS = ["<h2>{}</h2>", "<p>{}</p>", "<ul><li>{}</li><li>b</li></ul>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>",
+          "<table><tr><td>{}</td></tr></table>", "<div class=vqx><p>{}</p><h3>x</h3></div>", "<dl><dt>{}</dt><dd>d</dd></dl>"]
+
+
+def test_irregular_pages_stop_growing_a_wrapper_and_lose_nothing():
+    rng = random.Random(5)
+    pages, want = [], []
+    for i in range(1000):
+        chosen = [(rng.choice(BLOCKS), f"w{i}x{k} {words(i, 4)}") for k in range(rng.randint(1, 25))]
+        pages.append("<nav><ul><li>Home</li></ul></nav><article class=zq>" + "".join(b.format(t) for b, t in chosen) + "</article><footer>f</footer>")
+        # brute force: markup away, a line for each leaf
+        want.append("\n".join(x for b, t in chosen for x in re.split(r"(?:<[^>]*>)+", b.format(t)) if x))
+    nodes = None
+    for p in pages:
+        own = W.without_positions(W.page_wrapper(list(W.parse(p))))
+        nodes = W.merge(nodes, own) if nodes else own
+    assert len(json.dumps(nodes)) < 2000
+    labels = W.label(nodes)
+    assert [W.article(list(W.parse(p)), nodes, labels) for p in pages] == want
+
+
+def test_deep_and_unclosed_containers():
+    deep = ["<div>" * n + "<section><p>x" for n in (10, 3000, 2000)]
+    assert extract(deep) == ["x"] * 3
+    assert extract(["<div><section><p>a</div><p>b", "<div><p>c</section></div></div><p>d"]) == ["a\nb", "c\nd"]
