@@ -318,6 +318,8 @@ def _codes(a: list[list], b: list[list]):
 
 def merge(a: list, b: list, pages: bool = True, depth: int = 0) -> list:
     """The wrapper that covers both."""
+    if [n[0] for n in a] == [n[0] for n in b]:
+        return [_joined(x, y, pages, depth) for x, y in zip(a, b)]
     x, y = _alike(_items(a, depth), _items(b, depth), depth)
     out = []
     for kind, i1, i2, j1, j2 in _codes(x, y):
@@ -424,6 +426,10 @@ def _choose(wrapper: list, page: list, labels: dict[int, bool], own, chosen: lis
         elif len(p) > 1:
             _choose(_inner(w)[0], _inner(p)[0], labels, own, chosen, depth + 1)
 
+    if [n[0] for n in wrapper] == [n[0] for n in page]:
+        for w, p in zip(wrapper, page):
+            take([w], [p])
+        return
     x, y = _alike(_items(wrapper, depth), _items(page, depth), depth)
     known = {p[0][0]: p for item in x if item[0][0] == ANY for p in _items(item[0][2], depth)}
     for kind, i1, i2, j1, j2 in _codes(x, y):
