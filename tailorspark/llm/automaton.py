@@ -4,7 +4,9 @@ The expressions' syntax trees (from the standard library's parser) become one
 nondeterministic automaton, subset construction makes it deterministic with an
 unanchored start, and partition refinement minimises it.  The result is a flat
 transition array; scanning is one table look-up per byte whatever the number of
-rules.  Supported: literals, classes, groups, alternation, counted and open repeats.
+rules.  ``runs`` tells where each rule's matches end; an anchored automaton gives
+the longest match from a place, forward or (built ``backward``) towards its
+beginning.  Supported: literals, classes, groups, alternation, counted and open repeats.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ _parse, _op = re._parser.parse, re._constants  # noqa: SLF001
 
 
 class _Nfa:
-    def __init__(self):
+    def __init__(self, backward: bool = False):
+        self.backward = backward
         self.empty: list[list[int]] = []
         self.moves: list[tuple[int, int] | None] = []  # (byte set as 256-bit integer, target)
 
@@ -35,7 +38,7 @@ class _Nfa:
         return follow
 
     def add(self, tree, at: int, fold: bool) -> int:
-        for kind, arg in tree:
+        for kind, arg in reversed(tree) if self.backward else tree:
             if kind is _op.LITERAL:
                 at = self.symbol(at, _bytes([arg], fold))
             elif kind is _op.IN:
@@ -107,8 +110,8 @@ class Automaton:
     ``n_classes``.
     """
 
-    def __init__(self, rules: Sequence[str]):
-        nfa = _Nfa()
+    def __init__(self, rules: Sequence[str], anchored: bool = False, backward: bool = False):
+        nfa = _Nfa(backward)
         start = nfa.state()
         ends = {}
         for r, rule in enumerate(rules):
@@ -125,13 +128,13 @@ class Automaton:
         sample = {c: b for b, c in reversed(list(enumerate(self.classes.tolist())))}
         n = self.n_classes = len(kinds)
 
-        # subset construction; the start is always among the states, so a match may begin anywhere
+        # subset construction; unless anchored, the start is always among the states, so a match may begin anywhere
         first = closure[start]
         index, order, table = {first: 0}, [first], []
         for states in order:
             row = []
             for c in range(n):
-                to = set(first)
+                to = set() if anchored else set(first)
                 for s in states:
                     if nfa.moves[s] and nfa.moves[s][0] >> sample[c] & 1:
                         to |= closure[nfa.moves[s][1]]
@@ -170,27 +173,50 @@ class Automaton:
         self.table = (rank[block[table[pick]]][place] * self.n_classes).astype(np.int32).reshape(-1)
         self.start = int(rank[block[0]]) * self.n_classes
         self.first_end = int((self.masks == 0).sum()) * self.n_classes
-        self._list = self.table.tolist()
+        self._list, self._classes = self.table.tolist(), self.classes.tolist()
+        rows = self.table.reshape(-1, self.n_classes)
+        stuck = np.flatnonzero((rows == np.arange(len(rows))[:, None] * self.n_classes).all(1) & (self.masks == 0))
+        self._dead = int(stuck[0]) * self.n_classes if len(stuck) else -1
 
     #: With fewer texts left than this, one at a time beats one step for all.
     NARROW = 96
 
+    def longest(self, data: bytes, at: int, stop: int, step: int = 1) -> int:
+        """Bytes of the longest match from ``at`` on, by ``step`` until ``stop``; 0 if there is none."""
+        table, classes, s, best = self._list, self._classes, self.start, 0
+        for k in range(at, stop, step):
+            s = table[s + classes[data[k]]]
+            if s >= self.first_end:
+                best = (k - at) * step + 1
+            elif s == self._dead:
+                break
+        return best
+
     def scan(self, texts: Sequence[bytes]) -> np.ndarray:
-        """Bit mask of the rules that end somewhere in each text; every byte is looked at once.
+        """Bit mask of the rules that end somewhere in each text."""
+        found = np.zeros(len(texts), np.int64)
+        for i, runs in self.runs(texts).items():
+            for _, _, mask in runs:
+                found[i] |= mask
+        return found
 
-        All texts advance together, one byte a step, longest first, so those that
-        have ended drop off the end of the state array.
+    def runs(self, texts: Sequence[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """Text number -> ``(first, last, mask)`` in order: the rules in mask end after each of bytes first to last.
+
+        Every byte is looked at once.  All texts advance together, one byte a
+        step, longest first, so those that have ended drop off the end of the
+        state array.  Neighbouring ends of the same rules are one run.
         """
         lengths = np.array([len(t) for t in texts], np.int64)
-        found = np.zeros(len(texts), np.int64)
         if not lengths.sum():
-            return found
+            return {}
         order = np.argsort(-lengths, kind="stable")
         data = self.classes[np.frombuffer(b"".join(texts[i] for i in order), np.uint8)]
         lengths = lengths[order]
         begin = np.cumsum(lengths) - lengths
         state = np.full(len(order), self.start, np.int32)
-        hits = np.zeros(len(order), np.int64)
+        changes: dict[int, list[tuple[int, int]]] = {}  # (bytes read, mask from there on)
+        last: dict[int, int] = {}
         steps = int(lengths[self.NARROW - 1]) if len(order) >= self.NARROW else 0
         alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than the step's number
         for i in range(steps):
@@ -198,16 +224,26 @@ class Automaton:
             s = self.table[state[:k] + data[begin[:k] + i]]
             state[:k] = s
             ended = s >= self.first_end
-            if ended.any():
+            if last or ended.any():
                 at = np.flatnonzero(ended)
-                hits[at] |= self.masks[s[at] // self.n_classes]
+                now = dict(zip(at.tolist(), self.masks[s[at] // self.n_classes].tolist()))
+                for j in last.keys() - now.keys():
+                    changes[j].append((i + 1, 0))
+                for j, mask in now.items():
+                    if last.get(j) != mask:
+                        changes.setdefault(j, []).append((i + 1, mask))
+                last = now
         table, first_end, masks, n = self._list, self.first_end, self.masks.tolist(), self.n_classes
-        for j in np.flatnonzero(lengths > steps):
-            s, mask = int(state[j]), 0
-            for c in data[begin[j] + steps:begin[j] + lengths[j]].tolist():
+        for j in np.flatnonzero(lengths > steps).tolist():
+            s, mask = int(state[j]), last.get(j, 0)
+            for i, c in enumerate(data[begin[j] + steps:begin[j] + lengths[j]].tolist(), steps + 1):
                 s = table[s + c]
                 if s >= first_end:
-                    mask |= masks[s // n]
-            hits[j] |= mask
-        found[order] = hits
-        return found
+                    if masks[s // n] != mask:
+                        mask = masks[s // n]
+                        changes.setdefault(j, []).append((i, mask))
+                elif mask:
+                    mask = 0
+                    changes[j].append((i, 0))
+        return {int(order[j]): [(a, b - 1, mask) for (a, mask), (b, _) in zip(got, [*got[1:], (int(lengths[j]) + 1, 0)]) if mask]
+                for j, got in sorted(changes.items())}

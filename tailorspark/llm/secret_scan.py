@@ -1,11 +1,13 @@
 """Secret scans with one combined automaton.
 
-Every rule has a *trigger* - the shortest text that any of its matches must
-contain - and the triggers of all rules are compiled into one minimal
-deterministic automaton (``automaton``), which reads each text once and says
-which rules can match in it.  Only there the rule itself runs, to settle where
-its matches begin and end: leftmost, non-overlapping within a kind, those with
-too short a value dropped.
+Every rule has a *trigger* - the shortest beginning that all its matches share -
+and the triggers of all rules are compiled into one minimal deterministic
+automaton (``automaton``), which reads each byte once and says where which
+trigger ends.  From there the trigger's backward automaton goes to where the
+match begins, and the rule's own automaton from there to the longest end:
+leftmost, non-overlapping within a kind, those with too short a value dropped
+after they have taken their place.  Private keys alone, whose end line may be
+any distance away, are ended by a regular expression at the place found.
 
 Defined results: null or empty text -> no span.  Positions count code points,
 end exclusive.  Kinds may overlap each other; each keeps its spans.  Rows keep
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +37,13 @@ _KEY_GAP = r"(?:\\[nrt]|[\s\"'`>#*|,;+\\])*+"
 _KEY_LINES = (rf"(?:{_KEY_GAP}(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}))*+"
               r"(?:(?<=[A-Za-z0-9+/=])(?:\\r)?(?:\\n|\r?\n)[\x20\t\"'>#*]*+[A-Za-z0-9+/]+={0,2}(?=[\x20\t\"',;]*+(?:[\r\n\\]|\Z)))?+")
 
-# Kind, trigger, rule (value in group "v" where a least length holds), least length.
+# Kind, trigger (assign's ends with the value's first character), rule (value in group "v" where a least
+# length holds), least length.
 RULES = [
     ("assign",
-     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}",
+     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]",
      r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(?P<v>[A-Za-z0-9+/_.=-]+)", 6),
-    ("access", r"AKIA[A-Z0-9]{6}", r"(?P<v>AKIA[A-Z0-9]+)", 20),
+    ("access", r"AKIA[A-Z0-9]", r"(?P<v>AKIA[A-Z0-9]+)", 20),
     ("hex", r"[0-9a-f]{24}", r"(?P<v>[0-9a-f]+)", 24),
     ("private_key", r"-----BEGIN ", rf"(?P<v>-----BEGIN {_KEY}(?:{_TO_END}|{_KEY_LINES}))", 1),
     ("github", r"gh[pousr]_[A-Za-z0-9]{4}", r"(?P<v>gh[pousr]_[A-Za-z0-9]{36,})", 1),
@@ -59,25 +63,51 @@ _compiled = None
 
 
 def _tools():
-    """The automaton and the rules, compiled once in a Python worker."""
+    """All automata, compiled once in a Python worker: of all triggers, and by rule backward and forward."""
     global _compiled
     if _compiled is None:
-        _compiled = Automaton([r[1] for r in RULES]), [re.compile(r[2]) for r in RULES]
+        _compiled = (Automaton([r[1] for r in RULES]), [Automaton([r[1]], anchored=True, backward=True) for r in RULES],
+                     [re.compile(r[2]) if r[0] == "private_key" else Automaton([r[2]], anchored=True) for r in RULES])
     return _compiled
 
 
+def _matches(k: int, runs: list[tuple[int, int, int]], raw: bytes, text: str) -> Iterator[tuple[int, int]]:
+    """Byte positions of the matches of rule ``k``, given where triggers end."""
+    _, backward, forward = _tools()
+    kind, _, _, least = RULES[k]
+    free = 0  # what is before belongs to an earlier match
+    for first, last, mask in runs:
+        end = max(first, free + 1)
+        while mask >> k & 1 and end <= last:
+            size = backward[k].longest(raw, end - 1, free - 1, -1)
+            start = end - size
+            value = end - 1 if kind == "assign" else start
+            end += 1
+            if not size:
+                continue
+            if kind == "private_key":
+                m = forward[k].match(text, len(raw[:start].decode("utf-8", "surrogatepass")))
+                taken = len(m.group().encode("utf-8", "surrogatepass")) if m else 0
+            else:
+                taken = forward[k].longest(raw, start, len(raw))
+            if taken:
+                free = start + taken
+                end = max(end, free + 1)
+                if free - value >= least:
+                    yield start, free
+
+
 def find_spans(texts) -> list[list[tuple[str, int, int]]]:
     """Spans of every text, by start and then kind as listed."""
-    scanner, rules = _tools()
     raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
-    out = []
-    for t, mask in zip(texts, scanner.scan(raw).tolist()):
-        spans = []
-        for k, rule in enumerate(rules):
-            if mask >> k & 1:
-                spans += [(m.start(), k, m.end()) for m in rule.finditer(t)
-                          if len(m.group("v")) >= RULES[k][3]]
-        out.append([(KINDS[k], a, b) for a, k, b in sorted(spans)])
+    out: list[list[tuple[str, int, int]]] = [[] for _ in raw]
+    for i, runs in _tools()[0].runs(raw).items():
+        spans = [(a, k, b) for k in range(len(RULES)) for a, b in _matches(k, runs, raw[i], texts[i])]
+        if spans and len(raw[i]) != len(texts[i]):
+            # code points before each byte
+            before = np.concatenate([[0], np.cumsum(np.frombuffer(raw[i], np.uint8) & 0xC0 != 0x80)])
+            spans = [(int(before[a]), k, int(before[b])) for a, k, b in spans]
+        out[i] = [(KINDS[k], a, b) for a, k, b in sorted(spans)]
     return out
 
 

@@ -71,3 +71,22 @@ def test_redaction_of_whole_private_keys(spark):
         f"a\n{mark}\nThe end", f"a\r\n{mark} b", mark, '{"key": "' + mark + '\\n"}', f"a\n{mark}\nThe end is missing", f"a {mark}",
         f"{mark}\n{mark}\nc", f"{mark} long", f"{mark} is how a key begins", f"{mark}\n\nThe text goes on",
         f"{mark}\n-----BEGIN CERTIFICATE-----\nabc"]
+
+
+def test_runs_and_longest_matches():
+    machine = Automaton([r"ab", r"[0-9]{3}"])
+    assert machine.runs([b"xabab12345", b"", b"none", b"999"]) == {0: [(3, 3, 1), (5, 5, 1), (8, 10, 2)], 3: [(3, 3, 2)]}
+    # the same with all texts in lock step
+    many = [b"xabab12345", b"999", b"a0123b"] * 100
+    assert machine.runs(many) == {i: [[(3, 3, 1), (5, 5, 1), (8, 10, 2)], [(3, 3, 2)], [(4, 5, 2)]][i % 3] for i in range(300)}
+    ahead, back = Automaton([r"a(?:b|cd)+"], anchored=True), Automaton([r"a(?:b|cd)+"], anchored=True, backward=True)
+    assert ahead.longest(b"xabcdcx", 1, 7) == 4 and ahead.longest(b"xabcdcx", 0, 7) == 0
+    assert back.longest(b"xabcdcx", 4, -1, -1) == 4 and back.longest(b"xabcdcx", 4, 1, -1) == 0
+
+
+def test_short_values_take_their_place():
+    texts = ["token=token:token=abcdef", "secret=token: abcdefgh", "token==abcdef", "é😀token: 'abcdefg' " + "0a" * 20, "AKIAAKIA" + "Z" * 15,
+             "AKIA1 AKIA" + "2" * 16, "0" * 23 + "g" + "0" * 25, "token:" + " " * 50 + "'abcdef", "a" * 300_000]
+    assert S.find_spans(texts) == [brute(t) for t in texts]
+    assert S.find_spans(texts)[1] == [] and len(S.find_spans(texts * 50)) == 450
+    assert S.find_spans(texts * 50) == [brute(t) for t in texts] * 50
