@@ -8,8 +8,9 @@
 
 A stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns of
 ``documents``; columns beyond those pass through.  Rows that repeat a kept
-document (same doc_id) are one document and stay once; rows with a null doc_id
-are documents of their own, and of those with equal texts one stays.
+document (same doc_id) are one document and stay once; of different texts under
+one doc_id the one with the smallest md5 stays.  Rows with a null doc_id are
+documents of their own, and of those with equal texts one stays.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard_join.jaccard_classes(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.md5("text"), F.lit("~"))).alias("_row")).select("_row.*")
     unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
     return named.unionByName(unnamed)
 
