@@ -1,5 +1,7 @@
 """The pipeline's decisions on a small corpus."""
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
@@ -59,3 +61,12 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark, tmp_path):
     far = docs(spark, [" ".join(words), " ".join(both)], [1, 3])
     assert rows(corpus_pipeline.near_duplicates(spark, far, str(tmp_path)), "doc_id") == [(1,), (3,)]
     assert rows(corpus_pipeline.jaccard_join.jaccard_classes(table), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_one_doc_id_with_several_texts_is_chosen_by_rule(spark, tmp_path):
+    texts = [long(EN, k) for k in range(4)]
+    table = docs(spark, [*texts, None, None], [1, 1, 1, 1, 1, 2])
+    want = min(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    for parts in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, table.repartition(parts, "text"), str(tmp_path))
+        assert got.columns == table.columns and rows(got, "doc_id", "text") == [(1, want), (2, None)]
