@@ -7,7 +7,8 @@ Notices and licence templates are sparse TF-IDF vectors
 template has weighs as df = 0), and a notice has the licence of the template
 with the largest cosine, if that is at least ``MIN_COSINE``.  One-sentence notices
 (``TEMPLATES``) and licence bodies and headers (``BODIES``) are two such sets of
-templates; "All rights reserved" decides only if nothing else in the file does.
+templates; "All rights reserved" decides only if nothing else in the file does, and a
+line that denies a licence ("is not released under ...") names none, alone or in a block.
 
 A file without a notice of its own inherits: of the licence files in its
 directory and the directories above, up to its repository's root, the nearest
@@ -157,6 +158,10 @@ BODIES = [
 ]
 
 
+#: A line that denies a licence names none.
+NEGATED = r"(?i)\b(is|are|was|were|been|be)\s+(not|never|no longer)\s+(\w+\s+)?(licen[cs]ed|released|distributed|published|covered|available)\b"
+
+
 def _terms(text: Column) -> Column:
     """Lower-case words; full stops only count inside one (version numbers)."""
     words = F.transform(F.split(F.lower(text), _SEPARATORS), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
@@ -214,11 +219,12 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     key = F.md5(F.concat(F.when(whole, "1").otherwise("0"), F.coalesce("text", F.lit(""))))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
-    blocks = F.filter(F.concat(F.split(text, _BLANK), F.regexp_extract_all(text, F.lit(_COMMENTS), F.lit(0))),
-                      lambda x: x.rlike(CUE))
+    blocks = F.filter(F.transform(F.concat(F.split(text, _BLANK), F.regexp_extract_all(text, F.lit(_COMMENTS), F.lit(0))),
+                                  lambda x: F.regexp_replace(x, f"(?m)^.*{NEGATED}.*$", "")), lambda x: x.rlike(CUE))
     units = files.where(text.rlike(CUE) | whole).select(
         key.alias("_key"), F.explode(F.array_distinct(F.concat(
             lines, blocks, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))).alias("notice"))
+    units = units.where(F.col("notice").contains("\n") | ~F.col("notice").rlike(NEGATED))
     units = stored(units.select("_key", F.unhex(F.md5("notice")).alias("id"), "notice").distinct(), "notices")
     notices = units.groupBy("id").agg(F.min("notice").alias("notice"))
     licenses = classify(notices, templates, least).unionByName(classify(notices, bodies, least))

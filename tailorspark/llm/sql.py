@@ -51,7 +51,8 @@ f AS (SELECT doc_id, text, source AS repo, coalesce(lang, 'any') || '/' || CAST(
 u AS (SELECT DISTINCT doc_id, unnest(list_concat(
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{cue}')),
              CASE WHEN whole THEN [text] ELSE [] END)) AS notice FROM f),
-nt AS (SELECT notice, unnest({terms("notice")}) AS term FROM (SELECT DISTINCT notice FROM u)),
+us AS (SELECT doc_id, notice FROM u WHERE contains(notice, chr(10)) OR NOT regexp_matches(notice, '{license_scan.NEGATED}')),
+nt AS (SELECT notice, unnest({terms("notice")}) AS term FROM (SELECT DISTINCT notice FROM us)),
 nw AS (SELECT notice, term, count(*) * coalesce(any_value(idf), ln({n + 1}.0) + 1) AS w
        FROM nt LEFT JOIN idf USING (term) GROUP BY notice, term),
 nn AS (SELECT notice, sqrt(sum(w * w)) AS norm FROM nw GROUP BY notice),
@@ -59,7 +60,7 @@ dot AS (SELECT notice, template, license, sum(w * weight) AS dot FROM nw JOIN v
 cs AS (SELECT notice, license, round(dot / norm, 6) AS cosine FROM dot JOIN nn USING (notice)),
 cl AS (SELECT notice, license, cosine FROM cs
        QUALIFY row_number() OVER (PARTITION BY notice ORDER BY cosine DESC, license) = 1),
-own AS (SELECT doc_id, license AS own_license, cosine AS own_cosine FROM u JOIN cl USING (notice)
+own AS (SELECT doc_id, license AS own_license, cosine AS own_cosine FROM us JOIN cl USING (notice)
         WHERE cosine >= {license_scan.MIN_COSINE}
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
 held AS (SELECT repo, dir AS up, list_sort(list(DISTINCT own_license)) AS held

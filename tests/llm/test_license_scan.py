@@ -68,3 +68,12 @@ def test_bodies_headers_and_all_rights_reserved(spark):
     got = {(r["repo"], r["path"]): r["license"] for r in run(spark, data).collect()}
     assert got == {(n, p): n for n in files for p in ("LICENSE", "a.py")} | {
         ("x", "plain.c"): "GPL-3.0", ("x", "comment.py"): "GPL-3.0", ("x", "mit.py"): "MIT", ("x", "own.py"): "Proprietary"}
+
+
+def test_denied_licences_name_none(spark):
+    denied = ["This file is not released under the MIT License.", "# These files are no longer licensed under the Apache License, Version 2.0",
+              "It was never publicly distributed under the GNU General Public License, version 3."]
+    data = [("r", str(i), "code\n" + t) for i, t in enumerate(denied)] + [("r", "3", f"{denied[0]}\nReleased under the MIT License.")] + [
+        ("q", "LICENSE", denied[0]), ("q", "4", "code"), ("p", "5", "Not sold here.\n\nReleased under the MIT License.")]
+    got = {r["path"]: r["license"] for r in run(spark, data).collect()}
+    assert got == {"0": None, "1": None, "2": None, "3": "MIT", "LICENSE": None, "4": None, "5": "MIT"}
