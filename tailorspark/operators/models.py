@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -24,12 +26,20 @@ from pyspark.sql import functions as F
 from tailorspark import constants as K
 from tailorspark.functions.columns import numeric_transform
 from tailorspark.operators.calibration import fit_curves
-from tailorspark.operators.partitioning import dense_index
+from tailorspark.operators.partitioning import dealt_evenly, dense_index
 from tailorspark.operators.sequence import SequenceModel, fit_sequence_model, sequence_probability
 from tailorspark.session import materialize, stored
 from tailorspark.sources.tables import seed_col
 
 NUM = K.NUMERIC_FEATURE_COLS
+#: Fits that run at the same time: while one waits for its driver step, the tasks of the others go on.
+FITS_AT_ONCE = 3
+
+
+def _fit_at_once(spark, fit, over) -> list:
+    """``[fit(x) for x in over]``, independent fits at the same time."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), over, chunksize=1)
 
 
 # -- M1 ------------------------------------------------------------------------
@@ -118,8 +128,8 @@ def merge_small_clusters(df: DataFrame, feature_cols: list[str], label: str = "c
 # -- M4 ------------------------------------------------------------------------
 def kmeans_starts(train: DataFrame, features: str, k: int, starts: int, seed: int, max_iter: int = 20):
     """The cheapest of ``starts`` seeded fits: (model, cost, costs by start)."""
-    fits = [KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_k_pred", maxIter=max_iter).fit(train)
-            for i in range(starts)]
+    fits = _fit_at_once(train.sparkSession, lambda i: KMeans(
+        k=k, seed=seed + i, featuresCol=features, predictionCol="_k_pred", maxIter=max_iter).fit(train), range(starts))
     costs = [m.summary.trainingCost for m in fits]
     best = min(range(starts), key=lambda i: (costs[i], i))
     return fits[best], costs[best], costs
@@ -199,17 +209,19 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
     together (``calibration``).  Prediction averages the normalised fold
     outputs.  Returns [(forest, [(slope, offset) per class])] or [] when uncalibrated.
     """
-    smallest = train.groupBy(label).count().agg(F.min("count")).first()[0]
+    smallest, rows = train.groupBy(label).count().agg(F.min("count"), F.sum("count")).first()
     if smallest is None or smallest < 2:
         return []
     folds = int(min(3, smallest))
     # every class is dealt out to the folds in turn, so each fold has all classes
     dealt = dense_index(train.withColumn("_h", seed_col(F.lit("fold"), F.col("user_pseudo_id"), seed=seed)),
                         ["_h", "user_pseudo_id"], [label], index_col="_pos")
-    tf = materialize(dealt.withColumn("_fold", (F.col("_pos") % folds).cast("int")).drop("_h", "_pos"))
-    forests, held = [], []
+    tf = dealt.withColumn("_fold", (F.col("_pos") % folds).cast("int")).drop("_h", "_pos")
+    tf = materialize(dealt_evenly(tf, "user_pseudo_id", rows))  # the numbering leaves a label's rows in one task
+    forests = _fit_at_once(train.sparkSession, lambda f: fit_forest(
+        tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label), range(folds))
+    held = []
     for f in range(folds):
-        forests.append(fit_forest(tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label))
         held.append(forests[f].transform(tf.where(F.col("_fold") == f)).select(
             F.col("_fold").alias("fold"), F.col(label).alias("label"), vector_to_array("rf_probability").alias("p")))
     scores = held[0]
@@ -266,7 +278,8 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     if gate["n"] < K.TRAIN_MIN_USERS or gate["c"] < 2:
         return None
     num_classes = int(users.agg(F.max(label)).first()[0]) + 1
-    data = users.withColumn("label", F.col(label).cast("double"))
+    # the split numbers the rows of a label together: dealt out again, every pass of every fit uses all tasks
+    data = materialize(dealt_evenly(users.withColumn("label", F.col(label).cast("double")), "user_pseudo_id", gate["n"]))
     encoder = fit_context_encoder(data)
     train = data.where(~F.col("is_validation"))
     n_train = train.count()

@@ -68,3 +68,10 @@ def dense_index(df: DataFrame, order_cols: list[str], group_cols: list[str] | No
     out = placed.join(parts.drop("_n"), same)
     out = out.withColumn(index_col, (F.col("_before") + F.col("_inside") - F.col("_first")).cast("long"))
     return out.drop("_bucket", "_inside", "_b", "_first", "_before", *renamed.values())
+
+
+def dealt_evenly(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of ``df`` dealt to tasks by hash of ``key`` (unique), in its order there: iterative fits read
+    them many times, and a count of its own keeps adaptive execution from merging small partitions into a few tasks."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_BUCKET))
+    return df.repartition(parts, key).sortWithinPartitions(key)

@@ -148,3 +148,22 @@ def test_evaluation_recomputed_by_sql(spark):
     shares = {k[2]: v for k, v in got.items() if k[1] == "source" and k[3] == "share"}
     assert set(shares) == {"a", "b"} and abs(sum(shares.values()) - 1) < 1e-12
     assert not [k for k in got if k[0] == "y" and k[1] == "source"]
+
+
+def test_fits_read_rows_of_one_label_in_many_tasks(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def see(train, *_):
+        raise Seen(train.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+
+    monkeypatch.setattr(M, "fit_forest", see)
+    rows = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("user_pseudo_id"),
+                                    (F.col("id") % 50 == 0).cast("double").alias("label"))
+    try:
+        M.fit_calibrated_forest(rows, 2, 2, 1, 2)
+        raise AssertionError("no forest was fitted")
+    except Seen as e:
+        largest, total = e.args[0]
+    tasks = spark.sparkContext.defaultParallelism
+    assert total == 2000 and largest <= total if tasks == 1 else largest < 2.5 * total / tasks
