@@ -1,12 +1,14 @@
 """Quality scores from pairwise preferences (Bradley-Terry).
 
-A document's strength is a linear function of features of its form.  From
-labelled documents, pairs (label 1 preferred to label 0) are drawn, and the
-weights maximise the likelihood of the preferences: logistic loss on feature
-differences, so only the order of strengths is learned.  The score puts the
-strength on a 0..1 scale by quantiles: it is ``CUT`` at the strength that keeps
-as large a share as carries label 1 among all usable labels; the bounded sample's rows
-are weighted by their label's share of them.
+A document's strength is a linear function of features of its form.  Every
+labelled document that may be learned from is: each one with label 1 is preferred to
+``PAIRS_EACH`` with label 0, and the weights maximise the likelihood of the
+preferences: logistic loss on feature differences, so only the order of strengths
+is learned.  Spark makes the pairs by a join and sums the derivatives of a Newton
+step over them; sums and single rows are all that reaches the driver.  The score
+puts the strength on a 0..1 scale by quantiles: it is ``CUT`` at the strength that
+keeps as large a share as carries label 1 among all usable labels; a label's
+documents are weighted by its share of them.
 
 Defined results: null and empty texts are scored as texts without words.
 Without both labels nothing is learned: every score is 0.5.  A doc_id under both
@@ -21,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailorspark.llm.textstats import COUNTS, measure
+from tailorspark.operators.partitioning import dense_index
+from tailorspark.session import discard, stored
 
-#: Bound of the fitted sample: labelled documents per label, and pairs per preferred document.
-SAMPLE_ROWS = 3000
+#: Feature rows that one task numbers, and pairs per preferred document.
+TASK_ROWS = 100_000
 PAIRS_EACH = 8
 CUT = 0.7
 _STEPS, _RIDGE = 30, 1e-3
@@ -55,31 +59,8 @@ def features(texts) -> np.ndarray:
 class Ranker:
     """Weights, the features' scale, and the scale of the score."""
 
-    def __init__(self, good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int):
-        """Feature rows of both labels, and how many usable rows carry each."""
-        both = np.concatenate([good, bad])
-        self.mean, self.scale = both.mean(0), np.maximum(both.std(0), 1e-9)
-        g, b = (good - self.mean) / self.scale, (bad - self.mean) / self.scale
-        rng = np.random.default_rng(0)
-        diff = np.repeat(g, PAIRS_EACH, axis=0) - b[rng.integers(0, len(b), len(g) * PAIRS_EACH)]
-        w = np.zeros(diff.shape[1])
-        for _ in range(_STEPS):  # Newton's method on the logistic loss
-            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-            slope = diff.T @ (p - 1) / len(diff) + _RIDGE * w
-            bend = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + _RIDGE * np.eye(len(w))
-            step = np.linalg.solve(bend, slope)
-            w -= step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.weights = w
-        strength = np.concatenate([g @ w, b @ w])
-        weight = np.concatenate([np.full(len(g), n_good / len(g)), np.full(len(b), n_bad / len(b))])
-        order = np.argsort(strength, kind="stable")
-        strength, below = strength[order], np.cumsum(weight[order])
-        # the gap that separates the label 0 share from the rest
-        i = min(int(np.searchsorted(below, n_bad - 1e-6)), len(strength) - 2)
-        self.cut = float((strength[i] + strength[i + 1]) / 2)
-        self.width = max(float(np.std(strength)) / 4, 1e-9)
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, cut: float, width: float):
+        self.mean, self.scale, self.weights, self.cut, self.width = mean, scale, weights, cut, width
 
     def scores(self, texts) -> np.ndarray:
         x = ((features(texts) - self.mean) / self.scale) @ self.weights
@@ -87,24 +68,63 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Ranker | None:
-    """Learn from labelled documents where ``usable`` (a condition on doc_id) holds.
+def _derivatives(pairs: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all pairs of the gradient and the second derivatives of the logistic loss at ``w``."""
+    k = len(w)
 
-    Of each label the ``rows`` documents with the smallest id hash: their ids,
-    and then their feature rows, are what reaches the driver.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(k + k * k)
+        for b in batches:
+            diff = np.array(b["diff"].tolist()).reshape(-1, k)
+            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+            total += np.concatenate([diff.T @ (p - 1), ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+        yield pd.DataFrame({"place": range(len(total)), "value": total})
+
+    sums = pairs.mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    out = np.zeros(k + k * k)
+    for r in sums.collect():
+        out[r["place"]] = r["value"]
+    return out[:k], out[k:].reshape(k, k)
+
+
+def _learn(pairs: DataFrame, n_pairs: int, k: int) -> np.ndarray:
+    w = np.zeros(k)
+    for _ in range(_STEPS):  # Newton's method on the logistic loss
+        slope, bend = _derivatives(pairs, w)
+        step = np.linalg.solve(bend / n_pairs + _RIDGE * np.eye(k), slope / n_pairs + _RIDGE * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.round(w, 7)  # sums of the tasks come in any order
+
+
+def _cut(strengths: DataFrame, sizes: dict, found: dict, buckets: int) -> float:
+    """Middle of the gap that separates the label 0 share of the weighted strengths from the rest."""
+    total = sum(found.values())
+    placed = dense_index(strengths, ["s", "quality", "doc_id"], index_col="i", buckets=buckets)
+    placed = dense_index(placed, ["s", "doc_id"], ["quality"], index_col="r", buckets=buckets)
+    own, other = (F.when(F.col("quality") == 1, F.lit(sizes[q] / found[q])).otherwise(F.lit(sizes[1 - q] / found[1 - q]))
+                  for q in (1, 0))
+    below = own * (F.col("r") + 1) + other * (F.col("i") - F.col("r"))
+    placed = stored(placed.select("i", "s", below.alias("below")), "quality-cut")
+    first = placed.where(F.col("below") >= sizes[0] - 1e-6).agg(F.min("i")).first()[0]
+    i = total - 2 if first is None else min(first, total - 2)
+    out = placed.where(F.col("i").between(i, i + 1)).agg(F.avg("s")).first()[0]
+    discard(placed)
+    return float(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TASK_ROWS) -> Ranker | None:
+    """Learn from all labelled documents where ``usable`` (a condition on doc_id) holds.
+
+    ``rows``: feature rows that one task numbers.
     """
-    spark = docs.sparkSession
-    labelled = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    sizes = {int(r["quality"]): r["n"] for r in labelled.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = labelled.select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    for slices in (64, 1):
-        order = Window.partitionBy("quality", F.pmod("h", F.lit(slices))).orderBy("h", "doc_id")
-        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    ids = [(int(r["doc_id"]), int(r["quality"])) for r in chosen.collect()]
-    if len({q for _, q in ids}) < 2:
+    labelled = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(
+        F.col("doc_id").cast("long"), F.col("quality").cast("int"))
+    sizes = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return None
-    picked = docs.select("doc_id", "text").join(
-        F.broadcast(spark.createDataFrame(sorted(set(ids)), "doc_id long, quality int")), "doc_id")  # 2 x rows at most
+    picked = docs.select("doc_id", "text").join(labelled.distinct(), "doc_id")
     picked = picked.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a row for each, however often it occurs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,11 +132,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_R
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"],
                                 "x": list(features(b["text"].tolist()))})
 
-    found = picked.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas()
-    # rows reach the driver in any order; the fit depends on it through its draws
-    found = found.assign(key=found["x"].map(tuple)).sort_values(["doc_id", "key"])
-    x, good = np.array(found["x"].tolist()), (found["quality"] == 1).to_numpy()
-    return Ranker(x[good], x[~good], sizes[1], sizes[0]) if good.any() and not good.all() else None
+    feats = stored(picked.mapInPandas(run, "doc_id long, quality int, x array<double>"), "quality-features")
+    k = features([""]).shape[1]
+    x = [F.col("x")[i] for i in range(k)]
+    found = {r["quality"]: r["n"] for r in feats.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(found) < 2:
+        discard(feats)
+        return None
+    moments = feats.agg(*[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    mean, scale = np.array(moments[:k]), np.maximum(np.array(moments[k:]), 1e-9)
+    buckets = -(-sum(found.values()) // rows)
+    bad = dense_index(feats.where("quality = 0").select("doc_id", F.col("x").alias("y")), ["doc_id"], index_col="j",
+                      buckets=buckets).drop("doc_id")
+    good = feats.where("quality = 1").select("doc_id", "x", F.explode(F.sequence(F.lit(1), F.lit(PAIRS_EACH))).alias("d"))
+    pairs = good.withColumn("j", F.pmod(F.xxhash64("doc_id", "d"), F.lit(found[0]))).join(bad, "j")
+    pairs = stored(pairs.select(F.array(*[(c - F.col("y")[i]) / float(scale[i]) for i, c in enumerate(x)]).alias("diff")),
+                   "quality-pairs")
+    weights = _learn(pairs, found[1] * PAIRS_EACH, k)
+    strength = sum(((c - float(mean[i])) * float(weights[i] / scale[i]) for i, c in enumerate(x)), F.lit(0.0))
+    strengths = stored(feats.select("doc_id", "quality", strength.alias("s")), "quality-strengths")
+    cut = _cut(strengths, sizes, found, buckets)
+    width = max(strengths.agg(F.stddev_pop("s")).first()[0] / 4, 1e-9)
+    discard(feats, pairs, strengths)
+    return Ranker(mean, scale, weights, cut, width)
 
 
 def score(docs: DataFrame, ranker: Ranker | None) -> DataFrame:

@@ -96,3 +96,13 @@ def test_a_repeated_document_is_learned_from_once(spark):
     ranker = quality_rank.fit(frame, labels, F.lit(True))
     got = {r["doc_id"]: r["score"] for r in quality_rank.score(frame, ranker).collect()}
     assert got[1] > quality_rank.CUT > got[2]
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    texts = ["plain words of some length " * (i + 1) for i in range(30)] + ["# $ % " * (i + 1) for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    few, many = (quality_rank.fit(docs(spark, texts), labels, F.lit(True), rows=n) for n in (7, 1000))
+    assert np.allclose(few.mean, quality_rank.features(texts).mean(0))
+    assert np.allclose(few.weights, many.weights) and np.isclose(few.cut, many.cut)
+    strengths = np.sort(((quality_rank.features(texts) - few.mean) / few.scale) @ few.weights)
+    assert strengths[29] < few.cut < strengths[30]
