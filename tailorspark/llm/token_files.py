@@ -36,7 +36,7 @@ from tailorspark.llm.pretoken import Vocabulary
 
 #: Characters a file is meant to hold, and a block that is encoded at once.
 FILE_CHARS = 32_000_000
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 WRITE_OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
