@@ -31,7 +31,7 @@ from tailorspark.operators.partitioning import dense_index
 from tailorspark.session import discard, stored
 
 #: Feature rows that one task numbers, and pairs per preferred document.
-TASK_ROWS = 100_000
+TASK_ROWS = 10_000
 PAIRS_EACH = 8
 CUT = 0.7
 _STEPS, _RIDGE = 30, 1e-3
@@ -124,15 +124,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TASK_ROW
     sizes = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    picked = docs.select("doc_id", "text").join(labelled.distinct(), "doc_id")
-    picked = picked.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a row for each, however often it occurs
+    labelled, texts = labelled.distinct(), docs.select("doc_id", "text").where(usable & F.col("doc_id").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"],
-                                "x": list(features(b["text"].tolist()))})
-
-    feats = stored(picked.mapInPandas(run, "doc_id long, quality int, x array<double>"), "quality-features")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": list(features(b["text"].tolist()))})
+
+    # features are what meets the labels; only texts of ids that occur again are shuffled, for the smallest of an id
+    again = stored(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "quality-again")
+    measured = texts.mapInPandas(run, "doc_id long, x array<double>").join(labelled, "doc_id").join(again, "doc_id", "left_anti")
+    if not again.isEmpty():
+        least = texts.join(again, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        measured = measured.unionByName(least.mapInPandas(run, "doc_id long, x array<double>").join(labelled, "doc_id"))
+    feats = stored(measured.select("doc_id", "quality", "x"), "quality-features")
+    discard(again)
     k = features([""]).shape[1]
     x = [F.col("x")[i] for i in range(k)]
     found = {r["quality"]: r["n"] for r in feats.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
