@@ -34,6 +34,9 @@ from tailorspark.sources.tables import seed_col
 NUM = K.NUMERIC_FEATURE_COLS
 #: Fits that run at the same time: while one waits for its driver step, the tasks of the others go on.
 FITS_AT_ONCE = 3
+#: Forests fitted at the same time (one on the whole split, one a fold), and the fewest rows that a task of a fit
+#: gets while others are free: each task sends its own statistics of all tree nodes, whatever its rows are.
+FORESTS_AT_ONCE, FOREST_ROWS = 4, 250_000
 
 
 def _fit_at_once(spark, fit, over) -> list:
@@ -42,6 +45,19 @@ def _fit_at_once(spark, fit, over) -> list:
         return pool.map(inheritable_thread_target(spark)(fit), over, chunksize=1)
 
 
+def _timed(fit):
+    """What ``fit`` gives, and its seconds."""
+    t0 = time.perf_counter()
+    return fit(), time.perf_counter() - t0
+
+
+def _in_fewer_tasks(train: DataFrame) -> DataFrame:
+    """``train`` in a forest's share of the tasks, more if it is large.  A task of a forest builds, sends and merges
+    statistics of every node of a level: with few rows that is most of the work, and it grows with the tasks."""
+    tasks = train.sparkSession.sparkContext.defaultParallelism
+    return train.coalesce(max(1, -(-tasks // FORESTS_AT_ONCE), -(-train.count() // FOREST_ROWS)))
+
+
 # -- M1 ------------------------------------------------------------------------
 def fit_context_encoder(users: DataFrame, cols: list[str] | None = None) -> PipelineModel:
     """One-hot of context columns: categories sorted, unseen -> all zeros.
@@ -194,6 +210,7 @@ def fit_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, labe
     """M6.  Larger node batches (maxMemoryInMB) mean fewer passes over the data
     for deep trees; node ids are cached and checkpointed every 10 levels to
     the shared folder, which keeps the lineage of deep trees short."""
+    train = _in_fewer_tasks(train)
     return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, labelCol=label,
                                   maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
                                   featuresCol="features", probabilityCol="rf_probability",
@@ -300,20 +317,18 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     feats = prepare_features(data, stack).select("user_pseudo_id", "label", "is_validation", "features")
     feats = materialize(feats)
     tr = feats.where(~F.col("is_validation"))
-    t0 = time.perf_counter()
-    stack.forest = fit_forest(tr, num_trees, max_depth, seed)
-    stack.timings["forest"] = time.perf_counter() - t0
-    t0 = time.perf_counter()
-    if calibrate:
-        stack.calibrated = fit_calibrated_forest(tr, num_trees, max_depth, seed, num_classes)
-    stack.timings["calibration"] = time.perf_counter() - t0
     d = len(NUM) + sum(len(s.labels) for s in encoder.stages[:-1]) + 1
     layers = [d] + list(hidden or K.MLP_HIDDEN) + [num_classes]
-    t0 = time.perf_counter()
-    stack.mlp = MultilayerPerceptronClassifier(
+    mlp = MultilayerPerceptronClassifier(
         layers=layers, seed=seed, maxIter=mlp_iter, blockSize=64, labelCol="label", featuresCol="features",
-        probabilityCol="mlp_probability", predictionCol="mlp_prediction", rawPredictionCol="_mlp_raw").fit(tr)
-    stack.timings["mlp"] = time.perf_counter() - t0
+        probabilityCol="mlp_probability", predictionCol="mlp_prediction", rawPredictionCol="_mlp_raw")
+    # all of them read the same features and none another's result
+    fits = {"calibration": lambda: fit_calibrated_forest(tr, num_trees, max_depth, seed, num_classes) if calibrate else [],
+            "forest": lambda: fit_forest(tr, num_trees, max_depth, seed), "mlp": lambda: mlp.fit(tr)}
+    done = _fit_at_once(users.sparkSession, lambda name: _timed(fits[name]), fits)
+    for name, (_, seconds) in zip(fits, done):
+        stack.timings[name] = seconds
+    stack.calibrated, stack.forest, stack.mlp = (fitted for fitted, _ in done)
     t0 = time.perf_counter()
     if seqs is not None:
         s = seqs.join(data.select("user_pseudo_id", "label", "is_validation"), "user_pseudo_id")

@@ -167,3 +167,12 @@ def test_fits_read_rows_of_one_label_in_many_tasks(spark, monkeypatch):
         largest, total = e.args[0]
     tasks = spark.sparkContext.defaultParallelism
     assert total == 2000 and largest <= total if tasks == 1 else largest < 2.5 * total / tasks
+
+
+def test_a_forest_takes_its_share_of_the_tasks(spark, monkeypatch):
+    tasks = spark.sparkContext.defaultParallelism
+    rows = spark.range(4000).repartition(2 * tasks).checkpoint()
+    few = M._in_fewer_tasks(rows)
+    assert few.rdd.getNumPartitions() == -(-tasks // M.FORESTS_AT_ONCE) and few.count() == 4000
+    monkeypatch.setattr(M, "FOREST_ROWS", 4000 // (2 * tasks))  # large for it: as many tasks as before
+    assert M._in_fewer_tasks(rows).rdd.getNumPartitions() == 2 * tasks
