@@ -14,6 +14,9 @@ from tailorspark.sources.tables import (
     activity, catalog, client_events, client_events_from, client_logs, read_table)
 from tailorspark.streaming.recent_events import buffer_stream, latest_per_user, run_to_completion
 
+#: T1's event files: triggers that take them, and rows of a file.
+TRIGGERS, ROWS_PER_FILE = 4, 500_000
+
 SIGNAL_COLS = ["user_pseudo_id", "total_events", "unique_pages", "recent_sequence", "recent_items",
                "recent_categories", "recent_display_categories"]
 
@@ -60,14 +63,15 @@ def q_recent_signals(spark, sf_dir):
 # -- T1 -----------------------------------------------------------------------
 @register("stream_recent_events", SIGNALS_SQL)
 def q_stream_recent_events(spark, sf_dir):
-    """T1 over a file stream of raw events, dealt to several files out of their order and read one a trigger; the final
-    buffer equals X20."""
+    """T1 over a file stream of raw events, dealt to files out of their order and read a quarter of them a trigger; the
+    final buffer equals X20."""
     from tailorspark.operators.catalog import lookup_items
 
     raw = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     base = scratch_dir(spark, "t1")
-    raw.repartition(4, "event_id").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    files = max(1, -(-raw.count() // (TRIGGERS * ROWS_PER_FILE)))  # of a trigger: their readers share its work
+    raw.repartition(TRIGGERS * files, "event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     clicks = client_events_from(stream, spark, sf_dir)
     # resolve empty display categories before buffering (stream-static lookup)
     miss = F.coalesce(F.col("display_category"), F.lit("")) == ""

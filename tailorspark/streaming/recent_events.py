@@ -1,9 +1,11 @@
 """Per-user ring buffer of the latest click events, as a streaming job.
 
 Each user's state holds at most ``n`` events sorted by (event time, id), so
-late rows are placed correctly.  New rows arrive as an iterator of Arrow
-batches and are merged chunk by chunk: memory per group stays O(n + batch),
-never the user's whole history.  Every trigger emits the user's current
+late rows are placed correctly.  New rows arrive one by one and are merged
+chunk by chunk: memory per group stays O(n + chunk), never the user's whole
+history.  Most users have few rows a trigger, so what a user costs counts: rows
+are plain tuples (no frame is made for a user), and the state is read and
+written once each.  Every trigger emits the user's current
 request signals; the latest row per user is the final answer and equals the
 batch operator ``recent_signals``.
 
@@ -18,8 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,6 +31,9 @@ from tailorspark import constants as K
 DELAY, TTL_DAYS = "60 days", 30
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: New rows of a user that are held before they are merged into the buffer.
+CHUNK = 1000
+
 EVENT_FIELDS = ["ts_us", "event_id", "event_name", "item_name", "category", "display_category"]
 
 STATE_SCHEMA = T.StructType([
@@ -55,12 +59,22 @@ OUTPUT_SCHEMA = T.StructType([
 ])
 
 
-DTYPES = {"ts_us": "int64", "event_id": "int64", "event_name": object, "item_name": object, "category": object,
-          "display_category": object}
+def _when(event: tuple):
+    """Order of a user's events: time, then id (a missing one first, as in the batch operator)."""
+    return event[0], event[1] is not None, event[1]
 
 
-def _frame(columns: dict) -> pd.DataFrame:
-    return pd.DataFrame({f: pd.Series(columns[f], dtype=DTYPES[f]) for f in EVENT_FIELDS})
+def latest(buffer: list[tuple], rows: Iterator[tuple], n: int) -> tuple[list[tuple], int]:
+    """The last ``n`` of ``buffer`` and ``rows`` in their order (equal ones as they came), and the number of rows."""
+    seen, held = 0, list(buffer)
+    for r in rows:
+        seen += 1
+        held.append(r)
+        if len(held) >= n + CHUNK:
+            held.sort(key=_when)
+            del held[:-n]
+    held.sort(key=_when)
+    return held[-n:], seen
 
 
 class RecentEvents(StatefulProcessor):
@@ -72,47 +86,34 @@ class RecentEvents(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._buffer = handle.getValueState("buffer", STATE_SCHEMA)
-        self._due = handle.getValueState("due", "at_ms long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self._buffer.exists():
-            s = self._buffer.get()
-            buf = _frame({f: list(s[i]) for i, f in enumerate(EVENT_FIELDS)})
-            seen = int(s[len(EVENT_FIELDS)])
-        else:
-            buf = _frame({f: [] for f in EVENT_FIELDS})
-            seen = 0
-        for chunk in rows:
-            seen += len(chunk)
-            buf = pd.concat([buf, _frame({f: chunk[f] for f in EVENT_FIELDS})], ignore_index=True)
-            buf = buf.sort_values(["ts_us", "event_id"]).tail(self._n)
-        buf = buf.reset_index(drop=True)
-        self._buffer.update(tuple([[int(x) for x in buf["ts_us"]], [int(x) for x in buf["event_id"]]]
-                                  + [buf[f].tolist() for f in EVENT_FIELDS[2:]] + [seen]))
-        last = int(buf["ts_us"].iloc[-1])
-        self._expire_at(last // 1000 + self._ttl_ms)
-        k = len(buf)
-        yield pd.DataFrame({
-            "user_pseudo_id": [key[0]], "last_us": [last], "n_seen": [seen],
-            "total_events": [max(1, k)], "unique_pages": [max(1, k)],
-            "recent_sequence": [buf["event_name"].tolist()], "recent_items": [buf["item_name"].tolist()],
-            "recent_categories": [buf["category"].tolist()],
-            "recent_display_categories": [buf["display_category"].tolist()],
-        })
-
-    def _expire_at(self, at_ms: int) -> None:
+
+    def _due(self, events: list[tuple]) -> int:
+        return events[-1][0] // 1000 + self._ttl_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        state = self._buffer.get()
+        before = list(zip(*state[:-1])) if state else []
+        k = len(EVENT_FIELDS)
+        events, new = latest(before, (tuple(r)[-k:] for r in rows), self._n)
+        seen = new + (state[-1] if state else 0)
+        ts, ids, names, items, categories, display = map(list, zip(*events))
+        self._buffer.update((ts, ids, names, items, categories, display, seen))
+        self._expire_at(self._due(before) if before else None, self._due(events))
+        size = max(1, len(events))
+        yield Row(user_pseudo_id=key[0], last_us=ts[-1], n_seen=seen, total_events=size, unique_pages=size,
+                  recent_sequence=names, recent_items=items, recent_categories=categories,
+                  recent_display_categories=display)
+
+    def _expire_at(self, before: int | None, at_ms: int) -> None:
         """One timer a user: the earlier one goes when a later event moves it."""
-        if self._due.exists():
-            before = int(self._due.get()[0])
-            if before == at_ms:
-                return
+        if before == at_ms:
+            return
+        if before is not None:
             self._handle.deleteTimer(before)
         self._handle.registerTimer(at_ms)
-        self._due.update((at_ms,))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self._buffer.clear()
-        self._due.clear()
         return iter(())
 
     def close(self) -> None:
@@ -132,7 +133,7 @@ def buffer_stream(events: DataFrame, n: int = K.RECENT_EVENTS_MAX, delay: str =
     ev = ev.withWatermark("event_ts", delay).select(
         "user_pseudo_id", "event_ts", F.unix_micros("event_ts").alias("ts_us"),
         F.col("event_id").cast("long"), "event_name", "item_name", "category", "display_category")
-    return ev.groupBy("user_pseudo_id").transformWithStateInPandas(
+    return ev.groupBy("user_pseudo_id").transformWithState(
         RecentEvents(n, int(ttl_days * 86_400_000)), OUTPUT_SCHEMA, "append", "EventTime")
 
 

@@ -74,3 +74,15 @@ def test_buffers_within_their_time_are_kept(spark):
 def test_a_buffer_holds_the_latest_n(spark):
     out = run_files(spark, [[("a", h, h) for h in range(0, 40, 2)], [("a", h, h) for h in range(1, 40, 2)]], n=5)
     assert latest_per_user(out).first()["recent_items"] == [f"i{e}" for e in range(35, 40)]
+
+
+def test_rows_merge_as_plain_tuples_in_bounded_memory(monkeypatch):
+    from tailorspark.streaming import recent_events as R
+
+    monkeypatch.setattr(R, "CHUNK", 4)
+    old = [(1, 1, "old"), (5, 2, "old")]
+    new = [(t, t % 3 if t % 4 else None, f"n{t}") for t in (9, 3, 7, 3, 8, 1, 4, 6, 2, 5)] + [(5, 2, "again")]
+    got, seen = R.latest(old, iter(new), 6)
+    want = sorted(old + new, key=lambda r: (r[0], r[1] is not None, r[1]))[-6:]
+    assert got == want and seen == len(new)
+    assert R.latest([], iter([(1, None, "a"), (1, 0, "b")]), 20) == ([(1, None, "a"), (1, 0, "b")], 2)
