@@ -16,11 +16,16 @@ from tailorspark.session import scratch_dir, stored
 from tailorspark.sources.tables import AS_OF, activity, catalog, request_extra
 
 
-def cold_pages(spark, sf_dir):
-    """C2 plan: cold path for every request, stateless (no stored users)."""
+def cold_pages_and_names(spark, sf_dir):
+    """C2 plan: cold path for every request, stateless (no stored users); and the names of the segments."""
     act, users, table, defaults = coldstart_parts(spark, sf_dir, materialize=True)
     req = stored(default_requests(spark, sf_dir, act, users), "requests")
-    return personalize(req, table, defaults, catalog(spark, sf_dir), names=segment_names(users))
+    names = stored(segment_names(users), "names")  # at most five rows
+    return personalize(req, table, defaults, catalog(spark, sf_dir), names=names), names
+
+
+def cold_pages(spark, sf_dir):
+    return cold_pages_and_names(spark, sf_dir)[0]
 
 
 def flat_pages(df):
@@ -174,10 +179,10 @@ def q_segment_name(spark, sf_dir):
     """X14, including ids with no name (cluster + 3 may be unknown)."""
     from tailorspark.functions.columns import segment_name as seg_name
 
-    users = training_frame(activity(spark, sf_dir, "visit"), AS_OF)
-    names = F.broadcast(segment_names(users).select(F.col("target_cluster").alias("_c"), F.col("segment_name")
-                                                    .alias("_n")))
-    p = cold_pages(spark, sf_dir).select("request_id", "segment_name", (F.col("cluster") + 3).alias("_s"))
+    # the names of the pages' own training frame: the events are read and rolled up once
+    pages, names = cold_pages_and_names(spark, sf_dir)
+    names = F.broadcast(names.select(F.col("target_cluster").alias("_c"), F.col("segment_name").alias("_n")))
+    p = pages.select("request_id", "segment_name", (F.col("cluster") + 3).alias("_s"))
     p = p.join(names, p["_s"] == names["_c"], "left")
     return p.select("request_id", "segment_name", seg_name("_n", "_s").alias("shifted_name"))
 

@@ -38,3 +38,14 @@ def test_scans_are_pruned(spark):
     plan = executed_plan(spark, "recent_signals")
     schemas = re.findall(r"events\.parquet.*?ReadSchema: (struct<[^>]*>)", plan)
     assert schemas and all("value" not in s for s in schemas)
+
+
+def test_segment_name_takes_the_pages_own_training_frame(spark, monkeypatch):
+    from tailorspark.plans import q_pages
+
+    def again(*_, **__):
+        raise AssertionError("the events are rolled up a second time")
+
+    monkeypatch.setattr(q_pages, "training_frame", again)
+    rows = q_pages.q_segment_name(spark, SF_SMALL).collect()
+    assert rows and all(r["segment_name"] and r["shifted_name"] for r in rows)
