@@ -28,28 +28,49 @@ def _as_timestamp(df: DataFrame, c: str):
 
 
 def user_rollup(activity: DataFrame, as_of: str, with_top_category: bool = True, extra: tuple = ()) -> DataFrame:
-    """A1 + A2 + A3 + X1 in one aggregation (one shuffle on the user key).
-
-    Count/sum/min and the modes are partially aggregated map-side; the single
-    distinct count is planned as a two-level aggregate keyed (user, page), so
-    a hot user is spread over its pages before the final merge.  ``extra``:
-    further aggregates of a user's events, taken in the same pass.
+    """A1 + A2 + A3 + X1: one row per user.
+
+    Counts, sums, minima and ``extra`` (further aggregates of a user's events) take
+    one hash aggregation.  Modes and distinct pages come from counted values: one
+    row for each user, column and value, counted map-side and dealt by all three,
+    so a hot user is spread over its values; then the most frequent of a user's
+    values, ties the smallest, as ``mode(x, true)`` has it.  (A ``mode`` aggregate
+    encodes a hash map for every user and column at every exchange.)
     """
     ts = _as_timestamp(activity, time_column(activity))
     ctx = [c for c in K.CONTEXT_COLS if c in activity.columns]
-    aggs = [
+    tops = ["ItemCategory"] if with_top_category and "ItemCategory" in activity.columns else []
+    events = activity.where(F.col("user_pseudo_id").isNotNull())
+    base = events.groupBy("user_pseudo_id").agg(
         F.count("event_name").alias("total_events"),
-        F.count_distinct("page_type").alias("unique_pages"),
         F.coalesce(F.sum("purchase_revenue").cast("double"), F.lit(0.0)).alias("total_revenue"),
         F.count_if(F.col("event_name") == "purchase").alias("num_purchases"),
         F.count_if(F.col("event_name") == "add_to_cart").alias("num_cart_adds"),
-        F.min(ts).alias("_first_visit"),
-    ]
-    aggs += [F.coalesce(F.mode(F.col(c).cast("string"), True), F.lit(K.UNKNOWN)).alias(c) for c in ctx]
-    if with_top_category and "ItemCategory" in activity.columns:
-        aggs.append(F.mode("ItemCategory", True).alias("top_category"))
-    out = activity.where(F.col("user_pseudo_id").isNotNull()).groupBy("user_pseudo_id").agg(*aggs, *extra)
-    return out.withColumn("days_since_first_visit", days_since("_first_visit", as_of)).drop("_first_visit")
+        F.min(ts).alias("_first_visit"), *extra)
+    # texts are counted as strings, a category in its own type
+    none = F.lit(None).cast(activity.schema[tops[0]].dataType if tops else "string")
+    cells = [F.struct(F.lit(i).alias("_slot"), F.col(c).cast("string").alias("_text"), none.alias("_top"))
+             for i, c in enumerate(["page_type", *ctx])]
+    cells += [F.struct(F.lit(-1).alias("_slot"), F.lit(None).cast("string").alias("_text"), F.col(c).alias("_top"))
+              for c in tops]
+    seen = events.select("user_pseudo_id", F.inline(F.array(*cells))).where(
+        F.col("_text").isNotNull() | F.col("_top").isNotNull()).groupBy("user_pseudo_id", "_slot", "_text", "_top").agg(
+        F.count(F.lit(1)).alias("_n"))
+
+    def most(slot: int, col: str):
+        return F.min(F.when(F.col("_slot") == slot, F.struct((-F.col("_n")).alias("n"), F.col(col).alias("v"))))["v"]
+
+    modes = seen.groupBy("user_pseudo_id").agg(
+        F.count_if(F.col("_slot") == 0).alias("unique_pages"),
+        *[F.coalesce(most(i, "_text"), F.lit(K.UNKNOWN)).alias(c) for i, c in enumerate(ctx, 1)],
+        *[most(-1, "_top").alias("top_category") for _ in tops])
+    more = [c for c in base.columns if c not in ("user_pseudo_id", "total_events", "total_revenue", "num_purchases",
+                                                 "num_cart_adds", "_first_visit")]
+    return base.join(modes, "user_pseudo_id", "left").select(
+        "user_pseudo_id", "total_events", F.coalesce("unique_pages", F.lit(0)).cast("long").alias("unique_pages"),
+        "total_revenue", "num_purchases", "num_cart_adds",
+        *[F.coalesce(c, F.lit(K.UNKNOWN)).alias(c) for c in ctx], *["top_category" for _ in tops], *more,
+        days_since("_first_visit", as_of).alias("days_since_first_visit"))
 
 
 def top_category(activity: DataFrame) -> DataFrame:

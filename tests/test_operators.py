@@ -41,6 +41,37 @@ def test_mode_ties_and_unknown(spark):
     assert out["u1"].total_revenue == 0.0 and out["u2"].num_purchases == 1
 
 
+def test_rollup_counts_values_instead_of_mode_maps(spark):
+    import datetime
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    rows = [(i, r.choice(["a", "b", "c", None]), r.choice(["purchase", "add_to_cart", None]), r.choice(["p1", "p2", None]),
+             r.choice([1.5, None]), r.choice(["x", "y", None]), r.choice([9, 10, None])) for i in range(60)]
+    rows += [(60, "d", None, None, None, None, None), (61, "e", "purchase", "p1", 2.0, None, 10), (62, "e", None, "p1", None, "x", 9)]
+    df = spark.createDataFrame(rows, "event_id long, user_pseudo_id string, event_name string, page_type string, "
+                               "purchase_revenue double, source string, ItemCategory int")
+    df = df.withColumn("event_ts", F.lit(datetime.datetime(2024, 2, 1)))
+    out = user_rollup(df, "2024-02-15 00:00:00", extra=(F.min("event_id").alias("first"),))
+    # a mode aggregate encodes its map of values for every user, column and exchange
+    assert "mode(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+    def mode(values):
+        n = Counter(v for v in values if v is not None)
+        return min(n, key=lambda v: (-n[v], v), default=None)
+
+    got = {x.user_pseudo_id: x for x in out.collect()}
+    assert set(got) == {"a", "b", "c", "d", "e"}
+    for u, x in got.items():
+        mine = [row for row in rows if row[1] == u]
+        assert x.total_events == sum(row[2] is not None for row in mine) and x.first == mine[0][0]
+        assert x.unique_pages == len({row[3] for row in mine} - {None})
+        assert x.total_revenue == sum(row[4] or 0 for row in mine)
+        assert x.source == (mode([row[5] for row in mine]) or "unknown")
+        assert x.top_category == mode([row[6] for row in mine])  # a number: 9 before 10
+
+
 def test_dense_ids_only_present(spark):
     df = spark.createDataFrame([("a", "cart_abandoner"), ("b", "cold_user")], "user_pseudo_id string, persona string")
     got = sorted((r.persona, r.target_cluster) for r in dense_segments(df).collect())
