@@ -61,7 +61,9 @@ def model_inputs(spark, sf_dir):
     """Users with split, and the first and last 25 events per user as tokens (materialised)."""
     key = ("inputs", *_files(spark, sf_dir))
     if key not in _FITTED:
-        act, users = _training(spark, sf_dir)
+        # stored: the rollup and each slice of the sequences read it, so the events are read and joined once
+        act = stored(activity(spark, sf_dir, "visit"), "activity")
+        users = E.stratified_split(training_frame(act, AS_OF))
         _FITTED[key] = (materialize(users), materialize(_sequences(act)))
     return _FITTED[key]
 

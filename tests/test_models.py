@@ -176,3 +176,15 @@ def test_a_forest_takes_its_share_of_the_tasks(spark, monkeypatch):
     assert few.rdd.getNumPartitions() == -(-tasks // M.FORESTS_AT_ONCE) and few.count() == 4000
     monkeypatch.setattr(M, "FOREST_ROWS", 4000 // (2 * tasks))  # large for it: as many tasks as before
     assert M._in_fewer_tasks(rows).rdd.getNumPartitions() == 2 * tasks
+
+
+def test_model_inputs_read_the_events_once(spark, monkeypatch):
+    from tailorspark.plans import q_models as Q
+
+    seen, frame, sequences = [], Q.training_frame, Q._sequences
+    monkeypatch.setattr(Q, "_FITTED", {})
+    monkeypatch.setattr(Q, "training_frame", lambda act, *a, **k: seen.append(act) or frame(act, *a, **k))
+    monkeypatch.setattr(Q, "_sequences", lambda act: seen.append(act) or sequences(act))
+    users, seqs = Q.model_inputs(spark, SF_SMALL)
+    assert users.count() == seqs.count() > 0
+    assert len(seen) == 2 and not any("events.parquet" in f for act in seen for f in act.inputFiles())
