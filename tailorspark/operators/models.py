@@ -20,6 +20,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ FITS_AT_ONCE = 3
 #: Forests fitted at the same time (one on the whole split, one a fold), and the fewest rows that a task of a fit
 #: gets while others are free: each task sends its own statistics of all tree nodes, whatever its rows are.
 FORESTS_AT_ONCE, FOREST_ROWS = 4, 250_000
+#: MLlib's trees take a number's split points from a sample of about so many rows, and a nominal value of at most 5
+#: kinds (at 32 bins) as unordered.
+SPLIT_SAMPLE, ORDERED_KINDS = 10_000, 6
 
 
 def _fit_at_once(spark, fit, over) -> list:
@@ -58,6 +62,30 @@ def _in_fewer_tasks(train: DataFrame) -> DataFrame:
     return train.coalesce(max(1, -(-tasks // FORESTS_AT_ONCE), -(-train.count() // FOREST_ROWS)))
 
 
+def _slots_as_numbers(train: DataFrame) -> DataFrame:
+    """``train`` with the one-hot slots of ``features`` as the numbers 0 and 1, not as unordered categories: MLlib then
+    adds up the rows in half the time, and a split at 0.5 parts them as the category's only split does.
+
+    The split point has to be found in a sample of the rows.  A slot that may have one value only there stays a
+    category, said to have so many kinds that MLlib orders them; its split is the one between 0 and 1 too.
+    """
+    attrs = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    slots = attrs.get("binary", [])
+    if not slots:
+        return train
+    ones, rows = train.agg(Summarizer.numNonZeros(F.col("features")), F.count(F.lit(1))).first()
+
+    def sampled(i: int) -> bool:
+        # ones are counted in the sample, zeros are what the sample's expected size leaves (deviation: 1 %)
+        return rows <= SPLIT_SAMPLE or (ones[i] * SPLIT_SAMPLE >= 30 * rows and (rows - ones[i]) * 10 >= rows)
+
+    number = [a for a in slots if sampled(a["idx"])]
+    kinds = [{**a, "num_vals": ORDERED_KINDS} for a in slots if not sampled(a["idx"])]
+    groups = {"numeric": attrs.get("numeric", []) + number, "nominal": attrs.get("nominal", []) + kinds}
+    meta = {"ml_attr": {"attrs": {k: v for k, v in groups.items() if v}, "num_attrs": len(ones)}}
+    return train.withColumn("features", F.col("features").alias("features", metadata=meta))
+
+
 # -- M1 ------------------------------------------------------------------------
 def fit_context_encoder(users: DataFrame, cols: list[str] | None = None) -> PipelineModel:
     """One-hot of context columns: categories sorted, unseen -> all zeros.
@@ -210,7 +238,7 @@ def fit_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, labe
     """M6.  Larger node batches (maxMemoryInMB) mean fewer passes over the data
     for deep trees; node ids are cached and checkpointed every 10 levels to
     the shared folder, which keeps the lineage of deep trees short."""
-    train = _in_fewer_tasks(train)
+    train = _in_fewer_tasks(_slots_as_numbers(train))
     return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, labelCol=label,
                                   maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
                                   featuresCol="features", probabilityCol="rf_probability",

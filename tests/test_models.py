@@ -188,3 +188,44 @@ def test_model_inputs_read_the_events_once(spark, monkeypatch):
     users, seqs = Q.model_inputs(spark, SF_SMALL)
     assert users.count() == seqs.count() > 0
     assert len(seen) == 2 and not any("events.parquet" in f for act in seen for f in act.inputFiles())
+
+
+def _with_slots(spark, rows):
+    """Rows (label, x, value) with ``features``: the number and the value's one-hot slots."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    df = spark.createDataFrame(rows, "label double, x double, v string")
+    return Pipeline(stages=[
+        StringIndexer(inputCol="v", outputCol="i", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=["i"], outputCols=["o"], dropLast=False),
+        VectorAssembler(inputCols=["x", "o"], outputCol="features")]).fit(df).transform(df).select("label", "features")
+
+
+def test_a_forest_takes_slots_as_numbers_and_is_the_same(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    r = random.Random(3)
+    rows = [(float((v in "ab") + (x > 0.5) * (v == "c")), x, v) for x, v in (
+        (r.random(), r.choice("abcd")) for _ in range(400))]
+    train = _with_slots(spark, rows).coalesce(1)
+    assert train.schema["features"].metadata["ml_attr"]["attrs"].get("binary")
+    numbers = M._slots_as_numbers(train)
+    assert set(numbers.schema["features"].metadata["ml_attr"]["attrs"]) == {"numeric"}
+    args = dict(numTrees=5, maxDepth=4, seed=7, labelCol="label", featuresCol="features", maxMemoryInMB=1024)
+    plain = RandomForestClassifier(**args).fit(train)
+    ours = M.fit_forest(train, 5, 4, 7)
+    assert "not in {" not in ours.toDebugString and "in {" in plain.toDebugString
+    both = [[x[0] for x in m.transform(train).select(vector_to_array(p)).collect()]
+            for m, p in ((plain, "probability"), (ours, "rf_probability"))]
+    assert both[0] == both[1]
+
+
+def test_a_forest_splits_on_slots_that_a_sample_may_miss(spark):
+    """Of 12,000 rows 12 decide their label by a slot of their own, and all but 60 share another one."""
+    rows = [(2.0, 0.5, "rare")] * 12 + [(1.0, 0.5, "few")] * 48 + [(0.0, 0.5, "most")] * 11940
+    train = _with_slots(spark, rows)
+    attrs = M._slots_as_numbers(train).schema["features"].metadata["ml_attr"]["attrs"]
+    assert len(attrs["numeric"]) == 2  # x and "few"
+    assert [a["num_vals"] for a in attrs["nominal"]] == [M.ORDERED_KINDS] * 2
+    forest = M.fit_forest(train, 3, 4, 1)
+    wrong = forest.transform(train).where(F.col("rf_prediction") != F.col("label")).count()
+    assert wrong == 0
