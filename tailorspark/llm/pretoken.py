@@ -96,7 +96,7 @@ class Vocabulary:
             sizes = np.array([len(t) for t in texts[lo:hi]], np.int64)
             begin = np.cumsum(sizes) - sizes
             start = boundaries(cp, begin[sizes > 0])
-            stop = np.append(start[1:], len(cp))
+            stop = np.append(start, len(cp))[1:]  # none of empty texts
             hashes.append(range_hashes(cp, start, stop))
             counts.append(np.diff(np.append(np.searchsorted(start, begin), len(start))))
             spans.append(np.stack([start + base, stop + base]))

@@ -9,7 +9,7 @@ documents opens the pages that hold them, and a reader of metadata none of the i
 
 Documents are range-partitioned by (doc_id, hash of the text): a doc_id on a
 third of all rows spreads over several files.  Each file's task encodes the
-distinct pre-tokens of its own text, a block at a time.
+distinct pre-tokens of its own text, a block at a time, and keeps a bounded number of them for the blocks after.
 
 The definition's added tokens (``<|endoftext|>``) are ordinary text, or with
 ``added_tokens`` found in the texts first, as the library does unless told otherwise.
@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ from tailorspark.llm.pretoken import Vocabulary
 #: Characters a file is meant to hold, and a block that is encoded at once.
 FILE_CHARS = 32_000_000
 BLOCK_CHARS = 4_000_000
+#: Pre-tokens whose ids a task keeps, rows read and pre-tokens written out at a time.
+KNOWN_WORDS, ROWS, STEP = 200_000, 256, 1 << 16
 WRITE_OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -59,10 +63,11 @@ def _byte_letters() -> dict[int, str]:
 class _Encoder:
     """Texts to ids: distinct pre-tokens once each, through the tokenizers library's model.
 
+    The first ``KNOWN_WORDS`` pre-tokens of a task keep their ids for the blocks after; the others' last for their block.
     ``added_tokens``: texts are split at the definition's added tokens, which have ids of their own.
     """
 
-    def __init__(self, definition: str, added_tokens: bool):
+    def __init__(self, definition: str, end_id: int, added_tokens: bool):
         from tokenizers import Tokenizer
         whole = Tokenizer.from_str(definition)
         self.model = whole.model
@@ -71,52 +76,90 @@ class _Encoder:
         for t in added.values():
             if t.single_word or t.lstrip or t.rstrip or t.normalized:
                 raise ValueError(f"added token {t.content!r}: only tokens found as they stand are supported")
-        self.added = {t.content: np.array([i], np.int32) for i, t in added.items() if t.content}
+        added = {t.content: i for i, t in added.items() if t.content}
         # the leftmost, and of those that begin there the longest
-        longest = sorted(self.added, key=len, reverse=True)
+        longest = sorted(added, key=len, reverse=True)
         self.split = re.compile("(" + ("|".join(map(re.escape, longest)) or "(?!)") + ")").split
-
-    def ids(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        # entry k has the ids flat[ends[k]:ends[k + 1]]: the end of a document, the added tokens, then words
+        self.added = {t: k for k, t in enumerate(added, 1)}
+        self.flat = array("i", [end_id, *added.values()])
+        self.ends = array("q", range(len(self.flat) + 1))
+        self.known: dict[str, int] = {}
+        self.keep = len(self.flat) + KNOWN_WORDS
+
+    def _shown(self, word: str) -> str:
+        """The letters of the word's bytes; of the printable ASCII signs only the blank has another one."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.letters[0x20])
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def _entries(self, words: list[str]) -> np.ndarray:
+        """The entry of each word; those that are new are encoded."""
+        known, flat, ends, tokenize, out = self.known, self.flat, self.ends, self.model.tokenize, []
+        for w in words:
+            k = known.get(w)
+            if k is None:
+                k = len(ends) - 1
+                flat.extend([t.id for t in tokenize(self._shown(w))])
+                ends.append(len(flat))
+                if k < self.keep:
+                    known[w] = k
+            out.append(k)
+        return np.array(out, np.int32)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each text's begin (and the last one's end)."""
         parts = [self.split(t) for t in texts]  # text, added token, text, ...
         v = Vocabulary([t for p in parts for t in p[::2]])
-        mapped = (w.encode().decode("latin-1").translate(self.letters) for w in v.words)
-        words = [[t.id for t in self.model.tokenize(w)] for w in mapped]
-        lens = np.array([len(w) for w in words], np.int64)
-        begin = np.cumsum(lens) - lens
-        flat = np.fromiter((i for w in words for i in w), np.int32, int(lens.sum()))
-        out, at, counts, end = [], 0, iter(v.counts.tolist()), np.array([end_id], np.int32)
+        entries = self._entries(v.words)[v.codes]
+        counts, at, place, special, last = iter(v.counts.tolist()), 0, [], [], []
         for p in parts:
-            found = []
             for k, piece in enumerate(p):
                 if k % 2:
-                    found.append(self.added[piece])
+                    place.append(at)
+                    special.append(self.added[piece])
                 else:
-                    n = next(counts)
-                    found.append(take_runs(flat, begin, lens, v.codes[at:at + n]))
-                    at += n
-            out.append(np.concatenate([*found, end]))
-        return out
+                    at += next(counts)
+            last.append(at + len(place))
+            place.append(at)
+            special.append(0)
+        entries = np.insert(entries, place, special)
+        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+        del self.ends[self.keep + 1:]
+        del self.flat[self.ends[-1]:]
+        begin, lens = ends[:-1], np.diff(ends)
+        total = np.cumsum(lens[entries])
+        out = np.empty(int(total[-1]) if len(total) else 0, np.int32)
+        for i in range(0, len(entries), STEP):
+            got = take_runs(flat, begin, lens, entries[i:i + STEP])
+            out[(lo := int(total[i - 1]) if i else 0):lo + len(got)] = got
+        return out, np.append(0, total[last])
 
 
 def _encode(definition, end_id: int, added_tokens: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, part, row = _Encoder(definition.value, added_tokens), TaskContext.get().partitionId(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, row = _Encoder(definition.value, end_id, added_tokens), TaskContext.get().partitionId(), 0
         ids, texts, size = [], [], 0
 
-        def block() -> pd.DataFrame:
-            tokens = coder.ids(texts, end_id)
-            return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "part": part, "row": range(row, row + len(ids)),
-                                 "n_tokens": [len(t) for t in tokens], "ids": tokens})
-
-        for b in batches:
-            for i, t in zip(b["doc_id"].astype("Int64"), b["text"].tolist()):
-                t = t if isinstance(t, str) else ""
-                if texts and size + len(t) > BLOCK_CHARS:
-                    yield block()
-                    row, ids, texts, size = row + len(ids), [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
+        def block() -> pa.RecordBatch:
+            tokens, at = coder.ids(texts)
+            return pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(np.full(len(ids), part, np.int32)),
+                pa.array(np.arange(row, row + len(ids))), pa.array(np.diff(at).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens))],
+                ["doc_id", "part", "row", "n_tokens", "ids"])
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                for i, t in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), b.column("text").to_pylist()):
+                    t = t if isinstance(t, str) else ""
+                    if texts and size + len(t) > BLOCK_CHARS:
+                        yield block()
+                        row, ids, texts, size = row + len(ids), [], [], 0
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t)
         if texts:
             yield block()
     return run
@@ -132,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, a
     keyed = docs.withColumn("h", F.xxhash64("text"))
     # a count of its own keeps adaptive execution from merging ranges: a partition is a file
     ranged = keyed.repartitionByRange(max(1, -(-chars // FILE_CHARS)), "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    ranged.select("doc_id", "text").mapInPandas(_encode(definition, end_id, added_tokens), SCHEMA) \
+    ranged.select("doc_id", "text").mapInArrow(_encode(definition, end_id, added_tokens), SCHEMA) \
         .write.options(**WRITE_OPTIONS).parquet(path)
 
 

@@ -116,3 +116,27 @@ def test_token_files_query_has_the_librarys_ids_with_added_tokens(spark, tmp_pat
         start += len(tokens)
     assert want[0][2] == 4
     assert rows(queries.op2_token_files(spark, str(tmp_path)), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+@pytest.mark.parametrize("known", [0, 5, 10_000])
+def test_token_encoder_keeps_words_over_blocks(monkeypatch, known):
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", known)
+    monkeypatch.setattr(token_files, "STEP", 7)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    coder = token_files._Encoder(t.to_str(), 2, True)
+    asked, model = [], coder.model
+
+    class Counted:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    coder.model = Counted()
+    kept = len(coder.flat) + known
+    for texts in (some_texts(5, 60), [], [""], some_texts(6, 60), some_texts(5, 60), ["~ \x7f!", "<|endoftext|>é <|endoftext|>"]):
+        flat, at = coder.ids(texts)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
+            t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+        assert len(coder.known) <= known and len(coder.ends) <= kept + 1
+    if known == 10_000:
+        assert len(asked) == len(set(asked))  # none twice, whatever the block
