@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tailorspark import constants as K
 from tailorspark.functions.columns import numeric_transform
 from tailorspark.operators.calibration import fit_curves
+from tailorspark.operators.forest import FEWEST_ROWS, MOST_ROWS, Coding, Forest, fit_coding, fit_forests
+from tailorspark.operators.network import fit_network
 from tailorspark.operators.partitioning import dealt_evenly, dense_index
 from tailorspark.operators.sequence import SequenceModel, fit_sequence_model, sequence_probability
 from tailorspark.session import materialize, stored
@@ -245,30 +247,26 @@ def fit_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, labe
                                   predictionCol="rf_prediction", rawPredictionCol="_rf_raw").fit(train)
 
 
-def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, num_classes: int,
-                          label: str = "label") -> list:
-    """M7: sigmoid calibration in ``folds = min(3, smallest class)`` folds.
-
-    For each fold a forest is fitted on the other folds and scores the held-out
-    one; then all curves from a class's score to its probability are fitted
-    together (``calibration``).  Prediction averages the normalised fold
-    outputs.  Returns [(forest, [(slope, offset) per class])] or [] when uncalibrated.
-    """
+def _in_folds(train: DataFrame, seed: int, label: str = "label") -> tuple[DataFrame, int]:
+    """``train`` with ``_fold`` (stored), and the number of folds: ``min(3, smallest class)``, 0 for no calibration."""
     smallest, rows = train.groupBy(label).count().agg(F.min("count"), F.sum("count")).first()
     if smallest is None or smallest < 2:
-        return []
+        return train, 0
     folds = int(min(3, smallest))
     # every class is dealt out to the folds in turn, so each fold has all classes
     dealt = dense_index(train.withColumn("_h", seed_col(F.lit("fold"), F.col("user_pseudo_id"), seed=seed)),
                         ["_h", "user_pseudo_id"], [label], index_col="_pos")
     tf = dealt.withColumn("_fold", (F.col("_pos") % folds).cast("int")).drop("_h", "_pos")
-    tf = materialize(dealt_evenly(tf, "user_pseudo_id", rows))  # the numbering leaves a label's rows in one task
-    forests = _fit_at_once(train.sparkSession, lambda f: fit_forest(
-        tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label), range(folds))
+    # the numbering leaves a label's rows in one task
+    return materialize(dealt_evenly(tf, "user_pseudo_id", rows)), folds
+
+
+def _calibrated(tf: DataFrame, forests: list, num_classes: int, label: str = "label") -> list:
+    """[(forest, [(slope, offset) per class])] by each forest's scores of the fold that it was not fitted on."""
     held = []
-    for f in range(folds):
-        held.append(forests[f].transform(tf.where(F.col("_fold") == f)).select(
-            F.col("_fold").alias("fold"), F.col(label).alias("label"), vector_to_array("rf_probability").alias("p")))
+    for f, forest in enumerate(forests):
+        held.append(with_scores(tf.where(F.col("_fold") == f), forest, "p").select(
+            F.col("_fold").alias("fold"), F.col(label).alias("label"), "p"))
     scores = held[0]
     for h in held[1:]:
         scores = scores.union(h)
@@ -276,6 +274,43 @@ def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed
     return [(forest, [curves[f, c] for c in range(num_classes)]) for f, forest in enumerate(forests)]
 
 
+def fit_calibrated_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, num_classes: int,
+                          label: str = "label") -> list:
+    """M7: sigmoid calibration in ``folds = min(3, smallest class)`` folds.
+
+    For each fold a forest is fitted on the other folds and scores the held-out
+    one; then all curves from a class's score to its probability are fitted
+    together (``calibration``).  Prediction averages the normalised fold
+    outputs.  Returns [(forest, [(slope, offset) per class])] or [] when uncalibrated.
+    """
+    tf, folds = _in_folds(train, seed, label)
+    if not folds:
+        return []
+    forests = _fit_at_once(train.sparkSession, lambda f: fit_forest(
+        tf.where(F.col("_fold") != f), num_trees, max_depth, seed, label), range(folds))
+    return _calibrated(tf, forests, num_classes, label)
+
+
+def fit_large_forests(train: DataFrame, rows: int, groups: list[tuple[int, int]], width: int, num_trees: int, max_depth: int,
+                      seed: int, num_classes: int, calibrate: bool = True) -> tuple[Forest, list]:
+    """M6 and M7 on a large split: the forest on all rows and those of the folds grow in one job (``forest``).
+    ``groups``: (first feature, slots) of the one-hot features; ``width``: features."""
+    tf, folds = _in_folds(train, seed) if calibrate else (train, 0)
+    tf = tf if folds else tf.withColumn("_fold", F.lit(0))
+    coding = fit_coding(tf, rows, groups, width, seed)
+    whole, *forests = fit_forests(tf, coding, width, num_classes, [-1, *range(folds)], num_trees, max_depth, seed)
+    return whole, _calibrated(tf, forests, num_classes) if folds else []
+
+
+def with_scores(df: DataFrame, forest, out_col: str) -> DataFrame:
+    """``df`` with the class scores of ``forest`` (MLlib's, or a ``Forest``) as an array."""
+    if isinstance(forest, Forest):
+        return df.withColumn(out_col, forest.probability(df.sparkSession, "features"))
+    vector, raw, top = (f"{out_col}_{x}" for x in ("vector", "raw", "top"))
+    m = forest.copy({forest.probabilityCol: vector, forest.rawPredictionCol: raw, forest.predictionCol: top})
+    return m.transform(df).withColumn(out_col, vector_to_array(vector)).drop(vector, raw, top)
+
+
 def calibrated_probability(df: DataFrame, calibrated: list, num_classes: int) -> DataFrame:
     """Average over folds of normalised per-class sigmoids of forest scores.
 
@@ -286,14 +321,10 @@ def calibrated_probability(df: DataFrame, calibrated: list, num_classes: int) ->
     out = df
     names = []
     for i, (forest, lrs) in enumerate(calibrated):
-        m = forest.copy({forest.probabilityCol: f"_pf{i}", forest.rawPredictionCol: f"_rf{i}",
-                         forest.predictionCol: f"_pr{i}"})
         a = F.array(*[F.lit(float(x)) for x, _ in lrs])
         b = F.array(*[F.lit(float(y)) for _, y in lrs])
-        out = m.transform(out).withColumn(f"_s{i}", F.transform(
-            vector_to_array(f"_pf{i}"),
-            lambda p, c: 1.0 / (1.0 + F.exp(-(F.element_at(a, c + 1) * p + F.element_at(b, c + 1))))))
-        out = out.drop(f"_pf{i}", f"_rf{i}", f"_pr{i}")
+        out = with_scores(out, forest, f"_pf{i}").withColumn(f"_s{i}", F.transform(
+            f"_pf{i}", lambda p, c: 1.0 / (1.0 + F.exp(-(F.element_at(a, c + 1) * p + F.element_at(b, c + 1)))))).drop(f"_pf{i}")
         total = F.aggregate(f"_s{i}", F.lit(0.0), lambda acc, x: acc + x)
         out = out.withColumn(f"_s{i}", F.when(total > 0, F.transform(f"_s{i}", lambda x: x / total)).otherwise(
             F.array_repeat(F.lit(1.0 / num_classes), num_classes)))
@@ -306,8 +337,7 @@ def calibrated_probability(df: DataFrame, calibrated: list, num_classes: int) ->
 
 def forest_probability(df: DataFrame, stack) -> DataFrame:
     """M6: uncalibrated scores of the forest on the whole training split."""
-    return stack.forest.transform(df).withColumn("forest_prob", vector_to_array("rf_probability")).drop(
-        "rf_probability", "_rf_raw", "rf_prediction")
+    return with_scores(df, stack.forest, "forest_prob")
 
 
 def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "target_cluster",
@@ -345,18 +375,29 @@ def train_stack(users: DataFrame, seqs: DataFrame | None = None, label: str = "t
     feats = prepare_features(data, stack).select("user_pseudo_id", "label", "is_validation", "features")
     feats = materialize(feats)
     tr = feats.where(~F.col("is_validation"))
-    d = len(NUM) + sum(len(s.labels) for s in encoder.stages[:-1]) + 1
+    slots = [len(s.labels) for s in encoder.stages[:-1]]
+    d = len(NUM) + sum(slots) + 1
     layers = [d] + list(hidden or K.MLP_HIDDEN) + [num_classes]
     mlp = MultilayerPerceptronClassifier(
         layers=layers, seed=seed, maxIter=mlp_iter, blockSize=64, labelCol="label", featuresCol="features",
         probabilityCol="mlp_probability", predictionCol="mlp_prediction", rawPredictionCol="_mlp_raw")
     # all of them read the same features and none another's result
-    fits = {"calibration": lambda: fit_calibrated_forest(tr, num_trees, max_depth, seed, num_classes) if calibrate else [],
-            "forest": lambda: fit_forest(tr, num_trees, max_depth, seed), "mlp": lambda: mlp.fit(tr)}
-    done = _fit_at_once(users.sparkSession, lambda name: _timed(fits[name]), fits)
-    for name, (_, seconds) in zip(fits, done):
+    if FEWEST_ROWS <= n_train <= MOST_ROWS:
+        groups = [(len(NUM) + sum(slots[:i]), n) for i, n in enumerate(slots)]
+        layout = Coding([*range(len(NUM)), d - 1], [[] for _ in range(len(NUM) + 1)], groups)
+        fits = {"forest": lambda: fit_large_forests(tr, n_train, groups, d, num_trees, max_depth, seed, num_classes, calibrate),
+                "mlp": lambda: fit_network(tr, mlp, layout)}
+    else:
+        fits = {"calibration": lambda: fit_calibrated_forest(tr, num_trees, max_depth, seed, num_classes) if calibrate else [],
+                "forest": lambda: fit_forest(tr, num_trees, max_depth, seed), "mlp": lambda: mlp.fit(tr)}
+    done = dict(zip(fits, _fit_at_once(users.sparkSession, lambda name: _timed(fits[name]), fits)))
+    for name, (_, seconds) in done.items():
         stack.timings[name] = seconds
-    stack.calibrated, stack.forest, stack.mlp = (fitted for fitted, _ in done)
+    stack.mlp, stack.forest = done["mlp"][0], done["forest"][0]
+    if "calibration" in done:
+        stack.calibrated = done["calibration"][0]
+    else:
+        stack.forest, stack.calibrated = stack.forest
     t0 = time.perf_counter()
     if seqs is not None:
         s = seqs.join(data.select("user_pseudo_id", "label", "is_validation"), "user_pseudo_id")
@@ -417,24 +458,33 @@ def cascade(df: DataFrame, mlp: str = "mlp_prob", rf: str | None = "rf_prob", se
 
 
 # -- S7 ------------------------------------------------------------------------
+def _save_forest(forest, path: str) -> None:
+    if isinstance(forest, Forest):
+        from pyspark.sql import SparkSession
+
+        forest.save(SparkSession.getActiveSession(), path)
+    else:
+        forest.write().overwrite().save(path)
+
+
 def save_stack(stack: Stack, path: str) -> None:
     """Persist fitted stages; optional ones (sequence, calibration) may be absent."""
     import json
 
     stack.encoder.write().overwrite().save(f"{path}/encoder")
     stack.kmeans.write().overwrite().save(f"{path}/kmeans")
-    stack.forest.write().overwrite().save(f"{path}/forest")
+    _save_forest(stack.forest, f"{path}/forest")
     stack.mlp.write().overwrite().save(f"{path}/mlp")
     seq = stack.sequence
     if seq is not None:
         seq.steps.write.mode("overwrite").parquet(f"{path}/sequence_steps")
         seq.starts.write.mode("overwrite").parquet(f"{path}/sequence_starts")
     for i, (forest, lrs) in enumerate(stack.calibrated):
-        forest.write().overwrite().save(f"{path}/calibrated_{i}")
+        _save_forest(forest, f"{path}/calibrated_{i}")
     meta = {"cluster_stats": stack.cluster_stats, "feature_stats": stack.feature_stats, "k": stack.k,
             "num_classes": stack.num_classes, "calibration": [lrs for _, lrs in stack.calibrated],
             "sequence": seq and {"shares": seq.shares, "n_steps": seq.n_steps, "smoothing": seq.smoothing},
-            "silhouette": stack.silhouette}
+            "silhouette": stack.silhouette, "large": isinstance(stack.forest, Forest)}
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -445,17 +495,18 @@ def save_stack(stack: Stack, path: str) -> None:
 def load_stack(spark, path: str) -> Stack:
     import json
 
-    from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel as InMLlib
     from pyspark.ml.clustering import KMeansModel
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     seq = meta["sequence"] and SequenceModel(spark.read.parquet(f"{path}/sequence_steps"),
                                              spark.read.parquet(f"{path}/sequence_starts"), **meta["sequence"])
-    cal = [(RandomForestClassificationModel.load(f"{path}/calibrated_{i}"), [tuple(x) for x in lrs])
+    load = (lambda at: Forest.load(spark, at)) if meta["large"] else InMLlib.load
+    cal = [(load(f"{path}/calibrated_{i}"), [tuple(x) for x in lrs])
            for i, lrs in enumerate(meta["calibration"])]
     return Stack(PipelineModel.load(f"{path}/encoder"), {k: tuple(v) for k, v in meta["cluster_stats"].items()},
                  KMeansModel.load(f"{path}/kmeans"), meta["k"],
                  {k: tuple(v) for k, v in meta["feature_stats"].items()},
-                 RandomForestClassificationModel.load(f"{path}/forest"), cal,
+                 load(f"{path}/forest"), cal,
                  MultilayerPerceptronClassificationModel.load(f"{path}/mlp"), seq, meta["num_classes"],
                  meta["silhouette"])

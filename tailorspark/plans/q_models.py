@@ -13,6 +13,7 @@ from tailorspark.operators import evaluate as E
 from tailorspark.operators import models as M
 from tailorspark.operators.features import event_sequences
 from tailorspark.operators.pages import flatten_document, page_document, personalize, route
+from tailorspark.operators.partitioning import dealt_evenly
 from tailorspark.operators.segments import segment_names, training_frame, with_segment_ids
 from tailorspark.operators.sequence import END, PLACES, SMOOTHING, START, fit_sequence_model, sequence_probability
 from tailorspark.plans.oracle import (
@@ -320,8 +321,10 @@ _PREDICTED = "user_pseudo_id string, label int, prediction int, confidence doubl
 
 
 def _validation(spark, sf_dir):
+    """The validation split with its sequences, dealt to all tasks: the join leaves its few columns in one or two."""
     users, seqs = model_inputs(spark, sf_dir)
-    return users.where("is_validation").join(seqs, "user_pseudo_id", "left")
+    val = users.where("is_validation")
+    return dealt_evenly(val.join(seqs, "user_pseudo_id", "left"), "user_pseudo_id", val.count())
 
 
 @register("feature_vectors")
