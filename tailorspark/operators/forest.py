@@ -99,28 +99,29 @@ def matrix(vectors: pa.Array, width: int) -> np.ndarray:
 
 
 # -- growing -------------------------------------------------------------------
-def _statistics(codes, size, classes, rows, node, y, w, taken) -> np.ndarray:
-    """(taken nodes, codes, classes) weights of the rows, which come in the order of their nodes."""
-    rank = (np.cumsum(taken) - 1).astype(np.int32)
-    out = np.zeros(int(taken.sum()) * size * classes)
-    everything = bool(taken.all())
+def _statistics(cells, size, classes, rows, node, w, taken) -> np.ndarray:
+    """(taken nodes, codes, classes) weights of the rows, which come in the order of their nodes.
+    ``cells``: code and class of all rows as one number."""
+    n = int(taken.sum())
+    start = (np.cumsum(taken) - 1) * (size * classes)
+    out = np.zeros(n * size * classes)
     for a in range(0, len(rows), CHUNK):
-        at, nodes, label, weight = rows[a:a + CHUNK], node[a:a + CHUNK], y[a:a + CHUNK], w[a:a + CHUNK]
-        if not everything:
-            some = taken[nodes]
-            at, nodes, label, weight = at[some], nodes[some], label[some], weight[some]
-            if not len(at):
+        at, nodes, weight = rows[a:a + CHUNK], node[a:a + CHUNK], w[a:a + CHUNK]
+        if n < len(taken):
+            some = np.flatnonzero(taken.take(nodes))
+            if not len(some):
                 continue
-        nodes = rank[nodes]
-        low = int(nodes[0])
-        key = ((nodes - low) * size + codes[at]) * classes + label
+            at, nodes, weight = at.take(some), nodes.take(some), weight.take(some)
+        low = int(start[nodes[0]])
+        key = start.take(nodes)
+        key += cells.take(at)
+        key -= low
         part = np.bincount(key, weight)
-        at = low * size * classes
-        out[at:at + len(part)] += part
+        out[low:low + len(part)] += part
     return out.reshape(-1, size, classes)
 
 
-def _best_splits(codes, sizes, numbers, classes, rows, node, y, w, totals, picked):
+def _best_splits(cells, top, sizes, numbers, classes, rows, node, w, totals, picked):
     """(column, low, span, weights of the right side) of each node's best split; column -1 where none gains.
 
     A code goes right if it lies in [low, low + span)."""
@@ -128,7 +129,6 @@ def _best_splits(codes, sizes, numbers, classes, rows, node, y, w, totals, picke
     weight = totals.sum(axis=1)
     best = (totals ** 2).sum(axis=1) / weight * (1 + 1e-12)  # what a split has to exceed: no gain, no split
     col, low, span, right = np.full(n, -1), np.zeros(n, int), np.zeros(n, int), np.zeros((n, classes))
-    top = 1 << (8 * codes.dtype.itemsize)
     first = 0
     for c, size in enumerate(sizes):
         number = c < numbers
@@ -138,7 +138,7 @@ def _best_splits(codes, sizes, numbers, classes, rows, node, y, w, totals, picke
         if size < 2 or not taken.any():
             continue
         at = np.flatnonzero(taken)
-        h = _statistics(codes[c], size, classes, rows, node, y, w, taken)
+        h = _statistics(cells[c], size, classes, rows, node, w, taken)
         t, all_ = totals[at][:, None], weight[at][:, None]
         if number:
             over = t - np.cumsum(h, axis=1)[:, :-1]
@@ -160,19 +160,29 @@ def _best_splits(codes, sizes, numbers, classes, rows, node, y, w, totals, picke
     return col, low, span, right
 
 
+def with_classes(codes: np.ndarray, y: np.ndarray, sizes: list[int], classes: int) -> np.ndarray:
+    """(columns, rows): code and class as one number."""
+    out = codes.astype(np.min_scalar_type(max(sizes) * classes))
+    out *= out.dtype.type(classes)
+    out += y.astype(out.dtype)
+    return out
+
+
 def grow(codes: np.ndarray, y: np.ndarray, sizes: list[int], numbers: int, classes: int, depth: int,
-         rng: np.random.Generator, w: np.ndarray | None = None) -> dict:
-    """One tree over ``codes`` (columns, rows) and labels ``y``; ``w``: weights of the rows, else a Poisson draw."""
+         rng: np.random.Generator, w: np.ndarray | None = None, cells: np.ndarray | None = None) -> dict:
+    """One tree over ``codes`` (columns, rows) and labels ``y``; ``w``: weights of the rows, else a Poisson draw.
+    ``cells``: ``with_classes`` of them, if it is at hand."""
     w = rng.poisson(1.0, len(y)).astype(np.uint8) if w is None else w
+    cells = with_classes(codes, y, sizes, classes) if cells is None else cells
     rows = np.flatnonzero(w).astype(np.int32)
-    y, w = y[rows].astype(np.int16), w[rows]
+    w = w[rows]
     features = sum(1 if c < numbers else s - 1 for c, s in enumerate(sizes))
     per_node = math.ceil(math.sqrt(features))
     node = np.zeros(len(rows), np.int32)  # place among the nodes that may split
-    totals = np.bincount(y, w, classes)[None]
+    totals = np.bincount(y[rows], w, classes)[None]
     opened = np.array([bool(len(rows)) and totals.max() < totals.sum()])
     levels = []
-    flat = codes.ravel()
+    flat, top = codes.ravel(), 1 << (8 * codes.dtype.itemsize)
     for level in range(depth + 1):
         made = {"totals": totals, **{k: np.zeros(len(totals), int) for k in ("low", "span")}, "col": np.full(len(totals), -1)}
         levels.append(made)
@@ -187,7 +197,7 @@ def grow(codes: np.ndarray, y: np.ndarray, sizes: list[int], numbers: int, class
         parts = []
         for i, a in enumerate(range(0, len(t), turn)):
             own = slice(edges[i], edges[i + 1])
-            parts.append(_best_splits(codes, sizes, numbers, classes, rows[own], node[own] - np.int32(a), y[own], w[own],
+            parts.append(_best_splits(cells, top, sizes, numbers, classes, rows[own], node[own] - np.int32(a), w[own],
                                       t[a:a + turn], picked[a:a + turn]))
         col, low, span, right = (np.concatenate(x) for x in zip(*parts))
         at = np.flatnonzero(opened)
@@ -202,17 +212,19 @@ def grow(codes: np.ndarray, y: np.ndarray, sizes: list[int], numbers: int, class
             continue
         # the rows of each node that may split, in the order of those
         place = np.where(opened, np.cumsum(opened) - 1, len(opened)).astype(np.int32)
-        child = np.where(split, 2 * (np.cumsum(split) - 1), -1).astype(np.int32)
-        start, low, span = (col * codes.shape[1]).astype(np.int64), low.astype(codes.dtype), span.astype(codes.dtype)
+        under = np.full(2 * len(split), len(opened), np.int32)
+        under[np.repeat(split, 2)] = place
+        start, low, span = np.maximum(col, 0) * codes.shape[1], low.astype(codes.dtype), span.astype(codes.dtype)
         to = np.empty(len(rows), np.int32)
         for a in range(0, len(rows), CHUNK):
             of = node[a:a + CHUNK]
-            goes = flat[np.maximum(start[of], 0) + rows[a:a + CHUNK]] - low[of] < span[of]
-            under = child[of]
-            to[a:a + CHUNK] = np.where(under >= 0, place[under + goes], len(opened))
+            at = start.take(of)
+            at += rows[a:a + CHUNK]
+            goes = flat.take(at) - low.take(of) < span.take(of)
+            to[a:a + CHUNK] = under.take(2 * of + goes)
         order = np.argsort(to.astype(np.uint16) if len(opened) < 65_536 else to, kind="stable")
         order = order[:np.count_nonzero(to < len(opened))]
-        rows, node, y, w = rows[order], to[order], y[order], w[order]
+        rows, node, w = rows.take(order), to.take(order), w.take(order)
     return _flat(levels, codes.dtype)
 
 
@@ -273,8 +285,9 @@ def _grown(coding: Coding, classes: int, plans: list[tuple[int, int]], trees: in
             if held is None or held[0] != forest:
                 use = fold != without
                 held = (forest, *((codes, y) if use.all() else (np.ascontiguousarray(codes[:, use]), y[use])))
+                held = (*held, with_classes(*held[1:], coding.sizes, classes))
             made = grow(held[1], held[2], coding.sizes, len(coding.numbers), classes, depth,
-                        np.random.default_rng([own, forest, tree]))
+                        np.random.default_rng([own, forest, tree]), cells=held[3])
             yield pa.RecordBatch.from_pydict({"forest": pa.array([forest], pa.int32()), "tree": pa.array([tree], pa.int32()),
                                               **{k: [v.tobytes()] for k, v in made.items()}})
     return run

@@ -24,7 +24,7 @@ from tailorspark.operators.forest import Coding, matrix
 from tailorspark.session import stored
 
 #: Rows multiplied at once, and the steps that the optimizer remembers.
-BLOCK, MEMORY = 2048, 10
+BLOCK, MEMORY = 256, 10
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no path to this package
 
 

@@ -566,7 +566,9 @@ def q_personalize_all(spark, sf_dir):
     preds = None  # too little data for a model: every request is cold
     if stack is not None:
         req = stored(route(req, True, visitors), "routed")
-        preds = M.cascade(M.score(req.where(F.col("path") != "cold"), stack, "recent_sequence", "request_id")).select(
+        live = req.where(F.col("path") != "cold")  # scored in all tasks, however few files they were stored in
+        live = dealt_evenly(live, "request_id", live.count())
+        preds = M.cascade(M.score(live, stack, "recent_sequence", "request_id")).select(
             "request_id", F.col("cascade_cluster").alias("m_cluster"),
             F.col("cascade_confidence").alias("m_confidence"), F.col("cascade_source").alias("m_source"))
     pages = personalize(req, table, defaults, catalog(spark, sf_dir), names=names, users=visitors, predictions=preds)
