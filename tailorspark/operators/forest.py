@@ -229,7 +229,8 @@ def grow(codes: np.ndarray, y: np.ndarray, sizes: list[int], numbers: int, class
 
 
 def _flat(levels: list[dict], dtype) -> dict:
-    """The nodes level by level as arrays, without splits whose leaves predict the same; a leaf's ``left`` is itself."""
+    """The nodes level by level as arrays, without splits whose leaves predict the same; a leaf's ``left`` is itself, and
+    ``p`` has the class shares of the leaves alone, in their order."""
     for above, below in zip(levels[-2::-1], levels[:0:-1]):
         split = np.flatnonzero(above["col"] >= 0)
         leaf, says = below["col"] < 0, below["totals"].argmax(axis=1)
@@ -241,7 +242,7 @@ def _flat(levels: list[dict], dtype) -> dict:
         n, there = int(kept.sum()), col[kept] >= 0
         left = np.arange(first, first + n)
         left[there] = first + n + 2 * np.arange(int(there.sum()))
-        p = made["totals"][kept]
+        p = made["totals"][kept][~there]
         out.append((np.maximum(col[kept], 0).astype("u2"), np.where(there, made["low"][kept], 0).astype("u2"),
                     np.where(there, made["span"][kept], 0).astype("u2"), left.astype("i4"),
                     (p / np.maximum(p.sum(axis=1, keepdims=True), 1)).astype("f4")))
@@ -338,7 +339,8 @@ class Forest:
                 if np.array_equal(to, node):  # at leaves all
                     break
                 node = to
-            out += t["p"][node]
+            leaf = np.cumsum(left == np.arange(len(left))) - 1
+            out += t["p"][leaf[node]]
         return out / max(1, len(self.trees))
 
     def probability(self, spark, features: str) -> Column:
